@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from linelake.llm.common import table
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 
 #: Phrases (words) and labels of the base.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
