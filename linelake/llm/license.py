@@ -53,7 +53,8 @@ TEMPLATES = [
 ]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
+_BARE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # of text in any case
 
 
 def spaced(text: Column) -> Column:
@@ -69,10 +70,15 @@ def template_words(templates=TEMPLATES) -> list[tuple[int, str, list[str]]]:
     return [(i, label, sorted(set(re.sub(_SEPARATORS, " ", text.lower()).split()))) for i, (label, text) in enumerate(templates)]
 
 
+def _folded(line: str) -> Column:
+    """Words of a line, quickly: a superset of the exact words where they are ASCII."""
+    return F.split(F.lower(line), _SEPARATORS, -1)
+
+
 def frequencies(lines: DataFrame, templates) -> dict[str, int]:
-    """How often each word of the templates stands in all lines (column `line`, spaced)."""
+    """How often each word of the templates stands in all lines (column `raw`)."""
     known = sorted({w for _, _, own in templates for w in own})
-    counted = lines.select(F.explode(words(F.col("line"))).alias("word")).filter(F.col("word").isin(known)).groupBy("word").count()
+    counted = lines.select(F.explode(_folded("raw")).alias("word")).filter(F.col("word").isin(known)).groupBy("word").count()
     return {r["word"]: r["count"] for r in counted.collect()}  # at most a row per template word
 
 
@@ -100,35 +106,39 @@ def contained(blocks: DataFrame, keys: list[str], templates, threshold: float =
     return exact.select(*keys, "template", "label", "shared", (F.col("shared") / F.col("n")).alias("containment"))
 
 
-def base_places(text_words: Column, phrase: str) -> Column:
-    """Word numbers at which the phrase begins."""
+def base_places(w: str, phrase: str) -> Column:
+    """Word numbers at which the phrase begins; w: a column of words."""
     parts = phrase.split()
-    return F.filter(F.sequence(F.lit(0), F.size(text_words) - 1), lambda i: reduce(lambda a, b: a & b, [F.get(text_words, i + k) == w for k, w in enumerate(parts)]))
+    return F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: reduce(lambda a, b: a & b, [F.get(w, i + k) == p for k, p in enumerate(parts)]))
+
+
+def count_words(text: Column) -> Column:
+    pieces = F.size(F.split(text, f"{_BARE}+", -1))
+    outer = text.rlike(f"^{_BARE}").cast("int") + text.rlike(f"{_BARE}\\z").cast("int")
+    return F.when(text == "", 0).otherwise(pieces - outer).cast("long")
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: n_words, n_base, first_word, last_word, base_labels and labels (arrays), score, blocks
     (number of the line, label, containment of every block that meets a template)."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = own.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("number", "raw"))
-    lines = lines.select("doc_id", "number", spaced(F.col("raw")).alias("line")).filter("line <> ''")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    lines = own.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("number", "raw"))
     rows = template_words(templates)
     rows = ordered(rows, frequencies(lines, rows))
     rare = sorted({w for _, _, o in rows for w in o[: len(o) - max(1, math.ceil(threshold * len(o) - 1e-9)) + 1]})
-    # a first sieve on the bare line, so that only few lines are split into words
-    some = lines.filter(F.col("line").rlike(r"(?:^| )(?:" + "|".join(map(re.escape, rare)) + r")(?: |$)"))
-    blocks = some.select("doc_id", "number", F.array_distinct(words(F.col("line"))).alias("tokens"))
+    some = lines.filter(F.arrays_overlap(_folded("raw"), F.array(*map(F.lit, rare))))
+    blocks = some.select("doc_id", "number", F.array_distinct(words(spaced(F.col("raw")))).alias("tokens"))
     met = contained(blocks, ["doc_id", "number"], rows, threshold)
     met = met.groupBy("doc_id").agg(F.collect_set("label").alias("met"), F.max("containment").alias("most"), F.sort_array(F.collect_set(F.struct("number", "label", "containment"))).alias("blocks"))
 
-    line = spaced(F.col("text"))
-    held = own.select("doc_id", line.alias("line"))
-    sieve = reduce(lambda a, b: a | b, [F.concat(F.lit(" "), F.col("line"), F.lit(" ")).contains(f" {p} ") for p in phrases])
-    w = F.split("line", " ", -1)
-    places = [F.when(sieve, base_places(w, p)).otherwise(F.array().cast("array<int>")) for p in phrases]
-    held = held.select("doc_id", F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).cast("long").alias("n_words"), F.concat(*places).alias("places"), F.array_compact(F.array(*[F.when(F.size(p) > 0, F.lit(label)) for p, label in zip(places, phrases.values())])).alias("base"))
-    both = held.join(met.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    # a sieve on the bare text, so that few texts are split into a column of words
+    sieve = F.col("text").rlike("(?i)" + "|".join(f"{_BARE}+".join(p.split()) for p in phrases))
     none = F.array().cast("array<string>")
+    held = own.select("doc_id", count_words(F.col("text")).alias("n_words"), F.when(sieve, words(spaced(F.col("text")))).otherwise(none).alias("w"))
+    places = [F.when(F.size("w") > 0, base_places("w", p)).otherwise(F.array().cast("array<int>")) for p in phrases]
+    held = held.select("doc_id", "n_words", *[x.alias(f"p{k}") for k, x in enumerate(places)])
+    held = held.select("doc_id", "n_words", F.concat(*[f"p{k}" for k in range(len(places))]).alias("places"), F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())])).alias("base"))
+    both = held.join(met.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return both.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_sort(F.array_distinct("base")).alias("base_labels"), F.array_sort(F.array_union("base", F.coalesce("met", none))).alias("labels"),
