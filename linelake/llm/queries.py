@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from linelake.llm.decontaminate import op7_benchmark_decontamination
+from linelake.llm.hmm import op8_hmm_scoring
 from linelake.llm.jaccard import op3_ngram_jaccard_join
 from linelake.llm.license import op6_license_scan
 from linelake.llm.media import op10_media_columns
 from linelake.llm.packing import op2_best_fit_packing
+from linelake.llm.quality import op1_quality_classifier
 from linelake.llm.recompress import op4_substring_dedup
 from linelake.llm.toxicity import op9_toxicity
 from linelake.llm.warc import op5_warc
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_warc": op5_warc,
     "op6_license_scan": op6_license_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_hmm_scoring": op8_hmm_scoring,
     "op9_toxicity": op9_toxicity,
     "op10_media_columns": op10_media_columns,
 }
