@@ -60,7 +60,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         _scratch[app] = []
         atexit.register(release, spark)
     _scratch[app].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more."""
+    spark = df.sparkSession
+    _scratch[spark.sparkContext.applicationId].remove(df.scratch_path)
+    delete(spark, df.scratch_path)
 
 
 def release(spark: SparkSession) -> None:

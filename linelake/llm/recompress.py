@@ -32,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import MULT, WordHashes, map_arrow, materialize, mix, rolling, slices, table
+from linelake.llm.common import MULT, WordHashes, discard, map_arrow, materialize, mix, rolling, slices, table
 
 WINDOW = 20
 LEVELS = 16
+START_BITS = 27  # of a place in its document: up to 134 million words; the rank of the document has the rest
 
 
 def anchors(h: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,13 +123,13 @@ def _anchor_places(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """name, doc_id, start of each window whose anchor's place is among `places`."""
+    """name, at (rank of the document and start in one number) of each window whose anchor's place is in `places`."""
 
     def make():
         names = WordHashes()
 
         def each(batch):
-            for part, data in slices(batch, 1):
+            for part, data in slices(batch, 0):
                 h, ends = _words(data, names)
                 p, _, place = anchors(h, ends, window)
                 if not len(p):
@@ -136,28 +137,46 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 lists = part.column(2)
                 sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
                 flagged = np.zeros(len(h) + 1, bool)
-                places = np.asarray(lists.flatten())
-                flagged[places + np.repeat(np.append(0, ends[:-1]), sizes)] = True
+                flagged[np.asarray(lists.flatten()) + np.repeat(np.append(0, ends[:-1]), sizes)] = True
                 p = p[flagged[place]]
                 if len(p):
                     doc, own = _locate(ends, p)
-                    yield pa.RecordBatch.from_arrays([pa.array(rolling(h, window)[p].view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(own.astype(np.int32))], ["name", "doc_id", "start"])
+                    at = (np.asarray(part.column(1))[doc] << START_BITS) | own
+                    yield pa.RecordBatch.from_arrays([pa.array(rolling(h, window)[p].view(np.int64)), pa.array(at)], ["name", "at"])
 
         return each
 
-    return map_arrow(docs, make, "name long, doc_id long, start int")
+    return map_arrow(docs.select("text", "rank", "places"), make, "name long, at long")
+
+
+def _ranks(ids: DataFrame) -> DataFrame:
+    """doc_id, rank: places of the ids in their order, from a range-partitioned sort and its partitions' sizes."""
+    sorted_ = materialize(ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("doc_id", F.monotonically_increasing_id().alias("m")), "ids")
+    part = F.shiftright("m", 33).alias("part")
+    sizes = sorted_.groupBy(part).count().orderBy("part").collect()  # a row for each partition
+    offsets, total = [], 0
+    for r in sizes:
+        offsets.append((r["part"], total))
+        total += r["count"]
+    small = ids.sparkSession.createDataFrame(offsets, "part long, base long")
+    low = F.col("m").bitwiseAND((1 << 33) - 1)
+    return sorted_.select("doc_id", "m", part).join(F.broadcast(small), "part").select("doc_id", (F.col("base") + low).alias("rank"))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, starts: where windows start (word numbers from 0) whose words also start earlier."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     places = materialize(_anchor_places(own, window), "anchors")
-    shared = places.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
-    marked = places.join(shared, "name").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    found = materialize(_windows(own.join(marked, "doc_id"), window), "windows")
-    first = found.groupBy("name").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("name", "first")
-    later = found.join(first, "name").filter("first.doc_id <> doc_id or first.start <> start")
-    return later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    shared = materialize(places.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "names")
+    marked = materialize(places.join(shared, "name").groupBy("doc_id").agg(F.collect_list("place").alias("places")), "places")
+    discard(places)
+    ranks = materialize(_ranks(marked.select("doc_id")), "ranks")
+    found = materialize(_windows(own.join(marked.join(ranks, "doc_id"), "doc_id"), window), "windows")
+    first = materialize(found.groupBy("name").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("name", "first"), "first")
+    later = found.join(first, "name").filter("at > first").select(F.shiftright("at", START_BITS).alias("rank"), F.col("at").bitwiseAND((1 << START_BITS) - 1).cast("int").alias("start"))
+    starts = materialize(later.groupBy("rank").agg(F.collect_list("start").alias("starts")), "starts")
+    discard(found)
+    return starts.join(ranks, "rank").select("doc_id", "starts")
 
 
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
