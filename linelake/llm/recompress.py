@@ -36,6 +36,7 @@ from linelake.llm.common import MULT, WordHashes, discard, map_arrow, materializ
 
 WINDOW = 20
 LEVELS = 16
+COUNT_BITS = 16  # of a number of windows in a row
 START_BITS = 27  # of a place in its document: up to 134 million words; the rank of the document has the rest
 
 
@@ -48,46 +49,46 @@ def anchors(h: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[np.n
     p = p[p + window <= np.repeat(ends, ends - begins)]
     if not len(p):
         return p, np.zeros(0, np.uint64), p
-    name, place = h[p].copy(), p.copy()
+    name, place = h[p], p.copy()
     new_doc = np.zeros(n + 1, bool)
     new_doc[begins[begins < n]] = True
-    new_doc[n] = True
-    lb, rb = np.arange(n + 2, dtype=np.int32), np.arange(n + 2, dtype=np.int32)  # of windows that start (end) here
     start, sym = np.arange(n, dtype=np.int32), h
-    at = np.empty(n + 2, np.int32)  # number of the symbol that starts here
+    live = np.arange(len(p), dtype=np.int32)  # windows that still have decided symbols, from lb to rb
+    lb, rb = p.copy(), p + np.int32(window)
+    to_next, to_prior, at = (np.arange(n + 1, dtype=np.int32) for _ in range(3))
     for level in range(LEVELS):
         m = len(sym)
         after = np.append(start[1:], np.int32(n))
-        to_next, to_prior = np.arange(n + 2, dtype=np.int32), np.arange(n + 2, dtype=np.int32)
         if level == 0:
-            same = (sym[1:] == sym[:-1]) & ~new_doc[start[1:]]
-            head = np.append(True, ~same)
+            head = np.append(True, (sym[1:] != sym[:-1]) | new_doc[start[1:]])
             first = np.flatnonzero(head)
             count = np.diff(np.append(first, m))
-            sym = np.where(count > 1, mix(sym[first] * MULT + count.astype(np.uint64)), sym[first])
+            runs = sym[first]
+            long = count > 1
+            runs[long] = mix(runs[long] * MULT + count[long].astype(np.uint64))
             of = np.cumsum(head) - 1
             # the outermost run of a window may go on outside
             to_next[:n] = np.append(start[first][1:], np.int32(n))[of]
-            to_prior[1 : n + 1] = start[first][of]
-            start = start[first]
+            to_prior[1:] = start[first][of]
+            sym, start = runs, start[first]
         else:
-            left = (mix(sym + np.uint64(level * int(MULT) % 2**64)) >> np.uint64(17)) & np.uint64(1) == 1
-            to_next[start[~left]] = after[~left]
-            to_prior[after[left]] = start[left]
+            left = (sym >> np.uint64(level)) & np.uint64(1) == 1  # names are random, and so are their bits
+            to_next[start] = np.where(left, start, after)
+            to_prior[after] = np.where(left, start, after)
             pair = np.flatnonzero(left[:-1] & ~left[1:] & ~new_doc[start[1:]])
-            joined = mix((sym[pair] + np.uint64(level)) * MULT + mix(sym[pair + 1]))
             keep = np.ones(m, bool)
             keep[pair + 1] = False
+            joined = mix((sym[pair] + np.uint64(level)) * MULT + sym[pair + 1])
             sym = sym.copy()
             sym[pair] = joined
             sym, start = sym[keep], start[keep]
         lb, rb = to_next[lb], to_prior[rb]
-        good = np.flatnonzero(lb[p] < rb[p + window])
+        good = np.flatnonzero(lb < rb)
         if not len(good):
             break
+        live, lb, rb = live[good], lb[good], rb[good]
         at[start] = np.arange(len(start), dtype=np.int32)
-        where = lb[p[good]]
-        place[good], name[good] = where, sym[at[where]]
+        place[live], name[live] = lb, sym[at[lb]]
     return p, name, place
 
 
@@ -103,7 +104,7 @@ def _locate(ends: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_places(docs: DataFrame, window: int) -> DataFrame:
-    """name, doc_id, place of each anchor, once for each place."""
+    """name, doc_id, first, count: each place of an anchor, with the windows (from first on) whose anchor it is."""
 
     def make():
         names = WordHashes()
@@ -111,19 +112,21 @@ def _anchor_places(docs: DataFrame, window: int) -> DataFrame:
         def each(batch):
             for part, data in slices(batch, 1):
                 h, ends = _words(data, names)
-                _, name, place = anchors(h, ends, window)
-                if len(name):
-                    once = np.append(True, (place[1:] != place[:-1]) | (name[1:] != name[:-1]))
-                    doc, own = _locate(ends, place[once])
-                    yield pa.RecordBatch.from_arrays([pa.array(name[once].view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(own.astype(np.int32))], ["name", "doc_id", "place"])
+                p, name, place = anchors(h, ends, window)
+                if len(p):
+                    head = np.append(True, (place[1:] != place[:-1]) | (name[1:] != name[:-1]) | (p[1:] != p[:-1] + 1))
+                    first = np.flatnonzero(head)
+                    doc, own = _locate(ends, p[first])
+                    count = np.diff(np.append(first, len(p)))
+                    yield pa.RecordBatch.from_arrays([pa.array(name[first].view(np.int64)), part.column(0).take(pa.array(doc)), pa.array((own << COUNT_BITS) | count)], ["name", "doc_id", "windows"])
 
         return each
 
-    return map_arrow(docs, make, "name long, doc_id long, place int")
+    return map_arrow(docs, make, "name long, doc_id long, windows long")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """name, at (rank of the document and start in one number) of each window whose anchor's place is in `places`."""
+    """name, at (rank of the document and start in one number) of the windows in `windows`."""
 
     def make():
         names = WordHashes()
@@ -131,22 +134,21 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
         def each(batch):
             for part, data in slices(batch, 0):
                 h, ends = _words(data, names)
-                p, _, place = anchors(h, ends, window)
-                if not len(p):
-                    continue
                 lists = part.column(2)
                 sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
-                flagged = np.zeros(len(h) + 1, bool)
-                flagged[np.asarray(lists.flatten()) + np.repeat(np.append(0, ends[:-1]), sizes)] = True
-                p = p[flagged[place]]
-                if len(p):
-                    doc, own = _locate(ends, p)
-                    at = (np.asarray(part.column(1))[doc] << START_BITS) | own
-                    yield pa.RecordBatch.from_arrays([pa.array(rolling(h, window)[p].view(np.int64)), pa.array(at)], ["name", "at"])
+                packed = np.asarray(lists.flatten())
+                if not len(packed):
+                    continue
+                count = packed & ((1 << COUNT_BITS) - 1)
+                doc = np.repeat(np.repeat(np.arange(len(sizes)), sizes), count)
+                run = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                own = np.repeat(packed >> COUNT_BITS, count) + run
+                named = rolling(h, window)[np.append(0, ends[:-1])[doc] + own]
+                yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array((np.asarray(part.column(1))[doc] << START_BITS) | own)], ["name", "at"])
 
         return each
 
-    return map_arrow(docs.select("text", "rank", "places"), make, "name long, at long")
+    return map_arrow(docs.select("text", "rank", "windows"), make, "name long, at long")
 
 
 def _ranks(ids: DataFrame) -> DataFrame:
@@ -168,7 +170,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     places = materialize(_anchor_places(own, window), "anchors")
     shared = materialize(places.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "names")
-    marked = materialize(places.join(shared, "name").groupBy("doc_id").agg(F.collect_list("place").alias("places")), "places")
+    marked = materialize(places.join(shared, "name").groupBy("doc_id").agg(F.collect_list("windows").alias("windows")), "places")
     discard(places)
     ranks = materialize(_ranks(marked.select("doc_id")), "ranks")
     found = materialize(_windows(own.join(marked.join(ranks, "doc_id"), "doc_id"), window), "windows")
