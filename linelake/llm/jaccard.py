@@ -9,6 +9,8 @@ the overlap of two documents. Bounds from the sizes say what need not be multipl
   links, so the counts behind it may be rough.
 * A column's documents form a cell with the column's smallest document id; columns with the same smallest id share a
   cell. Linked documents share a column, hence a cell, and so all links are found within cells.
+* The overlap within these first columns is accumulated per cell; documents that have no partner there whose overlap
+  reaches what their sizes ask leave the cell before any text is fetched.
 * In a cell of at most BLOCK documents, all overlaps are accumulated over blocks of columns in one product. In a larger
   cell, all documents are first compared with its smallest id; those linked with it are one component already and need
   not be compared with each other. The others, in blocks of BLOCK, are each multiplied with the whole cell.
@@ -35,13 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import WordHashes, map_arrow, materialize, mix, rolling, slices, table
+from linelake.llm.common import WordHashes, discard, map_arrow, materialize, mix, rolling, slices, table
 from linelake.llm.components import connected_components, forest
 
 WIDTH = 5
 PERCENT = 80
 BLOCK = 512
 COLUMNS = 4096
+PRODUCT = 4096  # documents of a cell whose first columns are multiplied in one task; larger cells go by blocks only
 
 #: Counters for the order of n-grams, and how many of the largest the tasks are told of.
 BUCKETS = 1 << 20
@@ -78,49 +81,39 @@ def links(a: np.ndarray | int, b: np.ndarray | int, overlap: np.ndarray | int, p
     return (overlap * (100 + percent) >= percent * (a + b)) & (overlap > 0)
 
 
-def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
-    """The overlap of each set of rows with each of cols: a sparse product, by blocks of columns of the incidence."""
-    out = np.zeros((len(rows), len(cols)), np.float32)
-    if len(rows) * len(cols) <= 16:
-        for i, a in enumerate(rows):
-            for j, b in enumerate(cols):
-                out[i, j] = len(a) if a is b else np.intersect1d(a, b, assume_unique=True).size
-        return out
-    left, right = np.unique(np.concatenate(rows)), np.unique(np.concatenate(cols))
-    shared = left if rows is cols else np.intersect1d(left, right, assume_unique=True)
-    if rows is cols:
-        every, counts = np.unique(np.concatenate(rows), return_counts=True)
-        shared = every[counts > 1]
-
-    def incidence(sets):
-        at, doc = [], []
-        for d, s in enumerate(sets):
-            p = np.searchsorted(shared, s)
-            p[p == len(shared)] = 0
-            p = p[shared[p] == s] if len(shared) else p[:0]
-            at.append(p)
-            doc.append(np.full(len(p), d))
-        at, doc = np.concatenate(at), np.concatenate(doc)
-        order = np.argsort(at, kind="stable")
-        return at[order], doc[order]
-
-    at_r, doc_r = incidence(rows)
-    at_c, doc_c = (at_r, doc_r) if rows is cols else incidence(cols)
-    for lo in range(0, len(shared), COLUMNS):
-        a0, a1 = np.searchsorted(at_r, (lo, lo + COLUMNS))
-        b0, b1 = np.searchsorted(at_c, (lo, lo + COLUMNS))
-        width = min(COLUMNS, len(shared) - lo)
-        a = np.zeros((len(rows), width), np.float32)
-        a[doc_r[a0:a1], at_r[a0:a1] - lo] = 1
-        if rows is cols:
-            b = a
-        else:
-            b = np.zeros((len(cols), width), np.float32)
-            b[doc_c[b0:b1], at_c[b0:b1] - lo] = 1
-        out += a @ b.T
+def product(at: np.ndarray, doc: np.ndarray, rows: int, docs: int, square: bool) -> np.ndarray:
+    """A times its transpose, for an incidence of docs by columns given as (column, document) in column order; rows
+    of the first `rows` documents, columns of all (square) or of the others. By blocks of COLUMNS columns."""
+    out = np.zeros((rows, docs if square else docs - rows), np.float32)
+    last = int(at[-1]) + 1 if len(at) else 0
+    for lo in range(0, last, COLUMNS):
+        a, b = np.searchsorted(at, (lo, lo + COLUMNS))
+        block = np.zeros((docs, min(COLUMNS, last - lo)), np.float32)
+        block[doc[a:b], at[a:b] - lo] = 1
+        out += block[:rows] @ (block if square else block[rows:]).T
     return out
 
 
+def incidence(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(column, document) in column order, of the columns that several sets share."""
+    h = np.concatenate(sets)
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    same = h[1:] == h[:-1]
+    keep = np.append(same, False) | np.append(False, same)
+    at = np.cumsum(np.append(True, ~same))[keep]
+    doc = doc[keep]
+    return (np.cumsum(np.append(0, at[1:] != at[:-1])) if len(at) else at), doc
+
+
+def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
+    """The overlap of each set of rows with each of cols (the same list: with each other)."""
+    square = rows is cols
+    at, doc = incidence(rows if square else rows + cols)
+    return product(at, doc, len(rows), len(rows) if square else len(rows) + len(cols), square)
+
+
 class Cell:
     """The documents of one cell (or of one block of a large cell) as they stream by."""
 
@@ -176,7 +169,7 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
                 n = len(sets)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
-        heavy = np.flatnonzero(counts > 16 + 8 * counts.mean())
+        heavy = np.flatnonzero(counts > counts.mean() + 6 * counts.mean() ** 0.5 + 4)
         k = len(heavy)
         if k:
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(heavy), pa.array(counts[heavy])], names)
@@ -204,6 +197,59 @@ def _entries(docs: DataFrame, weight: np.ndarray, width: int, percent: int) -> D
     return map_arrow(docs.filter("doc_id is not null"), make, "key long, doc_id long")
 
 
+def least_shared(n: np.ndarray, percent: int) -> np.ndarray:
+    """For sizes n (of a cell's documents): how many of the first columns each two must share to link. Columns behind
+    the earlier end of their two prefixes add no more than what follows the longer prefix."""
+    p = n - -(-percent * n // 100) + 1
+    need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
+    rest = np.maximum((n - p)[:, None], (n - p)[None, :])
+    return np.maximum(need - rest, 1)
+
+
+def _survivors(held: DataFrame, percent: int) -> DataFrame:
+    """cell, doc_id of the documents that may link with another of their cell. held: cell, doc_id, key, n, m. Overlaps
+    of the first columns are accumulated in the cell; a pair whose columns lie in several of its cells (at most the
+    smaller m) has a fair share of the least overlap in one of them."""
+    dealt = held.repartition("cell").sortWithinPartitions("cell")
+
+    def judge(group):
+        cell, ids, keys, n, m = group
+        docs, doc = np.unique(ids, return_inverse=True)
+        if len(docs) < 2:
+            return None
+        size, cells = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+        size[doc], cells[doc] = n, m
+        order = np.argsort(keys, kind="stable")
+        k = keys[order]
+        at = np.cumsum(np.append(0, k[1:] != k[:-1]))
+        shared = product(at, doc[order], len(docs), len(docs), True)
+        few = np.minimum(cells[:, None], cells[None, :])
+        may = (shared * few >= least_shared(size, percent)) & (np.minimum(size[:, None], size[None, :]) * 100 >= percent * np.maximum(size[:, None], size[None, :]))
+        np.fill_diagonal(may, False)
+        own = docs[may.any(1)]
+        return np.full(len(own), cell[0]), own
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            now = [np.asarray(batch.column(i)) for i in range(5)]
+            if left is not None:
+                now = [np.concatenate(x) for x in zip(left, now)]
+            cuts = np.append(0, np.flatnonzero(np.diff(now[0])) + 1)
+            found = [judge([x[a:b] for x in now]) for a, b in zip(cuts[:-1], cuts[1:])]
+            left = [x[cuts[-1] :] for x in now]
+            yield from _rows([x for x in found if x])
+        if left is not None and len(left[0]):
+            yield from _rows([x for x in [judge(left)] if x])
+
+    return dealt.mapInArrow(run, "cell long, doc_id long")
+
+
+def _rows(found: list):
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found]).astype(np.int64)) for k in (0, 1)], ["cell", "doc_id"])
+
+
 def _multiply(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """u, v: links in cells. rows: cell, block, within, role, doc_id, z."""
     dealt = rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "role", "doc_id")
@@ -252,14 +298,21 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
 
     # cells
     entries = materialize(_entries(docs, weight, width, percent), "entries")
-    shared = entries.groupBy("key").agg(F.min("doc_id").alias("cell"), F.max("doc_id").alias("last")).filter("cell < last").select("key", "cell")
-    stars = materialize(entries.join(shared, "key").select("cell", "doc_id").distinct(), "stars")
-    reps = known.filter("rep is not null").select("doc_id", "rep").distinct()
-    members = stars.join(reps, "doc_id").select("cell", F.col("rep").alias("doc_id")).distinct()
+    shared = materialize(entries.groupBy("key").agg(F.min("doc_id").alias("cell"), F.max("doc_id").alias("last")).filter("cell < last").select("key", "cell"), "columns")
+    reps = known.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("n"))
+    held = materialize(entries.join(shared, "key"), "columns")
+    discard(entries)
+    held = materialize(held.join(reps, "doc_id").select("cell", F.col("rep").alias("doc_id"), "key", "n").distinct(), "incidence")
+    members = materialize(held.select("cell", "doc_id").distinct(), "members")
+    many = members.groupBy("doc_id").agg(F.count("*").alias("m"))
     sizes = members.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1")
-    cells = materialize(members.join(sizes, "cell"), "cells")
-    held = docs.join(cells.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = materialize(_compressed(held), "texts")
+    bounded = sizes.filter(F.col("size") <= PRODUCT).select("cell")
+    kept = _survivors(held.join(bounded, "cell").join(many, "doc_id").select("cell", "doc_id", "key", "n", "m"), percent)
+    kept = kept.unionByName(members.join(sizes.filter(F.col("size") > PRODUCT).select("cell"), "cell").select("cell", "doc_id"))
+    kept = materialize(kept, "kept")
+    cells = materialize(kept.join(kept.groupBy("cell").agg(F.count("*").alias("size")), "cell"), "cells")
+    with_text = docs.join(cells.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = materialize(_compressed(with_text), "texts")
 
     # cells of one block
     small = cells.filter(F.col("size") <= block).join(texts, "doc_id")
