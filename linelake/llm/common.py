@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -161,5 +162,10 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     return df.mapInArrow(run, schema)
 
 
+def extended(schema: T.StructType, **more: str) -> T.StructType:
+    """A schema and further fields, by name and type; the given one stays as it is."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in more.items())).fields])
+
+
 def crc_mod(column: Column, n: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % n

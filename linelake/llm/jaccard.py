@@ -49,6 +49,7 @@ PRODUCT = 4096  # documents of a cell whose first columns are multiplied in one
 #: Counters for the order of n-grams, and how many of the largest the tasks are told of.
 BUCKETS = 1 << 20
 HEAVY = 1 << 16
+SIEVE = 1 << 26  # bits of the map that leaves out documents without a partner; a full map only costs time
 
 
 def shingle_set(text: bytes, names: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -273,15 +274,33 @@ def _edges(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["u", "v"])
 
 
-def _compressed(docs: DataFrame) -> DataFrame:
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A bit map of SIEVE bits in which each doc_id sets one: what is told to the tasks has a fixed size."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
+    words = ids.select(bit.alias("b")).select(F.shiftright("b", 5).alias("word"), F.expr("shiftleft(1L, cast(b & 31 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    bits = np.zeros(SIEVE // 32, np.uint32)
+    bits[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).astype(np.uint32)
+    return bits
+
+
+def _compressed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and compressed text of the documents among ids. Tasks first leave out most others by a bit map, so that
+    few texts are shuffled; the join is exact."""
+    sent = docs.sparkSession.sparkContext.broadcast(_sieve(ids))
+
     def make():
+        bits = sent.value
+
         def each(batch):
+            b = np.asarray(batch.column(2))
+            batch = batch.filter(pa.array((bits[b >> 5] >> (b & 31).astype(np.uint32)) & 1 == 1))
             for part, data in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zlib.compress(x, 1) for x in data], pa.binary())], ["doc_id", "z"])
 
         return each
 
-    return map_arrow(docs, make, "doc_id long, z binary")
+    marked = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("b"))
+    return map_arrow(marked, make, "doc_id long, z binary").join(ids, "doc_id", "left_semi")
 
 
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -311,8 +330,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     kept = kept.unionByName(members.join(sizes.filter(F.col("size") > PRODUCT).select("cell"), "cell").select("cell", "doc_id"))
     kept = materialize(kept, "kept")
     cells = materialize(kept.join(kept.groupBy("cell").agg(F.count("*").alias("size")), "cell"), "cells")
-    with_text = docs.join(cells.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = materialize(_compressed(with_text), "texts")
+    texts = materialize(_compressed(docs, cells.select("doc_id").distinct()), "texts")
 
     # cells of one block
     small = cells.filter(F.col("size") <= block).join(texts, "doc_id")

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import map_arrow, slices, table
+from linelake.llm.common import extended, map_arrow, slices, table
 
 CAPACITY = 2048
 SHARD = 50_000
@@ -135,7 +135,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     pieces = pieces.select("doc_id", "piece", "start", "length", *[c for c in pieces.columns if c not in ("doc_id", "piece", "start", "length", "ids")])
     n = pieces.count()
     shards = max(1, -(-n // shard))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = extended(pieces.schema, sequence_id="long", offset="long")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import MULT, WordHashes, discard, map_arrow, materialize, mix, rolling, slices, table
+from linelake.llm.common import MULT, WordHashes, discard, extended, map_arrow, materialize, mix, rolling, slices, table
 
 WINDOW = 20
 LEVELS = 16
@@ -211,7 +211,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = True, i
     found = repeats(docs, window, id_col, text_col).select(F.col("doc_id").alias("_id"), "starts")
     joined = docs.join(found, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     k, last = docs.columns.index(text_col), len(docs.columns)
-    schema = docs.schema.add("_n_words", "long").add("_n_removed", "long") if counts else docs.schema
+    schema = extended(docs.schema, _n_words="long", _n_removed="long") if counts else docs.schema
     names = schema.names
 
     def make():
