@@ -364,26 +364,6 @@ def ray_to_depth(u: Num, v: Num, length: Num, fx: float, fy: float, cx: float, c
     return (col(length) / F.sqrt(x * x + y * y + 1.0)).cast("int")
 
 
-def virtual_camera_origin(a: Vec, b: Vec, n1: Vec, n2: Vec, kind: Column, distance: float) -> Vec:
-    """Of the places at `distance` from the line's middle, across the line and along or against its surfaces' normals
-    (edges and intersections: along their sums and differences), the one nearest to the origin; the first of equals."""
-    x, middle = (b - a).unit(), (a + b) * 0.5
-    only = n2.when(n1.norm() <= 0.001, n1)  # of a discontinuity: the normal that is there
-    sums = [(n1 + n2).unit(), (n1 - n2).unit(), (-n1 - n2).unit(), (-n1 + n2).unit()]
-    flat = kind < 2
-    single = only.when(kind == 0, n1)
-    candidates = [single.when(flat, sums[0]), (-single).when(flat, sums[1]), sums[2], sums[3]]
-
-    def place(z: Vec) -> Vec:
-        across = (z - x * z.dot(x)).unit()
-        return middle - across * distance
-
-    rows = [F.struct(*[o.c[i].alias(k) for i, k in enumerate("xyz")]) for o in map(place, candidates)]
-    norms = F.transform(F.when(flat, F.array(*rows[:2])).otherwise(F.array(*rows)), lambda o: F.struct(F.sqrt(o.x * o.x + o.y * o.y + o.z * o.z).alias("r"), o.alias("o")))
-    best = F.array_min(F.transform(norms, lambda o, i: F.struct(o.r.alias("r"), i.alias("i"), o.o.alias("o"))))
-    return Vec(tuple(best.getField("o").getField(k) for k in "xyz"))
-
-
 def virtual_camera(a: Vec, b: Vec, origin: Vec) -> tuple[list[Vec], Vec]:
     """Rotation (rows) and shift of the camera at `origin` whose x axis is the line."""
     x = (b - a).unit()

@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linelake.plans.session import checkpointed
 
@@ -103,7 +104,7 @@ def mean_shift(df: DataFrame, keys: list[str], coordinates: list[str], weight: s
             number += 1
         return pdf.assign(part=part)
 
-    return df.groupBy(*keys).applyInPandas(one, df.schema.add("part", "int"))
+    return df.groupBy(*keys).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType())]))
 
 
 def single_linkage(df: DataFrame, keys: list[str], coordinates: list[str], most: int = 16) -> DataFrame:
@@ -143,7 +144,7 @@ def single_linkage(df: DataFrame, keys: list[str], coordinates: list[str], most:
                     score, label = s, own
         return pdf.assign(cluster=label)
 
-    return df.groupBy(*keys).applyInPandas(one, df.schema.add("cluster", "int"))
+    return df.groupBy(*keys).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField("cluster", T.IntegerType())]))
 
 
 def merge_lines(df: DataFrame, keys: list[str]) -> DataFrame:

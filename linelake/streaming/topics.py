@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -37,7 +38,7 @@ def count_frames(frames: DataFrame, scene: str = "scene_id", stamp: str = "stamp
     """number: 0, step, 2 step ... of a scene's frames in the order of their stamps; a new scene starts anew."""
     if not frames.isStreaming:
         return frames.withColumn("number", (F.row_number().over(W.partitionBy(scene).orderBy(stamp)) - 1) * step)
-    schema = frames.schema.add("number", "int")
+    schema = T.StructType([*frames.schema.fields, T.StructField("number", T.IntegerType())])
 
     def number(key, parts, state: GroupState):
         n = state.get[0] if state.exists else 0
