@@ -66,7 +66,7 @@ def with_previous(lines: DataFrame, late: str = "10 minutes") -> DataFrame:
             if last is not None and frame == last + 1 and len(ids):
                 before = pd.DataFrame({"prev_line_id": list(ids), "prev_embedding": list(vectors)})
                 yield own[["scene_id", "frame_id", "line_id", "embedding"]].merge(before, how="cross")
-            last, ids, vectors = int(frame), own["line_id"].tolist(), own["embedding"].tolist()
+            last, ids, vectors = int(frame), own["line_id"].tolist(), [[float(x) for x in v] for v in own["embedding"]]
         state.update((last, ids, vectors))
 
     return lines.groupBy("scene_id").applyInPandasWithState(pair, schema, "last long, ids array<long>, vectors array<array<float>>", "append", GroupStateTimeout.NoTimeout)

@@ -118,3 +118,12 @@ def test_length_histogram_leaves_out_what_lies_above(spark):
     df = spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.2, 0.2)], "v double")
     got = votes.length_histogram(df, "v", 0.1).orderBy("bin").collect()
     assert sum(r.n for r in got) == 2 and math.isclose(sum(r.density for r in got) * 0.1, 1.0)
+
+
+def test_lines_are_lifted_from_a_roof(spark):
+    cloud = spark.range(240 * 320).select(F.lit(0).alias("frame_id"), (F.col("id") % 320).cast("int").alias("u"), F.floor(F.col("id") / 320).cast("int").alias("v"))
+    depth = F.when(F.col("u") <= 160, F.col("u")).otherwise(320 - F.col("u"))
+    cloud = cloud.select("*", (F.col("v") * 0.01).alias("x"), (depth * 0.01).alias("y"), (depth * 0.01).alias("z"))
+    line = spark.createDataFrame([(0, 1, 160.0, 100.0, 160.0, 200.0)], "frame_id int, line_id int, x0 double, y0 double, x1 double, y1 double")
+    for r in (pixels.lifted_ends(line, cloud, ["line_id"]).first(), pixels.lifted(line, cloud, 320, 240).first()):
+        assert (r.sx, r.sy, r.sz, r.ex, r.ey, r.ez) == pytest.approx((1, 1.6, 1.6, 2, 1.6, 1.6), abs=1e-5)
