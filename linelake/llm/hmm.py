@@ -5,7 +5,7 @@ of CLASSES symbols (by its last characters), times the probability of the word w
 distribution over whole texts of any words.
 
 Counts of words come from all training documents, are combined in the tasks, and stay a table on the cluster; only the
-HEAD most frequent words' counts (a fixed number) reach the tasks by broadcast, and the counts of all other words are
+counts of the most frequent words (HEAD at most) reach the tasks by broadcast, and the counts of all other words are
 joined. Baum-Welch: each task runs the scaled forward and backward recursions over its training documents and emits
 expected counts of starts, transitions and emissions; Spark sums them over all tasks, and the driver normalises a
 table of fixed size. Scores come from the scaled forward recursion: the sum of the logarithms of its scales.
@@ -116,7 +116,16 @@ class Vocabulary:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     kind = F.col("name").bitwiseAND(CLASSES - 1)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("n"), "name").limit(HEAD).toPandas()
+    # the least step of counts at and above which there are at most HEAD words: no task sends more than its part
+    step = F.floor(F.log2("n") * 16)
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("v")).orderBy(F.desc("step")).collect()  # some hundred rows
+    least, words = 1 << 30, 0
+    for r in steps:
+        words += r["v"]
+        if words > HEAD:
+            break
+        least = r["step"]
+    head = counts.filter((step >= least) | (F.col("name") == END)).toPandas().sort_values(["n", "name"], ascending=[False, True])
     by_class = counts.filter(F.col("name") != END).groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
     class_count, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     class_count[by_class["kind"]] = by_class["n"]

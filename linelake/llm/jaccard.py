@@ -46,9 +46,7 @@ BLOCK = 512
 COLUMNS = 4096
 PRODUCT = 4096  # documents of a cell whose first columns are multiplied in one task; larger cells go by blocks only
 
-#: Counters for the order of n-grams, and how many of the largest the tasks are told of.
-BUCKETS = 1 << 20
-HEAVY = 1 << 16
+BUCKETS = 1 << 20  # counters for the order of n-grams
 SIEVE = 1 << 26  # bits of the map that leaves out documents without a partner; a full map only costs time
 
 
@@ -307,7 +305,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     """doc_id, n_shingles, component_id (smallest id that can be reached by links) of each document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = materialize(_profile(docs, width), "profile")
-    heavy = profile.filter("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "bucket").limit(HEAVY).toPandas()
+    heavy = profile.filter("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toPandas()  # BUCKETS rows at most
     weight = np.stack([heavy["bucket"].to_numpy(np.int64), heavy["seen"].to_numpy(np.int64)])
 
     # classes of equal sets; the smallest id stands for its class

@@ -4,12 +4,12 @@ Overlapping heuristic labellers vote good (1), bad (-1) or nothing (0) on each d
 all documents estimates each labeller's accuracy and the share of good documents, without any labels: the counts of
 vote patterns, of which there are at most 3 ** labellers, are all that it needs, and they are summed over all documents.
 Each document's posterior is then the soft label for a linear scorer over hashed features of word shapes, which also
-judges what no labeller covers. The scorer is fitted on the driver from at most SAMPLE documents, those with the
-smallest hashes of their ids; all documents are scored whole.
+judges what no labeller covers. The scorer is fitted on the driver from at most SAMPLE documents, chosen by the hashes
+of their ids; all documents are scored whole.
 
 Features and votes come from one pass over the texts and are a small table from then on.
 
-Defined results: null and empty texts get no votes and no features, so the scorer's constant decides; rows that repeat
+Defined results: null and empty texts get no votes and no features, and are kept; rows that repeat
 an id are each judged; a null id is an id like any other; an empty table gives no rows; with no votes at all every text
 is kept; ties (a score of 0.5) are kept; other columns are not read.
 """
@@ -204,8 +204,11 @@ def judge(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     described = materialize(describe(docs, id_col, text_col), "features")
     seen = described.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()  # at most 3 ** labellers rows
     model = expectation_maximisation(seen["pattern"].to_numpy(np.int64), seen["n"].to_numpy(np.float64))
-    picked = described.orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(sample).toPandas()
-    held = picked[picked["keys"].map(len) > 0]
+    # a share of the hashes that holds somewhat fewer than `sample` documents, so that no task sends more than its part
+    share = 1.0 if seen["n"].sum() <= sample else 0.9 * sample / float(seen["n"].sum())
+    chosen = described.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    held = chosen.filter(F.size("keys") > 0).select(F.xxhash64("doc_id").alias("h"), "doc_id", "pattern", "keys", "values").toPandas()
+    held = held.sort_values(["h", "doc_id", "pattern"], kind="stable").head(sample)
     target = model.posterior(unpattern(held["pattern"].to_numpy(np.int64)))
     scorer = fit_scorer(list(held["keys"]), list(held["values"]), target)
     sent = docs.sparkSession.sparkContext.broadcast((model, scorer))
@@ -216,7 +219,8 @@ def judge(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
         def each(batch):
             v = unpattern(np.asarray(batch.column(1)))
             s = scorer(*([np.asarray(x.values, dtype=kind) for x in column] for column, kind in ((batch.column(2), np.int64), (batch.column(3), np.float64))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v.tolist(), pa.list_(pa.int32())), pa.array(model.posterior(v)), pa.array(s), pa.array(s >= KEEP)], ["doc_id", "votes", "posterior", "score", "keep"])
+            none = np.asarray(pa.compute.list_value_length(batch.column(2))) == 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v.tolist(), pa.list_(pa.int32())), pa.array(model.posterior(v)), pa.array(s), pa.array((s >= KEEP) | none)], ["doc_id", "votes", "posterior", "score", "keep"])
 
         return each
 
