@@ -7,6 +7,7 @@ from linelake.llm.hmm import op8_hmm_scoring
 from linelake.llm.jaccard import op3_ngram_jaccard_join
 from linelake.llm.license import op6_license_scan
 from linelake.llm.media import op10_media_columns
+from linelake.llm.oracle import ORACLE as ORACLE
 from linelake.llm.packing import op2_best_fit_packing
 from linelake.llm.quality import op1_quality_classifier
 from linelake.llm.recompress import op4_substring_dedup
@@ -26,4 +27,3 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE: dict[str, str] = {}
