@@ -177,7 +177,7 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _entries(docs: DataFrame, weight: np.ndarray, width: int, percent: int) -> DataFrame:
-    """key, doc_id: the columns that choose a document's blocks."""
+    """key, doc_id, n (its size): the columns that choose a document's blocks."""
     sent = docs.sparkSession.sparkContext.broadcast(weight)
 
     def make():
@@ -187,13 +187,15 @@ def _entries(docs: DataFrame, weight: np.ndarray, width: int, percent: int) -> D
 
         def each(batch):
             for part, data in slices(batch, 1):
-                keys = [prefix(s, heavy, percent) if len(s) else s for s in (shingle_set(x, words, width) for x in data)]
-                ids = np.repeat(np.asarray(part.column(0)), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids)], ["key", "doc_id"])
+                sets = [shingle_set(x, words, width) for x in data]
+                keys = [prefix(s, heavy, percent) if len(s) else s for s in sets]
+                times = [len(k) for k in keys]
+                ids, sizes = np.repeat(np.asarray(part.column(0)), times), np.repeat(np.array([len(s) for s in sets], np.int32), times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids), pa.array(sizes)], ["key", "doc_id", "n"])
 
         return each
 
-    return map_arrow(docs.filter("doc_id is not null"), make, "key long, doc_id long")
+    return map_arrow(docs.filter("doc_id is not null"), make, "key long, doc_id long, n int")
 
 
 def least_shared(n: np.ndarray, percent: int) -> np.ndarray:
@@ -205,52 +207,76 @@ def least_shared(n: np.ndarray, percent: int) -> np.ndarray:
     return np.maximum(need - rest, 1)
 
 
-def _survivors(held: DataFrame, percent: int) -> DataFrame:
-    """cell, doc_id of the documents that may link with another of their cell. held: cell, doc_id, key, n, m. Overlaps
-    of the first columns are accumulated in the cell; a pair whose columns lie in several of its cells (at most the
-    smaller m) has a fair share of the least overlap in one of them."""
-    dealt = held.repartition("cell").sortWithinPartitions("cell")
-
-    def judge(group):
-        cell, ids, keys, n, m = group
-        docs, doc = np.unique(ids, return_inverse=True)
-        if len(docs) < 2:
-            return None
-        size, cells = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
-        size[doc], cells[doc] = n, m
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        at = np.cumsum(np.append(0, k[1:] != k[:-1]))
-        shared = product(at, doc[order], len(docs), len(docs), True)
-        few = np.minimum(cells[:, None], cells[None, :])
-        may = (shared * few >= least_shared(size, percent)) & (np.minimum(size[:, None], size[None, :]) * 100 >= percent * np.maximum(size[:, None], size[None, :]))
-        np.fill_diagonal(may, False)
-        own = docs[may.any(1)]
-        return np.full(len(own), cell[0]), own
+PLACES = "cell long, doc_id long, n int, m int, keys binary"
+_NAMES = ["cell", "doc_id", "n", "m", "keys"]
+
+
+def _places(held: DataFrame) -> DataFrame:
+    """cell, doc_id, n, m, keys: a row for each cell of a document, with the document's columns there; m: how many
+    cells the document has. held: doc_id, n, key, cell."""
+
+    def make():
+        def each(batch):
+            out = []
+            for doc, n, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                cells, keys = (np.asarray(found.values.field(k)) for k in (0, 1))
+                order = np.lexsort((keys, cells))
+                cells, keys = cells[order], keys[order]
+                cuts = np.append(0, np.flatnonzero(np.diff(cells)) + 1)
+                out += [(int(cells[x]), doc, n, len(cuts), keys[x:y].tobytes()) for x, y in zip(cuts, np.append(cuts[1:], len(cells)))]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], _NAMES)
+
+        return each
+
+    by_doc = held.groupBy("doc_id", "n").agg(F.collect_list(F.struct("cell", "key")).alias("found"))
+    return map_arrow(by_doc, make, PLACES)
 
-    def run(batches):
-        left = None
-        for batch in batches:
-            now = [np.asarray(batch.column(i)) for i in range(5)]
-            if left is not None:
-                now = [np.concatenate(x) for x in zip(left, now)]
-            cuts = np.append(0, np.flatnonzero(np.diff(now[0])) + 1)
-            found = [judge([x[a:b] for x in now]) for a, b in zip(cuts[:-1], cuts[1:])]
-            left = [x[cuts[-1] :] for x in now]
-            yield from _rows([x for x in found if x])
-        if left is not None and len(left[0]):
-            yield from _rows([x for x in [judge(left)] if x])
 
-    return dealt.mapInArrow(run, "cell long, doc_id long")
+def survivors(rows: list[tuple], percent: int) -> list[int]:
+    """Numbers of the rows (cell, doc_id, n, m, keys) of a cell that may link with another. Overlaps of the first
+    columns are accumulated in the cell; a pair whose columns lie in several of its cells (at most the smaller m) has a
+    fair share of the least overlap in one of them."""
+    if len(rows) < 2:
+        return []
+    keys = [np.frombuffer(x[4], np.int64) for x in rows]
+    n, m = np.array([x[2] for x in rows], np.int64), np.array([x[3] for x in rows], np.int64)
+    at, doc = incidence(keys)
+    shared = product(at, doc, len(rows), len(rows), True)
+    may = (shared * np.minimum(m[:, None], m[None, :]) >= least_shared(n, percent)) & (np.minimum(n[:, None], n[None, :]) * 100 >= percent * np.maximum(n[:, None], n[None, :]))
+    np.fill_diagonal(may, False)
+    return np.flatnonzero(may.any(1)).tolist()
 
 
-def _rows(found: list):
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found]).astype(np.int64)) for k in (0, 1)], ["cell", "doc_id"])
+def _prune(places: DataFrame, percent: int) -> DataFrame:
+    """The places of documents that may link with another of their cell. Cells of more than PRODUCT documents pass."""
+    dealt = places.repartition("cell").sortWithinPartitions("cell", "doc_id")
+
+    def run(batches):
+        group, passing, cell = [], False, None
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if row[0] != cell:
+                    out += group if passing else [group[i] for i in survivors(group, percent)]
+                    group, passing, cell = [], False, row[0]
+                group.append(row)
+                if len(group) > PRODUCT:
+                    out, group, passing = out + group, [], True
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], _NAMES)
+        out = group if passing else [group[i] for i in survivors(group, percent)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], _NAMES)
+
+    return dealt.mapInArrow(run, PLACES)
 
 
 def _multiply(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """u, v: links in cells. rows: cell, block, within, role, doc_id, z."""
+    rows = rows.select("cell", "block", "crossed", "role", "doc_id", "z")
     dealt = rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "role", "doc_id")
 
     def run(batches):
@@ -282,8 +308,7 @@ def _sieve(ids: DataFrame) -> np.ndarray:
 
 
 def _compressed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and compressed text of the documents among ids. Tasks first leave out most others by a bit map, so that
-    few texts are shuffled; the join is exact."""
+    """doc_id and compressed text of the documents among ids and a few others: tasks leave out most by a bit map."""
     sent = docs.sparkSession.sparkContext.broadcast(_sieve(ids))
 
     def make():
@@ -298,7 +323,7 @@ def _compressed(docs: DataFrame, ids: DataFrame) -> DataFrame:
         return each
 
     marked = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("b"))
-    return map_arrow(marked, make, "doc_id long, z binary").join(ids, "doc_id", "left_semi")
+    return map_arrow(marked, make, "doc_id long, z binary")
 
 
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -316,52 +341,43 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     # cells
     entries = materialize(_entries(docs, weight, width, percent), "entries")
     shared = materialize(entries.groupBy("key").agg(F.min("doc_id").alias("cell"), F.max("doc_id").alias("last")).filter("cell < last").select("key", "cell"), "columns")
-    reps = known.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("n"))
-    held = materialize(entries.join(shared, "key"), "columns")
+    reps = known.filter("rep is not null").select("doc_id", "rep").distinct()
+    places = materialize(_places(entries.join(shared, "key")), "places")
     discard(entries)
-    held = materialize(held.join(reps, "doc_id").select("cell", F.col("rep").alias("doc_id"), "key", "n").distinct(), "incidence")
-    members = materialize(held.select("cell", "doc_id").distinct(), "members")
-    many = members.groupBy("doc_id").agg(F.count("*").alias("m"))
-    sizes = members.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1")
-    bounded = sizes.filter(F.col("size") <= PRODUCT).select("cell")
-    kept = _survivors(held.join(bounded, "cell").join(many, "doc_id").select("cell", "doc_id", "key", "n", "m"), percent)
-    kept = kept.unionByName(members.join(sizes.filter(F.col("size") > PRODUCT).select("cell"), "cell").select("cell", "doc_id"))
-    kept = materialize(kept, "kept")
-    cells = materialize(kept.join(kept.groupBy("cell").agg(F.count("*").alias("size")), "cell"), "cells")
+    places = _prune(places, percent)
+    kept = materialize(places.select("cell", "doc_id").join(reps, "doc_id").select("cell", F.col("rep").alias("doc_id")).distinct(), "kept")
+    sizes = kept.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1")
+    cells = materialize(kept.join(sizes, "cell"), "cells")
     texts = materialize(_compressed(docs, cells.select("doc_id").distinct()), "texts")
 
-    # cells of one block
-    small = cells.filter(F.col("size") <= block).join(texts, "doc_id")
-    flat = small.select("cell", F.lit(0).alias("block"), F.lit(False).alias("crossed"), F.lit(0).alias("role"), "doc_id", "z")
-    edges = materialize(_multiply(flat, width, percent), "links")
-
+    # cells of one block, and the first step of larger ones
+    small = cells.filter(F.col("size") <= block).select("cell", F.lit(0).alias("block"), F.lit(False).alias("crossed"), F.lit(0).alias("role"), "doc_id")
     large = cells.filter(F.col("size") > block)
+    centres = large.groupBy("cell", "size").agg(F.min("doc_id").alias("doc_id"))
+    part = F.pmod(F.xxhash64("doc_id", "cell"), F.ceil(F.col("size") / block)).cast("int")
+    spread = centres.withColumn("block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / block) - 1).cast("int"))))
+    first = spread.select("cell", "block", F.lit(True).alias("crossed"), F.lit(0).alias("role"), "doc_id").unionByName(large.select("cell", part.alias("block"), F.lit(True).alias("crossed"), F.lit(1).alias("role"), "doc_id"))
+    edges = materialize(_multiply(small.unionByName(first).join(texts, "doc_id"), width, percent), "links")
     if not large.isEmpty():
-        edges = edges.unionByName(_large(large, texts, reps, width, percent, block))
+        edges = edges.unionByName(_rest(large, centres.select("cell", F.col("doc_id").alias("centre")), edges, texts, width, percent, block))
     components = connected_components(edges)
     joined = known.join(components, known["rep"] == components["node"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def _large(large: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Links of cells of more than one block: first with each cell's centre, then the others block by block."""
-    part = F.pmod(F.xxhash64("doc_id", "cell"), F.ceil(F.col("size") / block)).cast("int")
-    centres = large.select("cell", "size").distinct().join(reps.withColumnRenamed("doc_id", "cell"), "cell").withColumnRenamed("rep", "doc_id")
-    spread = centres.withColumn("block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / block) - 1).cast("int"))))
-    first = spread.select("cell", "block", F.lit(True).alias("crossed"), F.lit(0).alias("role"), "doc_id").unionByName(large.select("cell", part.alias("block"), F.lit(True).alias("crossed"), F.lit(1).alias("role"), "doc_id"))
-    to_centre = materialize(_multiply(first.join(texts, "doc_id").select("cell", "block", "crossed", "role", "doc_id", "z"), width, percent), "links")
-    # which members of a cell are linked with its centre: those in one piece with it by these links
-    near = to_centre.unionByName(to_centre.select(F.col("v").alias("u"), F.col("u").alias("v"))).select(F.col("u").alias("centre"), F.col("v").alias("doc_id")).distinct()
-    one = centres.select("cell", F.col("doc_id").alias("centre"))
-    linked = large.join(one, "cell").join(near, ["centre", "doc_id"], "left_semi").select("cell", "doc_id", F.lit(1).alias("near"))
-    marked = large.join(one, "cell").join(linked, ["cell", "doc_id"], "left").select("cell", "doc_id", (F.col("near").isNotNull() | (F.col("doc_id") == F.col("centre"))).alias("near"))
+def _rest(large: DataFrame, centres: DataFrame, edges: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Links of large cells among the documents that are not linked with their cell's centre, and between these and
+    the others, block by block."""
+    near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).select(F.col("u").alias("centre"), F.col("v").alias("doc_id")).distinct()
+    members = large.join(centres, "cell").select("cell", "doc_id", "centre")
+    linked = members.join(near, ["centre", "doc_id"], "left_semi").select("cell", "doc_id", F.lit(True).alias("near"))
+    marked = members.join(linked, ["cell", "doc_id"], "left").select("cell", "doc_id", (F.col("near").isNotNull() | (F.col("doc_id") == F.col("centre"))).alias("near"))
     far = marked.filter("not near").groupBy("cell").agg(F.count("*").alias("n"))
     own = materialize(marked.join(far, "cell").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.when(~F.col("near"), F.pmod(F.xxhash64("doc_id", "cell"), F.col("blocks"))).cast("int")), "blocks")
     asks = own.filter("not near").select("cell", F.col("own").alias("block"), F.lit(False).alias("crossed"), F.lit(0).alias("role"), "doc_id")
     upto = F.when(F.col("near"), F.col("blocks")).otherwise(F.col("own"))  # blocks of smaller number see a far member
     told = own.filter(upto > 0).withColumn("block", F.explode(F.sequence(F.lit(0), (upto - 1).cast("int")))).select("cell", "block", F.lit(False).alias("crossed"), F.lit(1).alias("role"), "doc_id")
-    rest = materialize(_multiply(asks.unionByName(told).join(texts, "doc_id").select("cell", "block", "crossed", "role", "doc_id", "z"), width, percent), "links")
-    return to_centre.unionByName(rest)
+    return materialize(_multiply(asks.unionByName(told).join(texts.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id"), width, percent), "links")
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
