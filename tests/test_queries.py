@@ -1,10 +1,10 @@
 import pytest
 
-from linelake.plans import geometry_queries, relational_queries
+from linelake.plans import geometry_queries, line_queries, relational_queries
 from tests.compare import duck, same
 
-QUERIES = geometry_queries.QUERIES | relational_queries.QUERIES
-SQL = geometry_queries.SQL | relational_queries.SQL
+QUERIES = geometry_queries.QUERIES | relational_queries.QUERIES | line_queries.QUERIES
+SQL = geometry_queries.SQL | relational_queries.SQL | line_queries.SQL
 
 
 @pytest.fixture(scope="module")
