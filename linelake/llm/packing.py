@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import extended, map_arrow, slices, table
+from linelake.llm.common import MULT, extended, map_arrow, mix, slices, table
 
 CAPACITY = 2048
 SHARD = 50_000
@@ -130,6 +130,14 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
     return where, offset
 
 
+def in_turn(lengths: np.ndarray, ids: np.ndarray, piece: np.ndarray, capacity: int) -> np.ndarray:
+    """Order in which pieces are placed: those longer than a fifth of a sequence, longest first, then the others in a
+    scattered order."""
+    short = lengths <= capacity // 5
+    scattered = mix(ids.astype(np.uint64) * MULT + piece.astype(np.uint64))
+    return np.lexsort((piece, ids, np.where(short, scattered, np.uint64(0)), np.where(short, 0, -lengths), short))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """The pieces' columns with sequence_id and offset. The first five columns of encode_pieces are read, but ids."""
     pieces = pieces.select("doc_id", "piece", "start", "length", *[c for c in pieces.columns if c not in ("doc_id", "piece", "start", "length", "ids")])
@@ -138,7 +146,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     schema = extended(pieces.schema, sequence_id="long", offset="long")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        ids, piece = pdf["doc_id"].fillna(-1).to_numpy(np.int64), pdf["piece"].to_numpy(np.int64)
+        pdf = pdf.iloc[in_turn(pdf["length"].to_numpy(), ids, piece, capacity)]
         where, offset = place(pdf["length"].to_numpy(), capacity)
         out = pdf.drop(columns="_shard")
         return out.assign(sequence_id=where * shards + int(pdf["_shard"].iloc[0]), offset=offset)[schema.names]
