@@ -107,7 +107,7 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
 class WordHashes(dict):
     """Word (bytes) to a 64-bit name that is the same in every process. It forgets all above `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

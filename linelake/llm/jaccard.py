@@ -43,7 +43,7 @@ from linelake.llm.components import connected_components, forest
 WIDTH = 5
 PERCENT = 80
 BLOCK = 512
-COLUMNS = 4096
+COLUMNS = 2048
 PRODUCT = 4096  # documents of a cell whose first columns are multiplied in one task; larger cells go by blocks only
 
 BUCKETS = 1 << 20  # counters for the order of n-grams
@@ -80,16 +80,16 @@ def links(a: np.ndarray | int, b: np.ndarray | int, overlap: np.ndarray | int, p
     return (overlap * (100 + percent) >= percent * (a + b)) & (overlap > 0)
 
 
-def product(at: np.ndarray, doc: np.ndarray, rows: int, docs: int, square: bool) -> np.ndarray:
-    """A times its transpose, for an incidence of docs by columns given as (column, document) in column order; rows
-    of the first `rows` documents, columns of all (square) or of the others. By blocks of COLUMNS columns."""
-    out = np.zeros((rows, docs if square else docs - rows), np.float32)
+def product(at: np.ndarray, doc: np.ndarray, docs: int, rows: slice, cols: slice) -> np.ndarray:
+    """Rows and columns of A times its transpose, for an incidence of docs by columns given as (column, document) in
+    column order. By blocks of COLUMNS columns of A."""
+    out = np.zeros((rows.stop - rows.start, cols.stop - cols.start), np.float32)
     last = int(at[-1]) + 1 if len(at) else 0
     for lo in range(0, last, COLUMNS):
         a, b = np.searchsorted(at, (lo, lo + COLUMNS))
         block = np.zeros((docs, min(COLUMNS, last - lo)), np.float32)
         block[doc[a:b], at[a:b] - lo] = 1
-        out += block[:rows] @ (block if square else block[rows:]).T
+        out += block[rows] @ block[cols].T
     return out
 
 
@@ -110,7 +110,8 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     """The overlap of each set of rows with each of cols (the same list: with each other)."""
     square = rows is cols
     at, doc = incidence(rows if square else rows + cols)
-    return product(at, doc, len(rows), len(rows) if square else len(rows) + len(cols), square)
+    n = len(rows) if square else len(rows) + len(cols)
+    return product(at, doc, n, slice(0, len(rows)), slice(0 if square else len(rows), n))
 
 
 class Cell:
@@ -198,22 +199,21 @@ def _entries(docs: DataFrame, weight: np.ndarray, width: int, percent: int) -> D
     return map_arrow(docs.filter("doc_id is not null"), make, "key long, doc_id long, n int")
 
 
-def least_shared(n: np.ndarray, percent: int) -> np.ndarray:
-    """For sizes n (of a cell's documents): how many of the first columns each two must share to link. Columns behind
-    the earlier end of their two prefixes add no more than what follows the longer prefix."""
-    p = n - -(-percent * n // 100) + 1
-    need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
-    rest = np.maximum((n - p)[:, None], (n - p)[None, :])
-    return np.maximum(need - rest, 1)
+def least_shared(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """For sizes a and b of a cell's documents: how many of the first columns each two must share to link. Columns
+    behind the earlier end of their two prefixes add no more than what follows the longer prefix."""
+    after = lambda n: -(-percent * n // 100) - 1  # noqa: E731  columns that are not among the first
+    need = -(-percent * (a[:, None] + b[None, :]) // (100 + percent))
+    return np.maximum(need - np.maximum(after(a)[:, None], after(b)[None, :]), 1)
 
 
-PLACES = "cell long, doc_id long, n int, m int, keys binary"
-_NAMES = ["cell", "doc_id", "n", "m", "keys"]
+PLACES = "cell long, doc_id long, n int, m int, all int, keys binary"
+_NAMES = ["cell", "doc_id", "n", "m", "all", "keys"]
 
 
 def _places(held: DataFrame) -> DataFrame:
-    """cell, doc_id, n, m, keys: a row for each cell of a document, with the document's columns there; m: how many
-    cells the document has. held: doc_id, n, key, cell."""
+    """cell, doc_id, n, m, all, keys: a row for each cell of a document, with the document's columns there; m: how
+    many cells the document has; all: how many columns in all of them. held: doc_id, n, key, cell."""
 
     def make():
         def each(batch):
@@ -223,9 +223,9 @@ def _places(held: DataFrame) -> DataFrame:
                 order = np.lexsort((keys, cells))
                 cells, keys = cells[order], keys[order]
                 cuts = np.append(0, np.flatnonzero(np.diff(cells)) + 1)
-                out += [(int(cells[x]), doc, n, len(cuts), keys[x:y].tobytes()) for x, y in zip(cuts, np.append(cuts[1:], len(cells)))]
+                out += [(int(cells[x]), doc, n, len(cuts), len(cells), keys[x:y].tobytes()) for x, y in zip(cuts, np.append(cuts[1:], len(cells)))]
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], _NAMES)
 
         return each
@@ -235,18 +235,25 @@ def _places(held: DataFrame) -> DataFrame:
 
 
 def survivors(rows: list[tuple], percent: int) -> list[int]:
-    """Numbers of the rows (cell, doc_id, n, m, keys) of a cell that may link with another. Overlaps of the first
-    columns are accumulated in the cell; a pair whose columns lie in several of its cells (at most the smaller m) has a
-    fair share of the least overlap in one of them."""
+    """Numbers of the rows (cell, doc_id, n, m, all, keys) of a cell that may link with another. Overlaps of the first
+    columns are accumulated in the cell. A pair's other common columns lie in its other cells: they are at most as many
+    as either has there, and where the pair has several common cells (the smaller m at most), one of them holds a fair
+    share of all. The first bound keeps a linked pair in each of its cells, the second in one."""
     if len(rows) < 2:
         return []
-    keys = [np.frombuffer(x[4], np.int64) for x in rows]
-    n, m = np.array([x[2] for x in rows], np.int64), np.array([x[3] for x in rows], np.int64)
+    keys = [np.frombuffer(x[5], np.int64) for x in rows]
+    n, m, every = (np.array([x[k] for x in rows], np.int64) for k in (2, 3, 4))
+    elsewhere = every - np.array([len(k) for k in keys])
     at, doc = incidence(keys)
-    shared = product(at, doc, len(rows), len(rows), True)
-    may = (shared * np.minimum(m[:, None], m[None, :]) >= least_shared(n, percent)) & (np.minimum(n[:, None], n[None, :]) * 100 >= percent * np.maximum(n[:, None], n[None, :]))
-    np.fill_diagonal(may, False)
-    return np.flatnonzero(may.any(1)).tolist()
+    out = []
+    for lo in range(0, len(rows), BLOCK):
+        own = slice(lo, min(lo + BLOCK, len(rows)))
+        shared, need = product(at, doc, len(rows), own, slice(0, len(rows))), least_shared(n[own], n, percent)
+        may = (shared > 0) & (shared + np.minimum(elsewhere[own, None], elsewhere[None, :]) >= need) & (shared * np.minimum(m[own, None], m[None, :]) >= need)
+        may &= np.minimum(n[own, None], n[None, :]) * 100 >= percent * np.maximum(n[own, None], n[None, :])
+        may[np.arange(own.stop - lo), np.arange(lo, own.stop)] = False
+        out += (np.flatnonzero(may.any(1)) + lo).tolist()
+    return out
 
 
 def _prune(places: DataFrame, percent: int) -> DataFrame:
@@ -255,10 +262,10 @@ def _prune(places: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         group, passing, cell = [], False, None
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if row[0] != cell:
                     out += group if passing else [group[i] for i in survivors(group, percent)]
                     group, passing, cell = [], False, row[0]
