@@ -36,6 +36,7 @@ from linelake.llm.common import MULT, WordHashes, discard, extended, map_arrow,
 
 WINDOW = 20
 LEVELS = 16
+SLICE = 2 << 20  # bytes of text whose symbols are held at once
 COUNT_BITS = 16  # of a number of windows in a row
 START_BITS = 27  # of a place in its document: up to 134 million words; the rank of the document has the rest
 
@@ -110,7 +111,7 @@ def _anchor_places(docs: DataFrame, window: int) -> DataFrame:
         names = WordHashes()
 
         def each(batch):
-            for part, data in slices(batch, 1):
+            for part, data in slices(batch, 1, SLICE):
                 h, ends = _words(data, names)
                 p, name, place = anchors(h, ends, window)
                 if len(p):
@@ -132,7 +133,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
         names = WordHashes()
 
         def each(batch):
-            for part, data in slices(batch, 0):
+            for part, data in slices(batch, 0, SLICE):
                 h, ends = _words(data, names)
                 lists = part.column(2)
                 sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
