@@ -119,3 +119,34 @@ def approximate_neighbours(df: DataFrame, vector: str, key: str, radius: float,
     rows = df.select(F.col(key).alias("k"), array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
     model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", numHashTables=tables, bucketLength=bucket, seed=seed).fit(rows)
     return model.approxSimilarityJoin(rows, rows, radius, "distance").filter("datasetA.k < datasetB.k").select(F.col("datasetA.k").alias("u"), F.col("datasetB.k").alias("v"), "distance")
+
+
+def nearest_point(points: DataFrame, own: DataFrame, keys: list[str], tie: list[str]) -> DataFrame:
+    """The point of each group nearest to its (infinite) line, and its distance; ties by `tie`."""
+    d = G.point_to_line(G.start(), G.end(), G.Vec.of("x", "y", "z"))
+    return points.join(own, keys).groupBy(*keys).agg(F.min(F.struct(d.alias("distance"), *tie)).alias("p")).select(*keys, "p.*")
+
+
+def mean_distance(points: DataFrame, own: DataFrame, keys: list[str], missing: float = 1e9) -> DataFrame:
+    """rating: the mean distance of a line's points (NaN points left out); lines without points get `missing`."""
+    d = G.point_to_line(G.start(), G.end(), G.Vec.of("x", "y", "z"))
+    seen = points.join(own, keys).filter(~F.isnan("x") & ~F.isnan("y") & ~F.isnan("z")).groupBy(*keys).agg(F.avg(d).alias("rating"))
+    return own.join(seen, keys, "left").select(*keys, F.coalesce("rating", F.lit(missing)).alias("rating"))
+
+
+def gaps(pairs: DataFrame, keys: list[str], distance: str, least: float) -> DataFrame:
+    """parts: one more than the gaps of at least `least` between neighbours in the order of a group's distances."""
+    step = F.col(distance) - F.lag(distance).over(W.partitionBy(*keys).orderBy(distance))
+    return pairs.withColumn("_s", step).groupBy(*keys).agg((F.count_if(F.col("_s") >= least) + 1).alias("parts"))
+
+
+def fused_pair(a1: G.Vec, b1: G.Vec, a2: G.Vec, b2: G.Vec) -> tuple[G.Vec, G.Vec]:
+    """One segment along the first: from the least to the greatest projection of all four ends."""
+    d = (b1 - a1).unit()
+    t = [(p - a1).dot(d) for p in (a1, b1, a2, b2)]
+    return a1 + d * F.least(*t), a1 + d * F.greatest(*t)
+
+
+def discontinuity_end(a: G.Vec, b: G.Vec, plane: tuple[G.Vec, Column], camera_ray: G.Vec) -> G.Vec:
+    """Where the ray from the camera at the origin meets the plane; the line's start if they are parallel."""
+    return G.plane_meets_line(plane, G.Vec.of(0.0, 0.0, 0.0), camera_ray).when(F.abs(plane[0].dot(camera_ray)) > 1e-9, a)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
-from linelake.operators import clustering, lines, planes
-from linelake.plans.carriers import LINE, PID, POINT, Carriers
+from linelake.operators import clustering, lines, pixels, planes
+from linelake.plans.carriers import LINE, PAIR, PID, POINT, PX, Carriers
 from linelake.plans.geometry_queries import cross, dot, norm, sub, times, vec
 
 QUERIES: dict = {}
@@ -154,3 +154,47 @@ def _(c):
 def _(c):
     names = [f"d{i}" for i in range(16)]
     return clustering.kmeans(c.line.select("line_id", *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(names)]), names, 8).select("line_id", "cluster")
+
+
+@query("nearest_point", f"{_near} SELECT frame_id, line_id, floor(min(far) * 1e6 + 0.5)::BIGINT AS distance FROM d GROUP BY ALL")
+def _(c):
+    points, own = _beside(c)
+    return lines.nearest_point(points, own, ["frame_id", "line_id"], ["x", "y", "z"]).select("frame_id", "line_id", F.floor(F.col("distance") * 1e6 + 0.5).cast("long").alias("distance"))
+
+
+@query("mean_distance", f"{_near}, g AS (SELECT line_id, avg(far) AS r FROM d GROUP BY ALL) SELECT line_id, round(coalesce(r, 1e9), 5) AS rating FROM v_line LEFT JOIN g USING (line_id)")
+def _(c):
+    return lines.mean_distance(*_beside(c), ["frame_id", "line_id"]).select("line_id", F.round("rating", 5).alias("rating"))
+
+
+@query("distance_gaps", f"WITH {LINE}, p AS (SELECT a.frame_id, abs(a.sx - b.sx) AS d FROM v_line a JOIN v_line b ON a.frame_id = b.frame_id AND a.line_id < b.line_id), s AS (SELECT frame_id, d - lag(d) OVER (PARTITION BY frame_id ORDER BY d) AS s FROM p) SELECT frame_id, count_if(s >= 0.01) + 1 AS parts FROM s GROUP BY ALL")
+def _(c):
+    return lines.gaps(c.pair.select("frame_id", F.abs(F.col("asx") - F.col("bsx")).alias("d")), ["frame_id"], "d", 0.01)
+
+
+def _fused() -> str:
+    d = f"{norm(sub(vec('ae'), vec('as')))}"
+    u = ", ".join(f"(ae{c} - as{c}) / {d} AS d{c}" for c in "xyz")
+    t = [dot(sub(vec(p), vec("as")), vec("d")) for p in ("as", "ae", "bs", "be")]
+    return f"WITH {PAIR}, t AS (SELECT *, {u} FROM v_pair), w AS (SELECT *, least({', '.join(t)}) AS low, greatest({', '.join(t)}) AS high FROM t) SELECT id1, id2, " + ", ".join(f"as{c} + d{c} * {k} AS {p}{c}" for p, k in (("s", "low"), ("e", "high")) for c in "xyz") + " FROM w"
+
+
+@query("fused_pairs", _fused())
+def _(c):
+    a, b = lines.fused_pair(G.start("a"), G.end("a"), G.start("b"), G.end("b"))
+    return c.pair.select("id1", "id2", *a.aliased("sx", "sy", "sz"), *b.aliased("ex", "ey", "ez"))
+
+
+@query("side_colours", f"WITH {PX}, {POINT}, j AS (SELECT l.line_id, (p.u + p.v) % 2 AS side, p.class_id * 30 AS r, p.instance AS g FROM v_px l JOIN v_point p ON p.frame_id = l.frame_id AND p.u BETWEEN 100 AND 110) SELECT line_id, side, floor(sum(r) / count(*))::INT AS r, floor(sum(g) / count(*))::INT AS g FROM j GROUP BY ALL")
+def _(c):
+    here = c.px.select("frame_id", "line_id").join(c.point.filter(F.col("u").between(100, 110)).select("frame_id", "u", "v").distinct(), "frame_id").withColumn("side", (F.col("u") + F.col("v")) % 2)
+    image = c.point.select("frame_id", "u", "v", (F.col("class_id") * 30).alias("r"), F.col("instance").alias("g"), F.lit(0).alias("b"))
+    return pixels.mean_colour(here, image, ["line_id"]).drop("b")
+
+
+@query("labelled_inliers", f"WITH {POINT}, q AS (SELECT frame_id, u, v, z FROM v_point WHERE abs(z - 20) <= 5), n AS (SELECT DISTINCT frame_id, u, v, instance FROM v_point) SELECT frame_id, instance, count(*) AS n FROM q JOIN n USING (frame_id, u, v) GROUP BY ALL")
+def _(c):
+    points = c.point.select("frame_id", F.lit(0).alias("line_id"), F.lit(0).alias("side"), "u", "v", F.col("u").cast("double").alias("x"), F.col("v").cast("double").alias("y"), "z")
+    plane = c.spark.createDataFrame([(0, 0, 0.0, 0.0, 1.0, -20.0)], "line_id int, side int, a double, b double, c double, d double")
+    found = pixels.labelled_inliers(points, plane, c.point.select("frame_id", "u", "v", "instance").distinct(), ["line_id"], 5.0)
+    return found.groupBy("frame_id", "instance").agg(F.count("*").alias("n"))
