@@ -351,11 +351,11 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     reps = known.filter("rep is not null").select("doc_id", "rep").distinct()
     places = materialize(_places(entries.join(shared, "key")), "places")
     discard(entries)
-    places = _prune(places, percent)
-    kept = materialize(places.select("cell", "doc_id").join(reps, "doc_id").select("cell", F.col("rep").alias("doc_id")).distinct(), "kept")
+    kept = materialize(_prune(places, percent).select("cell", "doc_id").join(reps, "doc_id").select("cell", F.col("rep").alias("doc_id")).distinct(), "kept")
     sizes = kept.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1")
     cells = materialize(kept.join(sizes, "cell"), "cells")
-    texts = materialize(_compressed(docs, cells.select("doc_id").distinct()), "texts")
+    discard(places)
+    texts = _compressed(docs, cells.select("doc_id").distinct())
 
     # cells of one block, and the first step of larger ones
     small = cells.filter(F.col("size") <= block).select("cell", F.lit(0).alias("block"), F.lit(False).alias("crossed"), F.lit(0).alias("role"), "doc_id")
@@ -366,13 +366,13 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     first = spread.select("cell", "block", F.lit(True).alias("crossed"), F.lit(0).alias("role"), "doc_id").unionByName(large.select("cell", part.alias("block"), F.lit(True).alias("crossed"), F.lit(1).alias("role"), "doc_id"))
     edges = materialize(_multiply(small.unionByName(first).join(texts, "doc_id"), width, percent), "links")
     if not large.isEmpty():
-        edges = edges.unionByName(_rest(large, centres.select("cell", F.col("doc_id").alias("centre")), edges, texts, width, percent, block))
+        edges = edges.unionByName(_rest(large, centres.select("cell", F.col("doc_id").alias("centre")), edges, docs, width, percent, block))
     components = connected_components(edges)
     joined = known.join(components, known["rep"] == components["node"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def _rest(large: DataFrame, centres: DataFrame, edges: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+def _rest(large: DataFrame, centres: DataFrame, edges: DataFrame, docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Links of large cells among the documents that are not linked with their cell's centre, and between these and
     the others, block by block."""
     near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).select(F.col("u").alias("centre"), F.col("v").alias("doc_id")).distinct()
@@ -384,7 +384,7 @@ def _rest(large: DataFrame, centres: DataFrame, edges: DataFrame, texts: DataFra
     asks = own.filter("not near").select("cell", F.col("own").alias("block"), F.lit(False).alias("crossed"), F.lit(0).alias("role"), "doc_id")
     upto = F.when(F.col("near"), F.col("blocks")).otherwise(F.col("own"))  # blocks of smaller number see a far member
     told = own.filter(upto > 0).withColumn("block", F.explode(F.sequence(F.lit(0), (upto - 1).cast("int")))).select("cell", "block", F.lit(False).alias("crossed"), F.lit(1).alias("role"), "doc_id")
-    return materialize(_multiply(asks.unionByName(told).join(texts.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id"), width, percent), "links")
+    return materialize(_multiply(asks.unionByName(told).join(_compressed(docs, own.select("doc_id").distinct()), "doc_id"), width, percent), "links")
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
