@@ -141,19 +141,21 @@ def in_turn(lengths: np.ndarray, ids: np.ndarray, piece: np.ndarray, capacity: i
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """The pieces' columns with sequence_id and offset. The first five columns of encode_pieces are read, but ids."""
     pieces = pieces.select("doc_id", "piece", "start", "length", *[c for c in pieces.columns if c not in ("doc_id", "piece", "start", "length", "ids")])
+    columns = [*pieces.columns, "sequence_id", "offset"]
+    pieces = pieces.withColumn("_null", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))  # pandas would round ids beside nulls
     n = pieces.count()
     shards = max(1, -(-n // shard))
     schema = extended(pieces.schema, sequence_id="long", offset="long")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, piece = pdf["doc_id"].fillna(-1).to_numpy(np.int64), pdf["piece"].to_numpy(np.int64)
+        ids, piece = pdf["doc_id"].to_numpy(np.int64), pdf["piece"].to_numpy(np.int64)
         pdf = pdf.iloc[in_turn(pdf["length"].to_numpy(), ids, piece, capacity)]
         where, offset = place(pdf["length"].to_numpy(), capacity)
         out = pdf.drop(columns="_shard")
         return out.assign(sequence_id=where * shards + int(pdf["_shard"].iloc[0]), offset=offset)[schema.names]
 
     dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    return dealt.groupBy("_shard").applyInPandas(one, schema)
+    return dealt.groupBy("_shard").applyInPandas(one, schema).withColumn("doc_id", F.when(~F.col("_null"), F.col("doc_id"))).select(*columns)
 
 
 def sequences(pieces: DataFrame, packed: DataFrame) -> DataFrame:

@@ -200,6 +200,8 @@ def test_packing(docs):
     for _, own in seqs:
         assert (own["offset"].to_numpy() == np.append(0, np.cumsum(own["length"])[:-1])).all() and own["length"].sum() <= 256
     assert packing.pack(pieces.limit(0)).count() == 0
+    wide = pieces.limit(3).withColumn("doc_id", F.when(F.col("piece") >= 0, F.lit(2**60 + 1)))
+    assert {x.doc_id for x in packing.pack(wide.unionByName(wide.withColumn("doc_id", F.lit(None).cast("long"))), 256).collect()} == {2**60 + 1, None}
 
 
 def test_packed_ids_are_the_documents(docs):
