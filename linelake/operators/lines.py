@@ -150,3 +150,22 @@ def fused_pair(a1: G.Vec, b1: G.Vec, a2: G.Vec, b2: G.Vec) -> tuple[G.Vec, G.Vec
 def discontinuity_end(a: G.Vec, b: G.Vec, plane: tuple[G.Vec, Column], camera_ray: G.Vec) -> G.Vec:
     """Where the ray from the camera at the origin meets the plane; the line's start if they are parallel."""
     return G.plane_meets_line(plane, G.Vec.of(0.0, 0.0, 0.0), camera_ray).when(F.abs(plane[0].dot(camera_ray)) > 1e-9, a)
+
+
+def segment_distances(pairs: DataFrame, first: str = "a", second: str = "b", name: str = "distance") -> DataFrame:
+    """pairs with the shortest distance of two segments, as geometry.segment_distance, worked out from the scalar
+    products of their directions u, v and of w between their starts, each of them computed once."""
+    a, b = G.start(first), G.start(second)
+    u, v, w = G.end(first) - a, G.end(second) - b, a - b
+    dots = {"_uu": u.dot(u), "_uv": u.dot(v), "_vv": v.dot(v), "_uw": u.dot(w), "_vw": v.dot(w), "_ww": w.dot(w)}
+    uu, uv, vv, uw, vw, ww = (F.col(k) for k in dots)
+    df = pairs.withColumns(dots)
+    df = df.withColumn("_det", uu * vv - uv * uv)
+    df = df.withColumns({"_s": G.div(uv * vw - vv * uw, F.col("_det")), "_t": G.div(uu * vw - uv * uw, F.col("_det"))})
+    df = df.withColumns({"_k0": G.clamp(G.div(vw, vv), 0.0, 1.0), "_k1": G.clamp(G.div(vw + uv, vv), 0.0, 1.0), "_k2": G.clamp(G.div(-uw, uu), 0.0, 1.0), "_k3": G.clamp(G.div(uv - uw, uu), 0.0, 1.0)})
+    s, t, k0, k1, k2, k3 = (F.col(k) for k in ("_s", "_t", "_k0", "_k1", "_k2", "_k3"))
+    ends = F.least(ww - 2 * k0 * vw + k0 * k0 * vv, ww + 2 * uw + uu - 2 * k1 * (vw + uv) + k1 * k1 * vv, ww + 2 * k2 * uw + k2 * k2 * uu, vv - 2 * vw + ww - 2 * k3 * (uv - uw) + k3 * k3 * uu)
+    gap = ww + s * s * uu + t * t * vv + 2 * s * uw - 2 * t * vw - 2 * s * t * uv
+    inner = (F.col("_det") > 1e-12) & (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
+    d = F.sqrt(F.greatest(F.when(inner, gap).otherwise(ends), F.lit(0.0)))
+    return df.select(*pairs.columns, F.when((uu == 0) | (vv == 0), F.lit(float("nan"))).otherwise(d).alias(name))

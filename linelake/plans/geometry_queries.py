@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from linelake.functions import geometry as G
 from linelake.functions import vectors as V
 from linelake.operators.cameras import virtual_camera_origins
+from linelake.operators.lines import segment_distances
 from linelake.plans.carriers import LINE, PAIR, PX, PX_PAIR, Carriers
 
 QUERIES: dict = {}
@@ -267,7 +268,7 @@ def _segment_sql() -> str:
 
 @query("dist_segments", _segment_sql())
 def _(c):
-    return c.pair.select("id1", "id2", micro(G.segment_distance(G.start("a"), G.end("a"), G.start("b"), G.end("b"))).alias("d"))
+    return segment_distances(c.pair).select("id1", "id2", micro(F.col("distance")).alias("d"))
 
 
 @query("similar_length", f"WITH {PAIR} SELECT id1, id2 FROM v_pair WHERE NOT ({norm(sub(B1, A1))} / {norm(sub(B2, A2))} > 1.5 OR {norm(sub(B2, A2))} / {norm(sub(B1, A1))} > 1.5)")

@@ -127,3 +127,12 @@ def test_lines_are_lifted_from_a_roof(spark):
     line = spark.createDataFrame([(0, 1, 160.0, 100.0, 160.0, 200.0)], "frame_id int, line_id int, x0 double, y0 double, x1 double, y1 double")
     for r in (pixels.lifted_ends(line, cloud, ["line_id"]).first(), pixels.lifted(line, cloud, 320, 240).first()):
         assert (r.sx, r.sy, r.sz, r.ex, r.ey, r.ez) == pytest.approx((1, 1.6, 1.6, 2, 1.6, 1.6), abs=1e-5)
+
+
+def test_segment_distances_agree(spark, sf):
+    from linelake.functions import geometry as G
+    from linelake.operators.lines import segment_distances
+    from linelake.plans.carriers import Carriers
+
+    df = segment_distances(Carriers(spark, sf).pair.limit(500)).withColumn("other", G.segment_distance(G.start("a"), G.end("a"), G.start("b"), G.end("b")))
+    assert df.agg(F.max(F.abs(F.col("distance") - F.col("other")))).first()[0] < 1e-9
