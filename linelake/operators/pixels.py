@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,17 @@ def strip_pixels(lines: DataFrame, keys: list[str], width: int, height: int, off
     """keys, side (0 right, 1 left), u, v of the pixels in the strips beside each 2-D line. A pixel is in a strip when
     its centre is."""
     line = ("x0", "y0", "x1", "y1")
-    box = lambda a, b, hi: F.sequence(F.floor(F.greatest(F.least(a, b) - most - 1, F.lit(0.0))).cast("int"), F.floor(F.least(F.greatest(a, b) + most + 1, F.lit(float(hi - 1)))).cast("int"))
     x0, y0, x1, y1 = map(F.col, line)
-    ok = lines.filter((F.greatest(x0, x1) >= 0) & (F.least(x0, x1) < width) & (F.greatest(y0, y1) >= 0) & (F.least(y0, y1) < height))
-    cells = ok.withColumn("u", F.explode(box(x0, x1, width))).withColumn("v", F.explode(box(y0, y1, height)))
+    flat = F.abs(x1 - x0) >= F.abs(y1 - y0)  # walk along the longer side, and look a strip's width to either side of it
+    p0, p1, q0, q1 = F.when(flat, x0).otherwise(y0), F.when(flat, x1).otherwise(y1), F.when(flat, y0).otherwise(x0), F.when(flat, y1).otherwise(x1)
+    across = math.ceil((most + offset) * math.sqrt(2)) + 1
+    ok = lines.filter((F.greatest(x0, x1) >= 0) & (F.least(x0, x1) < width) & (F.greatest(y0, y1) >= 0) & (F.least(y0, y1) < height) & (p0 != p1))
+    low, high = F.greatest(F.least(p0, p1) - most - 1, F.lit(0.0)), F.least(F.greatest(p0, p1) + most + 1, F.when(flat, float(width - 1)).otherwise(float(height - 1)))
+    along = ok.withColumn("_k", F.explode(F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int"))))
+    middle = F.floor(q0 + (F.col("_k") - p0) * F.try_divide(q1 - q0, p1 - p0)).cast("int")
+    near = along.withColumn("_j", F.explode(F.sequence(middle - across, middle + across + 1)))
+    cells = near.withColumn("u", F.when(flat, F.col("_k")).otherwise(F.col("_j"))).withColumn("v", F.when(flat, F.col("_j")).otherwise(F.col("_k")))
+    cells = cells.filter((F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
     d, p = G.Vec.of(*line[2:]) - G.Vec.of(*line[:2]), G.Vec((F.col("u").cast("double"), F.col("v").cast("double"))) - G.Vec.of(*line[:2])
     n = d.norm()
     t, off = G.div(p.dot(d), n * n), G.div(p.c[1] * d.c[0] - p.c[0] * d.c[1], n)
