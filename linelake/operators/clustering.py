@@ -65,19 +65,33 @@ def scaled_by_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(means)).select(*[c for c in df.columns if c not in columns], *[F.when(F.col(f"_{c}") == 0, F.col(c)).otherwise(F.try_divide(F.col(c), f"_{c}")).alias(c) for c in columns])
 
 
-def kmedoids(distances: DataFrame, k: int, most_rounds: int = 50) -> DataFrame:
-    """id, medoid. distances: id1, id2, d, both directions and the diagonal. Starts from the k smallest ids; ties go to
-    the smaller id."""
-    ids = [r[0] for r in distances.select("id1").distinct().orderBy("id1").limit(k).collect()]  # k rows
-    for _ in range(most_rounds):
-        near = distances.filter(F.col("id2").isin(ids)).groupBy(F.col("id1").alias("id")).agg(F.min_by("id2", F.struct("d", "id2")).alias("medoid"))
-        inside = distances.join(near.withColumnsRenamed({"id": "id1", "medoid": "m"}), "id1").join(near.withColumnsRenamed({"id": "id2", "medoid": "m2"}), "id2").filter("m = m2")
-        cost = inside.groupBy("m", "id1").agg(F.sum("d").alias("cost"))
-        new = sorted(r["new"] for r in cost.groupBy("m").agg(F.min_by("id1", F.struct("cost", "id1")).alias("new")).collect())  # k rows
-        if new == sorted(ids):
-            break
-        ids = new
-    return distances.filter(F.col("id2").isin(ids)).groupBy(F.col("id1").alias("id")).agg(F.min_by("id2", F.struct("d", "id2")).alias("medoid"))
+def kmedoids(distances: DataFrame, keys: list[str], k: int, most_rounds: int = 50) -> DataFrame:
+    """keys, id, medoid: k medoids of each group (the lines of a frame, whose distance matrix fits in memory).
+    distances: keys, id1, id2, d, both directions and the diagonal. Starts from the k smallest ids; ties go to the
+    smaller id; a group of no more than k lines has each as its own medoid."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(pdf[["id1", "id2"]].to_numpy(), return_inverse=True)
+        at = at.reshape(-1, 2)
+        d = np.full((len(ids), len(ids)), np.inf)
+        d[at[:, 0], at[:, 1]] = pdf["d"].to_numpy(float)
+        medoids = np.arange(min(k, len(ids)))
+        for _ in range(most_rounds):
+            own = medoids[np.argmin(d[:, medoids], axis=1)]
+            cost = np.where(own[:, None] == own, d, 0.0).sum(1)
+            new = np.array([min(np.flatnonzero(own == m), key=lambda i: (cost[i], i)) for m in np.unique(own)])
+            new.sort()
+            if np.array_equal(new, medoids):
+                break
+            medoids = new
+        out = pd.DataFrame({"id": ids, "medoid": ids[medoids[np.argmin(d[:, medoids], axis=1)]]})
+        for c in reversed(keys):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    kind = distances.schema["id1"].dataType.simpleString()
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in distances.select(*keys).schema), f"id {kind}, medoid {kind}"])
+    return distances.groupBy(*keys).applyInPandas(one, schema)
 
 
 def mean_shift(df: DataFrame, keys: list[str], coordinates: list[str], weight: str, radius: float = 1.7, shifts: int = 20) -> DataFrame:

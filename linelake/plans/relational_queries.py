@@ -383,9 +383,8 @@ def _(c):
 
 @query("kmedoids")
 def _(c):
-    few = c.line.filter("scene_id = 0")
-    a, b = few.select(F.col("line_id").alias("id1"), F.col("sx").alias("x")), few.select(F.col("line_id").alias("id2"), F.col("sx").alias("y"))
-    return clustering.kmedoids(a.join(F.broadcast(b), F.abs(F.col("x") - F.col("y")) <= 2).select("id1", "id2", F.abs(F.col("x") - F.col("y")).alias("d")), 3)
+    a, b = c.line.select("frame_id", F.col("line_id").alias("id1"), F.col("sx").alias("x")), c.line.select("frame_id", F.col("line_id").alias("id2"), F.col("sx").alias("y"))
+    return clustering.kmedoids(a.join(b, "frame_id").select("frame_id", "id1", "id2", F.abs(F.col("x") - F.col("y")).alias("d")), ["frame_id"], 3).select("id", "medoid")
 
 
 @query("mean_shift")
