@@ -38,9 +38,15 @@ def fit_planes(points: DataFrame, keys: list[str]) -> DataFrame:
     return total.mapInPandas(solve, schema)
 
 
-def ransac(points: DataFrame, keys: list[str], rounds: int = 300, inlier: float = 0.005, least: int = 10, seed: int = 1) -> DataFrame:
+def ransac(points: DataFrame, keys: list[str], rounds: int = 300, inlier: float = 0.005, least: int = 10, seed: int = 1, first: float = 0.1, gap: float | None = None) -> DataFrame:
     """points of each group (those beside one side of a line) that lie on the plane through three of them with the most
-    inliers; groups with fewer than `least` inliers give none. Stops early above 80 % of the points."""
+    inliers, of the planes with at least `least`; a group without such a plane gives none. With a `gap` (0.05 in the
+    reference) only planes count whose inliers are connected around their mean, as in votes.connected_around_mean;
+    without it any do. Stops early above 80 % of the points."""
+
+    def connected(p: np.ndarray) -> bool:
+        far = np.sort(np.linalg.norm(p - p.mean(0), axis=1))
+        return gap is None or bool(far[0] <= first and (np.diff(far) <= gap).all())
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf[["x", "y", "z"]].to_numpy(float)
@@ -52,11 +58,11 @@ def ransac(points: DataFrame, keys: list[str], rounds: int = 300, inlier: float
             if size < 1e-12:
                 continue
             inside = np.abs((p - a) @ (n / size)) < inlier
-            if inside.sum() > best.sum():
+            if inside.sum() > best.sum() and inside.sum() >= least and connected(p[inside]):
                 best = inside
                 if best.sum() > 0.8 * len(p):
                     break
-        return pdf[best] if best.sum() >= least else pdf[:0]
+        return pdf[best]
 
     return points.groupBy(*keys).applyInPandas(one, points.schema)
 

@@ -269,7 +269,7 @@ def _(c):
 @query("ransac")
 def _(c):
     p = c.point.select("frame_id", (F.col("u") / 320).alias("x"), (F.col("v") / 240).alias("y"), F.when(F.col("class_id") < 5, 0.0).otherwise(F.col("z")).alias("z"))
-    return planes.ransac(p, ["frame_id"]).groupBy("frame_id").agg(F.count("*").alias("n"))
+    return planes.ransac(p, ["frame_id"], gap=0.05).groupBy("frame_id").agg(F.count("*").alias("n"))
 
 
 @query("line_types", f"WITH {LINE} SELECT line_id, CASE WHEN label < 2 AND class_id < 1 THEN NULL WHEN (label >= 2) <> (label >= 4) THEN 0 WHEN abs(ex) > 0.1 THEN 0 WHEN abs(sx) > 0.95 THEN 1 WHEN label < 2 THEN NULL ELSE 2 END::INT AS kind FROM v_line")

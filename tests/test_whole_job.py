@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 
+from linelake.operators import planes
 from linelake.plans import relational_queries
 
 
@@ -30,3 +31,14 @@ def test_kmedoids_clusters_every_line(spark, tmp_path):
     for frame in range(0, 227, 25):
         want |= {frame + i: frame + m for i, m in enumerate(medoids_by_force(vectors[frame : frame + 25, 0].tolist(), 3))}
     assert got == want
+
+
+def test_ransac_takes_no_patches_across_a_gap(spark):
+    grid = [(x * 0.02, y * 0.02) for x in range(5) for y in range(5)]
+    apart = [(x + s, y, 0.0) for s in (0.0, 1.0) for x, y in grid]  # 50 points in two patches on z = 0
+    whole = [(x * 0.02, 3.0, 1.0 + z * 0.02) for x in range(6) for z in range(5)]  # 30 points in one patch on y = 3
+    df = spark.createDataFrame([(k, *p) for k, own in ((0, apart + whole), (1, apart), (2, whole)) for p in own], "k int, x double, y double, z double")
+    got = planes.ransac(df, ["k"], gap=0.05).collect()
+    assert {tuple(r)[1:] for r in got if r.k == 0} == set(whole)
+    assert not [r for r in got if r.k == 1]
+    assert {tuple(r)[1:] for r in got if r.k == 2} == set(whole)
