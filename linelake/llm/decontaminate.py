@@ -6,15 +6,16 @@ left out. Every suffix of every item is then binary-searched in every shard: eac
 suffixes that agree with it, down to the longest verbatim match and all its places.
 
 The benchmark reaches the tasks by broadcast, in blocks of at most BLOCK_BYTES of text; a larger benchmark takes one
-pass over the documents per block, and the passes' spans are merged by document. Documents are shuffled only then.
+pass over the documents per block. The documents then get row numbers in a stored table, and the passes' results, not
+the texts, are shuffled and merged by these numbers.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A window is `width` consecutive
 words of an item; an item of fewer words, but not none, is one window.
 
 Defined results: null or empty texts have no words, no windows and no hits; an item id of null is the empty string;
 items of equal id count once; an empty benchmark hits nothing; no documents give no rows; of equally long matches the
-first item (by id as string), then the first place is reported; repeated documents are judged each (merged by id only
-when the benchmark needs several blocks); other columns are not read.
+first item (by id as string), then the first place is reported; repeated documents and those of null id are judged each,
+whatever the size of the benchmark; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import alnum_words, map_arrow, slices, table
+from linelake.llm.common import alnum_words, map_arrow, materialize, slices, table
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20
@@ -35,6 +36,8 @@ SHARD_BYTES = 8 << 20
 
 RESULT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, longest long, longest_item string, longest_at long"
 
+NUMBERED = "row long, " + RESULT
+
 
 @dataclass
 class Tests:
@@ -179,22 +182,25 @@ def judge(texts: list[bytes], t: Tests) -> list[tuple]:
 
 
 def _pass(docs: DataFrame, t: Tests) -> DataFrame:
+    """docs: row (if they are numbered), doc_id, text."""
     block = docs.sparkSession.sparkContext.broadcast(t)
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.string(), pa.int64())
-    names = ["doc_id", "n_words", "n_hit", "items", "spans", "longest", "longest_item", "longest_at"]
+    own = docs.columns[:-1]
+    names = [*own, "n_words", "n_hit", "items", "spans", "longest", "longest_item", "longest_at"]
 
     def make():
         def each(batch):
-            for part, data in slices(batch, 1, SHARD_BYTES):
+            for part, data in slices(batch, len(own), SHARD_BYTES):
                 rows = judge(data, block.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *(pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))], names)
 
         return each
 
-    return map_arrow(docs, make, RESULT)
+    return map_arrow(docs, make, NUMBERED if "row" in own else RESULT)
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The passes' results of one document."""
     covered = np.zeros(int(pdf["n_words"].max()), bool)
     for own in pdf["spans"]:
         for x in own:
@@ -202,7 +208,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     best = min(zip(-pdf["longest"], pdf["longest_item"].fillna(""), pdf["longest_at"].fillna(-1)))
     items = sorted({x for own in pdf["items"] for x in own})
     row = (pdf["doc_id"].iloc[0], len(covered), int(covered.sum()), items, spans(covered), -best[0], best[1] if items else None, best[2] if items else None)
-    return pd.DataFrame([row], columns=pdf.columns)
+    return pd.DataFrame([row], columns=pdf.columns[1:])
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -212,6 +218,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_c
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_bytes) if total > block_bytes else 1)
+    if blocks > 1:
+        docs = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "documents")
     passes = []
     for b in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
@@ -221,7 +229,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_c
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
-    return every.groupBy("doc_id").applyInPandas(_merge, RESULT)
+    return every.groupBy("row").applyInPandas(_merge, RESULT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
