@@ -1,12 +1,13 @@
 """WARC archives as a chunked record table.
 
-An archive is a table of chunks: archive, record (the page's id), chunk (from 0), chunks (of the record), data,
-prefix_sha1. The data of an archive's chunks in the order of (record, chunk) is a valid WARC 1.1 file; export_warc()
+An archive is a table of chunks: archive, number (of the record in its archive, from 0), record (the page's id), chunk
+(from 0), chunks (of the record), data, prefix_sha1. Ids may repeat or be null, numbers don't. The data of an archive's
+chunks in the order of (number, chunk) is a valid WARC 1.1 file; export_warc()
 streams it into one. A record's first chunk begins with its WARC header; no chunk holds more than `chunk_bytes` of
 payload, so neither writer nor reader ever joins the parts of a record. prefix_sha1 is the digest of the payload up to
 the end of the chunk: the writer carries one running digest through a record, and the reader recomputes it chunk by
 chunk and stops at the first difference. Records of one chunk are read where they lie; only those of several chunks
-are shuffled by record and sorted, so that their digests can be carried.
+are shuffled by archive and number and sorted, so that their digests can be carried.
 
 Of records with equal payloads of at least `dedup_bytes` bytes, the one with the largest id is a response and the
 others are revisits that refer to it and hold no payload.
@@ -23,6 +24,7 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +36,7 @@ CHUNK_BYTES = 64 << 10
 DEDUP_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 
-CHUNKS = "archive int, record long, chunk int, chunks int, data binary, prefix_sha1 binary"
+CHUNKS = "archive int, number long, record long, chunk int, chunks int, data binary, prefix_sha1 binary"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 
 
@@ -71,22 +73,24 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     own = pages.select(F.col(id_col).cast("long").alias("record"), url.alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     joined = own.join(revisits, "record", "left").select(F.spark_partition_id().alias("archive"), "record", "url", "refers_to", "payload")
-    names = ["archive", "record", "chunk", "chunks", "data", "prefix_sha1"]
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    names = ["archive", "number", "record", "chunk", "chunks", "data", "prefix_sha1"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
     def make():
+        numbers = count()  # a task writes one archive
+
         def each(batch):
             for part, data in slices(batch, 4):
                 rows = []
                 for archive, record, url, refers, payload in zip(*(part.column(i).to_pylist() for i in range(4)), data):
-                    revisit = refers is not None
+                    revisit, number = refers is not None, next(numbers)
                     head = header(record, url, len(payload), base32(hashlib.sha1(payload).digest()), refers)
                     running = hashlib.sha1()
                     n = 1 if revisit else max(1, -(-len(payload) // chunk_bytes))
                     for k in range(n):
                         body = b"" if revisit else payload[k * chunk_bytes : (k + 1) * chunk_bytes]
                         running.update(body)
-                        rows.append((archive, record, k, n, b"".join((head if k == 0 else b"", body, b"\r\n\r\n" if k == n - 1 else b"")), running.copy().digest()))
+                        rows.append((archive, number, record, k, n, b"".join((head if k == 0 else b"", body, b"\r\n\r\n" if k == n - 1 else b"")), running.copy().digest()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
         return each
@@ -100,17 +104,17 @@ class Reader:
     def __init__(self):
         self.at, self.left = None, 0
 
-    def chunk(self, archive, record, chunk, chunks, data: bytes, prefix: bytes) -> tuple | None:
+    def chunk(self, archive, number, chunk, chunks, data: bytes, prefix: bytes) -> tuple | None:
         """The record's row when this is its last chunk."""
         if chunk == 0:
             head, _, data = data.partition(b"\r\n\r\n")
             lines = head.decode().split("\r\n")
             self.head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
             self.good = lines[0] == "WARC/1.1"
-            self.left, self.digest, self.at = int(self.head["Content-Length"]), hashlib.sha1(), (archive, record, 0)
+            self.left, self.digest, self.at = int(self.head["Content-Length"]), hashlib.sha1(), (archive, number, 0)
         else:
-            self.good &= self.at == (archive, record, chunk - 1)
-            self.at = (archive, record, chunk)
+            self.good &= self.at == (archive, number, chunk - 1)
+            self.at = (archive, number, chunk)
         if chunk == chunks - 1:
             self.good &= data.endswith(b"\r\n\r\n")
             data = data[:-4]
@@ -137,8 +141,8 @@ def _read(chunks: DataFrame) -> DataFrame:
         reader = Reader()
 
         def each(batch):
-            for part, data in slices(batch, 4):
-                rows = [reader.chunk(*x[:4], d, x[4]) for d, x in zip(data, zip(*(part.column(i).to_pylist() for i in (0, 1, 2, 3, 5))))]
+            for part, data in slices(batch, 5):
+                rows = [reader.chunk(*x[:4], d, x[4]) for d, x in zip(data, zip(*(part.column(i).to_pylist() for i in (0, 1, 3, 4, 6))))]
                 rows = [x for x in rows if x]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
@@ -150,13 +154,13 @@ def _read(chunks: DataFrame) -> DataFrame:
 
 def read_archive(chunks: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, intact of each record of a chunk table."""
-    long = chunks.filter("chunks > 1").repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk")
+    long = chunks.filter("chunks > 1").repartition("archive", "number").sortWithinPartitions("archive", "number", "chunk")
     return _read(chunks.filter("chunks = 1")).unionByName(_read(long))
 
 
 def archive_bytes(chunks: DataFrame) -> Iterator[bytes]:
     """The archive as a WARC file, piece by piece."""
-    for row in chunks.orderBy("archive", "record", "chunk").select("data").toLocalIterator():
+    for row in chunks.orderBy("archive", "number", "chunk").select("data").toLocalIterator():
         yield bytes(row.data)
 
 

@@ -1,8 +1,10 @@
 """Rows that repeat an id or have none, and texts over several lines or blocks."""
 
+import base64
+import hashlib
 from collections import Counter
 
-from linelake.llm import decontaminate
+from linelake.llm import decontaminate, warc
 
 
 def test_decontamination_keeps_rows_whatever_the_benchmarks_size(spark):
@@ -15,3 +17,21 @@ def test_decontamination_keeps_rows_whatever_the_benchmarks_size(spark):
     one, several = (plain(decontaminate.find_matches(docs, bench, block_bytes=n)) for n in (1 << 20, 100))
     assert sum(several.values()) == len(rows)
     assert several == one
+
+
+def test_warc_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(i, "u", c * 150_000) for i, c in ((7, "a"), (7, "b"), (7, "b"), (None, "c"), (None, "d"), (8, "e"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    chunks = warc.write_archive(df).cache()
+    told = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    got = warc.read_archive(chunks).collect()
+    assert Counter((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.intact) for x in got) == Counter((i, len(t), told(t), "response", True) for i, _, t in rows)
+    warc.export_warc(chunks, f"file://{tmp_path}/a.warc")
+    data, found = (tmp_path / "a.warc").read_bytes(), []
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        assert head.startswith(b"WARC/1.1\r\n")
+        n = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:] if b": " in x)[b"Content-Length"])
+        found.append(rest[:n].decode())
+        data = rest[n + 4 :]
+    assert sorted(found) == sorted(t for _, _, t in rows)
