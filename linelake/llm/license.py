@@ -1,6 +1,6 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-A text block is a line. A block meets a template when it holds at least `threshold` of the template's distinct words.
+A text block is a run of one to LINES neighbouring lines, so that wrapped notices are met. A block meets a template when it holds at least `threshold` of the template's distinct words.
 The words of all templates are ordered by their frequency over all documents, rarest first. A block that meets a
 template of n words lacks at most n - ceil(threshold * n) of them, so it holds one of the template's first
 n - ceil(threshold * n) + 1 words: these alone are joined (prefix filter). A block with too few distinct words for a
@@ -30,6 +30,9 @@ from linelake.llm.common import table
 
 THRESHOLD = 0.9
 
+#: Neighbouring lines of a block at most.
+LINES = 3
+
 #: Phrases (words) and labels of the base.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -118,18 +121,20 @@ def count_words(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(pieces - outer).cast("long")
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, id_col: str = "doc_id", text_col: str = "text", most_lines: int = LINES) -> DataFrame:
     """A row per document: n_words, n_base, first_word, last_word, base_labels and labels (arrays), score, blocks
-    (number of the line, label, containment of every block that meets a template)."""
+    (number of the first line, number of lines, label, containment of every block that meets a template)."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = own.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("number", "raw"))
+    windows = own.withColumn("own", F.split("text", "\n", -1)).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("own")), lambda i: F.array_join(F.slice("own", i, most_lines), "\n"))).alias("number", "raw"))
     rows = template_words(templates)
     rows = ordered(rows, frequencies(lines, rows))
     rare = sorted({w for _, _, o in rows for w in o[: len(o) - max(1, math.ceil(threshold * len(o) - 1e-9)) + 1]})
-    some = lines.filter(F.arrays_overlap(_folded("raw"), F.array(*map(F.lit, rare))))
-    blocks = some.select("doc_id", "number", F.array_distinct(words(spaced(F.col("raw")))).alias("tokens"))
-    met = contained(blocks, ["doc_id", "number"], rows, threshold)
-    met = met.groupBy("doc_id").agg(F.collect_set("label").alias("met"), F.max("containment").alias("most"), F.sort_array(F.collect_set(F.struct("number", "label", "containment"))).alias("blocks"))
+    some = windows.filter(F.arrays_overlap(_folded("raw"), F.array(*map(F.lit, rare))))
+    runs = some.withColumn("own", F.split("raw", "\n", -1)).withColumn("lines", F.explode(F.sequence(F.lit(1), F.size("own"))))
+    blocks = runs.select("doc_id", "number", "lines", F.array_distinct(words(spaced(F.array_join(F.slice("own", F.lit(1), F.col("lines")), "\n")))).alias("tokens"))
+    met = contained(blocks, ["doc_id", "number", "lines"], rows, threshold)
+    met = met.groupBy("doc_id").agg(F.collect_set("label").alias("met"), F.max("containment").alias("most"), F.sort_array(F.collect_set(F.struct("number", "lines", "label", "containment"))).alias("blocks"))
 
     # a sieve on the bare text, so that few texts are split into a column of words
     sieve = F.col("text").rlike("(?i)" + "|".join(f"{_BARE}+".join(p.split()) for p in phrases))

@@ -4,7 +4,7 @@ import base64
 import hashlib
 from collections import Counter
 
-from linelake.llm import decontaminate, warc
+from linelake.llm import decontaminate, license, warc
 
 
 def test_decontamination_keeps_rows_whatever_the_benchmarks_size(spark):
@@ -35,3 +35,17 @@ def test_warc_of_repeated_and_null_ids(spark, tmp_path):
         found.append(rest[:n].decode())
         data = rest[n + 4 :]
     assert sorted(found) == sorted(t for _, _, t in rows)
+
+
+def test_license_scan_meets_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files"
+    bsd = "x\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that\ny"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"
+    gpl = "a b\nThis program is free software; you can redistribute\nit and/or modify it under the terms of the\nGNU General Public License as published"
+    rows = [(1, mit), (1, "other"), (2, bsd), (3, mpl), (4, gpl), (None, mpl), (5, "Released under\n\n\nthe MIT\nLicense"), (6, "Released under the MIT License")]
+    got = license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    labels = {x.doc_id: x.labels for x in got}
+    assert labels == {1: ["mit"], 2: ["bsd"], 3: ["mpl-2.0"], 4: ["gpl"], None: ["mpl-2.0"], 5: [], 6: ["mit"]}
+    assert {x.doc_id: x.score for x in got if x.doc_id in (2, 3)} == {2: 1.0, 3: 1.0}
+    assert [tuple(b) for x in got if x.doc_id == 2 for b in x.blocks] == [(0, 3, "bsd", 1.0), (1, 2, "bsd", 1.0), (1, 3, "bsd", 1.0)]
