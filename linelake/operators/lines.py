@@ -111,6 +111,12 @@ def forest_distance(df: DataFrame, features: list[str], label: str, trees: int =
     return model.transform(rows).withColumn("votes", vector_to_array("_raw")).drop("_v", "_y", "_raw", "_p")
 
 
+def vocabulary_size(descriptors: int, most: int = 512, each: int = 10) -> int:
+    """How many words a vocabulary of so many descriptors has: `most`, as long as each has `each` descriptors on
+    average, and 2 at least."""
+    return max(2, min(most, descriptors // each))
+
+
 def approximate_neighbours(df: DataFrame, vector: str, key: str, radius: float, tables: int = 4, bucket: float = 0.5, seed: int = 1) -> DataFrame:
     """u, v (u < v), distance of most pairs within a radius, by random-projection hashing."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

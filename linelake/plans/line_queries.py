@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
 from linelake.operators import clustering, lines, pixels, planes
-from linelake.plans.carriers import LINE, PAIR, PID, POINT, PX, Carriers
+from linelake.plans.carriers import DIM, LINE, PAIR, PID, POINT, PX, Carriers
 from linelake.plans.geometry_queries import cross, dot, norm, sub, times, vec
 
 QUERIES: dict = {}
@@ -152,8 +152,9 @@ def _(c):
 
 @query("descriptor_vocabulary")
 def _(c):
-    names = [f"d{i}" for i in range(16)]
-    return clustering.kmeans(c.line.select("line_id", *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(names)]), names, 8).select("line_id", "cluster")
+    names = [f"d{i}" for i in range(DIM)]
+    df = c.line.select("line_id", *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return clustering.kmeans(df, names, lines.vocabulary_size(df.count())).select("line_id", "cluster")
 
 
 @query("nearest_point", f"{_near} SELECT frame_id, line_id, floor(min(far) * 1e6 + 0.5)::BIGINT AS distance FROM d GROUP BY ALL")

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from linelake.operators import planes
-from linelake.plans import relational_queries
+from linelake.plans import line_queries, relational_queries
 
 
 def embeddings(tmp_path, vectors):
@@ -42,3 +42,11 @@ def test_ransac_takes_no_patches_across_a_gap(spark):
     assert {tuple(r)[1:] for r in got if r.k == 0} == set(whole)
     assert not [r for r in got if r.k == 1]
     assert {tuple(r)[1:] for r in got if r.k == 2} == set(whole)
+
+
+def test_descriptor_vocabulary_sees_all_dimensions(spark, tmp_path):
+    vectors = np.random.default_rng(5).normal(0, 0.01, (40, 64))
+    vectors[::2, 20] += 0.8  # two kinds that agree in the first 16 dimensions
+    vectors[1::2, 63] += 0.8
+    got = {r.line_id: r.cluster for r in line_queries.QUERIES["descriptor_vocabulary"](spark, embeddings(tmp_path, vectors)).collect()}
+    assert len(got) == 40 and not {got[i] for i in range(0, 40, 2)} & {got[i] for i in range(1, 40, 2)}
