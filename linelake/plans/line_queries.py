@@ -193,6 +193,19 @@ def _(c):
     return pixels.mean_colour(here, image, ["line_id"]).drop("b")
 
 
+def _strip_colours() -> str:
+    return f"""WITH {PX}, {POINT}, n AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS n FROM v_px),
+ j AS (SELECT l.line_id, l.n, ((p.u - x0) * (x1 - x0) + (p.v - y0) * (y1 - y0)) / (l.n * l.n) AS t, ((p.v - y0) * (x1 - x0) - (p.u - x0) * (y1 - y0)) / l.n AS off, p.class_id * 30 AS r, p.instance AS g FROM n l JOIN v_point p ON p.frame_id = l.frame_id)
+ SELECT line_id, CASE WHEN off > 0 THEN 1 ELSE 0 END AS side, floor(sum(r) / count(*))::INT AS r, floor(sum(g) / count(*))::INT AS g FROM j WHERE t >= 0 AND t <= 1 AND abs(off) >= 0.5 AND abs(off) <= least(5.0, n * 0.5) + 0.5 GROUP BY ALL"""
+
+
+@query("strip_colours", _strip_colours())
+def _(c):
+    image = c.point.select("frame_id", "u", "v", (F.col("class_id") * 30).alias("r"), F.col("instance").alias("g"), F.lit(0).alias("b"))
+    near = pixels.strip_pixels(c.px, ["frame_id", "line_id"], 320, 240).join(image.select("frame_id", "u", "v"), ["frame_id", "u", "v"], "left_semi")
+    return pixels.mean_colour(near, image, ["line_id"]).drop("b")
+
+
 @query("labelled_inliers", f"WITH {POINT}, q AS (SELECT frame_id, u, v, z FROM v_point WHERE abs(z - 20) <= 5), n AS (SELECT DISTINCT frame_id, u, v, instance FROM v_point) SELECT frame_id, instance, count(*) AS n FROM q JOIN n USING (frame_id, u, v) GROUP BY ALL")
 def _(c):
     points = c.point.select("frame_id", F.lit(0).alias("line_id"), F.lit(0).alias("side"), "u", "v", F.col("u").cast("double").alias("x"), F.col("v").cast("double").alias("y"), "z")

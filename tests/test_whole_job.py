@@ -50,3 +50,13 @@ def test_descriptor_vocabulary_sees_all_dimensions(spark, tmp_path):
     vectors[1::2, 63] += 0.8
     got = {r.line_id: r.cluster for r in line_queries.QUERIES["descriptor_vocabulary"](spark, embeddings(tmp_path, vectors)).collect()}
     assert len(got) == 40 and not {got[i] for i in range(0, 40, 2)} & {got[i] for i in range(1, 40, 2)}
+
+
+def test_strip_colours_follow_each_line(spark, tmp_path):
+    vectors = np.zeros((2, 64))
+    vectors[0, :5] = [-0.375, 0.25, 0, -0.125, 0.25]  # pixels (40, 180) to (120, 180)
+    vectors[1, :5] = [0.25, -0.25, 0, 0.375, -0.25]  # (240, 60) to (280, 60)
+    points = [(60, 183, 2), (61, 183, 4), (60, 177, 5), (250, 62, 1), (250, 100, 7), (105, 100, 7)]  # u, v, class; the instance is v % 16
+    pd.DataFrame({"l_orderkey": 0, "l_partkey": [p[0] for p in points], "l_suppkey": [p[1] for p in points], "l_linenumber": np.array([p[2] for p in points], np.int32), "l_quantity": 1.0, "l_extendedprice": 1.0}).to_parquet(tmp_path / "lineitem.parquet")
+    got = {(r.line_id, r.side): (r.r, r.g) for r in line_queries.QUERIES["strip_colours"](spark, embeddings(tmp_path, vectors)).collect()}
+    assert got == {(0, 1): (90, 183 % 16), (0, 0): (150, 177 % 16), (1, 1): (30, 62 % 16)}
