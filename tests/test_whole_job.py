@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from linelake.operators import planes
+from linelake.operators import lines, planes
 from linelake.plans import line_queries, relational_queries
 
 
@@ -60,3 +60,15 @@ def test_strip_colours_follow_each_line(spark, tmp_path):
     pd.DataFrame({"l_orderkey": 0, "l_partkey": [p[0] for p in points], "l_suppkey": [p[1] for p in points], "l_linenumber": np.array([p[2] for p in points], np.int32), "l_quantity": 1.0, "l_extendedprice": 1.0}).to_parquet(tmp_path / "lineitem.parquet")
     got = {(r.line_id, r.side): (r.r, r.g) for r in line_queries.QUERIES["strip_colours"](spark, embeddings(tmp_path, vectors)).collect()}
     assert got == {(0, 1): (90, 183 % 16), (0, 0): (150, 177 % 16), (1, 1): (30, 62 % 16)}
+
+
+def test_approximate_neighbours_recall(spark):
+    centres = np.random.default_rng(6).normal(size=(12, 64))
+    x = np.repeat(centres, 20, 0) + np.random.default_rng(7).normal(0, 0.7, (240, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "line_id long, embedding array<double>")
+    got = {(r.u, r.v): r.distance for r in lines.approximate_neighbours(df, "embedding", "line_id", 1.2).collect()}
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    want = {(u, v) for u in range(240) for v in range(u + 1, 240) if d[u, v] <= 1.2}
+    assert set(got) <= want and len(got) >= 0.9 * len(want) > 0
+    assert all(abs(far - d[k]) < 1e-9 for k, far in got.items())
