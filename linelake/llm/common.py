@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,32 @@ def release(spark: SparkSession) -> None:
         return
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have in any case of letters, made from the given ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Keys that hold more than one in this many rows are fewer than this many; they are dealt into SALTS parts.
+HOT, SALTS = 1000, 64
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows joined with groups (a row per key, with the number of its rows in `size`, which goes). The rows of a hot key
+    are dealt over several tasks; hot keys are fewer than HOT by what they are, so they can be broadcast."""
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    part, hot = fresh(rows, "part", "hot")
+    much = groups.filter(F.col(size) * HOT > total).select(*keys, F.lit(True).alias(hot))
+    dealt = rows.join(F.broadcast(much), keys, "left").withColumn(part, F.when(F.col(hot), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0)).drop(hot)
+    parts = F.sequence(F.lit(0).cast("long"), F.when(F.col(size) * HOT > total, SALTS - 1).otherwise(0).cast("long"))
+    return dealt.join(groups.withColumn(part, F.explode(parts)).drop(size), [*keys, part]).drop(part)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

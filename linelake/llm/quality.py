@@ -22,6 +22,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession

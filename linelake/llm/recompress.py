@@ -1,192 +1,324 @@
 """Substring dedup by recompression: exact repeats of at least `window` words, within and across documents.
 
-Recompression names the words of all documents again and again, in rounds. The first round names runs of one word;
-each further round splits the symbols in left and right ones (by a bit of their name) and names each pair of a left
-symbol and a right one beside it. A name is a hash of what it stands for, so all tasks give equal strings equal names
-without talking to each other; this is the global naming. Whether two neighbours join depends on these two alone, so
-equal substrings get equal symbols inside: in each round only the outermost symbol at either end can depend on what
-stands around the substring. What is left are the decided symbols of a substring, and they are the same at each of its
-places.
-
-1. Each window's anchor is the first decided symbol of the highest level that it still has. Equal windows have equal
-   anchors at equal places. Anchors go, once for each place in the text, to a count by name; a window whose anchor's
-   name stands at one place only has no equal. This leaves out most windows before any window is shuffled.
-2. The other windows are named by all their words, and the first place of each name is found. Windows that start later
-   than the first place of their name are repeats.
-3. Each word that a repeat covers goes.
-
-Counts and first places are combined before each shuffle, and what joins them again is a plain equi-join, which adaptive
-execution splits where a name is very frequent.
+Recompression replaces the words of all documents by ever longer symbols, in Spark rounds. In a round each document's
+sequence is first cut into runs of equal symbols, then, several times, into pairs: a bit of each symbol says whether it
+is a left or a right one, and a left symbol is joined with a right one behind it. Whether two neighbours join depends
+on these two alone, so equal substrings get equal symbols inside; only the outermost symbols at either end of a
+substring can depend on what stands around it. Then Spark names the round's symbols globally: all places of a symbol
+are brought together, the symbol is named by its first place, and each place learns this name. A symbol with one place
+only stands in no repeat: it is dropped, and its neighbours are never joined across it. So the sequences shrink from
+round to round to what is shared, until symbols are whole passages.
+
+1. Rounds. The first takes the texts, each further one the named symbols of the one before.
+2. Repeats are revealed by shared symbols. A place of a long symbol behind its first place is a repeat as a whole, so
+   nothing inside it is looked at again. Of the other windows, those go on whose inner symbols of the first round are
+   all shared; the name of the first of them and the distance to it say with which windows a window may be equal.
+3. Repeats are verified by their words: what may be equal (windows and long symbols) is brought together by that name
+   and a digest of its words, and what starts behind the first place of its kind is a repeat.
+4. Each word that a repeat covers goes.
+
+A window without an inner symbol (within one long run, say) is named by digests of its words alone.
+
+Counts and first places are combined before each shuffle; keys that hold more than a thousandth of all rows are spread
+by a salt when they are joined again.
 
 Defined results: words are runs without ASCII white space; null, empty and short texts hold no window and lose nothing;
 of equal windows the one with the smallest (id, place) stays; a window may repeat one that it overlaps; rows without an
-id lose nothing and take nothing from others; rows that share an id share what is removed; an empty table gives no rows.
+id lose nothing and take nothing from others; rows that share an id are documents of their own, in the order of a
+64-bit hash of their texts, and equal rows are one document; an empty table gives no rows; columns of the input named
+_n_words or _n_removed give way when these are asked for, all others stay.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import MULT, WordHashes, discard, extended, map_arrow, materialize, mix, rolling, slices, table
+from linelake.llm.common import MULT, WordHashes, discard, extended, fresh, join_groups, map_arrow, materialize, mix, slices, table
 
 WINDOW = 20
-LEVELS = 16
+ROUNDS = 4
+PAIRINGS = 4  # of a later round
 SLICE = 2 << 20  # bytes of text whose symbols are held at once
-COUNT_BITS = 16  # of a number of windows in a row
-START_BITS = 27  # of a place in its document: up to 134 million words; the rank of the document has the rest
+PLACE_BITS = 30  # of a place in its document, as a text has less than 2 ** 31 bytes; the document's rank has the rest
+LONG = 5  # symbols of the first round in a symbol that may be a repeat as a whole
+LOW = (1 << PLACE_BITS) - 1
 
 
-def anchors(h: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of each window, name of its anchor, place of its anchor. h: word names of documents in a row; ends: where
-    each ends."""
+def pairings(window: int) -> int:
+    """Pairings of the first round, so that a window mostly has three or four inner symbols."""
+    return max(1, int(math.log(max(window, 8) / 6) / math.log(4 / 3) + 1e-9))
+
+
+def parse(h: np.ndarray, cut: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a sequence and where they start, by one naming of runs and `levels` of pairs; and two maps of all
+    boundaries 0..n: a stretch from a to b has the inner symbols from later[a] to earlier[b], whatever stands around
+    it (none where later[a] >= earlier[b]). cut: before which items the sequence is interrupted (the first is)."""
     n = len(h)
-    begins = np.append(0, ends[:-1])
-    p = np.arange(n, dtype=np.int32)
-    p = p[p + window <= np.repeat(ends, ends - begins)]
-    if not len(p):
-        return p, np.zeros(0, np.uint64), p
-    name, place = h[p], p.copy()
-    new_doc = np.zeros(n + 1, bool)
-    new_doc[begins[begins < n]] = True
-    start, sym = np.arange(n, dtype=np.int32), h
-    live = np.arange(len(p), dtype=np.int32)  # windows that still have decided symbols, from lb to rb
-    lb, rb = p.copy(), p + np.int32(window)
-    to_next, to_prior, at = (np.arange(n + 1, dtype=np.int32) for _ in range(3))
-    for level in range(LEVELS):
-        m = len(sym)
+    later, earlier = np.arange(n + 1, dtype=np.int32), np.arange(n + 1, dtype=np.int32)
+    head = cut.copy()
+    head[1:] |= h[1:] != h[:-1]
+    start = np.flatnonzero(head).astype(np.int32)
+    ends = np.append(start[1:], np.int32(n))
+    count = ends - start
+    sym = h[start]
+    long = count > 1
+    sym[long] = mix(sym[long] * MULT + count[long].astype(np.uint64))
+    of = np.cumsum(head) - 1
+    later[:n], earlier[1:] = ends[of], start[of]  # the outermost runs may go on outside
+    step = np.arange(n + 1, dtype=np.int32)
+    for level in range(1, levels + 1):
         after = np.append(start[1:], np.int32(n))
-        if level == 0:
-            head = np.append(True, (sym[1:] != sym[:-1]) | new_doc[start[1:]])
-            first = np.flatnonzero(head)
-            count = np.diff(np.append(first, m))
-            runs = sym[first]
-            long = count > 1
-            runs[long] = mix(runs[long] * MULT + count[long].astype(np.uint64))
-            of = np.cumsum(head) - 1
-            # the outermost run of a window may go on outside
-            to_next[:n] = np.append(start[first][1:], np.int32(n))[of]
-            to_prior[1:] = start[first][of]
-            sym, start = runs, start[first]
-        else:
-            left = (sym >> np.uint64(level)) & np.uint64(1) == 1  # names are random, and so are their bits
-            to_next[start] = np.where(left, start, after)
-            to_prior[after] = np.where(left, start, after)
-            pair = np.flatnonzero(left[:-1] & ~left[1:] & ~new_doc[start[1:]])
-            keep = np.ones(m, bool)
-            keep[pair + 1] = False
-            joined = mix((sym[pair] + np.uint64(level)) * MULT + sym[pair + 1])
-            sym = sym.copy()
-            sym[pair] = joined
-            sym, start = sym[keep], start[keep]
-        lb, rb = to_next[lb], to_prior[rb]
-        good = np.flatnonzero(lb < rb)
-        if not len(good):
-            break
-        live, lb, rb = live[good], lb[good], rb[good]
-        at[start] = np.arange(len(start), dtype=np.int32)
-        place[live], name[live] = lb, sym[at[lb]]
-    return p, name, place
-
-
-def _words(data: list[bytes], names: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    found = [names.of(x.split()) for x in data]
-    return np.concatenate(found), np.cumsum([len(x) for x in found])
-
-
-def _locate(ends: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the document and place in it."""
-    doc = np.searchsorted(ends, p, side="right")
-    return doc, p - np.append(0, ends[:-1])[doc]
-
-
-def _anchor_places(docs: DataFrame, window: int) -> DataFrame:
-    """name, doc_id, first, count: each place of an anchor, with the windows (from first on) whose anchor it is."""
+        left = (sym >> np.uint64(level)) & np.uint64(1) == 1  # names are random, and so are their bits
+        step[start], step[n] = np.where(left, start, after), n
+        later = step[later]
+        step[0], step[after] = 0, np.where(left, start, after)
+        earlier = step[earlier]
+        pair = np.flatnonzero(left[:-1] & ~left[1:] & ~cut[start[1:]])
+        joined = mix((sym[pair] + np.uint64(level)) * MULT + sym[pair + 1])
+        keep = np.ones(len(sym), bool)
+        keep[pair + 1] = False
+        sym = sym.copy()
+        sym[pair] = joined
+        sym, start = sym[keep], start[keep]
+    return sym, start, later, earlier
+
+
+class Words:
+    """The words of some documents in a row: names, where the documents begin and end, and the first round's symbols."""
+
+    def __init__(self, data: list[bytes], names: WordHashes, levels: int):
+        found = [names.of(x.split()) for x in data]
+        self.h = np.concatenate(found)
+        self.ends = np.cumsum([len(x) for x in found])
+        self.begins = np.append(0, self.ends[:-1])
+        cut = np.zeros(len(self.h) + 1, bool)
+        cut[self.begins] = True
+        self.sym, self.start, self.later, self.earlier = parse(self.h, cut[:-1], levels)
+        self.doc = np.searchsorted(self.ends, self.start, side="right")  # of each symbol
+        self.first = np.searchsorted(self.start, self.begins)  # symbol of each document
+
+    def digests(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Digests of the words from a to b; equal words have equal ones wherever they stand."""
+        n = len(self.h)
+        up, down = _powers(n)
+        sums = np.append(np.zeros(1, np.uint64), np.cumsum(self.h * up[:n]))
+        return mix((sums[b] - sums[a]) * down[a])
+
+
+_power: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2 ** 64, and their inverses, from 0 to n."""
+    if not _power or len(_power[0]) <= n:
+        base = int(MULT) | 1
+        made = [np.full(2 * n + 1000, x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+        for x in made:
+            x[0] = 1
+        _power[:] = [np.cumprod(x, dtype=np.uint64) for x in made]
+    return _power[0], _power[1]
+
+
+def _numbers(column: pa.Array, kind=np.int64) -> np.ndarray:
+    return np.asarray(pa.compute.fill_null(column, 0), kind)
+
+
+def _first_symbols(own: DataFrame, window: int) -> DataFrame:
+    """name, at: each place of a symbol of the first round. own: text, rank."""
+    levels = pairings(window)
 
     def make():
         names = WordHashes()
 
         def each(batch):
-            for part, data in slices(batch, 1, SLICE):
-                h, ends = _words(data, names)
-                p, name, place = anchors(h, ends, window)
-                if len(p):
-                    head = np.append(True, (place[1:] != place[:-1]) | (name[1:] != name[:-1]) | (p[1:] != p[:-1] + 1))
-                    first = np.flatnonzero(head)
-                    doc, own = _locate(ends, p[first])
-                    count = np.diff(np.append(first, len(p)))
-                    yield pa.RecordBatch.from_arrays([pa.array(name[first].view(np.int64)), part.column(0).take(pa.array(doc)), pa.array((own << COUNT_BITS) | count)], ["name", "doc_id", "windows"])
+            for part, data in slices(batch, 0, SLICE):
+                w = Words(data, names, levels)
+                keep = (w.ends - w.begins >= window)[w.doc]
+                doc = w.doc[keep]
+                at = (_numbers(part.column(1))[doc] << PLACE_BITS) | (np.flatnonzero(keep) - w.first[doc])
+                yield pa.RecordBatch.from_arrays([pa.array(w.sym[keep].view(np.int64)), pa.array(at)], ["name", "at"])
 
         return each
 
-    return map_arrow(docs, make, "name long, doc_id long, windows long")
+    return map_arrow(own, make, "name long, at long")
+
 
+def _marks(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, place, count, name of the symbols in a column of lists, by document and place."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+    flat = lists.flatten()
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    packed, name = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+    order = np.lexsort((packed, doc))
+    packed = packed[order]
+    return doc[order], packed >> PLACE_BITS, packed & LOW, name[order]
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """name, at (rank of the document and start in one number) of the windows in `windows`."""
+
+def _next_symbols(state: DataFrame) -> DataFrame:
+    """at, count (of the first round's symbols that it spans), name, made: the symbols of a further round. Those that
+    are not made keep their global name."""
+
+    def make():
+        def each(batch):
+            doc, place, count, name = _marks(batch.column(1))
+            if not len(doc):
+                return
+            cut = np.ones(len(doc), bool)
+            cut[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + count[:-1])
+            h = mix(name.view(np.uint64) * MULT + count.view(np.uint64))
+            sym, start, _, _ = parse(h, cut, PAIRINGS)
+            last = np.append(start[1:], len(doc)) - 1
+            made = last > start
+            at = (np.asarray(batch.column(0))[doc[start]] << PLACE_BITS) | place[start]
+            span = place[last] + count[last] - place[start]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(span), pa.array(np.where(made, sym.view(np.int64), name[start])), pa.array(made)], ["at", "count", "name", "made"])
+
+        return each
+
+    return map_arrow(state.select("rank", "marks"), make, "at long, count long, name long, made boolean")
+
+
+def _named(places: DataFrame, *keys: str) -> DataFrame:
+    """The places whose symbol has several, with `first`, the first of them: the symbol's global name."""
+    groups = places.groupBy(*keys).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"))
+    groups = materialize(groups.filter("first < last").select(*keys, "first", "n"), "names")
+    return join_groups(places, groups, list(keys), "n")
+
+
+def _by_document(symbols: DataFrame, tag: str) -> DataFrame:
+    """rank, marks: the symbols (at, count, name) of each document, as places and counts in one number, and names."""
+    packed = F.struct((F.shiftleft(F.col("at").bitwiseAND(LOW), PLACE_BITS) + F.col("count")).alias("place"), "name")
+    return materialize(symbols.groupBy(F.shiftright("at", PLACE_BITS).alias("rank")).agg(F.collect_list(packed).alias("marks")), tag)
+
+
+def _rounds(own: DataFrame, window: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The named symbols of the first round by document, and the long symbols (at, count, name) of all further ones."""
+    places = materialize(_first_symbols(own, window), "symbols")
+    first = _by_document(_named(places, "name").select("at", F.lit(1).cast("long").alias("count"), F.col("first").alias("name")), "state")
+    discard(places)
+    state, long = first, []
+    for k in range(1, rounds):
+        symbols = materialize(_next_symbols(state), "symbols")
+        if state is not first:
+            discard(state)
+        named = materialize(_named(symbols.filter("made").select("at", "count", "name"), "name", "count").select("at", "count", F.col("first").alias("name")), "long")
+        long.append(named)
+        if k + 1 < rounds:
+            state = _by_document(named.unionByName(symbols.filter("not made").select("at", "count", "name")), "state")
+        discard(symbols)
+    return first, long
+
+
+def _candidates(marked: DataFrame, window: int) -> DataFrame:
+    """symbol, digest, at, length of what may be a repeat or what a repeat repeats: long symbols, and windows that lie
+    in no long symbol behind its first place and have no inner symbol with one place only. marked: text, rank, marks
+    (of the first round), long (of the others)."""
+    levels = pairings(window)
 
     def make():
         names = WordHashes()
 
         def each(batch):
             for part, data in slices(batch, 0, SLICE):
-                h, ends = _words(data, names)
-                lists = part.column(2)
-                sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
-                packed = np.asarray(lists.flatten())
-                if not len(packed):
+                w = Words(data, names, levels)
+                rank, n = _numbers(part.column(1)), len(w.h)
+                if not n:
                     continue
-                count = packed & ((1 << COUNT_BITS) - 1)
-                doc = np.repeat(np.repeat(np.arange(len(sizes)), sizes), count)
-                run = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                own = np.repeat(packed >> COUNT_BITS, count) + run
-                named = rolling(h, window)[np.append(0, ends[:-1])[doc] + own]
-                yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array((np.asarray(part.column(1))[doc] << START_BITS) | own)], ["name", "at"])
+                # long symbols
+                doc, place, count, name = _marks(part.column(3))
+                i = w.first[doc] + place
+                a, b = w.start[i].astype(np.int64), np.append(w.start, n)[i + count].astype(np.int64)
+                behind = ((rank[doc] << PLACE_BITS) | place) > name
+                keep = b - a >= window
+                doc, count, name, a, b, behind = doc[keep], count[keep], name[keep], a[keep], b[keep], behind[keep]
+                yield _rows(mix(name.view(np.uint64) * MULT + count.view(np.uint64)), w.digests(a, b), rank[doc], a - w.begins[doc], b - a)
+                reach = np.zeros(n, np.int64)
+                np.maximum.at(reach, a[behind], b[behind])
+                reach = np.maximum.accumulate(reach)
+                # windows
+                doc, place, _, name = _marks(part.column(2))
+                first = np.full(len(w.sym), -1, np.int64)
+                first[w.first[doc] + place] = name
+                single = np.append(0, np.cumsum(first < 0))
+                p = np.arange(n)
+                p = p[(p + window <= np.repeat(w.ends, w.ends - w.begins)) & (reach < p + window)]
+                lo, hi = w.later[p], w.earlier[p + window]
+                number = np.cumsum(np.bincount(w.start, minlength=n + 1)) - 1  # of the symbol that starts there
+                number[n] = len(w.sym)
+                inner = lo < hi
+                some = ~inner | (single[number[np.minimum(lo, n)]] == single[number[np.minimum(hi, n)]])
+                p, lo, inner = p[some], lo[some], inner[some]
+                symbol = np.empty(len(p), np.uint64)
+                symbol[inner] = mix(first[number[lo[inner]]].view(np.uint64)) + (lo[inner] - p[inner]).astype(np.uint64) * MULT
+                q, other = p[~inner], np.zeros((~inner).sum(), np.uint64)
+                for k in range(window):
+                    other = mix(other * MULT + w.h[q + k])
+                symbol[~inner] = other
+                doc = np.searchsorted(w.ends, p, side="right")
+                yield _rows(symbol, w.digests(p, p + window), rank[doc], p - w.begins[doc], np.full(len(p), window))
 
         return each
 
-    return map_arrow(docs.select("text", "rank", "windows"), make, "name long, at long")
+    return map_arrow(marked, make, "symbol long, digest long, at long, length int")
+
+
+def _rows(symbol: np.ndarray, digest: np.ndarray, rank: np.ndarray, place: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(symbol.view(np.int64)), pa.array(digest.view(np.int64)), pa.array((rank << PLACE_BITS) | place), pa.array(length.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["symbol", "digest", "at", "length"])
 
 
 def _ranks(ids: DataFrame) -> DataFrame:
-    """doc_id, rank: places of the ids in their order, from a range-partitioned sort and its partitions' sizes."""
-    sorted_ = materialize(ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("doc_id", F.monotonically_increasing_id().alias("m")), "ids")
+    """doc_id, hash, rank: places of the documents in their order, from a range-partitioned sort and its partitions'
+    sizes."""
+    sorted_ = materialize(ids.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "hash", F.monotonically_increasing_id().alias("m")), "ids")
     part = F.shiftright("m", 33).alias("part")
     sizes = sorted_.groupBy(part).count().orderBy("part").collect()  # a row for each partition
     offsets, total = [], 0
     for r in sizes:
         offsets.append((r["part"], total))
         total += r["count"]
+    if total >= 1 << (63 - PLACE_BITS):
+        raise ValueError(f"{total} documents are more than places can tell apart")
     small = ids.sparkSession.createDataFrame(offsets, "part long, base long")
     low = F.col("m").bitwiseAND((1 << 33) - 1)
-    return sorted_.select("doc_id", "m", part).join(F.broadcast(small), "part").select("doc_id", (F.col("base") + low).alias("rank"))
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, starts: where windows start (word numbers from 0) whose words also start earlier."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    places = materialize(_anchor_places(own, window), "anchors")
-    shared = materialize(places.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "names")
-    marked = materialize(places.join(shared, "name").groupBy("doc_id").agg(F.collect_list("windows").alias("windows")), "places")
-    discard(places)
-    ranks = materialize(_ranks(marked.select("doc_id")), "ranks")
-    found = materialize(_windows(own.join(marked.join(ranks, "doc_id"), "doc_id"), window), "windows")
-    first = materialize(found.groupBy("name").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("name", "first"), "first")
-    later = found.join(first, "name").filter("at > first").select(F.shiftright("at", START_BITS).alias("rank"), F.col("at").bitwiseAND((1 << START_BITS) - 1).cast("int").alias("start"))
-    starts = materialize(later.groupBy("rank").agg(F.collect_list("start").alias("starts")), "starts")
+    return sorted_.select("doc_id", "hash", "m", part).join(F.broadcast(small), "part").select("doc_id", "hash", (F.col("base") + low).alias("rank"))
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, hash (of the text), found: stretches (start, length, in words from 0) whose words also start earlier."""
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).filter("doc_id is not null and text is not null")
+    ranks = materialize(_ranks(own.select("doc_id", "hash").distinct()), "ranks")
+    first, long = _rounds(own.join(ranks, ["doc_id", "hash"]).select("text", "rank"), window, rounds)
+    every = first.select("rank", "marks").limit(0)
+    if long:
+        several = long[0]
+        for x in long[1:]:
+            several = several.unionByName(x)
+        every = _by_document(several.filter(F.col("count") >= LONG), "passages")
+    marked = ranks.join(first, "rank", "left").join(every.withColumnRenamed("marks", "long"), "rank", "left")
+    found = materialize(_candidates(own.join(marked, ["doc_id", "hash"]).select("text", "rank", "marks", "long"), window), "candidates")
+    for x in (first, *long):
+        discard(x)
+    later = _named(found, "symbol", "digest").filter("at > first")
+    stretch = F.struct(F.col("at").bitwiseAND(LOW).alias("start"), "length")
+    stretches = materialize(later.groupBy(F.shiftright("at", PLACE_BITS).alias("rank")).agg(F.collect_list(stretch).alias("found")), "stretches")
     discard(found)
-    return starts.join(ranks, "rank").select("doc_id", "starts")
+    return stretches.join(ranks, "rank").select("doc_id", "hash", "found")
 
 
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def remove(text: bytes, starts: np.ndarray, window: int, layout: bool) -> tuple[bytes, int, int]:
-    """The text without the words that the windows cover, its words, and how many went. With layout, the rest of the
+def remove(text: bytes, starts: np.ndarray, lengths: np.ndarray, layout: bool) -> tuple[bytes, int, int]:
+    """The text without the words of the stretches, its words, and how many went. With layout, the rest of the
     text stays as it is; otherwise its words are joined by one space."""
     words = text.split()
     n = len(words)
@@ -194,7 +326,7 @@ def remove(text: bytes, starts: np.ndarray, window: int, layout: bool) -> tuple[
         return (text if layout else b" ".join(words)), n, 0
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
+    np.add.at(edge, starts + lengths, -1)
     gone = np.cumsum(edge[:n]) > 0
     if not layout:
         return b" ".join([w for w, g in zip(words, gone.tolist()) if not g]), n, int(gone.sum())
@@ -209,8 +341,12 @@ def remove(text: bytes, starts: np.ndarray, window: int, layout: bool) -> tuple[
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = True, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
     """docs with the repeats cut from its text, and, with counts, _n_words and _n_removed. A null text stays null."""
-    found = repeats(docs, window, id_col, text_col).select(F.col("doc_id").alias("_id"), "starts")
-    joined = docs.join(found, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    if counts:
+        docs = docs.drop("_n_words", "_n_removed")
+    found_id, found_hash, found = fresh(docs, "id", "hash", "found")
+    stretches = repeats(docs, window, id_col, text_col).toDF(found_id, found_hash, found)
+    same = (F.col(id_col).cast("long") == F.col(found_id)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(found_hash))
+    joined = docs.join(stretches, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], found)
     k, last = docs.columns.index(text_col), len(docs.columns)
     schema = extended(docs.schema, _n_words="long", _n_removed="long") if counts else docs.schema
     names = schema.names
@@ -219,7 +355,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = True, i
         def each(batch):
             for part, data in slices(batch, k):
                 lists = part.column(last)
-                rows = [remove(x, np.zeros(0, np.int64) if s is None else np.array(s), window, layout) for x, s in zip(data, lists.to_pylist())]
+                sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+                flat, to = lists.flatten(), np.cumsum(sizes)
+                start, length = (np.asarray(flat.field(i)) for i in (0, 1))
+                rows = [remove(x, start[b - n : b], length[b - n : b], layout) for x, n, b in zip(data, sizes.tolist(), to.tolist())]
                 kept = pa.array([r[0] for r in rows], pa.binary()).cast(pa.string())
                 if layout:
                     kept = pa.compute.if_else(pa.compute.is_valid(part.column(k)), kept, pa.scalar(None, pa.string()))

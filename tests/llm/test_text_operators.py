@@ -111,23 +111,32 @@ def test_substring_dedup(docs, window):
     assert recompress.remove_repeats(df.limit(0), window).count() == 0
 
 
-def test_equal_windows_have_equal_anchors():
+@pytest.mark.parametrize("levels", [1, 4])
+def test_equal_windows_have_equal_inner_symbols(levels):
+    counted = 0
     for seed in range(60):
         r = random.Random(seed)
         voc = [b"a", b"b", b"c", b"d", b"e"][: r.choice([1, 2, 3, 5])]
-        phrases = [r.choices(voc, k=9) for _ in range(3)]
-        names, found = WordHashes(), []
+        phrases = [r.choices(voc + [b"f", b"g"], k=20) for _ in range(3)]
+        texts = []
         for _ in range(8):
             w = r.choices(voc + [b"u%d" % r.randint(0, 200) for _ in range(30)], k=r.randint(0, 40))
             i = r.randint(0, len(w))
             w[i:i] = r.choice(phrases)
-            found.append(names.of(w))
-        h, ends = np.concatenate(found), np.cumsum([len(x) for x in found])
-        p, name, place = recompress.anchors(h, ends, 6)
+            texts.append(b" ".join(w))
+        w = recompress.Words(texts, WordHashes(), levels)
+        number = {s: i for i, s in enumerate([*w.start.tolist(), len(w.h)])}
         at = {}
-        for x, n, q, s in zip(rolling(h, 6)[p], name, place, p):
-            assert s <= q < s + 6
-            assert at.setdefault(x, (n, q - s)) == (n, q - s)
+        for end, begin in zip(w.ends, w.begins):
+            for p in range(begin, end - 11):
+                lo, hi = int(w.later[p]), int(w.earlier[p + 12])
+                inner = [(int(w.start[k]) - p, int(w.sym[k])) for k in range(number[lo], number[hi])] if lo < hi else []
+                assert all(0 < d < 12 for d, _ in inner)
+                counted += len(inner)
+                assert at.setdefault(tuple(w.h[p : p + 12].tolist()), inner) == inner
+        a, b = np.array([0, 3]), np.array([2, 3])
+        assert w.digests(a, b)[1] == w.digests(b, b)[0]
+    assert counted > 1000
 
 
 def matches_by_force(texts, items, width):

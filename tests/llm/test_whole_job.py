@@ -49,3 +49,31 @@ def test_license_scan_meets_wrapped_notices(spark):
     assert labels == {1: ["mit"], 2: ["bsd"], 3: ["mpl-2.0"], 4: ["gpl"], None: ["mpl-2.0"], 5: [], 6: ["mit"]}
     assert {x.doc_id: x.score for x in got if x.doc_id in (2, 3)} == {2: 1.0, 3: 1.0}
     assert [tuple(b) for x in got if x.doc_id == 2 for b in x.blocks] == [(0, 3, "bsd", 1.0), (1, 2, "bsd", 1.0), (1, 3, "bsd", 1.0)]
+
+
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from linelake.llm import recompress
+    from tests.llm.test_text_operators import repeats_by_force
+
+    r = random.Random(7)
+    voc = [f"w{i}" for i in range(400)]
+    passage, other = r.choices(voc, k=90), r.choices(voc, k=300)
+    run, turns = ["a"] * 70, ["a", "b"] * 40
+    texts = [(1, passage + r.choices(voc, k=30)), (2, r.choices(voc, k=5)), (2, r.choices(voc, k=90)), (2, r.choices(voc, k=9) + passage), (3, other), (3, other), (4, other[:200] + ["z"] + other[200:]), (None, passage), (5, run), (6, turns + run), (6, turns), (7, []), (7, passage[10:29]), (7, passage[10:30]), (8, other[5:60] + passage[3:70] + turns)]
+    texts += [(20 + i, other + [f"q{i}"]) for i in range(40)]
+    rows = [(i, " ".join(w)) for i, w in texts] + [(9, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for c in ("_id", "id", "hash", "FOUND", "starts", "_n_words", "part"):
+        df = df.withColumn(c, F.lit("clash"))
+    order = [x.t for x in df.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("t")).distinct().orderBy("doc_id", "h").select(F.struct("doc_id", "t").alias("t")).collect()]
+    gone = repeats_by_force([(k, x.t) for k, x in enumerate(order)], 20)
+    want = {(x.doc_id, x.t): " ".join(w for w, g in zip(x.t.split(), gone[k]) if not g) for k, x in enumerate(order)}
+    got = recompress.remove_repeats(df, layout=False)
+    assert sorted(got.columns) == sorted([*df.columns, "_n_removed"])
+    assert Counter((x.doc_id, x.text) for x in got.collect()) == Counter((i, want.get((i, t or ""), t or "")) for i, t in rows)
+    assert any(len(v.split()) < len(t.split()) for (_, t), v in want.items())
+    assert recompress.remove_repeats(df, counts=False).columns == df.columns
