@@ -95,6 +95,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def text_hash(text: Column) -> Column:
+    """128 bits of a text in hexadecimal; null is like empty."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def without(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose id and text_hash are those of a row of bad. What is decided by the text holds for the
+    rows with this text alone, also where ids repeat or are null."""
+    own_id, own_hash = fresh(docs, "id", "hash")
+    bad = bad.toDF(own_id, own_hash).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (text_hash(F.col(text_col)) == F.col(own_hash))
+    return docs.join(bad, same, "left_anti")
+
+
 #: Keys that hold more than one in this many rows are fewer than this many; they are dealt into SALTS parts.
 HOT, SALTS = 1000, 64
 

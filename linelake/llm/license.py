@@ -13,8 +13,8 @@ whose words stand consecutively anywhere in the text, also across lines.
 
 Defined results: null or empty texts have no words, no labels and score 0; a text with base labels has score 1, any
 other the largest containment of a template it meets, else 0; ties of templates change nothing, as all that are met are
-listed; template labels belong to the id, so rows that repeat an id share them (a null id is an id like any other); an
-empty table gives no rows; other columns are not read.
+listed; rows that repeat an id or have none are each judged by their own text; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import table
+from linelake.llm.common import table, text_hash
 
 THRESHOLD = 0.9
 
@@ -124,26 +124,29 @@ def count_words(text: Column) -> Column:
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, id_col: str = "doc_id", text_col: str = "text", most_lines: int = LINES) -> DataFrame:
     """A row per document: n_words, n_base, first_word, last_word, base_labels and labels (arrays), score, blocks
     (number of the first line, number of lines, label, containment of every block that meets a template)."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).alias("doc_id"), text_hash(text).alias("hash"), F.coalesce(text, F.lit("")).alias("text"))
     lines = own.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("number", "raw"))
-    windows = own.withColumn("own", F.split("text", "\n", -1)).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("own")), lambda i: F.array_join(F.slice("own", i, most_lines), "\n"))).alias("number", "raw"))
+    windows = own.withColumn("own", F.split("text", "\n", -1)).select("doc_id", "hash", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("own")), lambda i: F.array_join(F.slice("own", i, most_lines), "\n"))).alias("number", "raw"))
     rows = template_words(templates)
     rows = ordered(rows, frequencies(lines, rows))
     rare = sorted({w for _, _, o in rows for w in o[: len(o) - max(1, math.ceil(threshold * len(o) - 1e-9)) + 1]})
     some = windows.filter(F.arrays_overlap(_folded("raw"), F.array(*map(F.lit, rare))))
     runs = some.withColumn("own", F.split("raw", "\n", -1)).withColumn("lines", F.explode(F.sequence(F.lit(1), F.size("own"))))
-    blocks = runs.select("doc_id", "number", "lines", F.array_distinct(words(spaced(F.array_join(F.slice("own", F.lit(1), F.col("lines")), "\n")))).alias("tokens"))
-    met = contained(blocks, ["doc_id", "number", "lines"], rows, threshold)
-    met = met.groupBy("doc_id").agg(F.collect_set("label").alias("met"), F.max("containment").alias("most"), F.sort_array(F.collect_set(F.struct("number", "lines", "label", "containment"))).alias("blocks"))
+    blocks = runs.select("doc_id", "hash", "number", "lines", F.array_distinct(words(spaced(F.array_join(F.slice("own", F.lit(1), F.col("lines")), "\n")))).alias("tokens"))
+    met = contained(blocks, ["doc_id", "hash", "number", "lines"], rows, threshold)
+    met = met.groupBy("doc_id", "hash").agg(F.collect_set("label").alias("met"), F.max("containment").alias("most"), F.sort_array(F.collect_set(F.struct("number", "lines", "label", "containment"))).alias("blocks"))
 
     # a sieve on the bare text, so that few texts are split into a column of words
     sieve = F.col("text").rlike("(?i)" + "|".join(f"{_BARE}+".join(p.split()) for p in phrases))
     none = F.array().cast("array<string>")
-    held = own.select("doc_id", count_words(F.col("text")).alias("n_words"), F.when(sieve, words(spaced(F.col("text")))).otherwise(none).alias("w"))
+    held = own.select("doc_id", "hash", count_words(F.col("text")).alias("n_words"), F.when(sieve, words(spaced(F.col("text")))).otherwise(none).alias("w"))
     places = [F.when(F.size("w") > 0, base_places("w", p)).otherwise(F.array().cast("array<int>")) for p in phrases]
-    held = held.select("doc_id", "n_words", *[x.alias(f"p{k}") for k, x in enumerate(places)])
-    held = held.select("doc_id", "n_words", F.concat(*[f"p{k}" for k in range(len(places))]).alias("places"), F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())])).alias("base"))
-    both = held.join(met.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    held = held.select("doc_id", "hash", "n_words", *[x.alias(f"p{k}") for k, x in enumerate(places)])
+    held = held.select("doc_id", "hash", "n_words", F.concat(*[f"p{k}" for k in range(len(places))]).alias("places"), F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())])).alias("base"))
+    # what a row meets is decided by its text, so the join asks for both, the id and the text
+    met = met.withColumnsRenamed({"doc_id": "met_id", "hash": "met_hash"})
+    both = held.join(met, F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("hash") == F.col("met_hash")), "left")
     return both.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_sort(F.array_distinct("base")).alias("base_labels"), F.array_sort(F.array_union("base", F.coalesce("met", none))).alias("labels"),
