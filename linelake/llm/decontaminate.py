@@ -3,11 +3,13 @@
 Each task cuts its documents into shards and builds a suffix array over each shard's words. A word that no benchmark
 item holds matches nothing, so it only ends a stretch; suffixes that begin in a stretch too short for any window are
 left out. Every suffix of every item is then binary-searched in every shard: each further word narrows the range of
-suffixes that agree with it, down to the longest verbatim match and all its places.
+suffixes that agree with it, down to the longest verbatim match and all its places. All suffixes are searched
+together, and those that agree share one range, so that the work grows with the words of the shard and the places that
+match, not with their product.
 
 The benchmark reaches the tasks by broadcast, in blocks of at most BLOCK_BYTES of text; a larger benchmark takes one
-pass over the documents per block. The documents then get row numbers in a stored table, and the passes' results, not
-the texts, are shuffled and merged by these numbers.
+pass over the documents per block, one after the other. The documents then get row numbers in a stored table, and the
+passes' results, not the texts, are shuffled and merged by these numbers.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A window is `width` consecutive
 words of an item; an item of fewer words, but not none, is one window.
@@ -15,7 +17,7 @@ words of an item; an item of fewer words, but not none, is one window.
 Defined results: null or empty texts have no words, no windows and no hits; an item id of null is the empty string;
 items of equal id count once; an empty benchmark hits nothing; no documents give no rows; of equally long matches the
 first item (by id as string), then the first place is reported; repeated documents and those of null id are judged each,
-whatever the size of the benchmark; other columns are not read.
+whatever the size of the benchmark, and one of them is removed for its own text alone; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,20 +25,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import alnum_words, map_arrow, materialize, slices, table
+from linelake.llm.common import alnum_words, extended, map_arrow, materialize, slices, table, text_hash, without
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 8 << 20
 
-RESULT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, longest long, longest_item string, longest_at long"
-
-NUMBERED = "row long, " + RESULT
+RESULT = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "array<struct<start:long,end:long>>", "longest": "long", "longest_item": "string", "longest_at": "long"}
 
 
 @dataclass
@@ -49,7 +49,8 @@ class Tests:
     ends: np.ndarray  # of the suffixes' items
     need: np.ndarray  # window length of the suffixes' items
     item: np.ndarray  # number of the suffixes' items
-    names: list[str]
+    rank: np.ndarray  # of each item's id among the ids
+    names: list[str]  # the distinct ids in their order
 
     @property
     def shortest(self) -> int:
@@ -62,18 +63,22 @@ class Tests:
 
 def tests(items: list[tuple[str, bytes]], width: int = WIDTH) -> Tests:
     vocabulary: dict[bytes, int] = {}
-    words, starts, ends, need, item, names = [], [], [], [], [], []
+    parts, sizes, names = [], [], []
     for name, text in sorted(items):
         found = alnum_words(text)
-        base, m = len(words), min(width, len(found))
-        words += [vocabulary.setdefault(w, len(vocabulary) + 1) for w in found]
-        n = len(found) - m + 1 if m else 0
-        starts += range(base, base + n)
-        ends += [len(words)] * n
-        need += [m] * n
-        item += [len(names)] * n
+        parts.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in found), np.int64, len(found)))
+        sizes.append(len(found))
         names.append(name)
-    return Tests(vocabulary, *(np.array(x, np.int64) for x in (words, starts, ends, need, item)), names)
+    words = np.concatenate([*parts, np.zeros(0, np.int64)])
+    n = np.array(sizes, np.int64)
+    need = np.minimum(width, n)
+    windows = np.where(n > 0, n - need + 1, 0)
+    base = np.cumsum(n) - n
+    starts = expand(base, base + windows)
+    distinct = sorted(set(names))
+    number = {x: i for i, x in enumerate(distinct)}
+    rank = np.array([number[x] for x in names], np.int64)
+    return Tests(vocabulary, words, starts, np.repeat(base + n, windows), np.repeat(need, windows), np.repeat(np.arange(len(n)), windows), rank, distinct)
 
 
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
@@ -112,22 +117,57 @@ class Shard:
         room = np.repeat(base + sizes - 1, sizes) - np.arange(total)
         order = suffix_array(self.s, depth)
         self.sa = order[room[order] >= shortest]
-
-    def search(self, test: np.ndarray, need: int) -> tuple[int, np.ndarray, int]:
-        """Length and first place of the longest match, and all places where `need` words agree (places in ids)."""
-        lo, hi, length, keep = 0, len(self.sa), 0, None
-        n = len(self.s)
-        for word in test:
-            at = self.sa[lo:hi] + length
-            column = np.where(at < n, self.s[np.minimum(at, n - 1)], 0)
-            a, b = np.searchsorted(column, (word, word + 1))
-            if a == b:
-                break
-            lo, hi, length = lo + int(a), lo + int(b), length + 1
-            if length == need:
-                keep = self.sa[lo:hi]
-        places = self.place[keep] if keep is not None else np.zeros(0, np.int64)
-        return length, places, int(self.place[self.sa[lo:hi]].min()) if length else -1
+        self.heads = self.s[self.sa]
+
+    def narrow(self, lo: np.ndarray, hi: np.ndarray, depth: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of the ranges lo..hi of suffixes, which agree in `depth` words, whose next one is `word`: both
+        ends of all ranges by binary search at once."""
+        if depth == 0:
+            return np.searchsorted(self.heads, word, "left"), np.searchsorted(self.heads, word, "right")
+        out = []
+        for side in (word, word + 1):
+            a, b = lo.copy(), hi.copy()
+            left = np.flatnonzero(a < b)
+            while len(left):
+                mid = (a[left] + b[left]) >> 1
+                less = self.s[self.sa[mid] + depth] < side[left]
+                a[left[less]], b[left[~less]] = mid[less] + 1, mid[~less]
+                left = left[a[left] < b[left]]
+            out.append(a)
+        return out[0], out[1]
+
+    def matches(self, t: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that occur: (suffix number in sa, words, number of the item) of each place and item; and for each
+        number in sa the longest match there and its first item (0: no window occurs there). All suffixes of the items
+        are searched together, word by word; where several of them agree, their common range is looked at once."""
+        found, reach, best = [], np.zeros(len(self.sa), np.int64), np.zeros(len(self.sa), np.int64)
+        k = np.arange(len(t.starts))
+        lo, hi = np.zeros(len(k), np.int64), np.full(len(k), len(self.sa), np.int64)
+        depth = 0
+        while len(k):
+            lo, hi = self.narrow(lo, hi, depth, t.words[t.starts[k] + depth])
+            depth += 1
+            there = lo < hi
+            k, lo, hi = k[there], lo[there], hi[there]
+            hit = t.need[k] <= depth
+            order = np.lexsort((t.rank[t.item[k]], lo))
+            order = order[hit[order]]
+            first = order[np.append(True, lo[order][1:] != lo[order][:-1])] if len(order) else order
+            at = expand(lo[first], hi[first])
+            reach[at], best[at] = depth, np.repeat(t.rank[t.item[k[first]]], hi[first] - lo[first])
+            new = np.flatnonzero(t.need[k] == depth)
+            if len(new):
+                kinds = np.unique(np.stack([lo[new], hi[new], t.rank[t.item[k[new]]]], 1), axis=0)
+                found.append((kinds, depth))
+            more = t.starts[k] + depth < t.ends[k]
+            k, lo, hi = k[more], lo[more], hi[more]
+        return found, reach, best
+
+
+def expand(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    size = hi - lo
+    return np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
 
 
 def spans(covered: np.ndarray) -> list[dict]:
@@ -143,50 +183,47 @@ def judge(texts: list[bytes], t: Tests) -> list[tuple]:
     ids = np.zeros(int((sizes + 1).sum()), np.int64)
     for b, x in zip(base, found):
         ids[b : b + len(x)] = x
+    out = [(n, 0, [], [], 0, None, None) for n in sizes.tolist()]
     shard = Shard(ids, t.shortest, t.longest)
-    hits: dict[int, tuple[np.ndarray, set, list]] = {}
-    if len(shard.sa):
-        # the first words of all suffixes at once: most have no place at all
-        heads = shard.s[shard.sa]
-        second = shard.s[np.minimum(shard.sa + 1, len(shard.s) - 1)]
-        pair = heads * (len(t.vocabulary) + 2) + second
-        tail = np.append(t.words, 0)
-        test_pair = t.words[t.starts] * (len(t.vocabulary) + 2) + np.where(t.need > 1, tail[t.starts + 1], 0)
-        there = np.where(t.need > 1, np.isin(test_pair, pair), True)
-        for k in np.flatnonzero(there):
-            length, places, first = shard.search(t.words[t.starts[k] : t.ends[k]], int(t.need[k]))
-            if not len(places):
-                continue
-            docs = np.searchsorted(base, places, side="right") - 1
-            for d, p in zip(docs.tolist(), (places - base[docs]).tolist()):
-                if d not in hits:
-                    hits[d] = (np.zeros(sizes[d], bool), set(), [0, "", -1])
-                covered, items, best = hits[d]
-                covered[p : p + t.need[k]] = True
-                items.add(t.names[t.item[k]])
-                own, most = int(t.need[k]), int(t.ends[k] - t.starts[k])
-                at = base[d] + p
-                while own < most and ids[at + own] == t.words[t.starts[k] + own]:
-                    own += 1
-                name = t.names[t.item[k]]
-                if (-own, name, p) < (-best[0], best[1], best[2]):
-                    best[:] = own, name, p
-    out = []
-    for d in range(len(texts)):
-        if d in hits:
-            covered, items, best = hits[d]
-            out.append((int(sizes[d]), int(covered.sum()), sorted(items), spans(covered), *best))
-        else:
-            out.append((int(sizes[d]), 0, [], [], 0, None, None))
+    found, reach, best = shard.matches(t)
+    if not found:
+        return out
+    place = shard.place[shard.sa]
+    doc = np.searchsorted(base, place, side="right") - 1
+    edge = np.zeros(len(ids) + 1, np.int64)
+    pairs = []
+    for kinds, depth in found:
+        ranges = np.unique(kinds[:, :2], axis=0)  # of a window that several items hold, once
+        at = place[expand(ranges[:, 0], ranges[:, 1])]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + depth, -1)
+        # documents of each range, then range by item, so that a window's places count once for each document
+        number = np.repeat(np.arange(len(ranges)), ranges[:, 1] - ranges[:, 0])
+        own = np.unique(number * len(texts) + doc[expand(ranges[:, 0], ranges[:, 1])])
+        by = np.searchsorted(own // len(texts), np.arange(len(ranges) + 1))
+        r = np.searchsorted(ranges[:, 0], kinds[:, 0])  # ranges of one length that begin alike are the same
+        many = by[r + 1] - by[r]
+        pairs.append(np.unique((own[expand(by[r], by[r + 1])] % len(texts)) * len(t.names) + np.repeat(kinds[:, 2], many)))
+    covered = np.cumsum(edge[:-1]) > 0
+    pairs = np.unique(np.concatenate(pairs))
+    cuts = np.searchsorted(pairs // len(t.names), np.arange(len(texts) + 1))
+    hits = np.flatnonzero(reach)
+    hits = hits[np.lexsort((place[hits], best[hits], -reach[hits], doc[hits]))]
+    hits = hits[np.append(True, doc[hits][1:] != doc[hits][:-1])]
+    for h in hits.tolist():
+        d = int(doc[h])
+        own = covered[base[d] : base[d] + sizes[d]]
+        items = [t.names[i] for i in (pairs[cuts[d] : cuts[d + 1]] % len(t.names)).tolist()]
+        out[d] = (int(sizes[d]), int(own.sum()), items, spans(own), int(reach[h]), t.names[best[h]], int(place[h] - base[d]))
     return out
 
 
-def _pass(docs: DataFrame, t: Tests) -> DataFrame:
-    """docs: row (if they are numbered), doc_id, text."""
+def _pass(docs: DataFrame, t: Tests) -> tuple[DataFrame, Broadcast]:
+    """The columns of docs but the last, the text, with the results for a block of items; and the block as sent."""
     block = docs.sparkSession.sparkContext.broadcast(t)
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.string(), pa.int64())
     own = docs.columns[:-1]
-    names = [*own, "n_words", "n_hit", "items", "spans", "longest", "longest_item", "longest_at"]
+    names = [*own, *RESULT]
 
     def make():
         def each(batch):
@@ -196,47 +233,49 @@ def _pass(docs: DataFrame, t: Tests) -> DataFrame:
 
         return each
 
-    return map_arrow(docs, make, NUMBERED if "row" in own else RESULT)
+    return map_arrow(docs, make, extended(docs.drop("text").schema, **RESULT)), block
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The passes' results of one document."""
-    covered = np.zeros(int(pdf["n_words"].max()), bool)
-    for own in pdf["spans"]:
-        for x in own:
-            covered[x["start"] : x["end"]] = True
-    best = min(zip(-pdf["longest"], pdf["longest_item"].fillna(""), pdf["longest_at"].fillna(-1)))
-    items = sorted({x for own in pdf["items"] for x in own})
-    row = (pdf["doc_id"].iloc[0], len(covered), int(covered.sum()), items, spans(covered), -best[0], best[1] if items else None, best[2] if items else None)
-    return pd.DataFrame([row], columns=pdf.columns[1:])
+def _merge(passes: DataFrame) -> DataFrame:
+    """The passes' results of each row as one."""
+    open_ = "named_struct('done', cast(array() as array<struct<start:bigint,end:bigint>>), 'at', cast(-1 as bigint), 'to', cast(-1 as bigint))"
+    joined = "if(x.start <= a.to, named_struct('done', a.done, 'at', a.at, 'to', greatest(a.to, x.end)), named_struct('done', if(a.to < 0, a.done, array_append(a.done, named_struct('start', a.at, 'end', a.to))), 'at', x.start, 'to', x.end))"
+    closed = "if(a.to < 0, a.done, array_append(a.done, named_struct('start', a.at, 'end', a.to)))"
+    every = passes.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("hash").alias("hash"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("every"), F.min(F.struct((-F.col("longest")).alias("less"), "longest_item", "longest_at")).alias("best"),
+    ).withColumn("spans", F.expr(f"aggregate(every, {open_}, (a, x) -> {joined}, a -> {closed})"))
+    n_hit = F.expr("aggregate(spans, cast(0 as bigint), (a, x) -> a + x.end - x.start)")
+    return every.select("doc_id", "hash", "n_words", n_hit.alias("n_hit"), "items", "spans", (-F.col("best.less")).alias("longest"), "best.longest_item", "best.longest_at")
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document: n_words, n_hit, items (ids of items with an occurring window), spans of hit words, and
-    the longest verbatim match with its item and place (word numbers from 0)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """A row per document: doc_id, hash (text_hash of its text), n_words, n_hit, items (ids of items with an occurring
+    window), spans of hit words, and the longest verbatim match with its item and place (word numbers from 0)."""
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("hash"), text.alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_bytes) if total > block_bytes else 1)
     if blocks > 1:
-        docs = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "documents")
-    passes = []
+        docs = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "hash", "text"), "documents")
+    every = None
     for b in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        passes.append(_pass(docs, tests([(r.item, r.text.encode()) for r in own.toLocalIterator()], width)))
-    if blocks == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("row").applyInPandas(_merge, RESULT)
+        found, sent = _pass(docs, tests([(r.item, r.text.encode()) for r in own.toLocalIterator()], width))
+        if blocks == 1:
+            return found
+        # each pass is stored, so that driver and tasks hold one block at a time
+        found = materialize(found if every is None else found.filter("n_hit > 0"), "pass")
+        sent.destroy()
+        every = found if every is None else every.unionByName(found)
+    return _merge(every)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that hold no window of the benchmark, with all their columns."""
-    id_col = how.get("id_col", "doc_id")
-    found = find_matches(docs, benchmark, **how).filter("n_hit > 0").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+    found = find_matches(docs, benchmark, **how).filter("n_hit > 0").select("doc_id", "hash")
+    return without(docs, found, how.get("id_col", "doc_id"), how.get("text_col", "text"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def test_decontamination(spark, docs):
         y = single[x.doc_id]
         assert (x.n_words, x.n_hit, x["items"], x.longest) == (y.n_words, y.n_hit, y["items"], y.longest)
     clean = decontaminate.decontaminate(df, bench)
-    assert {x.doc_id for x in clean.collect()} == {i for i, _, hit, _ in want if not hit} | {None}
+    assert Counter(x.doc_id for x in clean.collect()) == Counter(i for (i, _, hit, _), n in want.items() if not hit for _ in range(n))
     assert decontaminate.find_matches(df, bench.limit(0)).filter("n_hit > 0").count() == 0
     assert decontaminate.find_matches(df.limit(0), bench).count() == 0
 
@@ -264,7 +264,7 @@ def test_license_scan(spark):
     assert got[4].labels == ["apache-2.0"] and got[4].score == 1.0 and got[6].labels == [] and got[None].labels == ["mit"]
     assert (got[8].first_word, got[8].n_words) == (30_000, 30_002) and got[9].n_base == 0
     fives = [x for x in license.scan(df).collect() if x.doc_id == 5]
-    assert sorted((x.n_words, x.n_base) for x in fives) == [(5, 0), (8, 3)] and all("mit" in x.labels for x in fives)
+    assert sorted((x.n_words, x.n_base, x.labels) for x in fives) == [(5, 0, ["mit"]), (8, 3, ["cc-by", "gpl"])]
     assert license.scan(df.limit(0)).count() == 0
 
 
