@@ -4,16 +4,20 @@ An archive is a table of chunks: archive, number (of the record in its archive,
 (from 0), chunks (of the record), data, prefix_sha1. Ids may repeat or be null, numbers don't. The data of an archive's
 chunks in the order of (number, chunk) is a valid WARC 1.1 file; export_warc()
 streams it into one. A record's first chunk begins with its WARC header; no chunk holds more than `chunk_bytes` of
-payload, so neither writer nor reader ever joins the parts of a record. prefix_sha1 is the digest of the payload up to
-the end of the chunk: the writer carries one running digest through a record, and the reader recomputes it chunk by
-chunk and stops at the first difference. Records of one chunk are read where they lie; only those of several chunks
+payload. The writer takes the chunks from the row's own buffer and hands them on as soon as a few megabytes are
+together, so neither writer nor reader ever joins or copies a whole record. prefix_sha1 is the digest of the payload up
+to the end of the chunk: the writer carries one running digest through a record, and the reader recomputes it chunk by
+chunk; a difference marks the record as damaged. The digest of the header comes from the table of payloads and must
+agree with the running one. Records of one chunk are read where they lie; only those of several chunks
 are shuffled by archive and number and sorted, so that their digests can be carried.
 
 Of records with equal payloads of at least `dedup_bytes` bytes, the one with the largest id is a response and the
-others are revisits that refer to it and hold no payload.
+others are revisits that refer to it, by page id and address, and hold no payload. Record ids are made of page id,
+digest, archive and number, so that no two records share one.
 
 Defined results: null payload is empty, with the digest of no bytes; repeated rows with one id: each is written, all
-as responses if they hold the largest id of their payload; an empty table gives an empty archive; a null id is a record
+as responses if they hold the largest id of their payload; rows with one id and different payloads are told apart by
+the payload; an empty table gives an empty archive; a null id is a record
 of its own group and never a response to others; other columns are not read; a record whose bytes don't match its
 digests has `intact` false.
 """
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import map_arrow, materialize, slices, table
+from linelake.llm.common import SLICE_BYTES, join_groups, map_arrow, materialize, slices, table
 
 CHUNK_BYTES = 64 << 10
 DEDUP_BYTES = 0
@@ -44,56 +48,76 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def urn(record: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{record}')}>"
+def urn(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, ':'.join(map(str, parts)))}>"
 
 
-def header(record: int | None, url: str, size: int, digest: str, refers: int | None) -> bytes:
+def header(name: str, record: int | None, url: str | None, size: int, digest: str, refers: int | None, refers_url: str | None) -> bytes:
     revisit = refers is not None
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(record)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{digest}"]
+    address = lambda x: " ".join((x or "").split())
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {address(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers)}", f"X-Refers-To-Page: {refers}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {address(refers_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {refers}"]
     lines += ["Content-Type: text/html", f"X-Page: {record}", f"X-Payload-Length: {size}", f"Content-Length: {0 if revisit else size}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", dedup_bytes: int = DEDUP_BYTES) -> DataFrame:
-    """record, digest (hex SHA-1), size, refers_to: which record each equal payload refers to, null for responses."""
+def plan_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", dedup_bytes: int = DEDUP_BYTES) -> DataFrame:
+    """record, digest (hex SHA-1), size, refers_to, refers_url: the payloads that other records hold as responses."""
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
-    own = pages.select(F.col(id_col).cast("long").alias("record"), F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("size"))
+    url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
+    own = pages.select(F.col(id_col).cast("long").alias("record"), F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("size"), url.alias("url"))
     own = materialize(own, "digests")
-    groups = own.filter(F.col("size") >= dedup_bytes).groupBy("digest", "size").agg(F.max("record").alias("keeper"), F.count("*").alias("n")).filter("n > 1 and keeper is not null").select("digest", "size", "keeper")
-    joined = own.join(groups, ["digest", "size"], "left")
-    return joined.select("record", "digest", F.when(F.col("record") != F.col("keeper"), F.col("keeper")).alias("refers_to"))
+    groups = own.filter(F.col("size") >= dedup_bytes).groupBy("digest", "size").agg(F.max(F.struct("record", "url")).alias("keeper"), F.count("*").alias("n"))
+    groups = materialize(groups.filter("n > 1 and keeper.record is not null").select("digest", "size", F.col("keeper.record").alias("refers_to"), F.col("keeper.url").alias("refers_url"), "n"), "repeated")
+    rows = own.filter("record is not null").select("record", "digest", "size").distinct()
+    return join_groups(rows, groups, ["digest", "size"], "n").filter("record <> refers_to").select("record", "digest", "size", "refers_to", "refers_url")
+
+
+def chunk_rows(batch: pa.RecordBatch, numbers: Iterator[int], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of a batch of pages (archive, record, url, digest, refers_to, refers_url, payload), in batches of
+    about SLICE_BYTES."""
+    rows, held = [], 0
+    payloads = batch.column(6).cast(pa.binary())
+    for i, (archive, record, url, told, refers, refers_url) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
+        body = memoryview(payloads[i].as_buffer())  # the row's own bytes, not a copy
+        number, revisit, told = next(numbers), refers is not None, base32(bytes.fromhex(told))
+        name = urn("page", record, told, archive, number)
+        running = hashlib.sha1()
+        n = 1 if revisit else max(1, -(-len(body) // chunk_bytes))
+        for k in range(n):
+            piece = b"" if revisit else body[k * chunk_bytes : (k + 1) * chunk_bytes]
+            running.update(piece)
+            if k == n - 1 and not revisit and base32(running.digest()) != told:
+                raise ValueError(f"payload of page {record} changed while it was written")
+            head = header(name, record, url, len(body), told, refers, refers_url) if k == 0 else b""
+            data = b"".join((head, piece, b"\r\n\r\n" if k == n - 1 else b""))
+            rows.append((archive, number, record, k, n, data, running.digest()))
+            held += len(data)
+            if held >= SLICE_BYTES:
+                yield _chunk_batch(rows)
+                rows, held = [], 0
+    if rows:
+        yield _chunk_batch(rows)
+
+
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    names = ["archive", "number", "record", "chunk", "chunks", "data", "prefix_sha1"]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk_bytes: int = CHUNK_BYTES, dedup_bytes: int = DEDUP_BYTES) -> DataFrame:
     """The chunk table of an archive of all pages, not yet stored."""
-    revisits = plan_records(pages, id_col, payload_col, dedup_bytes).filter("refers_to is not null").select("record", "refers_to").distinct()
+    revisits = plan_revisits(pages, id_col, url_col, payload_col, dedup_bytes)
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     own = pages.select(F.col(id_col).cast("long").alias("record"), url.alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    joined = own.join(revisits, "record", "left").select(F.spark_partition_id().alias("archive"), "record", "url", "refers_to", "payload")
-    names = ["archive", "number", "record", "chunk", "chunks", "data", "prefix_sha1"]
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    own = own.withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "size": F.octet_length("payload").cast("long")})
+    joined = own.join(revisits, ["record", "digest", "size"], "left").select(F.spark_partition_id().alias("archive"), "record", "url", "digest", "refers_to", "refers_url", "payload")
 
     def make():
         numbers = count()  # a task writes one archive
-
-        def each(batch):
-            for part, data in slices(batch, 4):
-                rows = []
-                for archive, record, url, refers, payload in zip(*(part.column(i).to_pylist() for i in range(4)), data):
-                    revisit, number = refers is not None, next(numbers)
-                    head = header(record, url, len(payload), base32(hashlib.sha1(payload).digest()), refers)
-                    running = hashlib.sha1()
-                    n = 1 if revisit else max(1, -(-len(payload) // chunk_bytes))
-                    for k in range(n):
-                        body = b"" if revisit else payload[k * chunk_bytes : (k + 1) * chunk_bytes]
-                        running.update(body)
-                        rows.append((archive, number, record, k, n, b"".join((head if k == 0 else b"", body, b"\r\n\r\n" if k == n - 1 else b"")), running.copy().digest()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
-
-        return each
+        return lambda batch: chunk_rows(batch, numbers, chunk_bytes)
 
     return map_arrow(joined, make, CHUNKS)
 

@@ -4,6 +4,9 @@ import base64
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from linelake.llm import decontaminate, license, warc
 
 
@@ -57,6 +60,42 @@ def test_warc_of_repeated_and_null_ids(spark, tmp_path):
     assert sorted(found) == sorted(t for _, _, t in rows)
 
 
+def test_warc_revisits_belong_to_the_payload(spark):
+    rows = [(5, "u5", "one"), (5, "u5", "two"), (5, "u5", "only here"), (9, "u9", "one"), (11, "u11", "two"), (None, "n", "one"), (5, "u5", ""), (3, None, None), (9, "u9", "one")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    for c in ("digest", "size", "refers_to", "part", "keeper"):
+        df = df.withColumn(c, F.lit("clash"))
+    chunks = warc.write_archive(df).cache()
+    told = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    keeper = {"one": 9, "two": 11, "only here": 5, "": 5}
+    want = Counter()
+    for i, _, t in rows:
+        k = keeper[t or ""]
+        want[(i, told(t), "response", None) if i in (None, k) else (i, told(t), "revisit", k)] += 1
+    got = warc.read_archive(chunks).collect()
+    assert Counter((x.page_id, x.payload_digest, x.record_type, x.refers_to) for x in got) == want and all(x.intact for x in got)
+    heads = [bytes(x.data).split(b"\r\n\r\n")[0].decode() for x in chunks.filter("chunk = 0").collect()]
+    assert len({h.split("WARC-Record-ID: ")[1].split("\r")[0] for h in heads}) == len(rows)
+    assert sum("WARC-Refers-To-Target-URI: u11" in h for h in heads) == 1
+
+
+def test_warc_writer_never_holds_a_whole_record():
+    import tracemalloc
+    from itertools import count
+
+    body = ("0123456789abcdef" * 4096) * 1024  # 64 MB
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([1]), pa.array(["u"]), pa.array([hashlib.sha1(body.encode()).hexdigest()]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([body])], list("abcdefg"))
+    del body
+    tracemalloc.start()
+    total, numbers = 0, []
+    for part in warc.chunk_rows(batch, count(), warc.CHUNK_BYTES):
+        total += part.num_rows
+        assert part.nbytes < warc.SLICE_BYTES + 2 * warc.CHUNK_BYTES
+        numbers += part.column(3).to_pylist()
+    assert total == 1024 and numbers == list(range(1024)) and tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+
+
 def test_license_scan_meets_wrapped_notices(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files"
     bsd = "x\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that\ny"
@@ -75,8 +114,6 @@ def test_license_scan_meets_wrapped_notices(spark):
 def test_substring_dedup_of_rows_that_share_an_id(spark):
     import random
 
-    from pyspark.sql import functions as F
-
     from linelake.llm import recompress
     from tests.llm.test_text_operators import repeats_by_force
 
