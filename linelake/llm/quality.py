@@ -10,15 +10,13 @@ of their ids; all documents are scored whole.
 Features and votes come from one pass over the texts and are a small table from then on.
 
 Defined results: null and empty texts get no votes and no features, and are kept; rows that repeat
-an id are each judged; a null id is an id like any other; an empty table gives no rows; with no votes at all every text
+an id are each judged, and removed, by their own text; a null id is an id like any other; an empty table gives no rows; with no votes at all every text
 is kept; ties (a score of 0.5) are kept; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import map_arrow, materialize, slices, table
+from linelake.llm.common import map_arrow, materialize, rolling, slices, table, text_hash, without
 
 SAMPLE = 20_000
 DIMENSIONS = 1 << 14
@@ -40,12 +38,16 @@ _shape = [(regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"[^\P{L}A]+"), "a"),
 
 
 class Words(dict):
-    """Word to what the labellers and the features ask of it: (hash of its shape, characters that are no letters or
-    digits, all characters, flags). Flags: 1 capitals, 2 symbols, 4 a bar, 8 plain, 16 short and lower-case."""
+    """Word to its number in `facts`, whose columns are: the feature of the word's shape, characters that are no letters
+    or digits, all characters, flags. Flags: 1 capitals, 2 symbols, 4 a bar, 8 plain, 16 short and lower-case. `names`
+    has 64-bit names of the words."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int, int, int]:
-        if len(self) > 300_000:
-            self.clear()
+    def __init__(self):
+        super().__init__()
+        self.facts, self.names = np.zeros((0, 4), np.int64), np.zeros(0, np.uint64)
+        self.new: list[tuple[int, int, int, int, int]] = []
+
+    def __missing__(self, word: bytes) -> int:
         w = word.decode("utf-8", "replace")
         shape = w
         for pattern, to in _shape:
@@ -54,45 +56,100 @@ class Words(dict):
         letters = [c for c in w if c.isalpha()]
         flags = (len(letters) > 1 and all(c.isupper() for c in letters)) + 2 * bool(w != "|" and _symbol.search(w)) + 4 * (w == "|")
         flags += 8 * bool(_plain.fullmatch(w)) + 16 * (len(w) <= 3 and w.islower() and w.isalpha())
-        value = self[word] = (xxhash.xxh3_64_intdigest(shape.encode()), sum(not c.isalnum() for c in w), len(w), flags)
-        return value
+        self.new.append((xxhash.xxh3_64_intdigest(shape.encode()) % DIMENSIONS, sum(not c.isalnum() for c in w), len(w), flags, xxhash.xxh3_64_intdigest(word)))
+        number = self[word] = len(self)
+        return number
 
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Facts and names of the words."""
+        if len(self) > 300_000:
+            self.clear()
+            self.facts, self.names = self.facts[:0], self.names[:0]
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            self.facts = np.concatenate([self.facts, np.array([x[:4] for x in self.new], np.int64)])
+            self.names = np.concatenate([self.names, np.array([x[4] for x in self.new], np.uint64)])
+            self.new = []
+        return self.facts[numbers], self.names[numbers]
 
-def _vote(share: float, bad: float, good: float = -1.0) -> int:
-    return -1 if share >= bad else 1 if share <= good else 0
+
+def _vote(share: np.ndarray, bad: float, good: float = -np.inf) -> np.ndarray:
+    return np.where(share >= bad, -1, np.where(share <= good, 1, 0))
 
 
 #: Names of the labellers, in the order of their votes. The first five see one defect each and never vote good; each
 #: defect also moves some of the others.
 LABELLERS = ("symbols", "bars", "capitals", "repetition", "variety", "plainness", "punctuation", "function words")
 
-
-def votes(words: list[bytes], info: list[tuple]) -> list[int]:
-    n = len(words)
-    if not n:
-        return [0] * len(LABELLERS)
-    flags = Counter(x[3] for x in info)
-    share = [sum(k for f, k in flags.items() if f & bit) / n for bit in (1, 2, 4, 8, 16)]
-    same = sum(map(eq, words, words[1:])) / n
-    marks = sum(x[1] for x in info) / sum(x[2] for x in info)
-    plain = max(0.0, share[3] - same)
-    return [
-        _vote(share[1], 0.1),
-        _vote(share[2], 0.1),
-        _vote(share[0], 0.15),
-        _vote(same, 0.1),
-        _vote(-len(set(words)) / n, -0.25) if 20 <= n < 2000 else 0,
-        1 if plain >= 0.85 else -1 if plain < 0.7 else 0,
-        _vote(marks, 0.09, 0.06),
-        (1 if share[4] >= 0.08 and same < 0.1 else -1 if share[4] < 0.04 else 0) if n >= 20 else 0,
-    ]
-
-
-def vote_pattern(v: list[int]) -> int:
-    out = 0
-    for x in v:
-        out = out * 3 + x + 1
-    return out
+#: Words in a row of which the labeller of variety counts the distinct ones: single words repeat the more the longer a
+#: good text is, runs of four don't.
+RUN = 4
+
+
+class Texts:
+    """Votes and features of some documents in a row."""
+
+    def __init__(self, data: list[bytes], table_: Words):
+        found = [x.split() for x in data]
+        facts, self.names = table_.of([w for own in found for w in own])
+        self.docs, self.n = len(data), np.array([len(x) for x in found], np.int64)
+        self.doc = np.repeat(np.arange(self.docs), self.n)
+        self.shape, self.marks, self.size, self.flags = facts.T
+        within = self.doc[1:] == self.doc[:-1]
+        self.follows = np.flatnonzero(within)  # words that another of the same document follows
+        self.same = self.count(self.doc[1:][within & (self.names[1:] == self.names[:-1])])
+
+    def count(self, doc: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(doc, weights, minlength=self.docs)
+
+    def distinct_runs(self) -> np.ndarray:
+        """Share of distinct runs of RUN words among all of a document; 1 where there is none."""
+        m = len(self.names) - RUN + 1
+        if m < 1:
+            return np.ones(self.docs)
+        p = np.flatnonzero(self.doc[:m] == self.doc[RUN - 1 :])
+        run, own = rolling(self.names, RUN)[p], self.doc[p]
+        order = np.lexsort((run, own))
+        run, own = run[order], own[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (run[1:] != run[:-1]) | (own[1:] != own[:-1])
+        return np.where(self.n >= RUN, self.count(own[new]) / np.maximum(self.n - RUN + 1, 1), 1.0)
+
+    def votes(self) -> np.ndarray:
+        n = np.maximum(self.n, 1)
+        share = [self.count(self.doc[self.flags & bit > 0]) / n for bit in (1, 2, 4, 8, 16)]
+        same = self.same / n
+        marks = self.count(self.doc, self.marks) / np.maximum(self.count(self.doc, self.size), 1)
+        plain = np.maximum(0.0, share[3] - same)
+        some = self.n >= 20
+        every = [
+            _vote(share[1], 0.1),
+            _vote(share[2], 0.1),
+            _vote(share[0], 0.15),
+            _vote(same, 0.1),
+            np.where(some, _vote(-self.distinct_runs(), -0.5), 0),
+            np.where(plain >= 0.85, 1, np.where(plain < 0.7, -1, 0)),
+            _vote(marks, 0.09, 0.06),
+            np.where(some, np.where((share[4] >= 0.08) & (same < 0.1), 1, np.where(share[4] < 0.04, -1, 0)), 0),
+        ]
+        return np.where(self.n[:, None] > 0, np.stack(every, 1), 0)
+
+    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many features each document has, their numbers and values: counts of word shapes, of pairs of shapes, and
+        of words that repeat the one before or don't; of length 1 together."""
+        f = self.follows
+        pairs = (self.shape[f] * 31 + self.shape[f + 1] * 17) % DIMENSIONS
+        some = np.flatnonzero(self.n)
+        keys, counts = np.unique(np.concatenate([self.doc * DIMENSIONS + self.shape, self.doc[f] * DIMENSIONS + pairs, some * DIMENSIONS + 1, some * DIMENSIONS + 2]), return_counts=True)
+        counts = counts.astype(np.float64)
+        counts[np.searchsorted(keys, some * DIMENSIONS + 1)] += self.same[some] - 1
+        counts[np.searchsorted(keys, some * DIMENSIONS + 2)] += (self.n - self.same)[some] - 1
+        doc = keys // DIMENSIONS
+        return self.count(doc), keys % DIMENSIONS, counts / np.sqrt(self.count(doc, counts * counts))[doc]
+
+
+def vote_pattern(votes: np.ndarray) -> np.ndarray:
+    return (votes + 1) @ 3 ** np.arange(len(LABELLERS) - 1, -1, -1)
 
 
 def unpattern(pattern: np.ndarray) -> np.ndarray:
@@ -100,44 +157,24 @@ def unpattern(pattern: np.ndarray) -> np.ndarray:
     return (pattern[:, None] // 3 ** np.arange(k - 1, -1, -1)[None, :]) % 3 - 1
 
 
-def hashed(words: list[bytes], info: list[tuple]) -> dict[int, float]:
-    """Features by number: shares of word shapes, of pairs of shapes, and of repeated words; of length 1 together."""
-    n, found = len(words), {}
-    if not n:
-        return found
-    shapes = [x[0] for x in info]
-    for s, k in Counter(shapes).items():
-        found[s % DIMENSIONS] = found.get(s % DIMENSIONS, 0) + k
-    for (s, t), k in Counter(zip(shapes, shapes[1:])).items():
-        f = (s * 31 + t * 17) % DIMENSIONS
-        found[f] = found.get(f, 0) + k
-    same = sum(map(eq, words, words[1:]))
-    found[1], found[2] = found.get(1, 0) + same, found.get(2, 0) + n - same
-    norm = sum(v * v for v in found.values()) ** 0.5
-    return {k: v / norm for k, v in found.items()}
-
-
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, pattern of votes, features (numbers and values) of each document."""
+    """doc_id, hash (text_hash of the text), pattern of votes, features (numbers and values) of each document."""
 
     def make():
         table_ = Words()
 
         def each(batch):
-            for part, data in slices(batch, 1):
-                patterns, keys, values = [], [], []
-                for x in data:
-                    words = x.split()
-                    info = [table_[w] for w in words]
-                    patterns.append(vote_pattern(votes(words, info)))
-                    own = hashed(words, info)
-                    keys.append(list(own))
-                    values.append(list(own.values()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(patterns, pa.int64()), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["doc_id", "pattern", "keys", "values"])
+            for part, data in slices(batch, 2):
+                t = Texts(data, table_)
+                many, keys, values = t.features()
+                ends = pa.array(np.append(0, np.cumsum(many)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((keys, pa.int32()), (values, pa.float32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(vote_pattern(t.votes())), *lists], ["doc_id", "hash", "pattern", "keys", "values"])
 
         return each
 
-    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), make, "doc_id long, pattern long, keys array<int>, values array<float>")
+    text = F.col(text_col).cast("string")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("hash"), text.alias("text")), make, "doc_id long, hash string, pattern long, keys array<int>, values array<float>")
 
 
 @dataclass
@@ -173,8 +210,9 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def __call__(self, keys: list, values: list) -> np.ndarray:
-        s = np.array([float(np.dot(self.weights[k], v)) if len(k) else 0.0 for k, v in zip(keys, values)]) + self.bias
+    def __call__(self, many: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Scores of documents by how many features each has and all their numbers and values."""
+        s = np.bincount(np.repeat(np.arange(len(many)), many), self.weights[keys] * values, minlength=len(many)) + self.bias
         return 1 / (1 + np.exp(np.clip(-s, -60, 60)))
 
 
@@ -201,15 +239,15 @@ def fit_scorer(keys: list[np.ndarray], values: list[np.ndarray], target: np.ndar
 
 
 def judge(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, votes, posterior, score, keep of each document."""
+    """doc_id, hash (text_hash of the text), votes, posterior, score, keep of each document."""
     described = materialize(describe(docs, id_col, text_col), "features")
     seen = described.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()  # at most 3 ** labellers rows
     model = expectation_maximisation(seen["pattern"].to_numpy(np.int64), seen["n"].to_numpy(np.float64))
     # a share of the hashes that holds somewhat fewer than `sample` documents, so that no task sends more than its part
     share = 1.0 if seen["n"].sum() <= sample else 0.9 * sample / float(seen["n"].sum())
     chosen = described.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    held = chosen.filter(F.size("keys") > 0).select(F.xxhash64("doc_id").alias("h"), "doc_id", "pattern", "keys", "values").toPandas()
-    held = held.sort_values(["h", "doc_id", "pattern"], kind="stable").head(sample)
+    held = chosen.filter(F.size("keys") > 0).select(F.xxhash64("doc_id").alias("h"), "doc_id", "hash", "pattern", "keys", "values").toPandas()
+    held = held.sort_values(["h", "doc_id", "hash"], kind="stable").head(sample)
     target = model.posterior(unpattern(held["pattern"].to_numpy(np.int64)))
     scorer = fit_scorer(list(held["keys"]), list(held["values"]), target)
     sent = docs.sparkSession.sparkContext.broadcast((model, scorer))
@@ -218,22 +256,21 @@ def judge(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
         model, scorer = sent.value
 
         def each(batch):
-            v = unpattern(np.asarray(batch.column(1)))
-            s = scorer(*([np.asarray(x.values, dtype=kind) for x in column] for column, kind in ((batch.column(2), np.int64), (batch.column(3), np.float64))))
-            none = np.asarray(pa.compute.list_value_length(batch.column(2))) == 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v.tolist(), pa.list_(pa.int32())), pa.array(model.posterior(v)), pa.array(s), pa.array((s >= KEEP) | none)], ["doc_id", "votes", "posterior", "score", "keep"])
+            v = unpattern(np.asarray(batch.column(2)))
+            many = np.asarray(pa.compute.list_value_length(batch.column(3)))
+            s = scorer(many, np.asarray(batch.column(3).flatten()), np.asarray(batch.column(4).flatten(), np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(v.tolist(), pa.list_(pa.int32())), pa.array(model.posterior(v)), pa.array(s), pa.array((s >= KEEP) | (many == 0))], ["doc_id", "hash", "votes", "posterior", "score", "keep"])
 
         return each
 
-    return map_arrow(described, make, "doc_id long, votes array<int>, posterior double, score double, keep boolean")
+    return map_arrow(described, make, "doc_id long, hash string, votes array<int>, posterior double, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
-    id_col = how.get("id_col", "doc_id")
-    bad = judge(docs, **how).filter("not keep").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    bad = judge(docs, **how).filter("not keep").select("doc_id", "hash")
+    return without(docs, bad, how.get("id_col", "doc_id"), how.get("text_col", "text"))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).drop("hash")

@@ -353,13 +353,91 @@ def test_quality_of_awkward_texts(docs):
     assert quality.judge(df.limit(0)).count() == 0
 
 
+def test_quality_votes_and_features_by_force():
+    import regex
+    import xxhash
+
+    r = random.Random(3)
+    voc = ["Alpha,", "is", "NASA", "|", "$x$", "word", "of", "a", "Über", "12", "don't", "…", "loooooooooooooong"]
+    texts = ["", "one", " ".join(r.choices(voc, k=40)), "x y z " * 30, " ".join(f"w{i % 9}" for i in range(300)), "A | B | C", " ".join(r.choices(voc, k=900)), " ".join(f"w{r.randrange(90)}" for _ in range(5000))]
+
+    def shape(w):
+        s = "".join("0" if regex.match(r"\p{N}", c) else "A" if regex.match(r"\p{Lu}", c) else "a" if regex.match(r"\p{L}", c) else c for c in w)
+        s = regex.sub("(A+|a+|0+)", lambda m: m[0][0], s)
+        return xxhash.xxh3_64_intdigest((s[:6] + s[-6:] if len(s) > 12 else s).encode())
+
+    got = quality.Texts([t.encode() for t in texts], quality.Words())
+    votes, (many, keys, values) = got.votes(), got.features()
+    ends = np.cumsum(many)
+    for d, t in enumerate(texts):
+        w = t.split()
+        n = len(w)
+        c = Counter(shape(x) % quality.DIMENSIONS for x in w)
+        c.update((shape(x) * 31 + shape(y) * 17) % quality.DIMENSIONS for x, y in zip(w, w[1:]))
+        same = sum(x == y for x, y in zip(w, w[1:]))
+        if n:
+            c.update({1: same, 2: n - same})
+        norm = math.sqrt(sum(v * v for v in c.values()))
+        own = dict(zip(keys[ends[d] - many[d] : ends[d]].tolist(), values[ends[d] - many[d] : ends[d]].tolist()))
+        assert own == pytest.approx({k: v / norm for k, v in c.items()})
+        if n >= 4:
+            assert got.distinct_runs()[d] == pytest.approx(len({tuple(w[i : i + 4]) for i in range(n - 3)}) / (n - 3))
+        bars = sum(x == "|" for x in w) / max(n, 1)
+        assert votes[d][1] == (-1 if n and bars >= 0.1 else 0)
+        marks = sum(not k.isalnum() for x in w for k in x) / max(1, sum(map(len, w)))
+        assert votes[d][6] == (0 if not n else -1 if marks >= 0.09 else 1 if marks <= 0.06 else 0)
+    assert [v[4] for v in votes] == [0, 0, 0, -1, -1, 0, 0, 0]  # the longest one has few words, but ever new runs
+
+
+def test_expectation_maximisation_by_force():
+    r = np.random.default_rng(2)
+    v = r.integers(-1, 2, (300, len(quality.LABELLERS)))
+    p, n = np.unique(quality.vote_pattern(v), return_counts=True)
+    got = quality.expectation_maximisation(p, n.astype(float), rounds=7)
+    prior, right = 0.8, np.tile([0.4, 0.98], (v.shape[1], 1))
+    for _ in range(7):
+        post = []
+        for row in v:
+            good, bad = prior, 1 - prior
+            for k, x in enumerate(row):
+                good *= right[k, 1] if x == 1 else 1 - right[k, 1] if x == -1 else 1
+                bad *= right[k, 0] if x == -1 else 1 - right[k, 0] if x == 1 else 1
+            post.append(good / (good + bad))
+        post = np.array(post)
+        for k in range(v.shape[1]):
+            hit = (1 - post)[v[:, k] == -1].sum() + 1, post[v[:, k] == 1].sum() + 9
+            miss = (1 - post)[v[:, k] == 1].sum() + 1, post[v[:, k] == -1].sum() + 1
+            right[k] = [min(max(a / (a + b), 0.01), 0.999) for a, b in zip(hit, miss)]
+        prior = min(max((post.sum() + 4) / (len(v) + 5), 0.01), 0.99)
+    assert got.prior == pytest.approx(prior) and got.right == pytest.approx(right)
+
+
+def test_scorer_reaches_the_smallest_loss():
+    r = np.random.default_rng(5)
+    keys = [r.choice(30, 6, replace=False) for _ in range(200)]
+    values = [np.full(6, 6**-0.5) for _ in keys]
+    target = np.array([0.9 if (k < 8).sum() > 1 else 0.1 for k in keys])
+    s = quality.fit_scorer(keys, values, target, rounds=2000)
+    x = np.zeros((200, 31))
+    for i, k in enumerate(keys):
+        x[i, k] = values[i]
+    x[:, 30] = 1
+    weigh = target / target.mean() + (1 - target) / (1 - target.mean())
+    loss = lambda w: float(np.mean(weigh * (np.logaddexp(0, x @ w) - target * (x @ w))))
+    w = np.zeros(31)
+    for _ in range(50):  # Newton
+        q = 1 / (1 + np.exp(-(x @ w)))
+        w -= np.linalg.solve((x * (weigh * q * (1 - q))[:, None]).T @ x + 1e-4 * np.eye(31), x.T @ (weigh * (q - target)) + 1e-4 * w)
+    assert loss(np.append(s.weights[:30], s.bias)) < loss(w) + 1e-3
+
+
 def test_expectation_maximisation_finds_accuracies():
     r = np.random.default_rng(0)
     truth = r.random(20_000) < 0.8
     k = len(quality.LABELLERS)
     acc = np.linspace(0.7, 0.95, k)
     votes = np.where(r.random((len(truth), k)) < acc, truth[:, None], ~truth[:, None]) * 2 - 1
-    p, n = np.unique([quality.vote_pattern(v) for v in votes.tolist()], return_counts=True)
+    p, n = np.unique(quality.vote_pattern(votes), return_counts=True)
     assert (quality.unpattern(p)[:, 0] ** 2 == 1).all()
     m = quality.expectation_maximisation(p, n.astype(float))
     assert m.right[:, 1] == pytest.approx(acc, abs=0.05) and m.prior == pytest.approx(0.8, abs=0.05)
