@@ -15,16 +15,19 @@ the overlap of two documents. Bounds from the sizes say what need not be multipl
   cell, all documents are first compared with its smallest id; those linked with it are one component already and need
   not be compared with each other. The others, in blocks of BLOCK, are each multiplied with the whole cell.
 
-Equal sets count once (the smallest id stands for its class), so copies are never paired. A block's product leaves its
-task only as the edges of a spanning forest, never as pairs.
+Equal sets count once: the smallest id stands for its class, and of the others next to none gets into a cell (a bit map
+of fixed size tells them from the first ones), so copies are never paired. The product is sparse: the columns of few
+documents add one to each of their pairs, and those of many are taken together in dense blocks. A block's product leaves
+its task only as the edges of a spanning forest, never as pairs. Frequent digests, columns and cells are dealt over
+several tasks.
 
 N-grams go by 64-bit names. Texts travel compressed, and their sets are built where they are multiplied: names don't
 compress, and the words of a text do.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased; a text of fewer words than n has its whole
 sequence as its one n-gram; null and empty texts have size 0 and link with nothing; rows without an id get the
-component of their text's class; rows that share an id are one node of the graph and each get a row; an empty table
-gives no rows; other columns are not read.
+component of their text's class; rows that share an id are one node of the graph, each gets a row with the component of
+its text's class, and each is dropped for its own text; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,13 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import WordHashes, discard, map_arrow, materialize, mix, rolling, slices, table
+from linelake.llm.common import HOT, WordHashes, discard, join_groups, map_arrow, materialize, mix, rolling, slices, table, text_hash, without
 from linelake.llm.components import connected_components, forest
 
 WIDTH = 5
 PERCENT = 80
 BLOCK = 512
 COLUMNS = 2048
+DENSE = 32  # documents from which on a column goes into a dense block
+PAIRS = 1 << 22  # pairs that sparse columns add up at once
+STREAM_BYTES = 64 << 20  # of sets that are multiplied with a block at once
 PRODUCT = 4096  # documents of a cell whose first columns are multiplied in one task; larger cells go by blocks only
 
 BUCKETS = 1 << 20  # counters for the order of n-grams
@@ -82,8 +88,31 @@ def links(a: np.ndarray | int, b: np.ndarray | int, overlap: np.ndarray | int, p
 
 def product(at: np.ndarray, doc: np.ndarray, docs: int, rows: slice, cols: slice) -> np.ndarray:
     """Rows and columns of A times its transpose, for an incidence of docs by columns given as (column, document) in
-    column order. By blocks of COLUMNS columns of A."""
-    out = np.zeros((rows.stop - rows.start, cols.stop - cols.start), np.float32)
+    column order. Columns of fewer than DENSE documents add one for each of their pairs; the others are multiplied in
+    blocks of COLUMNS."""
+    high, wide = rows.stop - rows.start, cols.stop - cols.start
+    out = np.zeros((high, wide), np.float32)
+    if not len(at):
+        return out
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    size = np.diff(np.append(first, len(at)))
+    many = np.repeat(size, size)
+    begin = np.repeat(first, size)
+    left = np.flatnonzero((many < DENSE) & (doc >= rows.start) & (doc < rows.stop))
+    ends = np.cumsum(many[left])
+    lo = 0
+    while lo < len(left):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        own = left[lo:hi]
+        k = many[own]
+        other = doc[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[own], k)]
+        cell = (np.repeat(doc[own], k) - rows.start) * wide + other - cols.start
+        cell = cell[(other >= cols.start) & (other < cols.stop)]
+        out += np.bincount(cell, minlength=high * wide).reshape(high, wide)
+        lo = hi
+    dense = many >= DENSE
+    at, doc = at[dense], doc[dense]
+    at = np.cumsum(np.append(0, at[1:] != at[:-1])) if len(at) else at
     last = int(at[-1]) + 1 if len(at) else 0
     for lo in range(0, last, COLUMNS):
         a, b = np.searchsorted(at, (lo, lo + COLUMNS))
@@ -119,7 +148,7 @@ class Cell:
 
     def __init__(self, percent: int):
         self.percent, self.key = percent, None
-        self.ids, self.sets, self.own, self.more = [], [], [], []
+        self.ids, self.sets, self.own, self.more, self.held = [], [], [], [], 0
 
     def product(self, a_ids, a, b_ids, b) -> np.ndarray:
         sizes_a, sizes_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
@@ -139,13 +168,14 @@ class Cell:
         else:
             self.own.append(doc)
             self.more.append(s)
-            if len(self.own) == BLOCK:
+            self.held += s.nbytes
+            if len(self.own) == BLOCK or self.held >= STREAM_BYTES:
                 out += self.stream()
         return out
 
     def stream(self):
         out = [self.product(self.ids, self.sets, self.own, self.more)] if self.ids and self.own else []
-        self.own, self.more = [], []
+        self.own, self.more, self.held = [], [], 0
         return out
 
     def end(self):
@@ -157,37 +187,38 @@ class Cell:
 
 
 def _profile(docs: DataFrame, width: int) -> DataFrame:
-    """For each document its id, size and digest of its set; and each task's most frequent counters of n-grams."""
-    names = ["doc_id", "n", "digest", "bucket", "seen"]
+    """For each document its id, the hash of its text, size and digest of its set; and each task's most frequent counters
+    of n-grams."""
+    names = ["doc_id", "hash", "n", "digest", "bucket", "seen"]
 
     def run(batches):
         words, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for part, data in slices(batch, 1):
+            for part, data in slices(batch, 2):
                 sets = [shingle_set(x, words, width) for x in data]
                 counts += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
                 n = len(sets)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
         heavy = np.flatnonzero(counts > counts.mean() + 6 * counts.mean() ** 0.5 + 4)
         k = len(heavy)
         if k:
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(heavy), pa.array(counts[heavy])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(heavy), pa.array(counts[heavy])], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, bucket long, seen long")
+    return docs.mapInArrow(run, "doc_id long, hash string, n long, digest binary, bucket long, seen long")
 
 
-def _entries(docs: DataFrame, weight: np.ndarray, width: int, percent: int) -> DataFrame:
-    """key, doc_id, n (its size): the columns that choose a document's blocks."""
-    sent = docs.sparkSession.sparkContext.broadcast(weight)
+def _entries(docs: DataFrame, reps: DataFrame, weight: np.ndarray, width: int, percent: int) -> DataFrame:
+    """key, doc_id, n (its size): the columns that choose a document's blocks, of the documents reps and a few others."""
+    sent = docs.sparkSession.sparkContext.broadcast((weight, _sieve(reps)))
 
     def make():
         words = WordHashes()
         heavy = np.zeros(BUCKETS, np.int64)
-        heavy[sent.value[0]] = sent.value[1]
+        heavy[sent.value[0][0]] = sent.value[0][1]
 
         def each(batch):
-            for part, data in slices(batch, 1):
+            for part, data in slices(_sieved(batch, 2, sent.value[1]), 1):
                 sets = [shingle_set(x, words, width) for x in data]
                 keys = [prefix(s, heavy, percent) if len(s) else s for s in sets]
                 times = [len(k) for k in keys]
@@ -196,7 +227,7 @@ def _entries(docs: DataFrame, weight: np.ndarray, width: int, percent: int) -> D
 
         return each
 
-    return map_arrow(docs.filter("doc_id is not null"), make, "key long, doc_id long, n int")
+    return map_arrow(_marked(docs), make, "key long, doc_id long, n int")
 
 
 def least_shared(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -257,8 +288,12 @@ def survivors(rows: list[tuple], percent: int) -> list[int]:
 
 
 def _prune(places: DataFrame, percent: int) -> DataFrame:
-    """The places of documents that may link with another of their cell. Cells of more than PRODUCT documents pass."""
-    dealt = places.repartition("cell").sortWithinPartitions("cell", "doc_id")
+    """The places of documents that may link with another of their cell. Cells of more than PRODUCT documents pass; those
+    that hold more than a thousandth of all places, which are fewer than a thousand, are not even brought together."""
+    sizes = places.groupBy("cell").agg(F.count("*").alias("n"))
+    total = places.count()
+    hot = F.broadcast(sizes.filter((F.col("n") > PRODUCT) & (F.col("n") * HOT > total)).select("cell"))
+    dealt = places.join(hot, "cell", "left_anti").repartition("cell").sortWithinPartitions("cell", "doc_id")
 
     def run(batches):
         group, passing, cell = [], False, None
@@ -278,7 +313,7 @@ def _prune(places: DataFrame, percent: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], _NAMES)
 
-    return dealt.mapInArrow(run, PLACES)
+    return dealt.mapInArrow(run, PLACES).unionByName(places.join(hot, "cell", "left_semi"))
 
 
 def _multiply(rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -314,6 +349,17 @@ def _sieve(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the document's bit of a bit map."""
+    return docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("b"))
+
+
+def _sieved(batch: pa.RecordBatch, k: int, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows of a batch whose bit, in column k, is set."""
+    b = np.asarray(batch.column(k))
+    return batch.filter(pa.array((bits[b >> 5] >> (b & 31).astype(np.uint32)) & 1 == 1))
+
+
 def _compressed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and compressed text of the documents among ids and a few others: tasks leave out most by a bit map."""
     sent = docs.sparkSession.sparkContext.broadcast(_sieve(ids))
@@ -322,39 +368,40 @@ def _compressed(docs: DataFrame, ids: DataFrame) -> DataFrame:
         bits = sent.value
 
         def each(batch):
-            b = np.asarray(batch.column(2))
-            batch = batch.filter(pa.array((bits[b >> 5] >> (b & 31).astype(np.uint32)) & 1 == 1))
-            for part, data in slices(batch, 1):
+            for part, data in slices(_sieved(batch, 2, bits), 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zlib.compress(x, 1) for x in data], pa.binary())], ["doc_id", "z"])
 
         return each
 
-    marked = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("b"))
-    return map_arrow(marked, make, "doc_id long, z binary")
+    return map_arrow(_marked(docs), make, "doc_id long, z binary")
 
 
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id that can be reached by links) of each document."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """doc_id, hash (text_hash of the text), n_shingles, component_id (smallest id that can be reached by links) of each
+    document."""
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("hash"), text.alias("text"))
     profile = materialize(_profile(docs, width), "profile")
+    docs = docs.drop("hash")
     heavy = profile.filter("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toPandas()  # BUCKETS rows at most
     weight = np.stack([heavy["bucket"].to_numpy(np.int64), heavy["seen"].to_numpy(np.int64)])
 
     # classes of equal sets; the smallest id stands for its class
-    sized = profile.filter("bucket is null").select("doc_id", "n", "digest")
-    classes = sized.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    known = materialize(sized.join(classes, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), "rep"), "classes")
+    sized = profile.filter("bucket is null").select("doc_id", "hash", "n", "digest")
+    classes = materialize(sized.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
+    reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
 
     # cells
-    entries = materialize(_entries(docs, weight, width, percent), "entries")
-    shared = materialize(entries.groupBy("key").agg(F.min("doc_id").alias("cell"), F.max("doc_id").alias("last")).filter("cell < last").select("key", "cell"), "columns")
-    reps = known.filter("rep is not null").select("doc_id", "rep").distinct()
-    places = materialize(_places(entries.join(shared, "key")), "places")
+    entries = materialize(_entries(docs, reps, weight, width, percent), "entries")
+    columns = entries.groupBy("key").agg(F.min("doc_id").alias("cell"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
+    shared = materialize(columns.filter("cell < last").select("key", "cell", "size"), "columns")
+    places = materialize(_places(join_groups(entries, shared, ["key"], "size")), "places")
     discard(entries)
-    kept = materialize(_prune(places, percent).select("cell", "doc_id").join(reps, "doc_id").select("cell", F.col("rep").alias("doc_id")).distinct(), "kept")
-    sizes = kept.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1")
-    cells = materialize(kept.join(sizes, "cell"), "cells")
-    discard(places)
+    kept = materialize(_prune(places, percent).select("cell", "doc_id").join(reps, "doc_id", "left_semi").distinct(), "kept")
+    sizes = materialize(kept.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1").withColumn("members", F.col("size")), "sizes")
+    cells = materialize(join_groups(kept, sizes, ["cell"], "members"), "cells")
+    for x in (places, kept, shared):
+        discard(x)
     texts = _compressed(docs, cells.select("doc_id").distinct())
 
     # cells of one block, and the first step of larger ones
@@ -368,8 +415,10 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     if not large.isEmpty():
         edges = edges.unionByName(_rest(large, centres.select("cell", F.col("doc_id").alias("centre")), edges, docs, width, percent, block))
     components = connected_components(edges)
-    joined = known.join(components, known["rep"] == components["node"], "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    named = classes.join(components, classes["rep"] == components["node"], "left")
+    named = materialize(named.select("digest", F.coalesce("component", "rep").alias("component_id"), "members"), "components")
+    linked = join_groups(sized.filter("n > 0"), named, ["digest"], "members").select("doc_id", "hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return linked.unionByName(sized.filter("n = 0").select("doc_id", "hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def _rest(large: DataFrame, centres: DataFrame, edges: DataFrame, docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
@@ -390,10 +439,9 @@ def _rest(large: DataFrame, centres: DataFrame, edges: DataFrame, docs: DataFram
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """The documents without those that link, directly or not, with one of smaller id; all columns are kept. Documents
     without words or without an id are kept."""
-    id_col = how.get("id_col", "doc_id")
-    drop = similar(docs, **how).filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    drop = similar(docs, **how).filter("component_id < doc_id").select("doc_id", "hash")
+    return without(docs, drop, how.get("id_col", "doc_id"), how.get("text_col", "text"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return similar(table(spark, sf_dir, "documents"), width=4, percent=85).drop("hash")

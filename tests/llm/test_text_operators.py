@@ -66,6 +66,19 @@ def test_jaccard(spark, monkeypatch, width, percent, block, product):
     assert jaccard.similar(df.limit(0), width, percent).count() == 0
 
 
+def test_sparse_and_dense_products_agree(monkeypatch):
+    r = np.random.default_rng(3)
+    for density in (0.02, 0.3, 0.9):
+        sets = [np.flatnonzero(r.random(200) < density * r.random()).astype(np.uint64) for _ in range(70)]
+        want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        for dense, pairs in ((0, 100), (1000, 100), (8, 1 << 20)):
+            monkeypatch.setattr(jaccard, "DENSE", dense)
+            monkeypatch.setattr(jaccard, "PAIRS", pairs)
+            assert (jaccard.overlaps(sets[:20], sets[20:]) == want[:20, 20:]).all()
+            got = jaccard.overlaps(sets, sets)
+            assert all(got[i, j] == want[i, j] for i in range(70) for j in range(70) if i != j)
+
+
 def test_prefix_of_linked_sets_meets():
     r = np.random.default_rng(0)
     weight = r.integers(0, 3, jaccard.BUCKETS)
