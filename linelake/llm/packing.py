@@ -10,7 +10,7 @@ Shards of about SHARD pieces are packed apart; each leaves a few sequences open,
 identifiers and lengths are shuffled, never ids. Long pieces come first within a shard, so that short ones, of which
 there are many kinds, fill the gaps at its end.
 
-Defined results: null text is empty, and an empty document is one piece of one id; no documents give no rows; of
+Defined results: the string of an added token in a text gets that token's id; null text is empty, and an empty document is one piece of one id; no documents give no rows; of
 equal pieces the one with the smaller (doc_id, piece) is placed first; repeated rows are packed each; other columns
 are not read.
 """
@@ -36,13 +36,13 @@ _encoders: dict = {}
 
 #: Runs this long without white space go to the tokenizer whose cost stays near linear in the length of a word.
 LONG_RUN = 5_000
-_long = regex.compile(rb"\S{%d}" % LONG_RUN)
 
 
 class Encoder:
     """Ids of the byte-level vocabulary of `vocabulary` (a tokenizers file). A file of the same name with the suffix
     .tiktoken beside it holds the same vocabulary as ranks and gives the same ids several times as fast; it is used
-    where it exists."""
+    where it exists, but for texts with a string of an added token (it has the token's id, as `tokenizers` gives it
+    without further settings) and for those with very long words."""
 
     def __init__(self, vocabulary: str):
         import os
@@ -51,7 +51,8 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.slow = Tokenizer.from_file(vocabulary)
-        self.slow.encode_special_tokens = True
+        added = [regex.escape(x.content) for x in self.slow.get_added_tokens_decoder().values()]
+        self.rare = regex.compile("|".join([rf"\S{{{LONG_RUN}}}", *added]).encode())
         self.fast, ranks = None, vocabulary.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -63,7 +64,7 @@ class Encoder:
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.decode("utf-8", "replace")
-        if self.fast is None or _long.search(text):
+        if self.fast is None or self.rare.search(text):
             return np.array(self.slow.encode(words, add_special_tokens=False).ids, "<u4")
         return np.asarray(self.fast.encode_to_numpy(words), "<u4")
 

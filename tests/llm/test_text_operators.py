@@ -209,7 +209,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(packing.default_vocabulary())
-    slow.encode_special_tokens = True
     want = Counter()
     for i, t in rows:
         ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -258,6 +257,17 @@ def test_sum_of_squares(lengths):
         fill[w] = o + s
 
 
+def test_ids_are_those_of_the_plain_call():
+    from tokenizers import Tokenizer
+
+    plain, e = Tokenizer.from_file(packing.default_vocabulary()), packing.encoder(packing.default_vocabulary())
+    r = random.Random(6)
+    long = "".join(r.choices("abc é\n\t.,'1 \u00a0漢🙂", k=20_000))
+    for text in ("a<|endoftext|>b", "<|endoftext|>", "<|endoftext|", long, "x" * 6000 + " <|endoftext|>", "y" * 4999 + " z", " ".join(["word"] * 5000), long.replace(" ", "<|endoftext|>")):
+        assert e(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert e(b"<|endoftext|>").tolist() == [50256]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=80))
 def test_both_tokenizers_agree(text):
