@@ -249,9 +249,6 @@ class Recursion:
             a = a / c[:, None]
             self.alpha[lo : lo + n], self.scale[lo : lo + n] = a, c
 
-    def log_likelihoods(self) -> np.ndarray:
-        return np.bincount(self.doc, np.log(self.scale))
-
     def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, transitions and emissions."""
         m, s = self.m, len(self.m.start)
@@ -272,6 +269,21 @@ class Recursion:
         return gamma[: int(self.count[0])].sum(0), move * m.move, emit
 
 
+def log_likelihoods(m: Hmm, docs: list[np.ndarray]) -> np.ndarray:
+    """Scaled forward recursions of documents side by side (in order of falling length): of each document one row of
+    states and the sum so far are held, however long it is."""
+    emit, out = np.ascontiguousarray(m.emit.T), np.zeros(len(docs))
+    a, n = np.broadcast_to(m.start, (len(docs), len(m.start))), len(docs)
+    for t in range(len(docs[0]) if docs else 0):
+        while len(docs[n - 1]) <= t:
+            n -= 1
+        a = (a[:n] if t == 0 else a[:n] @ m.move) * emit[[x[t] for x in docs[:n]]]
+        c = a.sum(1)
+        a = a / c[:, None]
+        out[:n] += np.log(c)
+    return out
+
+
 def _symbols(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
 
@@ -315,7 +327,7 @@ def _likelihoods(encoded: DataFrame, model: Hmm) -> DataFrame:
             docs = _symbols(batch.column(1))
             out = np.zeros(len(docs))
             for own in chunks(docs):
-                out[own] = Recursion(m, [docs[i] for i in own]).log_likelihoods()
+                out[own] = log_likelihoods(m, [docs[i] for i in own])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns)), pa.array(out / math.log(10))], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside", "likelihood"])
 
         return each
