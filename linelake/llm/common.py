@@ -116,12 +116,14 @@ HOT, SALTS = 1000, 64
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """rows joined with groups (a row per key, with the number of its rows in `size`, which goes). The rows of a hot key
     are dealt over several tasks; hot keys are fewer than HOT by what they are, so they can be broadcast."""
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    total, most = groups.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    if most * HOT <= total:
+        return rows.join(groups.drop(size).hint("shuffle_hash"), keys)
     part, hot = fresh(rows, "part", "hot")
     much = groups.filter(F.col(size) * HOT > total).select(*keys, F.lit(True).alias(hot))
     dealt = rows.join(F.broadcast(much), keys, "left").withColumn(part, F.when(F.col(hot), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0)).drop(hot)
     parts = F.sequence(F.lit(0).cast("long"), F.when(F.col(size) * HOT > total, SALTS - 1).otherwise(0).cast("long"))
-    return dealt.join(groups.withColumn(part, F.explode(parts)).drop(size), [*keys, part]).drop(part)
+    return dealt.join(groups.withColumn(part, F.explode(parts)).drop(size).hint("shuffle_hash"), [*keys, part]).drop(part)
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 from linelake.llm.common import MULT, WordHashes, discard, extended, fresh, join_groups, map_arrow, materialize, mix, slices, table
 
 WINDOW = 20
-ROUNDS = 4
-PAIRINGS = 4  # of a later round
+ROUNDS = 3
+PAIRINGS = 6  # of a later round
 SLICE = 2 << 20  # bytes of text whose symbols are held at once
 PLACE_BITS = 30  # of a place in its document, as a text has less than 2 ** 31 bytes; the document's rank has the rest
 LONG = 5  # symbols of the first round in a symbol that may be a repeat as a whole
@@ -156,9 +156,7 @@ def _marks(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     flat = lists.flatten()
     doc = np.repeat(np.arange(len(sizes)), sizes)
     packed, name = np.asarray(flat.field(0)), np.asarray(flat.field(1))
-    order = np.lexsort((packed, doc))
-    packed = packed[order]
-    return doc[order], packed >> PLACE_BITS, packed & LOW, name[order]
+    return doc, packed >> PLACE_BITS, packed & LOW, name
 
 
 def _next_symbols(state: DataFrame) -> DataFrame:
@@ -192,16 +190,48 @@ def _named(places: DataFrame, *keys: str) -> DataFrame:
     return join_groups(places, groups, list(keys), "n")
 
 
-def _by_document(symbols: DataFrame, tag: str) -> DataFrame:
-    """rank, marks: the symbols (at, count, name) of each document, as places and counts in one number, and names."""
-    packed = F.struct((F.shiftleft(F.col("at").bitwiseAND(LOW), PLACE_BITS) + F.col("count")).alias("place"), "name")
-    return materialize(symbols.groupBy(F.shiftright("at", PLACE_BITS).alias("rank")).agg(F.collect_list(packed).alias("marks")), tag)
+def _by_document(rows: DataFrame, tag: str, column: str, low: str, value: str) -> DataFrame:
+    """rank and a list of structs for each document of the rows, which have `at`: its place with `low` in one number,
+    and `value`. The rows of a document are brought together in their order, and lists are cut from whole batches."""
+    rank = F.shiftright("at", PLACE_BITS)
+    sorted_ = rows.select(rank.alias("rank"), (F.shiftleft(F.col("at").bitwiseAND(LOW), PLACE_BITS) + F.col(low)).alias("place"), F.col(value).cast("long").alias("name"))
+    sorted_ = sorted_.repartition("rank").sortWithinPartitions("rank", "place")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # the rows of the last document so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rank = np.asarray(batch.column(0))
+            if held and held[0].column(0)[0].as_py() != rank[0]:
+                yield whole(held)
+                held = []
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            if len(cuts):
+                yield whole([*held, batch.slice(0, cuts[0])])
+                if len(cuts) > 1:
+                    yield lists(batch.slice(cuts[0], cuts[-1] - cuts[0]), cuts - cuts[0])
+                held = []
+                batch = batch.slice(cuts[-1])
+            held.append(batch)
+        if held:
+            yield whole(held)
+
+    def whole(parts):
+        batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return lists(batch, np.array([0, batch.num_rows]))
+
+    def lists(batch, ends):
+        rows = pa.StructArray.from_arrays([batch.column(1), batch.column(2)], ["place", "name"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ends[:-1])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], ["rank", column])
+
+    return materialize(sorted_.mapInArrow(run, f"rank long, {column} array<struct<place: long, name: long>>"), tag)
 
 
 def _rounds(own: DataFrame, window: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
     """The named symbols of the first round by document, and the long symbols (at, count, name) of all further ones."""
     places = materialize(_first_symbols(own, window), "symbols")
-    first = _by_document(_named(places, "name").select("at", F.lit(1).cast("long").alias("count"), F.col("first").alias("name")), "state")
+    first = _by_document(_named(places, "name").select("at", F.lit(1).alias("count"), F.col("first").alias("name")), "state", "marks", "count", "name")
     discard(places)
     state, long = first, []
     for k in range(1, rounds):
@@ -211,7 +241,7 @@ def _rounds(own: DataFrame, window: int, rounds: int) -> tuple[DataFrame, list[D
         named = materialize(_named(symbols.filter("made").select("at", "count", "name"), "name", "count").select("at", "count", F.col("first").alias("name")), "long")
         long.append(named)
         if k + 1 < rounds:
-            state = _by_document(named.unionByName(symbols.filter("not made").select("at", "count", "name")), "state")
+            state = _by_document(named.unionByName(symbols.filter("not made").select("at", "count", "name")), "state", "marks", "count", "name")
         discard(symbols)
     return first, long
 
@@ -292,24 +322,22 @@ def _ranks(ids: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, hash (of the text), found: stretches (start, length, in words from 0) whose words also start earlier."""
+    """doc_id, hash (of the text), found: stretches whose words also start earlier (place: start, in words from 0, times
+    2 ** PLACE_BITS, and length)."""
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).filter("doc_id is not null and text is not null")
-    ranks = materialize(_ranks(own.select("doc_id", "hash").distinct()), "ranks")
+    ranks = _ranks(own.select("doc_id", "hash").distinct())
     first, long = _rounds(own.join(ranks, ["doc_id", "hash"]).select("text", "rank"), window, rounds)
-    every = first.select("rank", "marks").limit(0)
-    if long:
-        several = long[0]
-        for x in long[1:]:
-            several = several.unionByName(x)
-        every = _by_document(several.filter(F.col("count") >= LONG), "passages")
-    marked = ranks.join(first, "rank", "left").join(every.withColumnRenamed("marks", "long"), "rank", "left")
+    several = long[0]
+    for x in long[1:]:
+        several = several.unionByName(x)
+    passages = _by_document(several.filter(F.col("count") >= LONG), "passages", "long", "count", "name")
+    marked = ranks.join(first, "rank", "left").join(passages, "rank", "left")
     found = materialize(_candidates(own.join(marked, ["doc_id", "hash"]).select("text", "rank", "marks", "long"), window), "candidates")
-    for x in (first, *long):
+    for x in (first, passages, *long):
         discard(x)
     later = _named(found, "symbol", "digest").filter("at > first")
-    stretch = F.struct(F.col("at").bitwiseAND(LOW).alias("start"), "length")
-    stretches = materialize(later.groupBy(F.shiftright("at", PLACE_BITS).alias("rank")).agg(F.collect_list(stretch).alias("found")), "stretches")
+    stretches = _by_document(later.select("at", "length", F.lit(0).alias("none")), "stretches", "found", "length", "none")
     discard(found)
     return stretches.join(ranks, "rank").select("doc_id", "hash", "found")
 
@@ -357,7 +385,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = True, i
                 lists = part.column(last)
                 sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
                 flat, to = lists.flatten(), np.cumsum(sizes)
-                start, length = (np.asarray(flat.field(i)) for i in (0, 1))
+                start, length = np.asarray(flat.field(0)) >> PLACE_BITS, np.asarray(flat.field(0)) & LOW
                 rows = [remove(x, start[b - n : b], length[b - n : b], layout) for x, n, b in zip(data, sizes.tolist(), to.tolist())]
                 kept = pa.array([r[0] for r in rows], pa.binary()).cast(pa.string())
                 if layout:
