@@ -56,12 +56,12 @@ def pairings(window: int) -> int:
     return max(1, int(math.log(max(window, 8) / 6) / math.log(4 / 3) + 1e-9))
 
 
-def parse(h: np.ndarray, cut: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of a sequence and where they start, by one naming of runs and `levels` of pairs; and two maps of all
-    boundaries 0..n: a stretch from a to b has the inner symbols from later[a] to earlier[b], whatever stands around
+def parse(h: np.ndarray, cut: np.ndarray, levels: int, maps: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a sequence and where they start, by one naming of runs and `levels` of pairs; and, with maps, two maps
+    of all boundaries 0..n: a stretch from a to b has the inner symbols from later[a] to earlier[b], whatever stands around
     it (none where later[a] >= earlier[b]). cut: before which items the sequence is interrupted (the first is)."""
     n = len(h)
-    later, earlier = np.arange(n + 1, dtype=np.int32), np.arange(n + 1, dtype=np.int32)
+    later, earlier = (np.arange(n + 1 if maps else 0, dtype=np.int32) for _ in range(2))
     head = cut.copy()
     head[1:] |= h[1:] != h[:-1]
     start = np.flatnonzero(head).astype(np.int32)
@@ -70,16 +70,18 @@ def parse(h: np.ndarray, cut: np.ndarray, levels: int) -> tuple[np.ndarray, np.n
     sym = h[start]
     long = count > 1
     sym[long] = mix(sym[long] * MULT + count[long].astype(np.uint64))
-    of = np.cumsum(head) - 1
-    later[:n], earlier[1:] = ends[of], start[of]  # the outermost runs may go on outside
-    step = np.arange(n + 1, dtype=np.int32)
+    if maps:  # the outermost runs may go on outside
+        later[:n], earlier[1:] = np.repeat(ends, count), np.repeat(start, count)
+    step = later.copy()
     for level in range(1, levels + 1):
         after = np.append(start[1:], np.int32(n))
         left = (sym >> np.uint64(level)) & np.uint64(1) == 1  # names are random, and so are their bits
-        step[start], step[n] = np.where(left, start, after), n
-        later = step[later]
-        step[0], step[after] = 0, np.where(left, start, after)
-        earlier = step[earlier]
+        if maps:
+            inner = np.where(left, start, after)
+            step[start], step[n] = inner, n
+            later = step[later]
+            step[0], step[after] = 0, inner
+            earlier = step[earlier]
         pair = np.flatnonzero(left[:-1] & ~left[1:] & ~cut[start[1:]])
         joined = mix((sym[pair] + np.uint64(level)) * MULT + sym[pair + 1])
         keep = np.ones(len(sym), bool)
@@ -93,15 +95,17 @@ def parse(h: np.ndarray, cut: np.ndarray, levels: int) -> tuple[np.ndarray, np.n
 class Words:
     """The words of some documents in a row: names, where the documents begin and end, and the first round's symbols."""
 
-    def __init__(self, data: list[bytes], names: WordHashes, levels: int):
+    def __init__(self, data: list[bytes], names: WordHashes, levels: int, maps: bool = True):
         found = [names.of(x.split()) for x in data]
         self.h = np.concatenate(found)
-        self.ends = np.cumsum([len(x) for x in found])
+        sizes = [len(x) for x in found]
+        self.ends = np.cumsum(sizes)
         self.begins = np.append(0, self.ends[:-1])
         cut = np.zeros(len(self.h) + 1, bool)
         cut[self.begins] = True
-        self.sym, self.start, self.later, self.earlier = parse(self.h, cut[:-1], levels)
-        self.doc = np.searchsorted(self.ends, self.start, side="right")  # of each symbol
+        self.sym, self.start, self.later, self.earlier = parse(self.h, cut[:-1], levels, maps)
+        self.of = np.repeat(np.arange(len(data), dtype=np.int32), sizes)  # document of each word
+        self.doc = self.of[self.start]  # and of each symbol
         self.first = np.searchsorted(self.start, self.begins)  # symbol of each document
 
     def digests(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,7 +143,7 @@ def _first_symbols(own: DataFrame, window: int) -> DataFrame:
 
         def each(batch):
             for part, data in slices(batch, 0, SLICE):
-                w = Words(data, names, levels)
+                w = Words(data, names, levels, maps=False)
                 keep = (w.ends - w.begins >= window)[w.doc]
                 doc = w.doc[keep]
                 at = (_numbers(part.column(1))[doc] << PLACE_BITS) | (np.flatnonzero(keep) - w.first[doc])
@@ -184,26 +188,23 @@ def _next_symbols(state: DataFrame) -> DataFrame:
 
 
 def _named(places: DataFrame, *keys: str) -> DataFrame:
-    """The places whose symbol has several, with `first`, the first of them: the symbol's global name."""
-    groups = places.groupBy(*keys).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"))
-    groups = materialize(groups.filter("first < last").select(*keys, "first", "n"), "names")
+    """The places whose symbol stands several times (in equal rows at one place), with `first`, the first of them: the symbol's global name."""
+    groups = materialize(places.groupBy(*keys).agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1"), "names")
     return join_groups(places, groups, list(keys), "n")
 
 
 def _by_document(rows: DataFrame, tag: str, column: str, low: str, value: str) -> DataFrame:
     """rank and a list of structs for each document of the rows, which have `at`: its place with `low` in one number,
     and `value`. The rows of a document are brought together in their order, and lists are cut from whole batches."""
-    rank = F.shiftright("at", PLACE_BITS)
-    sorted_ = rows.select(rank.alias("rank"), (F.shiftleft(F.col("at").bitwiseAND(LOW), PLACE_BITS) + F.col(low)).alias("place"), F.col(value).cast("long").alias("name"))
-    sorted_ = sorted_.repartition("rank").sortWithinPartitions("rank", "place")
+    sorted_ = rows.select("at", F.col(low).cast("long"), F.col(value).cast("long")).repartition(F.shiftright("at", PLACE_BITS)).sortWithinPartitions("at")
 
     def run(batches):
         held: list[pa.RecordBatch] = []  # the rows of the last document so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rank = np.asarray(batch.column(0))
-            if held and held[0].column(0)[0].as_py() != rank[0]:
+            rank = np.asarray(batch.column(0)) >> PLACE_BITS
+            if held and held[0].column(0)[0].as_py() >> PLACE_BITS != rank[0]:
                 yield whole(held)
                 held = []
             cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
@@ -222,8 +223,10 @@ def _by_document(rows: DataFrame, tag: str, column: str, low: str, value: str) -
         return lists(batch, np.array([0, batch.num_rows]))
 
     def lists(batch, ends):
-        rows = pa.StructArray.from_arrays([batch.column(1), batch.column(2)], ["place", "name"])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ends[:-1])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], ["rank", column])
+        at = np.asarray(batch.column(0))
+        places = pa.array(((at & LOW) << PLACE_BITS) + np.asarray(batch.column(1)))
+        rows = pa.StructArray.from_arrays([places, batch.column(2)], ["place", "name"])
+        return pa.RecordBatch.from_arrays([pa.array(at[ends[:-1]] >> PLACE_BITS), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], ["rank", column])
 
     return materialize(sorted_.mapInArrow(run, f"rank long, {column} array<struct<place: long, name: long>>"), tag)
 
@@ -278,7 +281,7 @@ def _candidates(marked: DataFrame, window: int) -> DataFrame:
                 first[w.first[doc] + place] = name
                 single = np.append(0, np.cumsum(first < 0))
                 p = np.arange(n)
-                p = p[(p + window <= np.repeat(w.ends, w.ends - w.begins)) & (reach < p + window)]
+                p = p[(p + window <= w.ends[w.of]) & (reach < p + window)]
                 lo, hi = w.later[p], w.earlier[p + window]
                 number = np.cumsum(np.bincount(w.start, minlength=n + 1)) - 1  # of the symbol that starts there
                 number[n] = len(w.sym)
@@ -291,7 +294,7 @@ def _candidates(marked: DataFrame, window: int) -> DataFrame:
                 for k in range(window):
                     other = mix(other * MULT + w.h[q + k])
                 symbol[~inner] = other
-                doc = np.searchsorted(w.ends, p, side="right")
+                doc = w.of[p]
                 yield _rows(symbol, w.digests(p, p + window), rank[doc], p - w.begins[doc], np.full(len(p), window))
 
         return each
