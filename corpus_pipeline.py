@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
 columns of documents; the last returns a row per piece with its place in a sequence.
 
-Defined results: a null id is never joined with anything, so such rows pass the filters (their text is still judged
-for the others); rows that share an id are kept or dropped together; null texts stay null up to the last stage, where
+Defined results: each row is judged by its own text, also where ids repeat or are null; a row without an id is in no
+group of near copies and loses no passage; null texts stay null up to the last stage, where
 they are empty; other columns pass through to the last stage.
 """
 
