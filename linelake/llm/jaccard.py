@@ -288,11 +288,11 @@ def survivors(rows: list[tuple], percent: int) -> list[int]:
 
 
 def _prune(places: DataFrame, percent: int) -> DataFrame:
-    """The places of documents that may link with another of their cell. Cells of more than PRODUCT documents pass; those
-    that hold more than a thousandth of all places, which are fewer than a thousand, are not even brought together."""
+    """The places of documents that may link with another of their cell. Cells of more than PRODUCT documents pass; so do,
+    where they lie, those of more than BLOCK that hold more than a thousandth of all places (fewer than a thousand)."""
     sizes = places.groupBy("cell").agg(F.count("*").alias("n"))
     total = places.count()
-    hot = F.broadcast(sizes.filter((F.col("n") > PRODUCT) & (F.col("n") * HOT > total)).select("cell"))
+    hot = F.broadcast(sizes.filter((F.col("n") > BLOCK) & (F.col("n") * HOT > total)).select("cell"))
     dealt = places.join(hot, "cell", "left_anti").repartition("cell").sortWithinPartitions("cell", "doc_id")
 
     def run(batches):
