@@ -231,13 +231,15 @@ def segment_distance(a0: Vec, a1: Vec, b0: Vec, b1: Vec) -> Column:
 
 
 def coincide(a1: Vec, b1: Vec, a2: Vec, b2: Vec, angle: float = 0.15, distance: float = 0.015) -> Column:
-    """Nearly one line: a small angle, either end of the second near the first line, and a common stretch."""
-    d1, d2 = (b1 - a1).unit(), (b2 - a2).unit()
-    near = (d1.cross(a2 - a1).norm() < distance) | (d1.cross(b2 - a1).norm() < distance)
-    x, y = d1.dot(a2 - a1), d1.dot(b2 - a1)
-    low, high = F.least(x, y), F.greatest(x, y)
-    common = ((low < 0) & (high > 0)) | ((low > 0) & (low < (b1 - a1).norm()))
-    return (F.abs(d1.dot(d2)) > math.cos(angle)) & near & common
+    """Nearly one line: a small angle, either end of the second near the first line, and a common stretch. In squares of
+    scalar products, without roots and quotients, so that the expression stays small; lines of length zero never do."""
+    u, v, p, q = b1 - a1, b2 - a2, a2 - a1, b2 - a1
+    uu, uv, up, uq = u.dot(u), u.dot(v), u.dot(p), u.dot(q)
+    far = lambda w, along: w.dot(w) * uu - along * along  # noqa: E731  squared distance from the line, times uu
+    near = (far(p, up) < distance * distance * uu) | (far(q, uq) < distance * distance * uu)
+    low, high = F.least(up, uq), F.greatest(up, uq)
+    common = ((low < 0) & (high > 0)) | ((low > 0) & (low < uu))
+    return (uv * uv > math.cos(angle) ** 2 * uu * v.dot(v)) & near & common
 
 
 def equal_2d(l1: tuple[Num | str, ...], l2: tuple[Num | str, ...], cos2: float = 0.98, distance2: float = 2.0) -> Column:
@@ -358,6 +360,24 @@ def back_project(u: Num, v: Num, depth: Num, fx: float, fy: float, cx: float, cy
     return Vec(((col(u) - cx) * z / fx, (col(v) - cy) * z / fy, z))
 
 
+def transform_line(rows: list[Vec], shift: Vec) -> list[Column]:
+    """A line's ends moved and its two normals turned: sx .. n2z."""
+    ends = [transform(rows, Vec.of(*(f"{p}{c}" for c in "xyz")), shift) for p in "se"]
+    normals = [transform(rows, Vec.of(*(f"{p}{c}" for c in "xyz"))) for p in ("n1", "n2")]
+    return [x for p, v in zip(("s", "e", "n1", "n2"), ends + normals) for x in v.aliased(*(f"{p}{c}" for c in "xyz"))]
+
+
+def intrinsics(width: Num, height: Num, fx: Num, fy: Num) -> tuple[Column, Column, Column, Column]:
+    """fx, fy, cx, cy of a camera whose axis meets the middle of its image."""
+    return col(fx), col(fy), col(width) / 2.0, col(height) / 2.0
+
+
+def intrinsics_of_view(width: Num, height: Num, across: Num, upright: Num) -> tuple[Column, Column, Column, Column]:
+    """The same from the fields of view, in degrees."""
+    focal = lambda size, angle: col(size) / 2.0 / F.tan(F.radians(col(angle) / 2.0))
+    return intrinsics(width, height, focal(width, across), focal(height, upright))
+
+
 def ray_to_depth(u: Num, v: Num, length: Num, fx: float, fy: float, cx: float, cy: float) -> Column:
     """Depth in whole millimetres (cut) of a point at a distance along the pixel's ray."""
     x, y = (col(u) - cx) / fx, (col(v) - cy) / fy

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,9 +50,10 @@ def bounded_queue(df: DataFrame, keys: list[str], value: str, sequence: str, siz
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(order, sequence))).filter(F.col("rank") <= size)
 
 
-def greedy(found: DataFrame, most_rounds: int = 100) -> DataFrame:
+def greedy(found: DataFrame, most_rounds: int = 8) -> DataFrame:
     """One-to-one matches in the order of (rating, id1, id2): in rounds, every pair that is the best of both of its
-    lines is taken and its lines leave; the result is that of taking pairs one by one."""
+    lines is taken and its lines leave; the result is that of taking pairs one by one. A few rounds take nearly all;
+    chains in which each pair waits for the next are then finished by pairs of frames."""
     taken = None
     spark = found.sparkSession
     own = lambda side: W.partitionBy("f1", "f2", side).orderBy("rating", "id1", "id2")
@@ -65,7 +67,8 @@ def greedy(found: DataFrame, most_rounds: int = 100) -> DataFrame:
         left = left.join(best.select("f1", "f2", "id1"), ["f1", "f2", "id1"], "left_anti").join(best.select("f1", "f2", "id2"), ["f1", "f2", "id2"], "left_anti")
         left = _cut(left.select(*found.columns))
     else:
-        raise RuntimeError("greedy matching did not end")
+        rest = greedy_in_frames(left)
+        taken = rest if taken is None else taken.unionByName(rest)
     return taken if taken is not None else spark.createDataFrame([], found.schema)
 
 
@@ -91,34 +94,57 @@ def greedy_in_frames(found: DataFrame) -> DataFrame:
     return found.groupBy("f1", "f2").applyInPandas(one, found.schema)
 
 
-def nearest_elsewhere(clusters: DataFrame, k: int, dim: int, blocks: int = 16, key: str = "frame_id") -> DataFrame:
+#: Rows of a block of the map, and of the clusters that are compared with it at once.
+BLOCK_ROWS, ASKED_ROWS = 4096, 256
+
+
+def nearest_elsewhere(clusters: DataFrame, k: int, dim: int, key: str = "frame_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """For each cluster, of the 2k + 1 nearest clusters (itself among them), the first k of other frames: id1, id2,
-    frame1, floor1, floor2, d2, rank. Exact search of every cluster against the whole map: the map is cut into blocks,
-    each task holds one block as a matrix and streams the queries through it, and emits its 2k + 1 nearest; Spark
-    merges the blocks' lists."""
+    frame1, floor1, floor2, d2, rank. Exact search of every cluster against the whole map. Both sides are cut into
+    blocks of about `block_rows` rows, so there are as many cells, a block of either side each, as the work asks for,
+    and a task holds one block of the map as a matrix while the rows of the other stream by. Each cell emits a row's
+    2k + 1 nearest; Spark merges the cells' lists."""
     most = 2 * k + 1
-    a = clusters.select(F.col("line_id").alias("id"), F.col(key).alias("frame"), F.col("floor_id").alias("floor"), F.col("embedding").cast("array<double>").alias("v"))
-    map_rows = a.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("role", F.lit(0))
-    asked = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("role", F.lit(1))
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, asks = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        if not len(own) or not len(asks):
-            return pd.DataFrame({c: [] for c in ("id1", "frame1", "floor1", "id2", "frame2", "floor2", "d2")})
-        own = own.sort_values("id")
-        m = np.stack(own["v"].to_numpy())
-        out = []
-        for i, f, g, v in zip(asks["id"], asks["frame"], asks["floor"], asks["v"]):
-            # added up in the order of the dimensions, so that every engine gets the same number
-            d = np.zeros(len(m))
-            for j in range(m.shape[1]):
-                d += (v[j] - m[:, j]) ** 2
-            best = np.lexsort((own["id"].to_numpy(), d))[:most]
-            out.append(pd.DataFrame({"id1": i, "frame1": f, "floor1": g, "id2": own["id"].to_numpy()[best], "frame2": own["frame"].to_numpy()[best], "floor2": own["floor"].to_numpy()[best], "d2": d[best]}))
-        return pd.concat(out)
-
-    both = map_rows.unionByName(asked)
-    parts = both.groupBy("block").applyInPandas(near, "id1 long, frame1 long, floor1 long, id2 long, frame2 long, floor2 long, d2 double")
+    blocks = max(1, -(-clusters.count() // block_rows))
+    a = clusters.select(F.col("line_id").alias("id"), F.col(key).alias("frame"), F.col("floor_id").alias("floor"), F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("line_id"), F.lit(blocks)).alias("own"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    columns = ["id", "frame", "floor", "v"]
+    map_rows = a.withColumn("ask", other).select(F.col("own").alias("map"), "ask", F.lit(0).alias("role"), *columns)
+    asked = a.withColumn("map", other).select("map", F.col("own").alias("ask"), F.lit(1).alias("role"), *columns)
+    cells = map_rows.unionByName(asked).repartition("map", "ask").sortWithinPartitions("map", "ask", "role", "id")
+
+    def near(batches):
+        cell, block = None, []
+        for batch in batches:
+            head = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+            cuts = np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1
+            for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(head))):
+                if not hi:
+                    continue
+                ids, frames, floors = (batch.column(i).to_numpy(zero_copy_only=False)[lo:hi] for i in (3, 4, 5))
+                v = np.stack([np.asarray(x.values) for x in batch.column(6)[int(lo) : int(hi)]])
+                if tuple(head[lo][:2]) != cell:
+                    cell, block = tuple(head[lo][:2]), []
+                if head[lo][2] == 0:
+                    block.append((ids, frames, floors, v))
+                    continue
+                if len(block) > 1:
+                    block = [tuple(np.concatenate(x) for x in zip(*block))]
+                for at in range(0, len(ids) if block else 0, ASKED_ROWS):
+                    part = slice(at, at + ASKED_ROWS)
+                    yield compare(ids[part], frames[part], floors[part], v[part], *block[0])
+
+    def compare(ids, frames, floors, v, ids2, frames2, floors2, v2):
+        # added up in the order of the dimensions, so that every engine gets the same number
+        d = np.zeros((len(ids), len(ids2)))
+        for j in range(v.shape[1]):
+            d += (v[:, j, None] - v2[None, :, j]) ** 2
+        best = np.argsort(d, axis=1, kind="stable")[:, :most]  # of equal distances the smaller id
+        n = best.shape[1]
+        flat = best.ravel()
+        return pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x, n)) for x in (ids, frames, floors)), *(pa.array(x[flat]) for x in (ids2, frames2, floors2)), pa.array(np.take_along_axis(d, best, 1).ravel())], ["id1", "frame1", "floor1", "id2", "frame2", "floor2", "d2"])
+
+    parts = cells.mapInArrow(near, "id1 long, frame1 long, floor1 long, id2 long, frame2 long, floor2 long, d2 double")
     w = W.partitionBy("id1").orderBy("d2", "id2")
     ranked = parts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
     return ranked.filter("frame1 <> frame2").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("frame2", "place")

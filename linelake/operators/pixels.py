@@ -31,14 +31,16 @@ def strip_pixels(lines: DataFrame, keys: list[str], width: int, height: int, off
     p0, p1, q0, q1 = F.when(flat, x0).otherwise(y0), F.when(flat, x1).otherwise(y1), F.when(flat, y0).otherwise(x0), F.when(flat, y1).otherwise(x1)
     across = math.ceil((most + offset) * math.sqrt(2)) + 1
     ok = lines.filter((F.greatest(x0, x1) >= 0) & (F.least(x0, x1) < width) & (F.greatest(y0, y1) >= 0) & (F.least(y0, y1) < height) & (p0 != p1))
+    n = (G.Vec.of(*line[2:]) - G.Vec.of(*line[:2])).norm()
+    ok = ok.select(*keys, *line, flat.alias("_flat"), p0.alias("_p0"), q0.alias("_q0"), p1.alias("_p1"), F.try_divide(q1 - q0, p1 - p0).alias("_slope"), n.alias("_n"))
+    flat, p0, q0, p1, slope, n = (F.col(c) for c in ("_flat", "_p0", "_q0", "_p1", "_slope", "_n"))
     low, high = F.greatest(F.least(p0, p1) - most - 1, F.lit(0.0)), F.least(F.greatest(p0, p1) + most + 1, F.when(flat, float(width - 1)).otherwise(float(height - 1)))
     along = ok.withColumn("_k", F.explode(F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int"))))
-    middle = F.floor(q0 + (F.col("_k") - p0) * F.try_divide(q1 - q0, p1 - p0)).cast("int")
+    middle = F.floor(q0 + (F.col("_k") - p0) * slope).cast("int")
     near = along.withColumn("_j", F.explode(F.sequence(middle - across, middle + across + 1)))
     cells = near.withColumn("u", F.when(flat, F.col("_k")).otherwise(F.col("_j"))).withColumn("v", F.when(flat, F.col("_j")).otherwise(F.col("_k")))
     cells = cells.filter((F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
     d, p = G.Vec.of(*line[2:]) - G.Vec.of(*line[:2]), G.Vec((F.col("u").cast("double"), F.col("v").cast("double"))) - G.Vec.of(*line[:2])
-    n = d.norm()
     t, off = G.div(p.dot(d), n * n), G.div(p.c[1] * d.c[0] - p.c[0] * d.c[1], n)
     size = F.least(F.lit(most), n * 0.5)
     inside = (t >= 0) & (t <= 1) & (F.abs(off) >= offset) & (F.abs(off) <= size + offset)
@@ -47,10 +49,11 @@ def strip_pixels(lines: DataFrame, keys: list[str], width: int, height: int, off
 
 def inliers(pixels: DataFrame, cloud: DataFrame, keys: list[str]) -> DataFrame:
     """Points at the pixels; NaN points are left out, and a line with a zero (no depth) point anywhere goes wholly."""
-    found = pixels.join(cloud, ["frame_id", "u", "v"])
+    # the pixels of all strips grow with the lines, whatever their estimate says: neither side is sent to all tasks
+    found = pixels.hint("merge").join(cloud, ["frame_id", "u", "v"])
     zero = (F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0)
     bad = found.filter(zero).select(*keys).distinct()
-    return found.filter(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).join(bad, keys, "left_anti")
+    return found.filter(~(F.isnan("x") | F.isnan("y") | F.isnan("z"))).join(bad.hint("merge"), keys, "left_anti")
 
 
 def labelled_inliers(points: DataFrame, planes: DataFrame, instances: DataFrame, keys: list[str], within: float) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linelake.functions import geometry as G
+
 
 def majority(df: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
     """The most frequent label of each group; of equally frequent ones the smallest; null labels don't vote, and a
@@ -15,6 +17,34 @@ def majority(df: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
     return counted.groupBy(*keys).agg(F.coalesce(best, F.lit(0)).alias(label), F.sum("n").alias("votes"))
 
 
+def sampled_labels(lines: DataFrame, image: DataFrame, keys: list[str], camera: tuple[float, float, float, float], size: tuple[int, int], samples: int = 10) -> DataFrame:
+    """keys, label, votes: what most of `samples` + 1 points of a 3-D line (sx .. ez, in camera axes) see in the instance
+    image (frame_id, u, v, label; one row a pixel) of its frame. Points beside the image see its border; a pixel without
+    a row has label 0; of equally frequent labels the smallest wins."""
+    at = lines.withColumn("_t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(samples)), lambda k: k / F.lit(float(samples)))))
+    u, v = G.project(G.start() + (G.end() - G.start()) * F.col("_t"), *camera)
+    inside = lambda x, most: F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(most - 1)).cast("long")
+    seen = at.select(*keys, *([] if "frame_id" in keys else ["frame_id"]), inside(u, size[0]).alias("u"), inside(v, size[1]).alias("v"))
+    return majority(seen.join(image, ["frame_id", "u", "v"], "left").withColumn("label", F.coalesce("label", F.lit(0))), keys)
+
+
+def plane_label(points: DataFrame, keys: list[str], furthest: bool) -> DataFrame:
+    """keys, label: the majority label of the side (0 or 1) whose points have the mean nearest to the origin, or furthest
+    from it; of equally far sides it is side 1. points: keys, side, label, x, y, z. A side without points takes no part."""
+    means = points.groupBy(*keys, "side").agg(*[F.avg(c).alias(c) for c in "xyz"]).withColumn("far", G.Vec.of("x", "y", "z").norm())
+    both = majority(points, [*keys, "side"]).join(means.select(*keys, "side", "far"), [*keys, "side"])
+    best = F.max_by("label", F.struct("far", "side")) if furthest else F.min_by("label", F.struct("far", -F.col("side")))
+    return both.groupBy(*keys).agg(best.alias("label"))
+
+
+def class_of_instance(lines: DataFrame, classes: DataFrame, on: list[str], label: str = "label") -> DataFrame:
+    """lines with class_id from classes (on, class_id; on includes the label). Label 0 without a class has class 0; any
+    other label without one is an error."""
+    unknown = F.raise_error(F.concat(F.lit("no class of instance "), F.col(label).cast("string"))).cast("long")
+    found = F.coalesce(F.col("class_id").cast("long"), F.when(F.col(label) == 0, F.lit(0).cast("long")).otherwise(unknown))
+    return lines.drop("class_id").join(classes, on, "left").withColumn("class_id", found)
+
+
 def first_by(df: DataFrame, keys: list[str], value: str, *order: Column | str) -> DataFrame:
     """The value of each group's first row in an order."""
     return df.groupBy(*keys).agg(F.min_by(F.col(value), F.struct(*order)).alias(value))

@@ -301,6 +301,28 @@ def _(c):
     return df.select("line_id", *G.transform(G.rotation(*map(F.col, "ijkw")), G.start(), G.end()).aliased("x", "y", "z"))
 
 
+_turn = (0.1, -0.3, 0.5, math.sqrt(1 - 0.01 - 0.09 - 0.25))
+
+
+def _turned_sql() -> str:
+    x, y, z, w = _turn
+    rows = [(1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)), (2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)), (2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y))]
+    own = [f"floor(({' + '.join(f'{k!r}::DOUBLE * {p}{c}' for k, c in zip(r, 'xyz'))}{f' + {m}' if p in 'se' else ''}) * 1e6 + 0.5)::BIGINT AS {p}{d}" for p in ("s", "e", "n1", "n2") for d, r, m in zip("xyz", rows, (1, -2, 3))]
+    return f"WITH {LINE} SELECT line_id, {', '.join(own)} FROM v_line"
+
+
+@query("transform_lines", _turned_sql())
+def _(c):
+    moved = c.line.select("line_id", *G.transform_line(G.rotation(*map(F.lit, _turn)), G.Vec((F.lit(1.0), F.lit(-2.0), F.lit(3.0)))))
+    return moved.select("line_id", *[micro(F.col(x)).alias(x) for x in moved.columns[1:]])
+
+
+@query("intrinsics", "SELECT kind, floor(fx * 1e6 + 0.5)::BIGINT AS fx, floor(fy * 1e6 + 0.5)::BIGINT AS fy, cx, cy FROM (VALUES ('focal', 600::DOUBLE, 600::DOUBLE, 320::DOUBLE, 240::DOUBLE), ('view', 160 / tan(radians(30)), 120 / tan(radians(22.5)), 160::DOUBLE, 120::DOUBLE)) AS t(kind, fx, fy, cx, cy)")
+def _(c):
+    row = lambda kind, k: c.spark.range(1).select(F.lit(kind).alias("kind"), *[micro(x).alias(n) if n[0] == "f" else x.alias(n) for n, x in zip(("fx", "fy", "cx", "cy"), k)])
+    return row("focal", G.intrinsics(640.0, 480.0, 600.0, 600.0)).unionByName(row("view", G.intrinsics_of_view(320.0, 240.0, 60.0, 45.0)))
+
+
 def _look_sql() -> str:
     z = over(sub(B, A), norm(sub(B, A)))
     t = f"t AS (SELECT *, {named(z, ['zx', 'zy', 'zz'])} FROM v_line), "

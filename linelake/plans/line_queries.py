@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
-from linelake.operators import clustering, lines, pixels, planes
+from linelake.operators import clustering, lines, pixels, planes, votes
 from linelake.plans.carriers import DIM, LINE, PAIR, PID, POINT, PX, Carriers
 from linelake.plans.geometry_queries import cross, dot, norm, sub, times, vec
 
@@ -206,6 +206,47 @@ def _(c):
     return pixels.mean_colour(near, image, ["line_id"]).drop("b")
 
 
+_sampled = f"WITH {LINE}, {POINT}, img AS (SELECT frame_id, u, v, min(instance) AS label FROM v_point GROUP BY ALL), s AS (SELECT line_id, frame_id, {', '.join(f's{c} + (e{c} - s{c}) * (k / 10::DOUBLE) AS {c}' for c in 'xyz')} FROM (SELECT line_id, frame_id, sx, sy, sz + 1.5::DOUBLE AS sz, ex, ey, ez + 1.5::DOUBLE AS ez FROM v_line), (SELECT unnest(range(0, 11)) AS k)), q AS (SELECT line_id, frame_id, least(greatest(floor(x * 200::DOUBLE / z + 160), 0), 319)::BIGINT AS u, least(greatest(floor(y * 200::DOUBLE / z + 120), 0), 239)::BIGINT AS v FROM s), c AS (SELECT line_id, coalesce(label, 0) AS label, count(*) AS n FROM q LEFT JOIN img USING (frame_id, u, v) GROUP BY ALL) SELECT line_id, label, 11::BIGINT AS votes FROM c QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY n DESC, label) = 1"
+
+
+@query("sampled_labels", _sampled)
+def _(c):
+    image = c.point.groupBy("frame_id", "u", "v").agg(F.min("instance").alias("label"))
+    own = c.line.withColumns({"sz": F.col("sz") + 1.5, "ez": F.col("ez") + 1.5})
+    return votes.sampled_labels(own.select("line_id", "frame_id", "sx", "sy", "sz", "ex", "ey", "ez"), image, ["line_id"], (200.0, 200.0, 160.0, 120.0), (320, 240))
+
+
+def _plane_label(order: str) -> str:
+    strips = _strip_colours()
+    strips = strips[: strips.rindex(" SELECT line_id, CASE")].replace("p.class_id * 30 AS r, p.instance AS g", "p.instance AS label, (p.u - 160) * p.z / 200::DOUBLE AS x, (p.v - 120) * p.z / 200::DOUBLE AS y, p.z AS z")
+    return f"""{strips}, k AS (SELECT line_id, CASE WHEN off > 0 THEN 1 ELSE 0 END AS side, label, x, y, z FROM j WHERE t >= 0 AND t <= 1 AND abs(off) >= 0.5 AND abs(off) <= least(5.0, n * 0.5) + 0.5),
+ m AS (SELECT line_id, side, sqrt(avg(x) * avg(x) + avg(y) * avg(y) + avg(z) * avg(z)) AS far FROM k GROUP BY ALL),
+ b AS (SELECT line_id, side, label FROM k GROUP BY line_id, side, label QUALIFY row_number() OVER (PARTITION BY line_id, side ORDER BY count(*) DESC, label) = 1)
+ SELECT line_id, label FROM b JOIN m USING (line_id, side) QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY {order}) = 1"""
+
+
+def _strip_labels(c, furthest: bool):
+    near = pixels.strip_pixels(c.px, ["frame_id", "line_id"], 320, 240)
+    cloud = c.point.select("frame_id", "u", "v", F.col("instance").alias("label"), *G.back_project("u", "v", F.col("z").cast("double"), 200.0, 200.0, 160.0, 120.0).aliased("x", "y", "z"))
+    return votes.plane_label(near.hint("merge").join(cloud, ["frame_id", "u", "v"]), ["line_id"], furthest)
+
+
+@query("closest_plane_label", _plane_label("far, side DESC"))
+def _(c):
+    return _strip_labels(c, False)
+
+
+@query("furthest_plane_label", _plane_label("far DESC, side DESC"))
+def _(c):
+    return _strip_labels(c, True)
+
+
+@query("class_of_known_instance", f"WITH {LINE}, {POINT}, m AS (SELECT instance, min(class_id) AS class_id FROM v_point GROUP BY ALL) SELECT line_id, coalesce(m.class_id, 0) AS class_id FROM (SELECT line_id, label % 16 AS label FROM v_line) l LEFT JOIN m ON m.instance = l.label")
+def _(c):
+    classes = c.point.groupBy(F.col("instance").alias("label")).agg(F.min("class_id").alias("class_id"))
+    return votes.class_of_instance(c.line.select("line_id", (F.col("label") % 16).alias("label")), classes, ["label"]).select("line_id", "class_id")
+
+
 @query("labelled_inliers", f"WITH {POINT}, q AS (SELECT frame_id, u, v, z FROM v_point WHERE abs(z - 20) <= 5), n AS (SELECT DISTINCT frame_id, u, v, instance FROM v_point) SELECT frame_id, instance, count(*) AS n FROM q JOIN n USING (frame_id, u, v) GROUP BY ALL")
 def _(c):
     points = c.point.select("frame_id", F.lit(0).alias("line_id"), F.lit(0).alias("side"), "u", "v", F.col("u").cast("double").alias("x"), F.col("v").cast("double").alias("y"), "z")

@@ -435,6 +435,12 @@ def _(c):
     return topics.first_frames(c.tick.withColumn("at", F.struct("ts", "event_id")), "user_id", "at").select("user_id", "event_id")
 
 
+@query("pose_at_stamp", f"WITH {TICK}, p AS (SELECT stamp, min(value) AS x, count(*) AS n FROM v_tick WHERE event_id % 3 = 0 GROUP BY ALL) SELECT event_id, x, n FROM v_tick JOIN p USING (stamp)")
+def _(c):
+    poses = c.tick.filter("event_id % 3 = 0").groupBy("stamp").agg(F.min("value").alias("x"), F.count("*").alias("n"))
+    return topics.with_pose(c.tick.select("event_id", "stamp"), poses).select("event_id", "x", "n")
+
+
 @query("merged_maps", f"WITH {LINE}, f AS (SELECT DISTINCT floor_id, scene_id, frame_id FROM v_line) SELECT a.frame_id, b.frame_id AS twin FROM f a LEFT JOIN f b ON a.floor_id = b.floor_id AND a.scene_id = b.scene_id AND b.frame_id = a.frame_id + 1")
 def _(c):
     f = c.line.select("floor_id", "scene_id", "frame_id").distinct()

@@ -21,6 +21,9 @@ def session(cpus: int | str = "*", **conf: str) -> SparkSession:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed and kept in the folder of spark.checkpoint.dir, where the loss of an executor doesn't touch it."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="linelake-"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="linelake-"))
     return df.checkpoint()

@@ -87,3 +87,8 @@ def not_yet(manifest: DataFrame, done: DataFrame, key: str = "name", most: int |
     """Entries of a manifest that are not among those done, in order, at most `most`."""
     left = manifest.join(done.select(key), key, "left_anti").orderBy(key)
     return left if most is None else left.limit(most)
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Predictions with their labels, geometries, backgrounds and validities, in folders by scene."""
+    predictions.write.mode("overwrite").partitionBy("scene_id").parquet(path)

@@ -84,3 +84,9 @@ def histogram_when_full(hist: DataFrame, n: int) -> DataFrame:
     """The batch part of full_histogram: rows only when all n frames are there."""
     total = hist.select(F.explode("frames").alias("f")).agg(F.count_distinct("f").alias("k"))
     return hist.crossJoin(F.broadcast(total)).filter(F.col("k") >= n).select("bin", "n")
+
+
+def with_pose(messages: DataFrame, poses: DataFrame, stamp: str = "stamp") -> DataFrame:
+    """Messages with the pose of their very stamp; those without one go. poses (a static table or a stream with a
+    watermark) has one row for each stamp."""
+    return messages.join(poses, stamp)

@@ -72,3 +72,83 @@ def test_approximate_neighbours_recall(spark):
     want = {(u, v) for u in range(240) for v in range(u + 1, 240) if d[u, v] <= 1.2}
     assert set(got) <= want and len(got) >= 0.9 * len(want) > 0
     assert all(abs(far - d[k]) < 1e-9 for k, far in got.items())
+
+
+def test_greedy_matching_ends_on_long_chains(spark):
+    from linelake.operators import matching
+
+    rows = [(1, 2, i, i, float(2 * i - 1)) for i in range(1, 221)] + [(1, 2, i + 1, i, float(2 * i)) for i in range(1, 220)]
+    found = spark.createDataFrame(rows, "f1 long, f2 long, id1 long, id2 long, rating double")
+    a, b = (sorted(map(tuple, f(found).collect())) for f in (matching.greedy, matching.greedy_in_frames))
+    assert len(a) == 220 and a == b
+
+
+def test_nearest_elsewhere_by_force(spark):
+    import random
+
+    from linelake.operators import matching
+
+    r = random.Random(1)
+    rows = [(i, i // 5, i % 3, [round(r.random(), 1) for _ in range(3)]) for i in range(60)] + [(100, 70, 0, [0.5, 0.5, 0.5]), (101, 71, 0, [0.5, 0.5, 0.5])]
+    df = spark.createDataFrame(rows, "line_id long, frame_id long, floor_id long, embedding array<float>")
+    wide = {i: [float(x) for x in v] for i, *_, v in df.collect()}
+    for k, block in ((1, 4096), (4, 9), (2, 1)):
+        want = set()
+        for i, f, g, _ in rows:
+            d = sorted((sum((a - b) ** 2 for a, b in zip(wide[i], wide[j])), j) for j, *_ in rows)[: 2 * k + 1]
+            near = [(j, rank) for rank, j in enumerate((j for _, j in d if dict((x[0], x[1]) for x in rows)[j] != f), 1)][:k]
+            want |= {(i, j, rank) for j, rank in near}
+        got = matching.nearest_elsewhere(df, k, 3, block_rows=block)
+        assert {(x.id1, x.id2, x["rank"]) for x in got.collect()} == want
+    assert matching.nearest_elsewhere(df.limit(0), 2, 3).count() == 0
+
+
+def test_code_of_coinciding_lines_compiles(spark, sf):
+    from linelake.plans.geometry_queries import QUERIES
+
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    try:
+        assert QUERIES["lines_coincide"](spark, sf).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+        spark.conf.unset("spark.sql.codegen.factoryMode")
+
+
+def test_labels_sampled_along_lines(spark):
+    from linelake.operators import votes
+
+    lines = spark.createDataFrame([(1, 7, -0.5, 0.0, 1.0, 0.5, 0.0, 1.0), (2, 7, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0), (3, 8, 5.0, 5.0, 1.0, 9.0, 9.0, 1.0)], "line_id long, frame_id long, sx double, sy double, sz double, ex double, ey double, ez double")
+    image = spark.createDataFrame([(7, u, 5, 4 if u < 3 else 2) for u in range(7)] + [(8, 9, 9, 6)], "frame_id long, u long, v long, label long")
+    got = {x.line_id: (x.label, x.votes) for x in votes.sampled_labels(lines, image, ["line_id"], (10.0, 10.0, 5.0, 5.0), (10, 10)).collect()}
+    # line 1 sees columns 0 .. 9 and the border: three times 4, four times 2, four times nothing, which is 0
+    assert got == {1: (0, 11), 2: (2, 11), 3: (6, 11)}
+
+
+def test_plane_labels(spark):
+    from linelake.operators import votes
+
+    rows = [(1, 0, 5, 0.0, 0.0, 1.0), (1, 0, 5, 0.0, 0.0, 3.0), (1, 0, 6, 0.0, 0.0, 2.0), (1, 1, 8, 0.0, 0.0, 4.0), (2, 0, 3, 1.0, 0.0, 0.0), (2, 1, 4, 0.0, 1.0, 0.0), (3, 0, 9, 1.0, 1.0, 1.0)]
+    p = spark.createDataFrame(rows, "line_id long, side int, label long, x double, y double, z double")
+    near, far = ({x.line_id: x.label for x in votes.plane_label(p, ["line_id"], f).collect()} for f in (False, True))
+    assert near == {1: 5, 2: 4, 3: 9} and far == {1: 8, 2: 4, 3: 9}
+
+
+def test_unknown_instances_are_an_error(spark):
+    import pytest
+
+    from linelake.operators import votes
+
+    classes = spark.createDataFrame([(1, 10), (2, 20)], "label long, class_id long")
+    lines = spark.createDataFrame([(1, 1), (2, 0), (3, 2)], "line_id long, label long")
+    assert {x.line_id: x.class_id for x in votes.class_of_instance(lines, classes, ["label"]).collect()} == {1: 10, 2: 0, 3: 20}
+    with pytest.raises(Exception, match="no class of instance 7"):
+        votes.class_of_instance(spark.createDataFrame([(1, 7)], "line_id long, label long"), classes, ["label"]).collect()
+
+
+def test_predictions_round_trip(spark, tmp_path):
+    from linelake.sources.line_files import write_predictions
+
+    df = spark.createDataFrame([(0, 1, 5, 2, True, False), (1, 2, 6, 6, False, True)], "scene_id int, line_id int, label int, prediction int, background boolean, valid boolean")
+    write_predictions(df, f"file://{tmp_path}/p")
+    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/p").select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
