@@ -19,8 +19,8 @@ round to round to what is shared, until symbols are whole passages.
 
 A window without an inner symbol (within one long run, say) is named by digests of its words alone.
 
-Counts and first places are combined before each shuffle; keys that hold more than a thousandth of all rows are spread
-by a salt when they are joined again.
+The places of a symbol meet in one shuffle. Symbols that hold more than a thousandth of all places, which are about a
+thousand at most, are left out of it: their first places are combined in the tasks and sent to all.
 
 Defined results: words are runs without ASCII white space; null, empty and short texts hold no window and lose nothing;
 of equal windows the one with the smallest (id, place) stays; a window may repeat one that it overlaps; rows without an
@@ -38,15 +38,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linelake.llm.common import MULT, WordHashes, discard, extended, fresh, join_groups, map_arrow, materialize, mix, slices, table
+from linelake.llm.common import HOT, MULT, WordHashes, discard, extended, fresh, map_arrow, materialize, mix, slices, table
 
 WINDOW = 20
 ROUNDS = 3
 PAIRINGS = 6  # of a later round
 SLICE = 2 << 20  # bytes of text whose symbols are held at once
 PLACE_BITS = 30  # of a place in its document, as a text has less than 2 ** 31 bytes; the document's rank has the rest
+SHARE = 256  # of so many places one is looked at to find the most frequent symbols
 LONG = 5  # symbols of the first round in a symbol that may be a repeat as a whole
 LOW = (1 << PLACE_BITS) - 1
 
@@ -188,9 +190,21 @@ def _next_symbols(state: DataFrame) -> DataFrame:
 
 
 def _named(places: DataFrame, *keys: str) -> DataFrame:
-    """The places whose symbol stands several times (in equal rows at one place), with `first`, the first of them: the symbol's global name."""
-    groups = materialize(places.groupBy(*keys).agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1"), "names")
-    return join_groups(places, groups, list(keys), "n")
+    """The places whose symbol stands several times (in equal rows at one place), with `first`, the first of them: the
+    symbol's global name. The places of a symbol are brought together once. Those of the most frequent symbols stay
+    where they are and get the names by broadcast: symbols with more than a thousandth of all places, of which there
+    are about HOT at most. Which these are is told from every SHARE-th place; it changes no result."""
+    seen = places.filter(F.pmod(F.xxhash64("at"), F.lit(SHARE)) == 0).groupBy(*keys).agg(F.count("*").alias("n"))
+    hot = seen.filter(F.col("n") > max(16, places.count() // (SHARE * HOT))).drop("n").collect()
+    own = W.partitionBy(*keys)
+    rest, first = places, None
+    if hot:
+        much = F.broadcast(places.sparkSession.createDataFrame(hot, places.select(*keys).schema))
+        mine, rest = (places.join(much, list(keys), how) for how in ("left_semi", "left_anti"))
+        names = mine.groupBy(*keys).agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        first = mine.join(F.broadcast(names), list(keys))
+    named = rest.withColumns({"first": F.min("at").over(own), "n": F.count("*").over(own)}).filter("n > 1").drop("n")
+    return named if first is None else named.unionByName(first)
 
 
 def _by_document(rows: DataFrame, tag: str, column: str, low: str, value: str) -> DataFrame:

@@ -111,6 +111,23 @@ def test_license_scan_meets_wrapped_notices(spark):
     assert [tuple(b) for x in got if x.doc_id == 2 for b in x.blocks] == [(0, 3, "bsd", 1.0), (1, 2, "bsd", 1.0), (1, 3, "bsd", 1.0)]
 
 
+def test_frequent_symbols_are_named_alike(spark, monkeypatch):
+    import random
+
+    from linelake.llm import recompress
+
+    r = random.Random(3)
+    rows = [(r.choice([1, 1, 1, 2, 3, *range(10, 400)]), k) for k in range(3000)]
+    places = spark.createDataFrame(rows, "name long, at long")
+    seen = {}
+    for n, k in rows:
+        seen.setdefault(n, []).append(k)
+    want = sorted((n, k, min(seen[n])) for n, k in rows if len(seen[n]) > 1)
+    for share in (256, 1):
+        monkeypatch.setattr(recompress, "SHARE", share)
+        assert sorted(tuple(x) for x in recompress._named(places, "name").select("name", "at", "first").collect()) == want
+
+
 def test_substring_dedup_of_rows_that_share_an_id(spark):
     import random
 
