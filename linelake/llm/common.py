@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             return set_before.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="linelake-")
         spark.sparkContext.setCheckpointDir(found)
     return found

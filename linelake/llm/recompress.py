@@ -193,9 +193,11 @@ def _named(places: DataFrame, *keys: str) -> DataFrame:
     """The places whose symbol stands several times (in equal rows at one place), with `first`, the first of them: the
     symbol's global name. The places of a symbol are brought together once. Those of the most frequent symbols stay
     where they are and get the names by broadcast: symbols with more than a thousandth of all places, of which there
-    are about HOT at most. Which these are is told from every SHARE-th place; it changes no result."""
-    seen = places.filter(F.pmod(F.xxhash64("at"), F.lit(SHARE)) == 0).groupBy(*keys).agg(F.count("*").alias("n"))
-    hot = seen.filter(F.col("n") > max(16, places.count() // (SHARE * HOT))).drop("n").collect()
+    are about HOT at most. Which these are is told from one place in SHARE (more of few places); it changes no result."""
+    total = places.count()
+    share = min(SHARE, max(1, total // (16 * HOT)))
+    seen = places.filter(F.pmod(F.xxhash64("at"), F.lit(share)) == 0).groupBy(*keys).agg(F.count("*").alias("n"))
+    hot = seen.filter(F.col("n") > max(16, total // (share * HOT))).drop("n").collect()
     own = W.partitionBy(*keys)
     rest, first = places, None
     if hot:
