@@ -5,6 +5,7 @@ import hashlib
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from linelake.llm import decontaminate, license, warc
@@ -152,3 +153,11 @@ def test_substring_dedup_of_rows_that_share_an_id(spark):
     assert Counter((x.doc_id, x.text) for x in got.collect()) == Counter((i, want.get((i, t or ""), t or "")) for i, t in rows)
     assert any(len(v.split()) < len(t.split()) for (_, t), v in want.items())
     assert recompress.remove_repeats(df, counts=False).columns == df.columns
+
+
+@pytest.mark.parametrize("name", ["op3_ngram_jaccard_join", "op4_substring_dedup", "op5_warc", "op6_license_scan", "op7_benchmark_decontamination"])
+def test_queries_agree_with_their_sql(spark, sf, name):
+    from linelake.llm.queries import ORACLE, QUERIES
+    from tests.compare import duck, same
+
+    same(QUERIES[name](spark, sf), duck(sf), ORACLE[name])
