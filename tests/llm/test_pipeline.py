@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linelake.llm.common import alnum_words
+from tests.llm.data import awkward
 from tests.llm.test_text_operators import repeats_by_force
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -65,3 +66,20 @@ def test_stages(spark, sf, docs):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_stages_on_awkward_documents(spark, sf):
+    df, rows = awkward(spark, [(5, None), (5, "another text of the same id"), (None, None)])
+    for name in ("_id", "id", "hash", "found", "starts", "_n_words", "part"):
+        df = df.withColumn(name, F.lit("clash"))
+    df = df.cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns, name
+        assert 0 < out.count() <= len(rows), name
+        # rows without a text or without words pass each filter
+        assert out.filter("text is null").count() == sum(t is None for _, t in rows), name
+    packed = STAGES["best-fit packing"](spark, df, sf)
+    assert packed.filter("piece = 0").count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), sf).count() == 0, name
