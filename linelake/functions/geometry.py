@@ -22,8 +22,7 @@ def col(x: Num | str) -> Column:
 def div(a: Num, b: Num) -> Column:
     """a / b as floating-point hardware divides."""
     a, b = col(a), col(b)
-    by_zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
-    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))  # 0 * inf is NaN, too
 
 
 @dataclass(frozen=True)
@@ -283,24 +282,38 @@ def rectangles_2d(line: tuple[str, ...], offset: float = 0.5, most: float = 5.0,
     return out[0], out[1]
 
 
-def fit_to_bounds(line: tuple[str, ...], width: float, height: float) -> list[Column]:
-    """The part of a 2-D line in [0, width] x [0, height]; 0, 0, 0, 0 if there is none of 1e-4 or more."""
+def stretch_in_bounds(line: tuple[str, ...], width: float, height: float) -> tuple[Column, Column]:
+    """Where a 2-D line enters [0, width] x [0, height] and where it leaves it, as parts of its length; null for a line
+    that doesn't touch it."""
     x0, y0, x1, y1 = map(col, line)
-    dx, dy = x1 - x0, y1 - y0
-    # parameters at which the line enters and leaves each strip
     enter, leave, out = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
-    for p, d, most in ((x0, dx, width), (y0, dy, height)):
-        at0, at1 = div(-p, d), div(F.lit(float(most)) - p, d)
-        still = d == 0
+    for p, d, most in ((x0, x1 - x0, width), (y0, y1 - y0, height)):
+        at0, at1, still = div(-p, d), div(F.lit(float(most)) - p, d), d == 0
         enter.append(F.when(still, 0.0).otherwise(F.least(at0, at1)))
         leave.append(F.when(still, 1.0).otherwise(F.greatest(at0, at1)))
         out = out | (still & ((p < 0) | (p > most)))
-    a, b = F.greatest(*enter), F.least(*leave)
-    begin = [F.when(a > 0, clamp(p + d * a, 0.0, most)).otherwise(p) for p, d, most in ((x0, dx, width), (y0, dy, height))]
-    finish = [F.when(b < 1, clamp(p + d * b, 0.0, most)).otherwise(p + d) for p, d, most in ((x0, dx, width), (y0, dy, height))]
-    length = F.sqrt((finish[0] - begin[0]) * (finish[0] - begin[0]) + (finish[1] - begin[1]) * (finish[1] - begin[1]))
-    none = out | (a > b) | (length < 1e-4)
-    return [F.when(none, 0.0).otherwise(c) for c in (*begin, *finish)]
+    return F.when(~out, F.greatest(*enter)), F.least(*leave)
+
+
+def cut_to(line: tuple[str, ...], a: Column, b: Column, width: float, height: float) -> list[Column]:
+    """The part of a 2-D line from a to b; 0, 0, 0, 0 if a is null or beyond b."""
+    x0, y0, x1, y1 = map(col, line)
+    sides = ((x0, x1 - x0, width), (y0, y1 - y0, height))
+    begin = [F.when(a > 0, clamp(p + d * a, 0.0, most)).otherwise(p) for p, d, most in sides]
+    finish = [F.when(b < 1, clamp(p + d * b, 0.0, most)).otherwise(p + d) for p, d, most in sides]
+    return [F.when(F.isnull(a) | (a > b), 0.0).otherwise(c) for c in (*begin, *finish)]
+
+
+def none_if_short(line: tuple[str, ...], least: float = 1e-4) -> list[Column]:
+    """The 2-D line; 0, 0, 0, 0 if it is shorter than `least`."""
+    x0, y0, x1, y1 = map(col, line)
+    return [F.when(F.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) < least, 0.0).otherwise(c) for c in (x0, y0, x1, y1)]
+
+
+def fit_to_bounds(line: tuple[str, ...], width: float, height: float) -> list[Column]:
+    """The part of a 2-D line in [0, width] x [0, height]; 0, 0, 0, 0 if there is none of 1e-4 or more. As one expression;
+    operators.lines.fit_to_bounds does the same step by step, which compiles faster."""
+    return none_if_short(tuple(cut_to(line, *stretch_in_bounds(line, width, height), width, height)))
 
 
 def oriented(a: Vec, b: Vec, ref_a: Vec, ref_b: Vec) -> tuple[Vec, Vec]:

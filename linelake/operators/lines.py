@@ -39,6 +39,20 @@ def valid_lines(lines: DataFrame, width: float, height: float, f: float, cx: flo
     return lines.filter((a.norm() > origin) & (b.norm() > origin) & ((b - a).norm() >= least) & inside).filter(~F.isnan(along) & (re.norm() >= 2) & (along >= cosine) & G.similar_length(re.norm(), own.norm(), 2.0))
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are worked out once: later expressions and filters refer to their values, where a plain
+    projection would be merged into each of its uses and make generated code too long to compile."""
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
+def fit_to_bounds(lines: DataFrame, width: float, height: float) -> DataFrame:
+    """lines with x0 .. y1 cut to [0, width] x [0, height]; 0, 0, 0, 0 where less than 1e-4 is left."""
+    flat = ("x0", "y0", "x1", "y1")
+    rows = settled(lines, dict(zip(("_a", "_b"), G.stretch_in_bounds(flat, width, height))))
+    rows = settled(rows, dict(zip(flat, G.cut_to(flat, F.col("_a"), F.col("_b"), width, height)))).drop("_a", "_b")
+    return settled(rows, dict(zip(flat, G.none_if_short(flat))))
+
+
 def gated_label(kind: Column, right: Column, left: Column, near_right: Column, both: Column, right_votes: Column, left_votes: Column) -> Column:
     """Instance label of a line by its type: of a discontinuity that of the nearer side, of a line on a plane or an
     intersection the one with fewer votes, of an edge that of all votes together."""

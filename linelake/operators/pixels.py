@@ -36,7 +36,7 @@ def strip_pixels(lines: DataFrame, keys: list[str], width: int, height: int, off
     flat, p0, q0, p1, slope, n = (F.col(c) for c in ("_flat", "_p0", "_q0", "_p1", "_slope", "_n"))
     low, high = F.greatest(F.least(p0, p1) - most - 1, F.lit(0.0)), F.least(F.greatest(p0, p1) + most + 1, F.when(flat, float(width - 1)).otherwise(float(height - 1)))
     along = ok.withColumn("_k", F.explode(F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int"))))
-    middle = F.floor(q0 + (F.col("_k") - p0) * slope).cast("int")
+    middle = F.floor(G.clamp(q0 + (F.col("_k") - p0) * slope, -1e6, 1e6)).cast("int")  # a line may run far past the image
     near = along.withColumn("_j", F.explode(F.sequence(middle - across, middle + across + 1)))
     cells = near.withColumn("u", F.when(flat, F.col("_k")).otherwise(F.col("_j"))).withColumn("v", F.when(flat, F.col("_j")).otherwise(F.col("_k")))
     cells = cells.filter((F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
@@ -78,11 +78,11 @@ def lifted_ends(lines: DataFrame, cloud: DataFrame, keys: list[str]) -> DataFram
     return ends.select("frame_id", *keys, *[F.col(f"a.{c}").alias(f"s{c}") for c in "xyz"], *[F.col(f"b.{c}").alias(f"e{c}") for c in "xyz"], "n")
 
 
-def shifted_best(rated: DataFrame, keys: list[str]) -> DataFrame:
+def shifted_best(rated: DataFrame, keys: list[str], also: tuple[str, ...] = ()) -> DataFrame:
     """Of a line and its neighbours one pixel to either side (shift 0, -1, 1), the best rated; the line itself unless
-    another is strictly better."""
+    another is strictly better. The columns `also` of the best go along."""
     order = F.struct("rating", F.when(F.col("shift") == 0, 0).when(F.col("shift") < 0, 1).otherwise(2))
-    return rated.groupBy(*keys).agg(F.min_by(F.struct("shift", "rating"), order).alias("b")).select(*keys, "b.*")
+    return rated.groupBy(*keys).agg(F.min_by(F.struct("shift", "rating", *also), order).alias("b")).select(*keys, "b.*")
 
 
 def mean_colour(pixels: DataFrame, image: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from linelake.functions import geometry as G
 
 
-def fit_planes(points: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, a, b, c, d, n: the least-squares plane of each group of at least 3 points (z >= 0 side of the normal up).
-    Covariances are partial sums on the cluster; only a 3 x 3 matrix per group is decomposed."""
+def fit_planes(points: DataFrame, keys: list[str], means: bool = False) -> DataFrame:
+    """keys, a, b, c, d, n: the least-squares plane of each group of at least 3 points (z >= 0 side of the normal up);
+    with `means` also mx, my, mz, the mean of its points. Covariances are partial sums on the cluster; only a 3 x 3
+    matrix per group is decomposed."""
     xyz = ["x", "y", "z"]
     sums = [F.sum(F.col(i) * F.col(j)).alias(i + j) for k, i in enumerate(xyz) for j in xyz[k:]]
     total = points.filter(~F.isnan("x") & ~F.isnan("y") & ~F.isnan("z")).groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in xyz], *sums).filter("n >= 3")
@@ -32,17 +33,19 @@ def fit_planes(points: DataFrame, keys: list[str]) -> DataFrame:
             out[["a", "b", "c"]] = normal
             out["d"] = -(normal * mean).sum(1)
             out["n"] = pdf["n"]
+            if means:
+                out[["mx", "my", "mz"]] = mean
             yield out
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema), "a double, b double, c double, d double, n long"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema), "a double, b double, c double, d double, n long", *(["mx double, my double, mz double"] if means else [])])
     return total.mapInPandas(solve, schema)
 
 
-def ransac(points: DataFrame, keys: list[str], rounds: int = 300, inlier: float = 0.005, least: int = 10, seed: int = 1, first: float = 0.1, gap: float | None = None) -> DataFrame:
+def ransac(points: DataFrame, keys: list[str], rounds: int = 300, inlier: float = 0.005, least: int = 10, seed: int = 1, first: float = 0.1, gap: float | None = None, share: float = 0.0, stop: float = 0.8) -> DataFrame:
     """points of each group (those beside one side of a line) that lie on the plane through three of them with the most
     inliers, of the planes with at least `least`; a group without such a plane gives none. With a `gap` (0.05 in the
     reference) only planes count whose inliers are connected around their mean, as in votes.connected_around_mean;
-    without it any do. Stops early above 80 % of the points."""
+    without it any do. A best plane of less than `share` of the points is none. Ends early above `stop` of them."""
 
     def connected(p: np.ndarray) -> bool:
         far = np.sort(np.linalg.norm(p - p.mean(0), axis=1))
@@ -60,9 +63,9 @@ def ransac(points: DataFrame, keys: list[str], rounds: int = 300, inlier: float
             inside = np.abs((p - a) @ (n / size)) < inlier
             if inside.sum() > best.sum() and inside.sum() >= least and connected(p[inside]):
                 best = inside
-                if best.sum() > 0.8 * len(p):
+                if best.sum() > stop * len(p):
                     break
-        return pdf[best]
+        return pdf[best & (best.sum() >= share * len(p))]
 
     return points.groupBy(*keys).applyInPandas(one, points.schema)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
 from linelake.functions import vectors as V
+from linelake.operators import lines
 from linelake.operators.cameras import virtual_camera_origins
 from linelake.operators.lines import segment_distances
 from linelake.plans.carriers import LINE, PAIR, PX, PX_PAIR, Carriers
@@ -217,7 +218,7 @@ def _clip_sql() -> str:
 @query("fit_to_bounds", _clip_sql())
 def _(c):
     wide = c.px.select("line_id", *[(F.col(x) * 4 - m).alias(x) for x, m in (("x0", 480), ("y0", 360), ("x1", 480), ("y1", 360))])
-    return wide.select("line_id", *[x.alias(n) for x, n in zip(G.fit_to_bounds(("x0", "y0", "x1", "y1"), 320, 240), ("x0", "y0", "x1", "y1"))])
+    return lines.fit_to_bounds(wide.select("line_id", "x0", "y0", "x1", "y1"), 320, 240)
 
 
 _swap = f"{norm(sub(A2, B1))} < {norm(sub(A2, A1))} AND {norm(sub(B2, A1))} < {norm(sub(B2, B1))}"

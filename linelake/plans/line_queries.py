@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
-from linelake.operators import clustering, lines, pixels, planes, votes
+from linelake.operators import clustering, lifting, lines, pixels, planes, votes
 from linelake.plans.carriers import DIM, LINE, PAIR, PID, POINT, PX, Carriers
 from linelake.plans.geometry_queries import cross, dot, norm, sub, times, vec
+from linelake.sources.settings import LineSettings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -253,3 +254,29 @@ def _(c):
     plane = c.spark.createDataFrame([(0, 0, 0.0, 0.0, 1.0, -20.0)], "line_id int, side int, a double, b double, c double, d double")
     found = pixels.labelled_inliers(points, plane, c.point.select("frame_id", "u", "v", "instance").distinct(), ["line_id"], 5.0)
     return found.groupBy("frame_id", "instance").agg(F.count("*").alias("n"))
+
+
+def _prolonged() -> str:
+    d = ", ".join(f"(e{c} - s{c}) / {norm(sub(vec('e'), vec('s')))} AS d{c}" for c in "xyz")
+    tip = ", ".join([*(f"CASE WHEN tip = 0 THEN s{c} - d{c} * reach ELSE e{c} END AS pa{c}" for c in "xyz"), *(f"CASE WHEN tip = 0 THEN s{c} ELSE e{c} + d{c} * reach END AS pb{c}" for c in "xyz")])
+    flat = ", ".join(f"{p}{c} * 200 / {p}z + {m} AS {n}" for p, c, m, n in (("pa", "x", 160, "x0"), ("pa", "y", 120, "y0"), ("pb", "x", 160, "x1"), ("pb", "y", 120, "y1")))
+    digit = lambda t, k: f"coalesce(max(CASE WHEN tip = {t} AND side = {k} AND step = last{t} AND fit >= 1 THEN 1 END), 0)"
+    last = lambda t: f"(SELECT coalesce(min(g.step), 4) FROM (SELECT unnest(range(0, 4)) AS step) g WHERE (SELECT count(*) FROM k WHERE k.line_id = l.line_id AND k.tip = {t} AND k.step = g.step AND fit >= 1) < 2) AS last{t}"
+    return f"""WITH {LINE}, {POINT}, o AS (SELECT line_id, frame_id, sx, sy, sz + 1.5 AS sz, ex, ey, ez + 1.5 AS ez, n1x, n1y, n1z, n2x, n2y, n2z FROM v_line), w AS (SELECT *, {d} FROM o),
+ r AS (SELECT *, (step + 1) * 0.2::DOUBLE AS reach FROM w, (SELECT unnest(range(0, 2)) AS tip), (SELECT unnest(range(0, 5)) AS step)),
+ t AS (SELECT line_id, frame_id, tip, step, n1x, n1y, n1z, n2x, n2y, n2z, {tip} FROM r), f AS (SELECT *, {flat} FROM t WHERE paz > 0 AND pbz > 0),
+ n AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS n FROM f),
+ j AS (SELECT line_id, tip, step, n, ((p.u - x0) * (x1 - x0) + (p.v - y0) * (y1 - y0)) / (n * n) AS t, ((p.v - y0) * (x1 - x0) - (p.u - x0) * (y1 - y0)) / n AS off, n1x, n1y, n1z, n2x, n2y, n2z, (p.u - 160) * p.z / 200::DOUBLE AS x, (p.v - 120) * p.z / 200::DOUBLE AS y, p.z AS z FROM n JOIN v_point p ON p.frame_id = n.frame_id AND p.u BETWEEN least(x0, x1) - 8 AND greatest(x0, x1) + 8 AND p.v BETWEEN least(y0, y1) - 8 AND greatest(y0, y1) + 8),
+ k AS (SELECT line_id, tip, step, CASE WHEN off > 0 THEN 1 ELSE 0 END AS side, count(*) FILTER (abs(CASE WHEN off > 0 THEN n2x * x + n2y * y + n2z * z ELSE n1x * x + n1y * y + n1z * z END) < 1) AS fit FROM j WHERE t >= 0 AND t <= 1 AND abs(off) >= 0.5 AND abs(off) <= least(5.0, n * 0.5) + 0.5 GROUP BY ALL),
+ l AS (SELECT l.line_id, {last(0)}, {last(1)} FROM v_line l)
+ SELECT l.line_id, concat({digit(0, 1)}, {digit(0, 0)}, {digit(1, 1)}, {digit(1, 0)}) AS pattern FROM l LEFT JOIN k USING (line_id) GROUP BY l.line_id"""
+
+
+@query("prolonged_patterns", _prolonged())
+def _(c):
+    own = c.line.withColumns({"sz": F.col("sz") + 1.5, "ez": F.col("ez") + 1.5})
+    planes_ = [F.col(f"{n}{x}").alias(p + q) for n, p in (("n1", "r"), ("n2", "l")) for x, q in zip("xyz", "abc")]
+    own = own.select("frame_id", "line_id", *lifting.ENDS, *planes_, F.lit(0.0).alias("rd"), F.lit(0.0).alias("ld"))
+    cloud = c.point.select("frame_id", "u", "v", *G.back_project("u", "v", F.col("z").cast("double"), 200.0, 200.0, 160.0, 120.0).aliased("x", "y", "z"))
+    s = LineSettings(max_plane_error=1.0, extension_length=0.2, min_points_in_prolonged_rect=1, max_points_for_empty_rect=1)
+    return lifting.prolonged_patterns(own, cloud, ["frame_id", "line_id"], (200.0, 200.0, 160.0, 120.0), (320, 240), s).select("line_id", "pattern")

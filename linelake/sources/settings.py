@@ -26,6 +26,19 @@ class LineSettings:
     max_manhattan: float = _in(64.0, 0, 1e6)
     max_squared_euclidean: float = _in(100.0, 0, 1e6)
     match_ratio: float = _in(0.8, 0, 1)
+    max_dist_between_planes: float = _in(0.3, 0, 2)
+    min_points_in_rect: int = _in(20, 0, 30)
+    min_points_in_prolonged_rect: int = _in(20, 0, 30)
+    max_points_for_empty_rect: int = _in(10, 0, 100)
+    ransac_stop: float = _in(0.8, 0, 1)
+    min_inlier_share: float = _in(0.1, 0, 1)
+    max_inlier_gap: float = _in(0.05, 0, 10)
+    min_points_in_line: int = _in(10, 1, 100)
+    extension_length: float = _in(0.08, 0, 0.5)
+    max_deviation: float = _in(0.02, 0, 0.3)
+    canny_low: int = _in(50, 1, 200)
+    canny_high: int = _in(200, 1, 500)
+    number_of_clusters: int = _in(5, 1, 20)
 
     def __post_init__(self):
         for f in fields(self):
