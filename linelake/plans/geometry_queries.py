@@ -205,14 +205,18 @@ def _(c):
     return c.px.select("line_id", *left[0].aliased("lx0", "ly0"), *left[3].aliased("lx3", "ly3"), *right[0].aliased("rx0", "ry0"))
 
 
-def _clip_sql() -> str:
+def clipped() -> str:
+    """CTEs that cut the lines of v_wide to 320 x 240: k has p0, q0, p1, q1 and whether nothing is left."""
     at = "t AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy FROM v_wide), "
     at += "u AS (SELECT *, CASE WHEN dx = 0 THEN 0.0 ELSE least(-x0 / dx, (320.0 - x0) / dx) END AS ex, CASE WHEN dx = 0 THEN 1.0 ELSE greatest(-x0 / dx, (320.0 - x0) / dx) END AS lx, CASE WHEN dy = 0 THEN 0.0 ELSE least(-y0 / dy, (240.0 - y0) / dy) END AS ey, CASE WHEN dy = 0 THEN 1.0 ELSE greatest(-y0 / dy, (240.0 - y0) / dy) END AS ly FROM t), "
     at += "w AS (SELECT *, greatest(0.0, ex, ey) AS a, least(1.0, lx, ly) AS b, (dx = 0 AND (x0 < 0 OR x0 > 320)) OR (dy = 0 AND (y0 < 0 OR y0 > 240)) AS outside FROM u), "
     box = lambda v, hi: f"CASE WHEN {v} < 0.0 THEN 0.0 WHEN {v} > {hi} THEN {hi} ELSE {v} END"
     at += f"z AS (SELECT *, CASE WHEN a > 0 THEN {box('x0 + dx * a', '320.0')} ELSE x0 END AS p0, CASE WHEN a > 0 THEN {box('y0 + dy * a', '240.0')} ELSE y0 END AS q0, CASE WHEN b < 1 THEN {box('x0 + dx * b', '320.0')} ELSE x0 + dx END AS p1, CASE WHEN b < 1 THEN {box('y0 + dy * b', '240.0')} ELSE y0 + dy END AS q1 FROM w), "
-    at += "k AS (SELECT *, outside OR a > b OR sqrt((p1 - p0) * (p1 - p0) + (q1 - q0) * (q1 - q0)) < 1e-4 AS nothing FROM z) "
-    return f"WITH {PX}, v_wide AS (SELECT line_id, x0 * 4 - 480 AS x0, y0 * 4 - 360 AS y0, x1 * 4 - 480 AS x1, y1 * 4 - 360 AS y1 FROM v_px), {at} SELECT line_id, CASE WHEN nothing THEN 0.0 ELSE p0 END AS x0, CASE WHEN nothing THEN 0.0 ELSE q0 END AS y0, CASE WHEN nothing THEN 0.0 ELSE p1 END AS x1, CASE WHEN nothing THEN 0.0 ELSE q1 END AS y1 FROM k"
+    return at + "k AS (SELECT *, outside OR a > b OR sqrt((p1 - p0) * (p1 - p0) + (q1 - q0) * (q1 - q0)) < 1e-4 AS nothing FROM z) "
+
+
+def _clip_sql() -> str:
+    return f"WITH {PX}, v_wide AS (SELECT line_id, x0 * 4 - 480 AS x0, y0 * 4 - 360 AS y0, x1 * 4 - 480 AS x1, y1 * 4 - 360 AS y1 FROM v_px), {clipped()} SELECT line_id, CASE WHEN nothing THEN 0.0 ELSE p0 END AS x0, CASE WHEN nothing THEN 0.0 ELSE q0 END AS y0, CASE WHEN nothing THEN 0.0 ELSE p1 END AS x1, CASE WHEN nothing THEN 0.0 ELSE q1 END AS y1 FROM k"
 
 
 @query("fit_to_bounds", _clip_sql())

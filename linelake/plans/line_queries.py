@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
-from linelake.operators import clustering, lifting, lines, pixels, planes, votes
+from linelake.operators import clustering, detection, labelling, lifting, lines, pixels, planes, votes
 from linelake.plans.carriers import DIM, LINE, PAIR, PID, POINT, PX, Carriers
-from linelake.plans.geometry_queries import cross, dot, norm, sub, times, vec
+from linelake.plans.geometry_queries import clipped, cross, dot, norm, sub, times, vec
 from linelake.sources.settings import LineSettings
 
 QUERIES: dict = {}
@@ -280,3 +282,86 @@ def _(c):
     cloud = c.point.select("frame_id", "u", "v", *G.back_project("u", "v", F.col("z").cast("double"), 200.0, 200.0, 160.0, 120.0).aliased("x", "y", "z"))
     s = LineSettings(max_plane_error=1.0, extension_length=0.2, min_points_in_prolonged_rect=1, max_points_for_empty_rect=1)
     return lifting.prolonged_patterns(own, cloud, ["frame_id", "line_id"], (200.0, 200.0, 160.0, 120.0), (320, 240), s).select("line_id", "pattern")
+
+
+def _labels_by_type() -> str:
+    d = ", ".join(f"(e{c} - s{c}) / {norm(sub(vec('e'), vec('s')))} * 0.2 AS d{c}" for c in "xyz")
+    tip = ", ".join([*(f"CASE piece WHEN 1 THEN s{c} - d{c} WHEN 2 THEN e{c} ELSE s{c} END AS pa{c}" for c in "xyz"), *(f"CASE piece WHEN 1 THEN s{c} WHEN 2 THEN e{c} + d{c} ELSE e{c} END AS pb{c}" for c in "xyz")])
+    flat = ", ".join(f"{p}{c} * 200 / {p}z + {m} AS {n}" for p, c, m, n in (("pa", "x", 160, "x0"), ("pa", "y", 120, "y0"), ("pb", "x", 160, "x1"), ("pb", "y", 120, "y1")))
+    far = lambda n: f"abs({n}x * x + {n}y * y + {n}z * z)"
+    best = lambda side, w: f"coalesce((SELECT label FROM r WHERE r.line_id = l.line_id AND piece = 0 AND side = {side} AND {w} > 0 ORDER BY {w} DESC, label LIMIT 1), 0)"
+    near = lambda side: f"(SELECT coalesce(sum(near), 0) FROM r WHERE r.line_id = l.line_id AND piece = 0 AND side = {side})"
+    beyond = lambda of: f"(SELECT coalesce(sum(w), 0) FROM r WHERE r.line_id = m.line_id AND piece > 0 AND label = m.{of})"
+    return f"""{_sampled.replace(" SELECT line_id, label, 11::BIGINT AS votes FROM c QUALIFY", ", edges AS (SELECT line_id, label FROM c QUALIFY", 1)}),
+ px1 AS (SELECT frame_id, u, v, min(z) AS z, min(instance) AS label FROM v_point GROUP BY ALL), o AS (SELECT line_id, frame_id, type, sx, sy, sz + 1.5 AS sz, ex, ey, ez + 1.5 AS ez, CASE WHEN type = 0 AND line_id % 8 = 0 THEN 0 ELSE n1x END AS n1x, CASE WHEN type = 0 AND line_id % 8 = 0 THEN 0 ELSE n1y END AS n1y, CASE WHEN type = 0 AND line_id % 8 = 0 THEN 0 ELSE n1z END AS n1z, n2x, n2y, n2z FROM v_line), o2 AS (SELECT *, {d} FROM o),
+ pieces AS (SELECT *, {tip} FROM o2, (SELECT unnest(range(0, 3)) AS piece) WHERE type <> 2 AND (piece = 0 OR type IN (1, 3))),
+ v_wide AS (SELECT line_id, frame_id, piece, type, n1x, n1y, n1z, n2x, n2y, n2z, {flat} FROM pieces WHERE paz > 0 AND pbz > 0), {clipped()},
+ j AS (SELECT line_id, piece, type, n1x, n1y, n1z, n2x, n2y, n2z, n, ((p.u - p0) * (p1 - p0) + (p.v - q0) * (q1 - q0)) / (n * n) AS t, ((p.v - q0) * (p1 - p0) - (p.u - p0) * (q1 - q0)) / n AS off, (p.u - 160) * p.z / 200::DOUBLE AS x, (p.v - 120) * p.z / 200::DOUBLE AS y, p.z::DOUBLE AS z, p.label
+  FROM (SELECT *, sqrt((p1 - p0) * (p1 - p0) + (q1 - q0) * (q1 - q0)) AS n FROM k WHERE NOT nothing) f JOIN px1 p ON p.frame_id = f.frame_id AND p.u BETWEEN least(p0, p1) - 8 AND greatest(p0, p1) + 8 AND p.v BETWEEN least(q0, q1) - 8 AND greatest(q0, q1) + 8),
+ g AS (SELECT line_id, piece, CASE WHEN off > 0 THEN 1 ELSE 0 END AS side, label, count(*) AS n, count(*) FILTER (CASE WHEN type = 0 THEN CASE WHEN n1x = 0 AND n1y = 0 AND n1z = 0 THEN {far('n2')} ELSE {far('n1')} END WHEN off > 0 THEN {far('n2')} ELSE {far('n1')} END < 1) AS near FROM j WHERE t >= 0 AND t <= 1 AND abs(off) >= 0.5 AND abs(off) <= least(5.0, j.n * 0.5) + 0.5 GROUP BY ALL),
+ r AS MATERIALIZED (SELECT *, CASE WHEN side = 0 THEN n + near WHEN sum(near) OVER (PARTITION BY line_id, piece, side) > 0 THEN near ELSE n END AS w FROM g),
+ m AS MATERIALIZED (SELECT line_id, type, {best(0, 'w')} AS r0, {best(1, 'w')} AS l0, CASE WHEN {near(1)} > {near(0)} THEN {best(1, 'near')} ELSE {best(0, 'near')} END AS jump FROM v_line l WHERE type <> 2),
+ h AS (SELECT *, {beyond('r0')} < {beyond('l0')} AS right_fewer FROM m), b AS (SELECT instance, min(class_id) AS class_id FROM v_point GROUP BY ALL)
+ SELECT line_id, CASE WHEN type = 0 THEN jump WHEN coalesce(class_id IN (1, 2), false) THEN CASE WHEN right_fewer THEN l0 ELSE r0 END ELSE CASE WHEN right_fewer THEN r0 ELSE l0 END END::BIGINT AS label FROM h LEFT JOIN b ON b.instance = CASE WHEN right_fewer THEN r0 ELSE l0 END
+ UNION ALL SELECT line_id, edges.label::BIGINT FROM edges JOIN v_line USING (line_id) WHERE type = 2"""
+
+
+@query("labels_by_type", _labels_by_type())
+def _(c):
+    own = c.line.withColumns({"sz": F.col("sz") + 1.5, "ez": F.col("ez") + 1.5})
+    bare = (F.col("type") == 0) & (F.col("line_id") % 8 == 0)  # half of the discontinuities have their plane on the left
+    planes_ = [F.when(bare & (n == "n1"), 0.0).otherwise(F.col(f"{n}{x}")).alias(p + q) for n, p in (("n1", "r"), ("n2", "l")) for x, q in zip("xyz", "abc")]
+    own = own.select("frame_id", "line_id", "type", *lifting.ENDS, *planes_, F.lit(0.0).alias("rd"), F.lit(0.0).alias("ld"))
+    image = c.point.groupBy("frame_id", "u", "v").agg(F.min("z").alias("z"), F.min("instance").alias("label"))
+    cloud = image.select("frame_id", "u", "v", *G.back_project("u", "v", F.col("z").cast("double"), 200.0, 200.0, 160.0, 120.0).aliased("x", "y", "z"))
+    classes = c.point.groupBy(F.col("instance").alias("label")).agg(F.min("class_id").alias("class_id"))
+    s = LineSettings(max_plane_error=1.0, extension_length=0.2)
+    return labelling.labels_by_type(own, cloud, image.select("frame_id", "u", "v", "label"), classes, ["frame_id", "line_id"], (200.0, 200.0, 160.0, 120.0), (320, 240), [1, 2], s).select("line_id", "label")
+
+
+# detection: images of 20 x 15 pixels, each with the points of 16 x 16 of the carrier's
+
+GREY = "v_grey AS (SELECT frame_id, u // 16 AS u, v // 16 AS v, (sum(z * 37 + l_linenumber * 11) % 256)::BIGINT AS grey FROM v_point GROUP BY ALL)"
+
+
+def _canny() -> str:
+    ask = "SELECT frame_id, u, v, m, k, slant, u + k * CASE WHEN y < x THEN 1 WHEN y > steep THEN 0 WHEN (gx < 0) = (gy < 0) THEN 1 ELSE -1 END AS ou, v + k * CASE WHEN y < x THEN 0 ELSE 1 END AS ov FROM (SELECT *, y >= x AND y <= steep AS slant FROM (SELECT *, abs(gx) * 13573 AS x, abs(gy) * 32768 AS y, abs(gx) * (13573 + 65536) AS steep FROM m)), (SELECT unnest([-1, 1]) AS k) WHERE m > 50"
+    return f"""WITH RECURSIVE {POINT}, {GREY}, grid AS (SELECT frame_id, u, v FROM (SELECT DISTINCT frame_id FROM v_grey), (SELECT unnest(range(0, 20)) AS u), (SELECT unnest(range(0, 15)) AS v)),
+ st AS (SELECT g.frame_id, g.u, g.v, du, dv, coalesce(i.grey, 0) AS grey FROM grid g, (SELECT unnest([-1, 0, 1]) AS du), (SELECT unnest([-1, 0, 1]) AS dv) LEFT JOIN v_grey i ON i.frame_id = g.frame_id AND i.u = least(greatest(g.u + du, 0), 19) AND i.v = least(greatest(g.v + dv, 0), 14)),
+ gr AS (SELECT frame_id, u, v, sum(grey * du * (2 - abs(dv)))::BIGINT AS gx, sum(grey * dv * (2 - abs(du)))::BIGINT AS gy FROM st GROUP BY ALL), m AS (SELECT *, abs(gx) + abs(gy) AS m FROM gr),
+ ask AS ({ask}), thin AS MATERIALIZED (SELECT a.frame_id, a.u, a.v, a.m FROM ask a LEFT JOIN m o ON o.frame_id = a.frame_id AND o.u = a.ou AND o.v = a.ov GROUP BY ALL HAVING bool_and(a.m > coalesce(o.m, 0) OR (k = 1 AND NOT slant AND a.m = coalesce(o.m, 0)))),
+ edge(frame_id, u, v) AS (SELECT frame_id, u, v FROM thin WHERE m > 200 UNION SELECT t.frame_id, t.u, t.v FROM edge e JOIN thin t ON t.frame_id = e.frame_id AND abs(t.u - e.u) <= 1 AND abs(t.v - e.v) <= 1)"""
+
+
+def _hough() -> str:
+    angles = ", ".join(f"({k}, {round(math.cos(math.pi * k / 180) * 1_000_000)}, {round(math.sin(math.pi * k / 180) * 1_000_000)})" for k in range(180))
+    return f"{_canny()}, an(theta, c, s) AS (VALUES {angles}), ol AS (SELECT frame_id, u, v, theta, floor((u * c + v * s + 500000) / 1000000::DOUBLE)::BIGINT AS rho, (v * c - u * s)::BIGINT AS along FROM edge, an), vo AS (SELECT frame_id, theta, rho, count(*) AS votes FROM ol GROUP BY ALL)"
+
+
+def _segments() -> str:
+    return f"""{_hough()}, pk AS (SELECT * FROM vo a WHERE votes >= 6 AND NOT EXISTS (SELECT 1 FROM vo b WHERE b.frame_id = a.frame_id AND abs(b.theta - a.theta) <= 1 AND abs(b.rho - a.rho) <= 1 AND (b.votes > a.votes OR (b.votes = a.votes AND (b.theta, b.rho) < (a.theta, a.rho))))),
+ on_ AS (SELECT ol.*, coalesce(along - lag(along) OVER l > 3000000, false) AS far FROM ol JOIN pk USING (frame_id, theta, rho) WINDOW l AS (PARTITION BY frame_id, theta, rho ORDER BY along, u, v)),
+ pt AS (SELECT *, sum(far::INT) OVER (PARTITION BY frame_id, theta, rho ORDER BY along, u, v) AS part FROM on_),
+ en AS (SELECT frame_id, theta, rho, part, min({{'along': along, 'u': u, 'v': v}}) AS a, max({{'along': along, 'u': u, 'v': v}}) AS b, count(*) AS n FROM pt GROUP BY ALL)
+ SELECT frame_id, theta, rho, a.u::DOUBLE AS x0, a.v::DOUBLE AS y0, b.u::DOUBLE AS x1, b.v::DOUBLE AS y1, n FROM en WHERE sqrt((b.u - a.u) * (b.u - a.u) + (b.v - a.v) * (b.v - a.v)) >= 4"""
+
+
+def _edges(c):
+    grey = (F.sum(F.col("z").cast("long") * 37 + F.col("l_linenumber").cast("long") * 11) % 256).alias("grey")
+    image = c.point.groupBy("frame_id", F.expr("u div 16").alias("u"), F.expr("v div 16").alias("v")).agg(grey)
+    return clustering.checkpointed(detection.canny(image, (20, 15)))
+
+
+@query("canny_edges", f"{_canny()} SELECT frame_id, u, v FROM edge")
+def _(c):
+    return _edges(c)
+
+
+@query("hough_votes", f"{_hough()} SELECT * FROM vo")
+def _(c):
+    return detection.hough_votes(_edges(c))
+
+
+@query("hough_segments", _segments())
+def _(c):
+    return detection.segments(_edges(c), 6, 4.0, 3.0)

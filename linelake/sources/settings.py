@@ -38,6 +38,9 @@ class LineSettings:
     max_deviation: float = _in(0.02, 0, 0.3)
     canny_low: int = _in(50, 1, 200)
     canny_high: int = _in(200, 1, 500)
+    hough_threshold: int = _in(10, 1, 200)
+    hough_min_length: float = _in(10, 1, 200)
+    hough_max_gap: float = _in(10, 1, 200)
     number_of_clusters: int = _in(5, 1, 20)
 
     def __post_init__(self):
