@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from linelake.llm.common import HOT, WordHashes, discard, join_groups, map_arrow, materialize, mix, rolling, slices, table, text_hash, without
 from linelake.llm.components import connected_components, forest
+from linelake.llm.recompress import rank_texts
 
 WIDTH = 5
 PERCENT = 80
@@ -382,6 +383,35 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("hash"), text.alias("text"))
     profile = materialize(_profile(docs, width), "profile")
+    sized = profile.filter("bucket is null").select("doc_id", "hash", "n", "digest")
+    shared = sized.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if not shared.isEmpty():
+        return _by_rank(docs, sized, width, percent, block)
+    return _similar(docs, profile, width, percent, block).drop("digest")
+
+
+def _by_rank(docs: DataFrame, sized: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """similar() where ids repeat: a node for each id and text, numbered in their order. Nodes of one id are joined
+    afterwards, so a cell never holds more than its nodes, and equal rows are one."""
+    ranks, single = rank_texts(docs.filter("doc_id is not null"))
+    ranks = materialize(ranks, "ranks")
+    own = materialize(single(ranks).select(F.col("rank").alias("doc_id"), "hash", "text"), "texts")
+    found = materialize(_similar(own, materialize(_profile(own, width), "profile"), width, percent, block), "found")
+    first = ranks.groupBy("doc_id").agg(F.min("rank").alias("v"), F.count("*").alias("size"))
+    edges = join_groups(ranks.select("doc_id", F.col("rank").alias("u")), first, ["doc_id"], "size").filter("u <> v").select("u", "v")
+    joined = connected_components(edges.unionByName(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))))
+    least = joined.join(ranks.select(F.col("rank").alias("component"), F.col("doc_id").alias("least")), "component").select(F.col("node").alias("rank"), "least")
+    named = ranks.join(least, "rank", "left").select("doc_id", "hash", "rank", "n", F.coalesce("least", "doc_id").alias("component_id"))
+    sizes = found.select(F.col("doc_id").alias("rank"), "digest", F.col("n_shingles"))
+    whole = materialize(named.join(sizes, "rank"), "named")
+    rows = join_groups(sized.filter("doc_id is not null").select("doc_id", "hash"), whole.select("doc_id", "hash", "n_shingles", "component_id", "n"), ["doc_id", "hash"], "n")
+    classes = whole.filter("n_shingles > 0").groupBy("digest").agg(F.min("component_id").alias("component_id"))
+    bare = sized.filter("doc_id is null").join(classes, "digest", "left").select("doc_id", "hash", F.col("n").alias("n_shingles"), "component_id")
+    return rows.select("doc_id", "hash", "n_shingles", "component_id").unionByName(bare)
+
+
+def _similar(docs: DataFrame, profile: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """similar(), with digest (of the set), for documents (doc_id, hash, text) whose ids don't repeat, but for null."""
     docs = docs.drop("hash")
     heavy = profile.filter("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toPandas()  # BUCKETS rows at most
     weight = np.stack([heavy["bucket"].to_numpy(np.int64), heavy["seen"].to_numpy(np.int64)])
@@ -417,8 +447,8 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     components = connected_components(edges)
     named = classes.join(components, classes["rep"] == components["node"], "left")
     named = materialize(named.select("digest", F.coalesce("component", "rep").alias("component_id"), "members"), "components")
-    linked = join_groups(sized.filter("n > 0"), named, ["digest"], "members").select("doc_id", "hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return linked.unionByName(sized.filter("n = 0").select("doc_id", "hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    linked = join_groups(sized.filter("n > 0"), named, ["digest"], "members").select("doc_id", "hash", "digest", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return linked.unionByName(sized.filter("n = 0").select("doc_id", "hash", "digest", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def _rest(large: DataFrame, centres: DataFrame, edges: DataFrame, docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:

@@ -140,7 +140,9 @@ def in_turn(lengths: np.ndarray, ids: np.ndarray, piece: np.ndarray, capacity: i
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """The pieces' columns with sequence_id and offset. The first five columns of encode_pieces are read, but ids."""
+    """The pieces' columns with sequence_id and offset. The first five columns of encode_pieces are read, but ids; pieces
+    should be a stored table, as rows are dealt by their place in it. Columns `_null` and `_shard` go."""
+    pieces = pieces.drop("_null", "_shard")
     pieces = pieces.select("doc_id", "piece", "start", "length", *[c for c in pieces.columns if c not in ("doc_id", "piece", "start", "length", "ids")])
     columns = [*pieces.columns, "sequence_id", "offset"]
     pieces = pieces.withColumn("_null", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))  # pandas would round ids beside nulls
@@ -155,7 +157,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
         out = pdf.drop(columns="_shard")
         return out.assign(sequence_id=where * shards + int(pdf["_shard"].iloc[0]), offset=offset)[schema.names]
 
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # by the row: rows that share an id, or have none, are dealt like all others
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("_shard").applyInPandas(one, schema).withColumn("doc_id", F.when(~F.col("_null"), F.col("doc_id"))).select(*columns)
 
 

@@ -5,7 +5,7 @@ all documents estimates each labeller's accuracy and the share of good documents
 vote patterns, of which there are at most 3 ** labellers, are all that it needs, and they are summed over all documents.
 Each document's posterior is then the soft label for a linear scorer over hashed features of word shapes, which also
 judges what no labeller covers. The scorer is fitted on the driver from at most SAMPLE documents, chosen by the hashes
-of their ids; all documents are scored whole.
+of their ids and texts (equal rows once); all documents are scored whole.
 
 Features and votes come from one pass over the texts and are a small table from then on.
 
@@ -243,10 +243,11 @@ def judge(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     described = materialize(describe(docs, id_col, text_col), "features")
     seen = described.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()  # at most 3 ** labellers rows
     model = expectation_maximisation(seen["pattern"].to_numpy(np.int64), seen["n"].to_numpy(np.float64))
-    # a share of the hashes that holds somewhat fewer than `sample` documents, so that no task sends more than its part
+    # a share of the hashes that holds somewhat fewer than `sample` documents, so that no task sends more than its part;
+    # rows with one id and text are one document here, and rows without an id differ by their texts
     share = 1.0 if seen["n"].sum() <= sample else 0.9 * sample / float(seen["n"].sum())
-    chosen = described.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    held = chosen.filter(F.size("keys") > 0).select(F.xxhash64("doc_id").alias("h"), "doc_id", "hash", "pattern", "keys", "values").toPandas()
+    chosen = described.filter(F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["doc_id", "hash"])
+    held = chosen.filter(F.size("keys") > 0).select(F.xxhash64("doc_id", "hash").alias("h"), "doc_id", "hash", "pattern", "keys", "values").toPandas()
     held = held.sort_values(["h", "doc_id", "hash"], kind="stable").head(sample)
     target = model.posterior(unpattern(held["pattern"].to_numpy(np.int64)))
     scorer = fit_scorer(list(held["keys"]), list(held["values"]), target)

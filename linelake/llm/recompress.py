@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -324,9 +325,9 @@ def _rows(symbol: np.ndarray, digest: np.ndarray, rank: np.ndarray, place: np.nd
 
 
 def _ranks(ids: DataFrame) -> DataFrame:
-    """doc_id, hash, rank: places of the documents in their order, from a range-partitioned sort and its partitions'
+    """The columns of ids (doc_id and hash among them) and rank: places of the documents in their order, from a range-partitioned sort and its partitions'
     sizes."""
-    sorted_ = materialize(ids.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "hash", F.monotonically_increasing_id().alias("m")), "ids")
+    sorted_ = materialize(ids.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").select(*ids.columns, F.monotonically_increasing_id().alias("m")), "ids")
     part = F.shiftright("m", 33).alias("part")
     sizes = sorted_.groupBy(part).count().orderBy("part").collect()  # a row for each partition
     offsets, total = [], 0
@@ -337,7 +338,22 @@ def _ranks(ids: DataFrame) -> DataFrame:
         raise ValueError(f"{total} documents are more than places can tell apart")
     small = ids.sparkSession.createDataFrame(offsets, "part long, base long")
     low = F.col("m").bitwiseAND((1 << 33) - 1)
-    return sorted_.select("doc_id", "hash", "m", part).join(F.broadcast(small), "part").select("doc_id", "hash", (F.col("base") + low).alias("rank"))
+    return sorted_.select(*ids.columns, "m", part).join(F.broadcast(small), "part").select(*ids.columns, (F.col("base") + low).alias("rank"))
+
+
+def rank_texts(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """doc_id, hash, n (how many rows share both), rank of the documents (doc_id, hash, text); and a function that joins
+    the documents with a table of these columns and others: a row for each rank, however many rows are equal."""
+    ranks = _ranks(docs.groupBy("doc_id", "hash").agg(F.count("*").alias("n")))
+    several = not ranks.filter("n > 1").isEmpty()
+
+    def single(by_rank: DataFrame) -> DataFrame:
+        own = docs.join(by_rank, ["doc_id", "hash"])
+        if not several:
+            return own
+        return own.filter("n = 1").unionByName(own.filter("n > 1").dropDuplicates(["rank"]))
+
+    return ranks, single
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -345,14 +361,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     2 ** PLACE_BITS, and length)."""
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).filter("doc_id is not null and text is not null")
-    ranks = _ranks(own.select("doc_id", "hash").distinct())
-    first, long = _rounds(own.join(ranks, ["doc_id", "hash"]).select("text", "rank"), window, rounds)
+    ranks, single = rank_texts(own)
+    first, long = _rounds(single(ranks).select("text", "rank"), window, rounds)
     several = long[0]
     for x in long[1:]:
         several = several.unionByName(x)
     passages = _by_document(several.filter(F.col("count") >= LONG), "passages", "long", "count", "name")
     marked = ranks.join(first, "rank", "left").join(passages, "rank", "left")
-    found = materialize(_candidates(own.join(marked, ["doc_id", "hash"]).select("text", "rank", "marks", "long"), window), "candidates")
+    found = materialize(_candidates(single(marked).select("text", "rank", "marks", "long"), window), "candidates")
     for x in (first, passages, *long):
         discard(x)
     later = _named(found, "symbol", "digest").filter("at > first")

@@ -6,7 +6,7 @@ mark as toxic beyond doubt, so that a text with more of them is graded higher. T
 P(grade <= k) = logistic(threshold_k - w x): one weight vector, shared by all thresholds, which are kept in order. The
 result is the expected severity, the sum over k of P(grade > k), with the most probable grade and P(grade > 0).
 
-The model is fitted on the driver from at most SAMPLE labelled documents, those with the smallest hashes of their ids;
+The model is fitted on the driver from at most SAMPLE labelled documents, those with the smallest hashes of their ids (of an id's rows, equal ones once);
 features that few sample documents hold, or that the label doesn't depend on, are left out. All documents are scored
 whole, where they lie: the model (at most FEATURES weights) is broadcast, and nothing is shuffled.
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import WordHashes, map_arrow, materialize, mix, rolling, slices, table
+from linelake.llm.common import WordHashes, map_arrow, materialize, mix, rolling, slices, table, text_hash
 
 SAMPLE = 8_000
 BEGINNINGS = (4, 5, 6, 7, 8, 10)  # lengths of word beginnings
@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     spark = docs.sparkSession
     labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), (F.col(label_col) > 0).cast("int").alias("_toxic"))
     picked = labelled.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(picked), "_id").filter("_text is not null")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), text_hash(text).alias("_hash")).join(F.broadcast(picked), "_id").filter("_text is not null")
 
     def make():
         names, hashes = Names(), WordHashes()
@@ -158,12 +159,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                 found = [counts(x, names) for x in data]
                 kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
                 own = [pa.array(list(c), k) for c, k in zip(([sketch(x, hashes) for x in data], [list(f) for f in found], [list(f.values()) for f in found]), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *own], ["id", "toxic", "sketch", "keys", "times"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *own], ["id", "toxic", "hash", "sketch", "keys", "times"])
 
         return each
 
-    held = materialize(map_arrow(rows.select("_id", "_text", "_toxic"), make, "id long, toxic int, sketch array<long>, keys array<long>, times array<int>").withColumn("row", F.monotonically_increasing_id()), "sample")
-    texts = held.select("row", "id", "toxic", "sketch").toPandas().sort_values(["id", "toxic", "row"], kind="stable")
+    held = materialize(map_arrow(rows.select("_id", "_text", "_toxic", "_hash"), make, "id long, toxic int, hash string, sketch array<long>, keys array<long>, times array<int>").withColumn("row", F.monotonically_increasing_id()), "sample")
+    # an id may have many rows: equal ones count once, and no more than `sample` come to the driver
+    single = held.groupBy("id", "toxic", "hash").agg(F.min_by(F.struct("row", "sketch"), "row").alias("x"))
+    texts = single.orderBy(F.xxhash64("id", "hash"), "id", "hash", "toxic").limit(sample).select("x.row", "id", "toxic", "x.sketch").toPandas().sort_values(["id", "toxic", "row"], kind="stable")
     texts = texts.iloc[distinct(list(texts["sketch"].map(list)))]
     toxic = texts["toxic"].to_numpy(np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
