@@ -39,8 +39,8 @@ from linelake.llm.common import MULT, map_arrow, materialize, mix, slices, table
 DEPTH = 5
 LEAST = 100
 TOP = 2000
-SHARD = 2 << 20  # words of a shard
-RANGE = 8 << 20  # places of phrases in a prefix range, about
+SHARD = 1 << 20  # words of a shard
+RANGE = 4 << 20  # places of phrases in a prefix range, about
 WINDOW = 8192  # paths of a run that are looked at together
 SIEVE = 1 << 27  # bits of the map of frequent words and pairs
 DRAWN = 64  # phrases that a shard draws for the bounds
@@ -54,29 +54,35 @@ def pieces(text: bytes) -> bytes:
     return text.translate(_breaks).replace(b"\n", b" . ") + b" . "
 
 
+class Numbers(dict):
+    """Word to its number, in the order of their first places."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Shard:
     """Words of a task's texts, as numbers, with their languages."""
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {BREAK: 0}
+        self.numbers = Numbers({BREAK: 0})
         self.langs: dict[str, int] = {}
         self.words: list[np.ndarray] = []
         self.lang: list[np.ndarray] = []
         self.size = 0
 
     def add(self, langs: list[str], texts: list[bytes]) -> None:
-        counts, every = [], []
+        counts, number = [], self.numbers.__getitem__
         for t in texts:
             own = pieces(t).split()
             counts.append(len(own))
-            every += own
-        numbers = self.numbers
-        self.words.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in every), np.int32, len(every)))
+            self.words.append(np.fromiter(map(number, own), np.int32, len(own)))
         self.lang.append(np.repeat(np.array([self.langs.setdefault(g, len(self.langs)) for g in langs], np.int32), counts))
-        self.size += len(every)
+        self.size += sum(counts)
 
-    def trie(self) -> Trie:
-        return Trie(list(self.langs), list(self.numbers), np.concatenate(self.lang), np.concatenate(self.words))
+    def trie(self, bits: np.ndarray | None = None) -> Trie:
+        return Trie(list(self.langs), list(self.numbers), np.concatenate(self.lang), np.concatenate(self.words), bits)
 
 
 def name(lang: str, word: bytes) -> int:
@@ -94,43 +100,63 @@ def in_sieve(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 class Trie:
     """Levels of a count trie: node j of a level has a parent in the level before, a last word and a count. Words are
-    numbered in their order, and so are the nodes of a level in that of their paths."""
+    numbered in their order, and so are the nodes of a level in that of their paths. With a bit map, only the words of
+    which it holds the names are there; without one, words are in any order and the first level is all there is."""
 
-    def __init__(self, langs: list[str], words: list[bytes], lang: np.ndarray, word: np.ndarray):
-        order = sorted(range(len(words)), key=words.__getitem__)
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
+    def __init__(self, langs: list[str], words: list[bytes], lang: np.ndarray, word: np.ndarray, bits: np.ndarray | None = None):
         by_name = sorted(range(len(langs)), key=lambda i: langs[i].encode())
         place = np.empty(len(langs), np.int64)
         place[by_name] = np.arange(len(langs))
-        self.words, self.langs = [words[i] for i in order], [langs[i] for i in by_name]
-        self.word, self.stop = rank[word], int(rank[0])
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.node = place[lang]  # of the path that begins at each place; -1 where there is none
-        self.grow(self.word != self.stop)
-
-    def grow(self, live: np.ndarray) -> None:
+        self.langs = [langs[i] for i in by_name]
+        wide = len(words)
+        keys = place[lang] * wide + word
+        count = np.bincount(keys, minlength=len(langs) * wide)
+        count[::wide] = 0  # breaks
+        nodes = np.flatnonzero(count)
+        rank = np.full(wide, -1, np.int64)
+        if bits is None:
+            rank[:] = np.arange(wide)
+            self.words = words
+        else:
+            names = np.fromiter((name(self.langs[k // wide], words[k % wide]) for k in nodes.tolist()), np.uint64, len(nodes))
+            good = in_sieve(bits, names)
+            nodes, names = nodes[good], names[good]
+            order = sorted(np.unique(nodes % wide).tolist(), key=words.__getitem__)
+            rank[order] = np.arange(len(order))
+            self.words = [words[i] for i in order]
+            turn = np.lexsort((rank[nodes % wide], nodes // wide))
+            nodes, self.names = nodes[turn], names[turn]
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(nodes // wide, rank[nodes % wide], count[nodes])]
+        number = np.full(len(count), -1, np.int32)
+        number[nodes] = np.arange(len(nodes))
+        self.first = self.node = number[keys]  # of the path that begins at each place; -1 where there is none
+        self.word = rank[word].astype(np.int32)
+
+    def grow(self, live: np.ndarray, last: bool = False) -> None:
         """One more level, with the paths that begin where live says so and the path before is alive."""
         d = len(self.levels)
         at = np.flatnonzero(live)
         wide = np.int64(len(self.words))
-        keys, node, count = np.unique(self.node[at] * wide + self.word[at + d], return_inverse=True, return_counts=True)
-        self.levels.append((keys // wide, keys % wide, count))
-        self.node = np.full(len(self.word), -1, np.int64)
-        self.node[at] = node
+        found = np.unique(self.node[at] * wide + self.word[at + d], return_inverse=not last, return_counts=True)
+        self.levels.append((found[0] // wide, found[0] % wide, found[-1]))
+        if not last:
+            self.node = np.full(len(self.word), -1, np.int32)
+            self.node[at] = found[1]
 
     def longer(self) -> np.ndarray:
-        """Where the last level's paths can go on: the next word is no break."""
+        """Where the last level's paths can go on: the next word is there."""
         d = len(self.levels)
         out = self.node >= 0
         out[len(out) - d :] = False
-        out[: len(out) - d] &= self.word[d:] != self.stop
+        out[: len(out) - d] &= self.first[d:] >= 0
         return out
 
-    def names(self) -> np.ndarray:
-        """Names of the first level's nodes."""
-        lang, word, _ = self.levels[0]
-        return np.fromiter((name(self.langs[a], self.words[b]) for a, b in zip(lang.tolist(), word.tolist())), np.uint64, len(lang))
+    def frequent_pairs(self, bits: np.ndarray) -> np.ndarray:
+        """Where a pair begins of which the bit map holds the name."""
+        at = np.flatnonzero(self.longer())
+        out = np.zeros(len(self.word), bool)
+        out[at] = in_sieve(bits, name_of_pair(self.names[self.first[at]], self.names[self.first[at + 1]]))
+        return out
 
     def path(self, depth: int, j: int) -> tuple[bytes, ...]:
         """Language and words of node j."""
@@ -203,7 +229,7 @@ def merged(runs: list[bytes], least: int) -> Iterator[pa.Table]:
 
 
 def _shards(docs: DataFrame, work, schema: str) -> DataFrame:
-    """work(trie) gives batches of each shard."""
+    """work(shard) gives the batches of each shard."""
 
     def run(batches):
         shard = Shard()
@@ -211,10 +237,10 @@ def _shards(docs: DataFrame, work, schema: str) -> DataFrame:
             for part, data in slices(batch, 1):
                 shard.add(part.column(0).to_pylist(), data)
                 if shard.size >= SHARD:
-                    yield from work(shard.trie())
+                    yield from work(shard)
                     shard = Shard()
         if shard.size:
-            yield from work(shard.trie())
+            yield from work(shard)
 
     return docs.mapInArrow(run, schema)
 
@@ -222,18 +248,19 @@ def _shards(docs: DataFrame, work, schema: str) -> DataFrame:
 def _words(docs: DataFrame, deepest: int) -> DataFrame:
     """kind, lang, path, n: the words of each shard (w), all words of a language (n), phrases for the bounds (b)."""
 
-    def work(trie: Trie):
+    def work(shard: Shard):
+        trie = shard.trie()
         lang, text = trie.paths(1)
         parent, _, count = trie.levels[0]
         total = np.bincount(parent, count, len(trie.langs)).astype(np.int64)
         langs = pa.array([x.encode() for x in trie.langs], pa.binary())
         # places spread over the shard, of phrases of up to three words
         at = np.unique(np.linspace(0, len(trie.word) - 1, DRAWN).astype(np.int64))
-        at = at[trie.word[at] != trie.stop]
+        at = at[trie.word[at] > 0]  # breaks are 0
         drawn = []
         for i in at.tolist():
             own = trie.word[i : i + min(3, deepest)].tolist()
-            own = own[: own.index(trie.stop)] if trie.stop in own else own
+            own = own[: own.index(0)] if 0 in own else own
             drawn.append((trie.langs[parent[trie.node[i]]].encode(), b" ".join(trie.words[w] for w in own)))
         for kind, a, b, n in (("w", lang, text, count), ("n", langs, pa.array([b""] * len(langs), pa.binary()), total), ("b", *(pa.array([x[k] for x in drawn], pa.binary()) for k in (0, 1)), np.ones(len(drawn), np.int64))):
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.string()), a.cast(pa.string()), b, pa.array(n)], ["kind", "lang", "path", "n"])
@@ -273,27 +300,20 @@ def _frequent(docs: DataFrame, bounds: list, words: np.ndarray, pairs: np.ndarra
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((bounds, words, pairs))
 
-    def work(trie: Trie):
+    def work(shard: Shard):
         bounds, words, pairs = sent.value
-        names = trie.names()
-        good = np.append(in_sieve(words, names), False)[trie.node]  # -1 takes the last
-        single = trie.node
-        live = trie.longer()
-        live[:-1] &= good[:-1] & good[1:]
-        trie.grow(live)
-        if pairs is not None:
-            parent, _, _ = trie.levels[1]
-            at = np.flatnonzero(trie.node >= 0)
-            second = np.zeros(len(parent), np.int64)  # the second word's own node of each pair
-            second[trie.node[at]] = single[at + 1]
-            fine = np.append(in_sieve(pairs, name_of_pair(names[parent], names[second])), False)[trie.node]
-            live = fine
+        trie = shard.trie(words)
+        if pairs is None:
+            trie.grow(trie.longer(), last=True)
+        else:
+            live = fine = trie.frequent_pairs(pairs)
+            trie.grow(live)
             for d in range(3, deepest + 1):
                 live = trie.longer() & live
                 live[: 2 - d] &= fine[d - 2 :]
                 if not live.any():
                     break
-                trie.grow(live)
+                trie.grow(live, last=d == deepest)
         rows = [x for d in range(2 if pairs is None else 3, len(trie.levels) + 1) for x in cut(trie, d, bounds)]
         for lo in range(0, len(rows), 64):
             some = rows[lo : lo + 64]
