@@ -284,14 +284,15 @@ def _(c):
 _u1, _u2 = over(sub(B1, A1), norm(sub(B1, A1))), over(sub(B2, A2), norm(sub(B2, A2)))
 
 
-def _coincide_sql() -> str:
+def coincide_rows() -> str:
+    """CTEs that take the coinciding ones (angle 0.8, distance 0.15) of v_pair: same_."""
     t = f"t AS (SELECT *, {named(_u1, ['px', 'py', 'pz'])}, {named(_u2, ['qx', 'qy', 'qz'])}, {norm(sub(B1, A1))} AS n FROM v_pair), "
     P = vec("p")
     t += f"w AS (SELECT *, {dot(P, sub(A2, A1))} AS x, {dot(P, sub(B2, A1))} AS y, {norm(cross(P, sub(A2, A1)))} AS d1, {norm(cross(P, sub(B2, A1)))} AS d2 FROM t)"
-    return f"WITH {PAIR}, {t} SELECT id1, id2 FROM w WHERE abs({dot(P, vec('q'))}) > {math.cos(0.8)!r} AND (d1 < 0.15 OR d2 < 0.15) AND ((least(x, y) < 0 AND greatest(x, y) > 0) OR (least(x, y) > 0 AND least(x, y) < n))"
+    return f"{t}, same_ AS (SELECT * FROM w WHERE abs({dot(P, vec('q'))}) > {math.cos(0.8)!r} AND (d1 < 0.15 OR d2 < 0.15) AND ((least(x, y) < 0 AND greatest(x, y) > 0) OR (least(x, y) > 0 AND least(x, y) < n)))"
 
 
-@query("lines_coincide", _coincide_sql())
+@query("lines_coincide", f"WITH {PAIR}, {coincide_rows()} SELECT id1, id2 FROM same_")
 def _(c):
     return c.pair.filter(G.coincide(G.start("a"), G.end("a"), G.start("b"), G.end("b"), 0.8, 0.15)).select("id1", "id2")
 

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
-from linelake.operators import clustering, detection, labelling, lifting, lines, pixels, planes, votes
+from linelake.operators import batches, clustering, detection, fusion, labelling, lifting, lines, pixels, planes, votes
 from linelake.plans.carriers import DIM, LINE, PAIR, PID, POINT, PX, Carriers
-from linelake.plans.geometry_queries import clipped, cross, dot, norm, sub, times, vec
+from linelake.plans.geometry_queries import clipped, coincide_rows, cross, dot, norm, sub, times, vec
 from linelake.sources.settings import LineSettings
 
 QUERIES: dict = {}
@@ -365,3 +365,100 @@ def _(c):
 @query("hough_segments", _segments())
 def _(c):
     return detection.segments(_edges(c), 6, 4.0, 3.0)
+
+
+# maps put together: the first and second frame of each pair of frames
+
+_MAPS = f"{LINE}, a_ AS (SELECT *, frame_id // 2 AS place FROM v_line WHERE frame_id % 2 = 0), b_ AS (SELECT *, frame_id // 2 AS place FROM v_line WHERE frame_id % 2 = 1), v_pair AS (SELECT a_.place, a_.line_id AS id1, b_.line_id AS id2, {', '.join(f'{p}_.{k}{c} AS {p}{k}{c}' for p in 'ab' for k in 'se' for c in 'xyz')} FROM a_ JOIN b_ USING (place))"
+
+
+def _coinciding() -> str:
+    return f"{_MAPS}, {coincide_rows()}"
+
+
+def _maps(c):
+    own = c.line.select("line_id", (F.floor(F.col("frame_id") / 2)).alias("place"), (F.col("frame_id") % 2).alias("map"), *lifting.ENDS)
+    return own.filter("map = 0").drop("map"), own.filter("map = 1").drop("map")
+
+
+@query("coinciding_lines", f"WITH {_coinciding()} SELECT place, id1, id2 FROM same_")
+def _(c):
+    return fusion.coinciding(*_maps(c), ["place"], "line_id", 0.8, 0.15)
+
+
+@query("group_lines", f"WITH RECURSIVE {_coinciding()}, e_ AS (SELECT id1 * 2 AS u, id2 * 2 + 1 AS v FROM same_), s_ AS (SELECT u, v FROM e_ UNION ALL SELECT v, u FROM e_), n_ AS (SELECT line_id, place, 0 AS map, line_id * 2 AS node FROM a_ UNION ALL SELECT line_id, place, 1, line_id * 2 + 1 FROM b_), r(node, m) AS (SELECT node, node FROM n_ UNION SELECT s_.v, r.m FROM r JOIN s_ ON s_.u = r.node WHERE r.m < s_.v) SELECT place, map, line_id, min(m) AS member_of FROM n_ JOIN r USING (node) GROUP BY ALL")
+def _(c):
+    return fusion.group_lines(*_maps(c), ["place"], "line_id", 0.8, 0.15)
+
+
+def _fused() -> str:
+    names = [f"n{k}{c}" for k in "12" for c in "xyz"]
+    own = ", ".join(f"{p}.{n} AS {p}{n}" for p in "ab" for n in (*lifting.ENDS, *names, "open1"))
+    A0, A1, B0, B1 = vec("as"), vec("ae"), vec("bs"), vec("be")
+    u, v = sub(A1, A0), sub(B1, B0)
+    t = f"t AS (SELECT *, {norm(u)} AS l1, {norm(v)} AS l2, {dot(u, sub(B0, A0))} AS x3, {dot(u, sub(B1, A0))} AS x4, {norm(cross(u, sub(B0, A0)))} AS d3, {norm(cross(u, sub(B1, A0)))} AS d4, abs({dot(u, v)}) AS dd, {', '.join(f'{dot(vec(f"an{i}"), vec(f"bn{j}"))} AS c{i}{j}' for i in '12' for j in '12')} FROM p)"
+    over = "((least(x3, x4) < 0 AND greatest(x3, x4) > 0) OR (least(x3, x4) > 0 AND least(x3, x4) < l1))"
+    start = lambda c: f"CASE WHEN x3 < x4 AND x3 < 0 THEN bs{c} WHEN x4 < x3 AND x4 < 0 THEN be{c} ELSE as{c} END"
+    end = lambda c: f"CASE WHEN x3 < x4 AND x3 >= 0 AND x4 > l1 THEN be{c} WHEN x4 < x3 AND x4 >= 0 AND x3 > l1 THEN bs{c} ELSE ae{c} END"
+    zero = lambda n: f"({n}x = 0 AND {n}y = 0 AND {n}z = 0)"
+
+    def fuse(i, j, c):
+        a, b = f"an{i}", f"bn{j}"
+        total = norm([f"({a}{x} + {b}{x})" for x in "xyz"])
+        return f"CASE WHEN {zero(a)} THEN {b}{c} WHEN {zero(b)} THEN {a}{c} WHEN c{i}{j} > {math.cos(1.52)!r} THEN ({a}{c} + {b}{c}) / {total} WHEN l1 > l2 THEN {a}{c} ELSE {b}{c} END"
+
+    def normal(which, c):
+        cases = "".join(f" WHEN c{x} > c{y} AND c{y} > {math.cos(1.52)!r} THEN {fuse(*pairs_[which], c)}" for x, y, *pairs_ in (("11", "21", "11", "22"), ("21", "11", "21", "12"), ("12", "22", "12", "21"), ("22", "12", "22", "11")))
+        return f"CASE{cases} WHEN l1 > l2 THEN an{which + 1}{c} ELSE bn{which + 1}{c} END"
+
+    out = ", ".join([*(f"round(({start(c)}) * 1e6)::BIGINT AS fs{c}" for c in "xyz"), *(f"round(({end(c)}) * 1e6)::BIGINT AS fe{c}" for c in "xyz"), *(f"round(({normal(k, c)}) * 1e6)::BIGINT AS fn{k + 1}{c}" for k in (0, 1) for c in "xyz")])
+    return f"WITH {LINE}, p AS (SELECT a.line_id AS id1, b.line_id AS id2, {own} FROM v_line a JOIN v_line b ON a.frame_id = b.frame_id AND a.line_id < b.line_id), {t} SELECT id1, id2, aopen1 AS fopen1, {out} FROM t WHERE l1 > 0 AND l2 > 0 AND dd > {math.cos(0.8)!r} * l1 * l2 AND d3 < 0.15 AND d4 < 0.15 AND {over}"
+
+
+@query("fused_lines", _fused())
+def _(c):
+    names = [*lifting.ENDS, *batches.NORMALS, "open1"]
+    side = lambda p, k: c.line.select("frame_id", F.col("line_id").alias(k), *[F.col(n).alias(p + n) for n in names], F.lit(False).alias(f"{p}open2"))
+    pairs = side("a", "id1").join(side("b", "id2"), "frame_id").filter("id1 < id2")
+    whole = [f"f{n}" for n in (*lifting.ENDS, *batches.NORMALS)]
+    return fusion.fused_lines(pairs, 0.8, 0.15, 1.52).select("id1", "id2", "fopen1", *[F.round(F.col(n) * 1e6).cast("long").alias(n) for n in whole])
+
+
+# training input
+
+_BACK = [0, 1, 2]
+_IN = "(0, 1, 2)"
+
+
+def _inputs() -> str:
+    moved = ", ".join(f"(s{c} - {m}) / 2.0 AS s{c}, (e{c} - {m}) / 2.0 AS e{c}" for c, m in (("x", "0.0"), ("y", "0.0"), ("z", "3.0")))
+    geometry = ", ".join([*lifting.ENDS, *batches.NORMALS, "open1::DOUBLE", "0.0", "sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy) + (ez - sz) * (ez - sz))"])
+    pad = lambda items, fill: f"array_to_string(list_concat({items}, list_transform(range(0, 30 - n_lines), lambda i: {fill})), ',')"
+    return f"""WITH {LINE}, ok AS (SELECT scene_id, frame_id, row_number() OVER (ORDER BY scene_id, frame_id) - 1 AS number FROM (SELECT scene_id, frame_id, count(*) AS n, count(DISTINCT label) FILTER (class_id NOT IN {_IN}) AS k FROM v_line GROUP BY ALL) WHERE n > 20 AND k > 0),
+ m AS (SELECT scene_id, frame_id, line_id, label, class_id IN {_IN} AS behind, {moved}, {', '.join(batches.NORMALS)}, open1, dense_rank() OVER (PARTITION BY scene_id, frame_id ORDER BY label) AS number FROM v_line),
+ l AS (SELECT scene_id, frame_id, line_id, behind, CASE WHEN behind THEN 0 ELSE number END AS label, list_transform([{geometry}], lambda x: round(x * 1e6)::BIGINT) AS g FROM m),
+ f AS (SELECT scene_id, frame_id, count(*) AS n_lines, flatten(list(g ORDER BY line_id)) AS g, list(label ORDER BY line_id) AS label, list(behind::INT ORDER BY line_id) AS behind, list_sort(list_distinct(list(label) FILTER (label > 0))) AS u FROM l GROUP BY ALL)
+ SELECT scene_id, frame_id, number, number // 4 AS batch, n_lines, array_to_string(list_concat(g, list_transform(range(0, 15 * (30 - n_lines)), lambda i: 0)), ',') AS lines, {pad('label', '0')} AS labels, {pad('behind', '1')} AS background,
+ array_to_string(list_concat(u, list_transform(range(0, 8), lambda i: -1))[1:8], ',') AS unique_labels, len(u) AS cluster_count FROM f JOIN ok USING (scene_id, frame_id)"""
+
+
+@query("line_batches", _inputs())
+def _(c):
+    own = c.line.withColumn("open2", F.lit(False))
+    rows = batches.line_batches(own, _BACK, 4, 20, most_lines=30, most_clusters=8)
+    flat = F.array_join(F.transform(F.flatten("lines"), lambda x: F.round(x * 1e6).cast("long").cast("string")), ",")
+    joined = lambda n: F.array_join(F.transform(n, lambda x: x.cast("int").cast("string")), ",").alias(n)
+    return rows.select("scene_id", "frame_id", "number", "batch", F.col("n_lines").cast("long").alias("n_lines"), flat.alias("lines"), joined("labels"), joined("background"), joined("unique_labels"), F.col("cluster_count").cast("long").alias("cluster_count"))
+
+
+@query("scene_clusters", f"WITH {LINE}, e AS (SELECT scene_id, frame_id, label AS instance, count(*) FILTER (class_id NOT IN {_IN}) AS n, arg_min(class_id, line_id) AS class_id, array_to_string(list(line_id ORDER BY line_id), ' ') AS lines FROM v_line GROUP BY ALL HAVING count(*) FILTER (class_id NOT IN {_IN}) >= 2), g AS (SELECT *, CASE WHEN class_id IN {_IN} THEN 0 ELSE instance END AS label FROM e) SELECT scene_id, label, first(class_id ORDER BY frame_id, n DESC, instance) AS class_id, count(*) AS n_clusters, string_agg(frame_id || ':' || instance || ':' || lines, ';' ORDER BY frame_id, instance) AS clusters FROM g GROUP BY ALL")
+def _(c):
+    rows = batches.scene_clusters(c.line, _BACK, 2)
+    one = lambda x: F.concat(x.frame_id.cast("string"), F.lit(":"), x.instance.cast("string"), F.lit(":"), F.array_join(F.transform(x.lines, lambda i: i.cast("string")), " "))
+    return rows.withColumn("clusters", F.array_join(F.transform("clusters", one), ";"))
+
+
+@query("new_labels", f"WITH {LINE}, p AS (SELECT line_id, scene_id, label, line_id % 3 AS part FROM v_line), s AS (SELECT scene_id, label, part, row_number() OVER (ORDER BY scene_id, label, part) AS k FROM (SELECT DISTINCT scene_id, label, part FROM p WHERE part > 0)) SELECT line_id, coalesce((SELECT max(label) FROM p WHERE label <> 7) + k, p.label)::BIGINT AS new_label FROM p LEFT JOIN s ON s.scene_id = p.scene_id AND s.label = p.label AND s.part = p.part")
+def _(c):
+    parts = c.line.select("line_id", "scene_id", "label", (F.col("line_id") % 3).alias("part"))
+    return batches.new_labels(parts, ["scene_id"], reserved=7).select("line_id", "new_label")
