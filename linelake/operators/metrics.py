@@ -58,3 +58,13 @@ def mean_zero(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """The columns less their mean in each group."""
     w = W.partitionBy(*keys)
     return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
+
+
+def row_distances(pairs: DataFrame, keys: list[str], item: str = "id1", other: str = "id2", distance: str = "d") -> DataFrame:
+    """keys, id1, id2 (id1 <> id2), d: distances between the rows of a distance matrix, each row taken as a vector. pairs:
+    every item with every other one and itself, of one group (keys); an item's row is one array, and groups are as
+    small as a frame's lines."""
+    rows = pairs.groupBy(*keys, F.col(item).alias("id1")).agg(F.transform(F.array_sort(F.collect_list(F.struct(other, distance))), lambda x: x[distance]).alias("r1"))
+    both = rows.join(rows.select(*keys, F.col("id1").alias("id2"), F.col("r1").alias("r2")), keys).filter("id1 <> id2")
+    square = F.aggregate(F.zip_with("r1", "r2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return both.select(*keys, "id1", "id2", F.sqrt(square).alias("d"))

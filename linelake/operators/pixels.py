@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
+from linelake.operators.lines import settled
 
 
 def steps(x0: str, y0: str, x1: str, y1: str) -> Column:
@@ -102,3 +103,79 @@ def jumps(walk: DataFrame, keys: list[str], z: str = "z", least: float = 0.1) ->
 
     step = walk.withColumn("_d", F.abs(F.col(z) - F.lag(z).over(W.partitionBy(*keys).orderBy("step"))))
     return step.groupBy(*keys).agg(F.count_if(F.col("_d") > least).alias("n_jumps"))
+
+
+def open_ends(lines: DataFrame, depth: DataFrame, keys: list[str], camera: tuple[float, float, float, float], size: tuple[int, int], past: float = 2.0, jump: float = 0.1) -> DataFrame:
+    """keys, open1, open2: whether a 3-D line (sx .. ez) goes on behind something at its start and at its end. The line is
+    prolonged by `past` pixels; that end is open where the point there lies beside the image, or where the depth
+    (frame_id, u, v, depth; one row a pixel, none is 0) of its pixel is nearer than the point by more than `jump`. A line without
+    length in the image is open at both ends."""
+    named = lambda names, v: dict(zip(names.split(), v.c))
+    rows = lines.select(*keys, *[F.col(f"{p}{c}") for p in "se" for c in "xyz"], F.explode(F.array(F.lit(1), F.lit(2))).alias("tip"))
+    first = F.col("tip") == 1
+    rows = settled(rows, named("_ax _ay _az", G.end().when(first, G.start())) | named("_bx _by _bz", G.start().when(first, G.end())))
+    a, b = G.Vec.of("_ax", "_ay", "_az"), G.Vec.of("_bx", "_by", "_bz")
+    rows = settled(rows, named("_u0 _v0 _u1 _v1", G.Vec((*G.project(a, *camera), *G.project(b, *camera)))))
+    n = (G.Vec.of("_u1", "_v1") - G.Vec.of("_u0", "_v0")).norm()
+    rows = settled(rows, named("_px _py _pz", b + (b - a) * G.div(F.lit(past), n)))
+    reach = G.Vec.of("_px", "_py", "_pz")
+    rows = settled(rows, named("pu pv", G.Vec(G.project(reach, *camera))) | {"far": reach.norm()})
+    inside = ~F.isnan("pu") & ~F.isnan("pv") & (F.col("pu") >= 0) & (F.col("pu") < size[0]) & (F.col("pv") >= 0) & (F.col("pv") < size[1])
+    at = [F.when(inside, F.rint(c)).cast("long").alias(n) for c, n in (("pu", "u"), ("pv", "v"))]
+    seen = rows.withColumn("inside", inside).select(*keys, "tip", "inside", "far", *at).join(depth.select("frame_id", "u", "v", "depth"), ["frame_id", "u", "v"], "left")
+    is_open = ~F.col("inside") | (F.coalesce("depth", F.lit(0.0)) < F.col("far") - jump)
+    return seen.groupBy(*keys).agg(F.bool_or((F.col("tip") == 1) & is_open).alias("open1"), F.bool_or((F.col("tip") == 2) & is_open).alias("open2"))
+
+
+def _greedy_walk() -> Column:
+    """Pixels (step, u, v) from (ax, ay) to (bx, by), each a step in the rounded direction of what is left."""
+    most = (F.abs(F.col("bx") - F.col("ax")) + F.abs(F.col("by") - F.col("ay"))).cast("int")
+    begin = F.struct(F.col("ax").alias("u"), F.col("ay").alias("v"), F.array().cast("array<struct<step: int, u: int, v: int>>").alias("seen"))
+
+    def step(state, k):
+        du, dv = F.col("bx") - state.u, F.col("by") - state.v
+        n = F.sqrt(du * du + dv * dv)
+        u, v = (c + F.floor(d / n + 0.5).cast("int") for c, d in ((state.u, du), (state.v, dv)))
+        return F.when(n == 0, state).otherwise(F.struct(u.alias("u"), v.alias("v"), F.concat(state.seen, F.array(F.struct(k.alias("step"), u.alias("u"), v.alias("v")))).alias("seen")))
+
+    return F.when(most > 0, F.aggregate(F.sequence(F.lit(1), most), begin, step, lambda s: s.seen))
+
+
+def without_jumps(lines: DataFrame, cloud: DataFrame, keys: list[str], most: float = 0.1) -> DataFrame:
+    """keys, valid: whether the means of 3 x 3 points, at each pixel on the way along a 2-D line (x0 .. y1), move by
+    no more than `most` from one pixel to the next. Patches are cut to the box of the line; a pixel without a row is the
+    point (0, 0, 0); means with NaN don't count as moving. A line of one pixel is valid."""
+    whole = lines.select(*keys, *[F.floor(c).cast("int").alias(n) for c, n in (("x0", "ax"), ("y0", "ay"), ("x1", "bx"), ("y1", "by"))], *[f(F.col(f"{c}0"), F.col(f"{c}1")).cast("int").alias(f"{n}{c}") for n, f in (("low", F.least), ("high", F.greatest)) for c in "xy"])
+    walk = whole.select(*keys, "lowx", "highx", "lowy", "highy", F.explode(_greedy_walk()).alias("w")).select(*keys, "lowx", "highx", "lowy", "highy", "w.*")
+    span = lambda at, c: F.sequence(G.clamp(F.col(at) - 1, F.col(f"low{c}"), F.col(f"high{c}")), G.clamp(F.col(at) + 1, F.col(f"low{c}"), F.col(f"high{c}")))
+    patch = walk.select(*keys, "step", F.explode(span("u", "x")).alias("u"), span("v", "y").alias("_v")).select(*keys, "step", "u", F.explode("_v").alias("v"))
+    seen = patch.hint("merge").join(cloud.select("frame_id", "u", "v", "x", "y", "z"), ["frame_id", "u", "v"], "left")
+    means = seen.groupBy(*keys, "step").agg(*[(F.coalesce(F.sum(c), F.lit(0.0)) / F.count("*")).alias(c) for c in "xyz"])
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(*keys).orderBy("step")
+    moved = G.Vec(tuple(F.col(c) - F.lag(c).over(w) for c in "xyz")).norm()
+    bad = means.withColumn("_d", moved).groupBy(*keys).agg(F.bool_or((F.col("_d") > most) & ~F.isnan("_d")).alias("bad"))
+    return lines.select(*keys).join(bad, keys, "left").select(*keys, (~F.coalesce("bad", F.lit(False))).alias("valid"))
+
+
+def shortest_lines(lines: DataFrame, cloud: DataFrame, keys: list[str], size: tuple[int, int]) -> DataFrame:
+    """keys, sx .. ez: of the points of 3 x 3 pixels around the start of a 2-D line and of those around its end, the two
+    nearest to each other (of equal pairs the first by start column, start row, end column, end row). Columns are cut to the image's
+    height and rows to its width. Pixels without a row and NaN points are left out; without points at an end there is no row."""
+    cut = lambda c, most: G.clamp(c, F.lit(0), F.lit(most - 1))
+    spans = {}
+    for k in "01":
+        x, y = F.col(f"x{k}").cast("int"), F.col(f"y{k}").cast("int")
+        spans[k] = (F.sequence(cut(x - 1, size[1]), cut(x + 1, size[1])), F.sequence(cut(y - 1, size[0]), cut(y + 1, size[0])))
+    whole = cloud.filter(~F.isnan("x")).select("frame_id", "u", "v", "x", "y", "z")
+
+    def end(k, name):
+        own = lines.select(*keys, F.explode(spans[k][0]).alias("u"), spans[k][1].alias("_v")).select(*keys, "u", F.explode("_v").alias("v"))
+        found = own.hint("merge").join(whole, ["frame_id", "u", "v"])
+        return found.select(*keys, F.struct("u", "v").alias(f"{name}p"), *[F.col(c).alias(f"{name}{c}") for c in "xyz"])
+
+    pairs = end("0", "s").join(end("1", "e"), keys)
+    d = G.Vec.of("sx", "sy", "sz") - G.Vec.of("ex", "ey", "ez")
+    best = F.min(F.struct(d.dot(d).alias("d"), "sp", "ep", *[f"{p}{c}" for p in "se" for c in "xyz"])).alias("b")
+    return pairs.groupBy(*keys).agg(best).select(*keys, *[F.col(f"b.{p}{c}").alias(f"{p}{c}") for p in "se" for c in "xyz"])

@@ -350,7 +350,7 @@ def _(c):
     return c.px.select("line_id", p.c[0].alias("x"), p.c[1].alias("y"), G.ray_to_depth(F.col("x0"), F.col("y0"), F.lit(2500.0), 600.0, 600.0, 159.5, 119.5).alias("mm"))
 
 
-def _camera_sql() -> str:
+def camera_sql() -> str:
     x = over(sub(B, A), norm(sub(B, A)))
     t = f"t AS (SELECT *, {named(x, ['dx', 'dy', 'dz'])}, {named(times(add(A, B), '0.5'), ['mx', 'my', 'mz'])} FROM v_line), "
     unit = lambda v: over(v, norm(v))
@@ -363,7 +363,7 @@ def _camera_sql() -> str:
     return f"WITH {LINE}, {t} SELECT line_id, floor(x * 1e6 + 0.5)::BIGINT AS x, floor(y * 1e6 + 0.5)::BIGINT AS y, floor(z * 1e6 + 0.5)::BIGINT AS z FROM r WHERE r = 1"
 
 
-@query("virtual_camera", _camera_sql())
+@query("virtual_camera", camera_sql())
 def _(c):
     return virtual_camera_origins(c.line, 0.25).select("line_id", *[micro(F.col(f"cam{k}")).alias(k) for k in "xyz"])
 

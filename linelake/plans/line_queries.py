@@ -7,9 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
-from linelake.operators import batches, clustering, detection, fusion, labelling, lifting, lines, pixels, planes, votes
+from linelake.operators import batches, cameras, clustering, detection, fusion, labelling, lifting, lines, metrics, pixels, planes, votes
 from linelake.plans.carriers import DIM, LINE, PAIR, PID, POINT, PX, Carriers
-from linelake.plans.geometry_queries import clipped, coincide_rows, cross, dot, norm, sub, times, vec
+from linelake.plans.geometry_queries import camera_sql, clipped, coincide_rows, cross, dot, micro, norm, sub, times, vec
 from linelake.sources.settings import LineSettings
 
 QUERIES: dict = {}
@@ -462,3 +462,92 @@ def _(c):
 def _(c):
     parts = c.line.select("line_id", "scene_id", "label", (F.col("line_id") % 3).alias("part"))
     return batches.new_labels(parts, ["scene_id"], reserved=7).select("line_id", "new_label")
+
+
+# open ends, jumps, nearest patches, views, silhouettes of rows
+
+_IMAGE = "px1 AS (SELECT frame_id, u, v, min(z) AS z FROM v_point GROUP BY ALL)"
+_SHIFTED = "o AS (SELECT line_id, frame_id, sx, sy, sz + 1.5::DOUBLE AS sz, ex, ey, ez + 1.5::DOUBLE AS ez FROM v_line)"
+
+
+def _image(c):
+    return c.point.groupBy("frame_id", "u", "v").agg(F.min("z").alias("z"))
+
+
+def _open() -> str:
+    tip = ", ".join([*(f"CASE WHEN tip = 1 THEN e{c} ELSE s{c} END AS f{c}" for c in "xyz"), *(f"CASE WHEN tip = 1 THEN s{c} ELSE e{c} END AS g{c}" for c in "xyz")])
+    n = "sqrt((gx * 200 / gz - fx * 200 / fz) * (gx * 200 / gz - fx * 200 / fz) + (gy * 200 / gz - fy * 200 / fz) * (gy * 200 / gz - fy * 200 / fz))"
+    return f"""WITH {LINE}, {POINT}, {_IMAGE}, {_SHIFTED}, t AS (SELECT line_id, frame_id, tip, {tip} FROM o, (SELECT unnest([1, 2]) AS tip)), r AS (SELECT line_id, frame_id, tip, {', '.join(f'g{c} + (g{c} - f{c}) * (2.0 / {n}) AS {c}' for c in 'xyz')} FROM t),
+ p AS (SELECT line_id, frame_id, tip, x * 200 / z + 160 AS pu, y * 200 / z + 120 AS pv, sqrt(x * x + y * y + z * z) AS far FROM r), q AS (SELECT *, pu >= 0 AND pu < 320 AND pv >= 0 AND pv < 240 AS inside FROM p),
+ e AS (SELECT line_id, tip, NOT inside OR coalesce(i.z / 20::DOUBLE, 0.0) < far - 0.1 AS open FROM q LEFT JOIN px1 i ON i.frame_id = q.frame_id AND inside AND i.u = round_even(pu, 0)::BIGINT AND i.v = round_even(pv, 0)::BIGINT)
+ SELECT line_id, bool_or(tip = 1 AND open) AS open1, bool_or(tip = 2 AND open) AS open2 FROM e GROUP BY line_id"""
+
+
+@query("open_ends", _open())
+def _(c):
+    own = c.line.select("frame_id", "line_id", "sx", "sy", (F.col("sz") + 1.5).alias("sz"), "ex", "ey", (F.col("ez") + 1.5).alias("ez"))
+    depth = _image(c).select("frame_id", "u", "v", (F.col("z").cast("double") / 20.0).alias("depth"))
+    return pixels.open_ends(own, depth, ["frame_id", "line_id"], (200.0, 200.0, 160.0, 120.0), (320, 240)).select("line_id", "open1", "open2")
+
+
+_WALK = """w(line_id, frame_id, step, u, v) AS (SELECT line_id, frame_id, 0, ax, ay FROM b0 UNION ALL SELECT w.line_id, w.frame_id, step + 1, u + floor((bx - u) / sqrt((bx - u) * (bx - u) + (by_ - v) * (by_ - v)) + 0.5)::INT, v + floor((by_ - v) / sqrt((bx - u) * (bx - u) + (by_ - v) * (by_ - v)) + 0.5)::INT FROM w JOIN b0 USING (line_id) WHERE u <> bx OR v <> by_)"""
+
+
+def _jumps() -> str:
+    return f"""WITH RECURSIVE {PX}, {POINT}, px1 AS (SELECT frame_id, u, v, min(z) AS z FROM v_point GROUP BY ALL), b0 AS (SELECT line_id, frame_id, floor(x0)::INT AS ax, floor(y0)::INT AS ay, floor(x1)::INT AS bx, floor(y1)::INT AS by_, trunc(least(x0, x1))::INT AS lowx, trunc(greatest(x0, x1))::INT AS highx, trunc(least(y0, y1))::INT AS lowy, trunc(greatest(y0, y1))::INT AS highy FROM v_px),
+ {_WALK}, s AS (SELECT w.line_id, w.frame_id, step, unnest(range(least(greatest(u - 1, lowx), highx), least(greatest(u + 1, lowx), highx) + 1)) AS pu, least(greatest(v - 1, lowy), highy) AS v0, least(greatest(v + 1, lowy), highy) AS v1 FROM w JOIN b0 USING (line_id) WHERE step > 0),
+ p AS (SELECT line_id, frame_id, step, pu, unnest(range(v0, v1 + 1)) AS pv FROM s), m AS (SELECT line_id, step, coalesce(sum((i.u - 160) * (i.z / 400::DOUBLE) / 200::DOUBLE), 0.0) / count(*) AS x, coalesce(sum((i.v - 120) * (i.z / 400::DOUBLE) / 200::DOUBLE), 0.0) / count(*) AS y, coalesce(sum(i.z / 400::DOUBLE), 0.0) / count(*) AS z FROM p LEFT JOIN px1 i ON i.frame_id = p.frame_id AND i.u = pu AND i.v = pv GROUP BY ALL),
+ d AS (SELECT line_id, sqrt((x - lag(x) OVER l) * (x - lag(x) OVER l) + (y - lag(y) OVER l) * (y - lag(y) OVER l) + (z - lag(z) OVER l) * (z - lag(z) OVER l)) AS d FROM m WINDOW l AS (PARTITION BY line_id ORDER BY step))
+ SELECT line_id, NOT coalesce(bool_or(d > 0.01), false) AS valid FROM b0 LEFT JOIN d USING (line_id) GROUP BY line_id"""
+
+
+@query("without_jumps", _jumps())
+def _(c):
+    cloud = _image(c).select("frame_id", "u", "v", *G.back_project("u", "v", F.col("z").cast("double") / 400.0, 200.0, 200.0, 160.0, 120.0).aliased("x", "y", "z"))
+    return pixels.without_jumps(c.px, cloud, ["frame_id", "line_id"], 0.01).select("line_id", "valid")
+
+
+def _shortest() -> str:
+    box = lambda x, most: f"unnest(range(least(greatest({x}::INT - 1, 0), {most}), least(greatest({x}::INT + 1, 0), {most}) + 1))"
+    end = lambda k, p: f"e{k} AS (SELECT line_id, u AS {p}u, v AS {p}v, x AS {p}x, y AS {p}y, z AS {p}z FROM (SELECT line_id, frame_id, u, {box(f'trunc(y{k})', 19)} AS v FROM (SELECT line_id, frame_id, y{k}, {box(f'trunc(x{k})', 14)} AS u FROM v_small)) JOIN cl USING (frame_id, u, v))"
+    return f"""WITH {PX}, {POINT}, cl AS (SELECT frame_id, u // 16 AS u, v // 16 AS v, min(u)::DOUBLE AS x, min(v)::DOUBLE AS y, min(z)::DOUBLE AS z FROM v_point GROUP BY ALL), v_small AS (SELECT line_id, frame_id, x0 / 16.0 AS x0, y0 / 16.0 AS y0, x1 / 16.0 AS x1, y1 / 16.0 AS y1 FROM v_px), {end(0, 's')}, {end(1, 'e')}
+ SELECT line_id, sx, sy, sz, ex, ey, ez FROM e0 JOIN e1 USING (line_id) QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY (sx - ex) * (sx - ex) + (sy - ey) * (sy - ey) + (sz - ez) * (sz - ez), su, sv, eu, ev) = 1"""
+
+
+@query("shortest_lines", _shortest())
+def _(c):
+    cloud = c.point.groupBy("frame_id", F.expr("u div 16").alias("cu"), F.expr("v div 16").alias("cv")).agg(*[F.min(a).cast("double").alias(b) for a, b in (("u", "x"), ("v", "y"), ("z", "z"))]).withColumnsRenamed({"cu": "u", "cv": "v"})
+    small = c.px.select("frame_id", "line_id", *[(F.col(x) / 16.0).alias(x) for x in ("x0", "y0", "x1", "y1")])
+    return pixels.shortest_lines(small, cloud, ["frame_id", "line_id"], (20, 15)).drop("frame_id")
+
+
+def _views() -> str:
+    base = camera_sql().split(" SELECT line_id, floor(x")[0].replace(f"WITH {LINE}", f"WITH {LINE.replace('v_line AS', 'v_line0 AS', 1)}, v_line AS (SELECT * REPLACE (sz + 1.5::DOUBLE AS sz, ez + 1.5::DOUBLE AS ez) FROM v_line0)", 1)
+    A, B, O = vec("s"), vec("e"), vec("o")
+    n = "sqrt((ex * 200 / ez - sx * 200 / sz) * (ex * 200 / ez - sx * 200 / sz) + (ey * 200 / ez - sy * 200 / sz) * (ey * 200 / ez - sy * 200 / sz))"
+    mid = times([f"({a} + {b})" for a, b in zip(A, B)], "0.5")
+    z = sub(mid, O)
+    return f"""{base}, {POINT}, pt AS (SELECT frame_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, price, (u - 160) * (z / 20::DOUBLE) / 200::DOUBLE AS px, (v - 120) * (z / 20::DOUBLE) / 200::DOUBLE AS py, z / 20::DOUBLE AS pz, class_id FROM v_point),
+ k AS (SELECT line_id, frame_id, sx, sy, sz, ex, ey, ez, r.x AS ox, r.y AS oy, r.z AS oz, {norm(sub(B, A))} AS length, {n} AS n FROM v_line JOIN r USING (line_id) WHERE r = 1),
+ k1 AS (SELECT *, least(120, trunc(n * 1.5)::INT) AS width, {', '.join(f'({b} - {a}) / length AS x{c}' for a, b, c in zip(A, B, 'xyz'))}, {', '.join(f'({x}) / {norm(z)} AS z{c}' for x, c in zip(z, 'xyz'))} FROM k WHERE n * 1.5 > 40 AND n / length > 50),
+ k2 AS (SELECT *, trunc(width / 1.5)::INT AS height, {', '.join(f'{x} AS c{c}' for x, c in zip(cross(vec('z'), vec('x')), 'xyz'))} FROM k1), k3 AS (SELECT *, {norm(vec('c'))} AS cn FROM k2),
+ l AS (SELECT line_id, width, height, length, class_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, price, xx * (px - ox) + xy * (py - oy) + xz * (pz - oz) AS qx, cx / cn * (px - ox) + cy / cn * (py - oy) + cz / cn * (pz - oz) AS qy, zx * (px - ox) + zy * (py - oy) + zz * (pz - oz) AS qz FROM k3 JOIN pt USING (frame_id)),
+ i AS (SELECT *, trunc(qx * (width / (length * 1.5)) + width / 2)::INT AS u, trunc(qy * (height / length) + height / 2)::INT AS v FROM l WHERE qx >= -(length * 1.5) / 2 AND qx < length * 1.5 / 2 AND qy >= -length / 2 AND qy < length / 2 AND qz >= 0 AND qz < 0.5)
+ SELECT line_id, width, height, u, v, floor(qz * 1e6 + 0.5)::BIGINT AS z, class_id, n_points, (floor(qz * 1000.0) % 256)::BIGINT AS depth8 FROM (SELECT *, count(*) OVER (PARTITION BY line_id, u, v) AS n_points, row_number() OVER (PARTITION BY line_id, u, v ORDER BY qz, {', '.join(PID)}) AS rk FROM i WHERE u >= 0 AND u < width AND v >= 0 AND v < height) WHERE rk = 1"""
+
+
+@query("line_views", _views())
+def _(c):
+    own = c.line.withColumns({"sz": F.col("sz") + 1.5, "ez": F.col("ez") + 1.5}).select("frame_id", "line_id", "type", *lifting.ENDS, *batches.NORMALS)
+    points = c.point.select("frame_id", "class_id", *PID, *G.back_project("u", "v", F.col("z").cast("double") / 20.0, 200.0, 200.0, 160.0, 120.0).aliased("x", "y", "z"))
+    rows = cameras.line_views(own, points, ["frame_id", "line_id"], (200.0, 200.0, 160.0, 120.0), ["class_id"], PID)
+    return rows.select("line_id", "width", "height", "u", "v", micro(F.col("z")).alias("z"), "class_id", "n_points", F.col("depth8").cast("long").alias("depth8"))
+
+
+@query("silhouette_of_rows", f"WITH {LINE}, d AS (SELECT a.frame_id, a.line_id AS id1, b.line_id AS id2, sqrt((a.sx - b.sx) * (a.sx - b.sx) + (a.sy - b.sy) * (a.sy - b.sy)) AS d FROM v_line a JOIN v_line b USING (frame_id)), q AS (SELECT x.frame_id, x.id1, y.id1 AS id2, sqrt(sum((x.d - y.d) * (x.d - y.d))) AS d FROM d x JOIN d y ON x.frame_id = y.frame_id AND x.id2 = y.id2 AND x.id1 <> y.id1 GROUP BY ALL), m AS (SELECT id1, a.label AS c1, b.label AS c2, avg(d) AS d FROM q JOIN v_line a ON a.line_id = id1 JOIN v_line b ON b.line_id = id2 GROUP BY ALL), s AS (SELECT id1, max(CASE WHEN c1 = c2 THEN d END) AS a, min(CASE WHEN c1 <> c2 THEN d END) AS b FROM m GROUP BY ALL) SELECT id1, round(coalesce(CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) END, 0.0), 5) + 0.0 AS score FROM s")
+def _(c):
+    side = lambda p: c.line.select("frame_id", F.col("line_id").alias(f"id{p}"), F.col("sx").alias(f"x{p}"), F.col("sy").alias(f"y{p}"))
+    d = F.sqrt((F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2")) + (F.col("y1") - F.col("y2")) * (F.col("y1") - F.col("y2")))
+    rows = metrics.row_distances(side(1).join(side(2), "frame_id").select("frame_id", "id1", "id2", d.alias("d")), ["frame_id"])
+    label = lambda p: c.line.select(F.col("line_id").alias(f"id{p}"), F.col("label").alias(f"c{p}"))
+    return metrics.silhouette(rows.join(label(1), "id1").join(label(2), "id2")).withColumn("score", F.round("score", 5) + 0.0)
