@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
-from linelake.operators import batches, cameras, clustering, detection, fusion, labelling, lifting, lines, metrics, pixels, planes, votes
+from linelake.operators import batches, cameras, clustering, detection, fusion, labelling, lifting, lines, metrics, pixels, planes, trees, votes
 from linelake.plans.carriers import DIM, LINE, PAIR, PID, POINT, PX, Carriers
 from linelake.plans.geometry_queries import camera_sql, clipped, coincide_rows, cross, dot, micro, norm, sub, times, vec
 from linelake.sources.settings import LineSettings
@@ -551,3 +551,10 @@ def _(c):
     rows = metrics.row_distances(side(1).join(side(2), "frame_id").select("frame_id", "id1", "id2", d.alias("d")), ["frame_id"])
     label = lambda p: c.line.select(F.col("line_id").alias(f"id{p}"), F.col("label").alias(f"c{p}"))
     return metrics.silhouette(rows.join(label(1), "id1").join(label(2), "id2")).withColumn("score", F.round("score", 5) + 0.0)
+
+
+@query("forest_distance")
+def _(c):
+    model = trees.fit_forest(c.line, list(lifting.ENDS), "label")
+    paths = trees.decision_paths(c.line, trees.forest_nodes(model, c.spark), ["line_id"], list(lifting.ENDS))
+    return trees.path_distances(paths, c.pair, "line_id", 5)
