@@ -1,12 +1,14 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-A text block is a run of one to LINES neighbouring lines, so that wrapped notices are met. A block meets a template when it holds at least `threshold` of the template's distinct words.
+A text block is a window of consecutive words, whatever lines they stand on; a template of m words has windows of
+SLACK * m words, or the whole text where it is shorter. A block meets a template when it holds at least `threshold` of
+the template's distinct words.
 The words of all templates are ordered by their frequency over all documents, rarest first. A block that meets a
 template of n words lacks at most n - ceil(threshold * n) of them, so it holds one of the template's first
 n - ceil(threshold * n) + 1 words: these alone are joined (prefix filter). A block with too few distinct words for a
 template goes (length filter); at a shared word at place i of the template's order, only the words from i on and those
 before it can still be shared, so a first shared word that lies too far back ends the pair (positional filter). What is
-left is counted exactly. The templates are a fixed, small table; it is the only side that is broadcast.
+left is counted exactly: of the windows around a word of the prefix, the first of those that share most. The templates are a fixed, small table; it is the only side that is broadcast.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. The base labels come from phrases
 whose words stand consecutively anywhere in the text, also across lines.
@@ -30,8 +32,8 @@ from linelake.llm.common import table, text_hash
 
 THRESHOLD = 0.9
 
-#: Neighbouring lines of a block at most.
-LINES = 3
+#: Words of a block for each word of the template that it is held against.
+SLACK = 1.5
 
 #: Phrases (words) and labels of the base.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -69,6 +71,11 @@ def words(line: Column) -> Column:
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " ", -1))
 
 
+def window_sizes(templates=TEMPLATES) -> dict[int, int]:
+    """Words of a block by the template's number."""
+    return {i: math.ceil(SLACK * len(re.sub(_SEPARATORS, " ", text.lower()).split())) for i, (_, text) in enumerate(templates)}
+
+
 def template_words(templates=TEMPLATES) -> list[tuple[int, str, list[str]]]:
     return [(i, label, sorted(set(re.sub(_SEPARATORS, " ", text.lower()).split()))) for i, (label, text) in enumerate(templates)]
 
@@ -78,10 +85,10 @@ def _folded(line: str) -> Column:
     return F.split(F.lower(line), _SEPARATORS, -1)
 
 
-def frequencies(lines: DataFrame, templates) -> dict[str, int]:
-    """How often each word of the templates stands in all lines (column `raw`)."""
+def frequencies(docs: DataFrame, templates) -> dict[str, int]:
+    """How often each word of the templates stands in all texts."""
     known = sorted({w for _, _, own in templates for w in own})
-    counted = lines.select(F.explode(_folded("raw")).alias("word")).filter(F.col("word").isin(known)).groupBy("word").count()
+    counted = docs.select(F.explode(_folded("text")).alias("word")).filter(F.col("word").isin(known)).groupBy("word").count()
     return {r["word"]: r["count"] for r in counted.collect()}  # at most a row per template word
 
 
@@ -89,14 +96,41 @@ def ordered(templates, frequency: dict[str, int]) -> list[tuple[int, str, list[s
     return [(i, label, sorted(own, key=lambda w: (frequency.get(w, 0), w))) for i, label, own in templates]
 
 
+def _needs(templates, threshold: float) -> dict[int, int]:
+    return {i: max(1, math.ceil(threshold * len(own) - 1e-9)) for i, _, own in templates}
+
+
+def _index(spark: SparkSession, templates, threshold: float, sizes: dict[int, int] | None = None) -> tuple[DataFrame, list[str]]:
+    """The words of all prefixes with their templates, as a table and as a list."""
+    need = _needs(templates, threshold)
+    prefix = [(w, i, label, own, at, len(own), need[i], (sizes or {}).get(i, 0)) for i, label, own in templates for at, w in enumerate(own[: len(own) - need[i] + 1])]
+    return spark.createDataFrame(prefix, "token string, template int, label string, own array<string>, at int, n int, need int, wide int"), sorted({x[0] for x in prefix})
+
+
+def windows_met(texts: DataFrame, keys: list[str], templates, sizes: dict[int, int], threshold: float = THRESHOLD) -> DataFrame:
+    """keys, template, label, start (word number), wide, shared, containment of windows that meet a template: for each
+    word of a template's prefix in a text, the first of the windows around it that share most. texts: keys and `w`, the words."""
+    index, rare = _index(texts.sparkSession, templates, threshold, sizes)
+    most = max(sizes.values())
+    known = F.array(*map(F.lit, rare))
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(known, F.get("w", i)))
+    around = F.transform(places, lambda i: F.struct(i.alias("p"), F.get("w", i).alias("token"), F.greatest(i - (most - 1), F.lit(0)).alias("low"), F.slice("w", F.greatest(i - (most - 1), F.lit(0)) + 1, 2 * most - 1).alias("region")))
+    anchors = texts.filter(F.size("w") > 0).select(*keys, F.explode(around).alias("a")).select(*keys, "a.*")
+    met = anchors.join(F.broadcast(index), "token")
+    # the part of the region that windows of this template reach
+    low = F.greatest(F.col("p") - F.col("wide") + 1, F.lit(0))
+    met = met.withColumn("first", low).withColumn("region", F.slice("region", F.col("first") - F.col("low") + 1, F.col("wide") * 2 - 1))
+    met = met.filter(F.size(F.array_intersect("own", "region")) >= F.col("need"))
+    met = met.filter(F.col("n") - F.col("at") + F.size(F.array_intersect(F.slice("own", F.lit(1), F.col("at")), "region")) >= F.col("need"))
+    shared = F.transform(F.sequence(F.col("first"), F.col("p")), lambda s: F.struct((-F.size(F.array_intersect("own", F.slice("region", s - F.col("first") + 1, F.col("wide"))))).alias("less"), s.alias("start")))
+    best = met.withColumn("best", F.array_min(shared)).withColumn("shared", -F.col("best.less")).filter(F.col("shared") >= F.col("need"))
+    return best.select(*keys, "template", "label", F.col("best.start").alias("start"), "wide", "shared", (F.col("shared") / F.col("n")).alias("containment"))
+
+
 def contained(blocks: DataFrame, keys: list[str], templates, threshold: float = THRESHOLD) -> DataFrame:
     """keys, template, label, shared, containment of each pair of a block and a template that it meets. blocks: keys
     and `tokens`, an array of distinct words. templates: (number, label, distinct words in the global order)."""
-    spark = blocks.sparkSession
-    need = {i: max(1, math.ceil(threshold * len(own) - 1e-9)) for i, _, own in templates}
-    prefix = [(w, i, label, own, at, len(own), need[i]) for i, label, own in templates for at, w in enumerate(own[: len(own) - need[i] + 1])]
-    index = spark.createDataFrame(prefix, "token string, template int, label string, own array<string>, at int, n int, need int")
-    rare = sorted({x[0] for x in prefix})
+    index, rare = _index(blocks.sparkSession, templates, threshold)
     held = blocks.withColumn("hits", F.array_intersect("tokens", F.array(*map(F.lit, rare)))).filter(F.size("hits") > 0)
     pairs = (
         held.select(*keys, "tokens", F.explode("hits").alias("token"))
@@ -121,21 +155,18 @@ def count_words(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(pieces - outer).cast("long")
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, id_col: str = "doc_id", text_col: str = "text", most_lines: int = LINES) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: n_words, n_base, first_word, last_word, base_labels and labels (arrays), score, blocks
-    (number of the first line, number of lines, label, containment of every block that meets a template)."""
+    (number of the first word, words, label and containment of the windows of windows_met)."""
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).alias("doc_id"), text_hash(text).alias("hash"), F.coalesce(text, F.lit("")).alias("text"))
-    lines = own.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("number", "raw"))
-    windows = own.withColumn("own", F.split("text", "\n", -1)).select("doc_id", "hash", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("own")), lambda i: F.array_join(F.slice("own", i, most_lines), "\n"))).alias("number", "raw"))
     rows = template_words(templates)
-    rows = ordered(rows, frequencies(lines, rows))
-    rare = sorted({w for _, _, o in rows for w in o[: len(o) - max(1, math.ceil(threshold * len(o) - 1e-9)) + 1]})
-    some = windows.filter(F.arrays_overlap(_folded("raw"), F.array(*map(F.lit, rare))))
-    runs = some.withColumn("own", F.split("raw", "\n", -1)).withColumn("lines", F.explode(F.sequence(F.lit(1), F.size("own"))))
-    blocks = runs.select("doc_id", "hash", "number", "lines", F.array_distinct(words(spaced(F.array_join(F.slice("own", F.lit(1), F.col("lines")), "\n")))).alias("tokens"))
-    met = contained(blocks, ["doc_id", "hash", "number", "lines"], rows, threshold)
-    met = met.groupBy("doc_id", "hash").agg(F.collect_set("label").alias("met"), F.max("containment").alias("most"), F.sort_array(F.collect_set(F.struct("number", "lines", "label", "containment"))).alias("blocks"))
+    rows = ordered(rows, frequencies(own, rows))
+    need = _needs(rows, threshold)
+    rare = sorted({w for i, _, o in rows for w in o[: len(o) - need[i] + 1]})
+    some = own.filter(F.arrays_overlap(_folded("text"), F.array(*map(F.lit, rare)))).select("doc_id", "hash", words(spaced(F.col("text"))).alias("w"))
+    met = windows_met(some, ["doc_id", "hash"], rows, window_sizes(templates), threshold)
+    met = met.groupBy("doc_id", "hash").agg(F.collect_set("label").alias("met"), F.max("containment").alias("most"), F.sort_array(F.collect_set(F.struct("start", "wide", "label", "containment"))).alias("blocks"))
 
     # a sieve on the bare text, so that few texts are split into a column of words
     sieve = F.col("text").rlike("(?i)" + "|".join(f"{_BARE}+".join(p.split()) for p in phrases))

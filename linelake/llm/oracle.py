@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linelake.llm.license import PHRASES, TEMPLATES, THRESHOLD, template_words
+from linelake.llm.license import PHRASES, TEMPLATES, THRESHOLD, template_words, window_sizes
 
 _SPACE = "'[^\\x20\\x09-\\x0D]+'"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,14 +40,16 @@ SELECT page_id, strlen(body) AS payload_bytes, array_to_string(list_transform(ra
 
 def _op6() -> str:
     phrases = ", ".join(f"([{', '.join(repr(w) for w in p.split())}], '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"({i}, '{label}', [{', '.join(repr(w) for w in own)}])" for i, label, own in template_words(TEMPLATES))
+    sizes = window_sizes(TEMPLATES)
+    templates = ", ".join(f"({i}, '{label}', [{', '.join(repr(w) for w in own)}], {sizes[i]})" for i, label, own in template_words(TEMPLATES))
     return f"""WITH w AS (SELECT doc_id, regexp_extract_all({_lower('text')}, {_ALNUM}) AS w FROM documents),
  p(words, label) AS (VALUES {phrases}),
  b AS (SELECT doc_id, i - 1 AS i, label FROM w, p, unnest(range(1, len(w) + 1)) AS t(i) WHERE w[i:i + len(words) - 1] = words),
  bs AS (SELECT doc_id, count(*) AS n, min(i) AS low, max(i) AS high, list_sort(list_distinct(list(label))) AS labels FROM b GROUP BY doc_id),
- t(id, label, words) AS (VALUES {templates}),
- l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, {_ALNUM})) AS line FROM (SELECT doc_id, unnest(string_split({_lower('text')}, chr(10))) AS line FROM documents)),
- m AS (SELECT doc_id, label, len(list_intersect(line, words)) / len(words) AS share FROM l, t WHERE len(list_intersect(line, words)) >= greatest(1, ceil({THRESHOLD} * len(words) - 1e-9))),
+ t(id, label, words, wide) AS (VALUES {templates}),
+ o AS (SELECT DISTINCT doc_id, w, id, label, words, wide FROM w, t WHERE len(list_intersect(w, words)) >= greatest(1, ceil({THRESHOLD} * len(words) - 1e-9))),
+ l AS (SELECT doc_id, label, words, list_distinct(w[i:i + wide - 1]) AS block FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM o) WHERE list_contains(words, w[i])),
+ m AS (SELECT doc_id, label, len(list_intersect(block, words)) / len(words) AS share FROM l WHERE len(list_intersect(block, words)) >= greatest(1, ceil({THRESHOLD} * len(words) - 1e-9))),
  ms AS (SELECT doc_id, list(label) AS labels, max(share) AS most FROM m GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(bs.n, 0) AS n_base, low AS first_word, high AS last_word, coalesce(array_to_string(bs.labels, ','), '') AS base_labels,
  array_to_string(list_sort(list_distinct(list_concat(coalesce(bs.labels, []), coalesce(ms.labels, [])))), ',') AS labels, CASE WHEN bs.n > 0 THEN 1.0 ELSE coalesce(most, 0.0) END::DOUBLE AS score
