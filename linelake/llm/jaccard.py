@@ -33,6 +33,7 @@ its text's class, and each is dropped for its own text; an empty table gives no
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,7 @@ PAIRS = 1 << 22  # pairs that sparse columns add up at once
 STREAM_BYTES = 64 << 20  # of sets that are multiplied with a block at once
 PRODUCT = 4096  # documents of a cell whose first columns are multiplied in one task; larger cells go by blocks only
 
+PARTS = 3  # of the columns, that are shuffled one after the other
 BUCKETS = 1 << 20  # counters for the order of n-grams
 SIEVE = 1 << 26  # bits of the map that leaves out documents without a partner; a full map only costs time
 
@@ -243,6 +245,19 @@ PLACES = "cell long, doc_id long, n int, m int, all int, keys binary"
 _NAMES = ["cell", "doc_id", "n", "m", "all", "keys"]
 
 
+def _shared(entries: DataFrame) -> list[DataFrame]:
+    """doc_id, n, key, cell of the columns that several documents share. Columns go by parts, one after the other, so that
+    the disk holds the shuffles of one part at a time."""
+    out = []
+    for p in range(PARTS):
+        own = entries.filter(F.pmod("key", F.lit(PARTS)) == p)
+        columns = own.groupBy("key").agg(F.min("doc_id").alias("cell"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
+        shared = materialize(columns.filter("cell < last").select("key", "cell", "size"), "columns")
+        out.append(materialize(join_groups(own, shared, ["key"], "size").select("doc_id", "n", "key", "cell"), "shared"))
+        discard(shared)
+    return out
+
+
 def _places(held: DataFrame) -> DataFrame:
     """cell, doc_id, n, m, all, keys: a row for each cell of a document, with the document's columns there; m: how
     many cells the document has; all: how many columns in all of them. held: doc_id, n, key, cell."""
@@ -423,14 +438,15 @@ def _similar(docs: DataFrame, profile: DataFrame, width: int, percent: int, bloc
 
     # cells
     entries = materialize(_entries(docs, reps, weight, width, percent), "entries")
-    columns = entries.groupBy("key").agg(F.min("doc_id").alias("cell"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
-    shared = materialize(columns.filter("cell < last").select("key", "cell", "size"), "columns")
-    places = materialize(_places(join_groups(entries, shared, ["key"], "size")), "places")
+    held = _shared(entries)
     discard(entries)
+    places = materialize(_places(held[0] if len(held) == 1 else reduce(DataFrame.unionByName, held)), "places")
+    for x in held:
+        discard(x)
     kept = materialize(_prune(places, percent).select("cell", "doc_id").join(reps, "doc_id", "left_semi").distinct(), "kept")
     sizes = materialize(kept.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1").withColumn("members", F.col("size")), "sizes")
     cells = materialize(join_groups(kept, sizes, ["cell"], "members"), "cells")
-    for x in (places, kept, shared):
+    for x in (places, kept):
         discard(x)
     texts = _compressed(docs, cells.select("doc_id").distinct())
 
