@@ -141,16 +141,21 @@ def approximate_neighbours(df: DataFrame, vector: str, key: str, radius: float,
     return model.approxSimilarityJoin(rows, rows, radius, "distance").filter("datasetA.k < datasetB.k").select(F.col("datasetA.k").alias("u"), F.col("datasetB.k").alias("v"), "distance")
 
 
+def beside(points: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:
+    """Points with the ends of their lines: as they are where they have them already."""
+    return points if "sx" in points.columns else points.join(own, keys)
+
+
 def nearest_point(points: DataFrame, own: DataFrame, keys: list[str], tie: list[str]) -> DataFrame:
     """The point of each group nearest to its (infinite) line, and its distance; ties by `tie`."""
     d = G.point_to_line(G.start(), G.end(), G.Vec.of("x", "y", "z"))
-    return points.join(own, keys).groupBy(*keys).agg(F.min(F.struct(d.alias("distance"), *tie)).alias("p")).select(*keys, "p.*")
+    return beside(points, own, keys).groupBy(*keys).agg(F.min(F.struct(d.alias("distance"), *tie)).alias("p")).select(*keys, "p.*")
 
 
 def mean_distance(points: DataFrame, own: DataFrame, keys: list[str], missing: float = 1e9) -> DataFrame:
     """rating: the mean distance of a line's points (NaN points left out); lines without points get `missing`."""
     d = G.point_to_line(G.start(), G.end(), G.Vec.of("x", "y", "z"))
-    seen = points.join(own, keys).filter(~F.isnan("x") & ~F.isnan("y") & ~F.isnan("z")).groupBy(*keys).agg(F.avg(d).alias("rating"))
+    seen = beside(points, own, keys).filter(~F.isnan("x") & ~F.isnan("y") & ~F.isnan("z")).groupBy(*keys).agg(F.avg(d).alias("rating"))
     return own.join(seen, keys, "left").select(*keys, F.coalesce("rating", F.lit(missing)).alias("rating"))
 
 

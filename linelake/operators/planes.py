@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
+from linelake.operators.lines import beside
 
 
 def fit_planes(points: DataFrame, keys: list[str], means: bool = False) -> DataFrame:
@@ -75,7 +76,7 @@ def extents(points: DataFrame, lines: DataFrame, keys: list[str], least: int = 1
     of fewer than `least` points keep their ends."""
     a, b = G.start(), G.end()
     along = (G.Vec.of("x", "y", "z") - a).dot((b - a).unit())
-    seen = points.join(lines, keys).groupBy(*keys).agg(F.min(along).alias("low"), F.max(along).alias("high"), F.count("*").alias("n"))
+    seen = beside(points, lines, keys).groupBy(*keys).agg(F.min(along).alias("low"), F.max(along).alias("high"), F.count("*").alias("n"))
     both = lines.join(seen, keys, "left")
     d, enough = (b - a).unit(), F.coalesce(F.col("n") >= least, F.lit(False))
     return both.select(*keys, *(a + d * F.col("low")).when(enough, a).aliased("sx", "sy", "sz"), *(a + d * F.col("high")).when(enough, b).aliased("ex", "ey", "ez"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -87,7 +88,7 @@ def covered(points: DataFrame, lines: DataFrame, keys: list[str], within: float
     p = G.Vec.of("x", "y", "z")
     length = (b - a).norm()
     share = G.div((p - a).dot((b - a).unit()), length)
-    near = points.join(lines, keys).withColumn("_t", share).filter((G.point_to_line(a, b, p) <= within) & (F.col("_t") >= 0) & (F.col("_t") <= 1))
+    near = beside(points, lines, keys).withColumn("_t", share).filter((G.point_to_line(a, b, p) <= within) & (F.col("_t") >= 0) & (F.col("_t") <= 1))
     place = F.least(F.floor(F.col("_t") * bins), F.lit(bins - 1)).cast("int")
     return near.groupBy(*keys).agg(F.min(place).alias("first_bin"), F.max(place).alias("last_bin"), F.count("*").alias("n"))
 
@@ -96,7 +97,7 @@ def share_around_centre(points: DataFrame, lines: DataFrame, keys: list[str]) ->
     """share of a line's points between a quarter and three quarters of its length."""
     a, b = G.start(), G.end()
     t = G.div((G.Vec.of("x", "y", "z") - a).dot((b - a).unit()), (b - a).norm())
-    return points.join(lines, keys).groupBy(*keys).agg(F.avg(F.when((t > 0.25) & (t < 0.75), 1.0).otherwise(0.0)).alias("share"))
+    return beside(points, lines, keys).groupBy(*keys).agg(F.avg(F.when((t > 0.25) & (t < 0.75), 1.0).otherwise(0.0)).alias("share"))
 
 
 def convexity(points: DataFrame, keys: list[str], side: str, other: str) -> DataFrame:

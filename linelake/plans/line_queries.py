@@ -124,7 +124,7 @@ _near = f"WITH {LINE}, {POINT}, j AS (SELECT l.frame_id, l.line_id, sx, sy, sz,
 def _beside(c: Carriers):
     points = c.point.select("frame_id", (F.col("u") / 320.0 - 0.5).alias("x"), (F.col("v") / 240.0 - 0.5).alias("y"), (F.col("z") / 50.0 - 0.5).alias("z"))
     own = c.line.select("frame_id", "line_id", "sx", "sy", "sz", "ex", "ey", "ez")
-    return points.join(own.select("frame_id", "line_id"), "frame_id"), own
+    return points.join(own, "frame_id"), own
 
 
 @query("covered_tenths", f"{_near} SELECT frame_id, line_id, min(least(floor(t / n * 10), 9))::INT AS first_bin, max(least(floor(t / n * 10), 9))::INT AS last_bin, count(*) AS n FROM d WHERE far <= 0.1 AND t / n >= 0 AND t / n <= 1 GROUP BY ALL")

@@ -174,8 +174,9 @@ def _(c):
 @query("other_floors", f"WITH {LINE}, s AS (SELECT DISTINCT scene_id, floor_id FROM v_line) SELECT a.scene_id, b.scene_id AS other FROM s a JOIN s b ON a.floor_id <> b.floor_id")
 def _(c):
     s = c.line.select("scene_id", "floor_id").distinct()
-    o = s.select(F.col("scene_id").alias("other"), F.col("floor_id").alias("f2"))
-    return s.join(F.broadcast(o), F.col("floor_id") != F.col("f2")).select("scene_id", "other")
+    floors = [x.floor_id for x in s.select("floor_id").distinct().collect()]  # about a thousand at most
+    asks = s.withColumn("f2", F.explode(F.array(*map(F.lit, floors)))).filter("f2 <> floor_id")
+    return asks.join(s.select(F.col("scene_id").alias("other"), F.col("floor_id").alias("f2")), "f2").select("scene_id", "other")
 
 
 @query("sample_n", f"WITH {LINE} SELECT frame_id, line_id FROM v_line QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY line_id * 7919 % 1009, line_id) <= 5")

@@ -92,3 +92,32 @@ def not_yet(manifest: DataFrame, done: DataFrame, key: str = "name", most: int |
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """Predictions with their labels, geometries, backgrounds and validities, in folders by scene."""
     predictions.write.mode("overwrite").partitionBy("scene_id").parquet(path)
+
+
+def load_scenes(spark: SparkSession, path: str, other_lighting: bool = False) -> DataFrame:
+    """Training lines of all scenes below a folder (path/scene/..._frame_number), with scene, lighting and line_id, the place of a
+    line in its file from 0 on. With other_lighting, the frames of the folder's sibling `<path>_random` are there too (lighting
+    'random'), of those scenes that the folder has. Empty files give no lines; frames with one number in both are told apart
+    by lighting. Line numbers come from the places of rows in their files, so files are read whole."""
+    schema = _schema(TRAINING, {"image_path", "open1", "open2"}) + ", trailing string"
+
+    def read(folder: str, lighting: str) -> DataFrame:
+        name = F.element_at(F.split(F.col("file"), "/"), -2)
+        rows = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+        lines_ = rows.select(name.alias("scene"), F.lit(lighting).alias("lighting"), "file", F.posexplode(F.split("value", "\n")).alias("line_id", "row")).filter("trim(row) <> ''")
+        return lines_.withColumn("r", F.from_csv("row", schema, {"sep": " "})).select("scene", "lighting", "file", frame_of("file").alias("frame_id"), F.col("line_id").cast("long").alias("line_id"), "r.*").drop("trailing")
+
+    lines = read(path, "normal")
+    if other_lighting:
+        more = read(f"{path.rstrip('/')}_random", "random")
+        lines = lines.unionByName(more.join(lines.select("scene").distinct(), "scene", "left_semi"))
+    return lines.withColumns({c: F.col(c) == "True" for c in ("open1", "open2")})
+
+
+def with_descriptors(frames: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """Frames (scene, lighting, frame_id) with the descriptor of their raw image (path, descriptor), which lies at
+    scene/cam0/data/frame.png, or under random_lighting_cam0 for the other lighting. Frames without one keep a null."""
+    part = lambda k: F.regexp_extract("path", r"([^/]+)/(random_lighting_)?cam0/data/(\d+)\.png$", k)
+    known = descriptors.select(part(1).alias("scene"), F.when(part(2) == "", "normal").otherwise("random").alias("lighting"), part(3).alias("_frame"), "descriptor").filter("_frame <> ''")
+    known = known.withColumn("frame_id", F.col("_frame").cast("int")).drop("_frame")
+    return frames.join(known, ["scene", "lighting", "frame_id"], "left")
