@@ -457,7 +457,8 @@ def _similar(docs: DataFrame, profile: DataFrame, width: int, percent: int, bloc
     part = F.pmod(F.xxhash64("doc_id", "cell"), F.ceil(F.col("size") / block)).cast("int")
     spread = centres.withColumn("block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / block) - 1).cast("int"))))
     first = spread.select("cell", "block", F.lit(True).alias("crossed"), F.lit(0).alias("role"), "doc_id").unionByName(large.select("cell", part.alias("block"), F.lit(True).alias("crossed"), F.lit(1).alias("role"), "doc_id"))
-    edges = materialize(_multiply(small.unionByName(first).join(texts, "doc_id"), width, percent), "links")
+    # cells grow with the documents: one plan at every size, no broadcast while they happen to be few
+    edges = materialize(_multiply(small.unionByName(first).hint("merge").join(texts, "doc_id"), width, percent), "links")
     if not large.isEmpty():
         edges = edges.unionByName(_rest(large, centres.select("cell", F.col("doc_id").alias("centre")), edges, docs, width, percent, block))
     components = connected_components(edges)
@@ -479,7 +480,7 @@ def _rest(large: DataFrame, centres: DataFrame, edges: DataFrame, docs: DataFram
     asks = own.filter("not near").select("cell", F.col("own").alias("block"), F.lit(False).alias("crossed"), F.lit(0).alias("role"), "doc_id")
     upto = F.when(F.col("near"), F.col("blocks")).otherwise(F.col("own"))  # blocks of smaller number see a far member
     told = own.filter(upto > 0).withColumn("block", F.explode(F.sequence(F.lit(0), (upto - 1).cast("int")))).select("cell", "block", F.lit(False).alias("crossed"), F.lit(1).alias("role"), "doc_id")
-    return materialize(_multiply(asks.unionByName(told).join(_compressed(docs, own.select("doc_id").distinct()), "doc_id"), width, percent), "links")
+    return materialize(_multiply(asks.unionByName(told).hint("merge").join(_compressed(docs, own.select("doc_id").distinct()), "doc_id"), width, percent), "links")
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
