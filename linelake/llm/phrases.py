@@ -40,7 +40,7 @@ DEPTH = 5
 LEAST = 100
 TOP = 2000
 SHARD = 1 << 20  # words of a shard
-RANGE = 4 << 20  # places of phrases in a prefix range, about
+RANGE = 8 << 20  # places of phrases in a prefix range, about
 WINDOW = 8192  # paths of a run that are looked at together
 SIEVE = 1 << 27  # bits of the map of frequent words and pairs
 DRAWN = 64  # phrases that a shard draws for the bounds
@@ -208,20 +208,26 @@ def cut(trie: Trie, depth: int, bounds: list[tuple[bytes, ...]]) -> Iterator[tup
 
 
 def merged(runs: list[bytes], least: int) -> Iterator[pa.Table]:
-    """The k-way merge of sorted runs: windows of all runs up to the smallest last path are added up together."""
+    """The k-way merge of sorted runs: windows of all runs up to the smallest path that a run with more to come has got to
+    are added up together."""
     streams = [pa.ipc.open_stream(r) for r in runs]
     heads = [next(s, None) for s in streams]
+    after = [next(s, None) for s in streams]
     while any(h is not None for h in heads):
-        last = min(key(h["lang"][-1].as_py(), h["path"][-1].as_py()) for h in heads if h is not None)
+        open_ = [h for h, more in zip(heads, after) if h is not None and more is not None]
+        last = min((key(h["lang"][-1].as_py(), h["path"][-1].as_py()) for h in open_), default=None)
         taken = []
         for i, h in enumerate(heads):
             if h is None:
                 continue
             lang, path = h["lang"], h["path"]
-            n = bisect_right(range(h.num_rows), last, key=lambda j: key(lang[j].as_py(), path[j].as_py()))
+            n = h.num_rows if last is None else bisect_right(range(h.num_rows), last, key=lambda j: key(lang[j].as_py(), path[j].as_py()))
             if n:
                 taken.append(h.slice(0, n))
-            heads[i] = h.slice(n) if n < h.num_rows else next(streams[i], None)
+            if n < h.num_rows:
+                heads[i] = h.slice(n)
+            else:
+                heads[i], after[i] = after[i], next(streams[i], None)
         sums = pa.Table.from_batches(taken).group_by(["lang", "path"]).aggregate([("n", "sum")])
         sums = sums.filter(pc.greater_equal(sums["n_sum"], least))
         if sums.num_rows:
@@ -402,7 +408,7 @@ def collocations(docs: DataFrame, deepest: int = DEPTH, least: int = LEAST, top:
     pairs = materialize(_frequent(own, bounds, single, None, 2, least), "level2")
     found = words.unionByName(pairs)
     if deepest > 2:
-        found = found.unionByName(_frequent(own, bounds, single, _sieve(pairs), deepest, least))
+        found = found.unionByName(materialize(_frequent(own, bounds, single, _sieve(pairs), deepest, least), "level3"))
     trie = materialize(_with_lefts(found, "walk"), "trie")
     every = _with_rights(trie, deepest)
     # always part of a phrase that is one word longer, or longer still: then the one between is as frequent
