@@ -33,8 +33,8 @@ def decision_paths(df: DataFrame, nodes: DataFrame, keys: list[str], features: l
     """keys, tree, node: every node that a line visits, from the root down: one join with the nodes a level. A value up to the threshold
     goes left; a null goes right. A forest is as small as its depth allows, so its nodes go to all tasks."""
     nodes = F.broadcast(checkpointed(nodes))
-    roots = nodes.filter("node = 0").select("tree", "node")
-    now = df.select(*keys, F.array(*[F.col(c).cast("double") for c in features]).alias("_x")).join(F.broadcast(roots), how="cross")  # a row a line and tree
+    roots = [x.tree for x in nodes.filter("node = 0").select("tree").collect()]
+    now = df.select(*keys, F.array(*[F.col(c).cast("double") for c in features]).alias("_x"), F.explode(F.array(*map(F.lit, roots))).alias("tree"), F.lit(0).alias("node"))
     found = []
     for _ in range(most):
         at = checkpointed(now.join(nodes, ["tree", "node"]))
