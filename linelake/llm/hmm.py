@@ -19,6 +19,7 @@ equally likely; repeated rows count as often as they stand, and get a row each;
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import crc_mod, map_arrow, materialize, slices, table
+from linelake.llm.common import MULT, crc_mod, map_arrow, materialize, mix, slices, table
 
 FOLDS = 10
 STATES = 8
@@ -41,39 +42,60 @@ ADDED = 0.1  # to each count
 END = 0  # the end's name
 CHUNK = 200_000  # tokens whose recursions run side by side
 
-_MASK = (1 << 64) - CLASSES
-
-
-def word_name(word: bytes) -> int:
-    """A 63-bit name, not END, whose last bits are the word's class."""
-    return (xxhash.xxh3_64_intdigest(word) & _MASK | 1 << 62) & ((1 << 63) - 1) | xxhash.xxh3_64_intdigest(word[-2:]) & (CLASSES - 1)
-
-
-class WordNames(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = word_name(word)
-        return value
+LONG = 256  # bytes; words from here on are named one by one
+SLICE = 1 << 20  # bytes of text whose words are named at once
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first bytes of eight
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Classes by the last two bytes of a word, then those of words of one byte."""
+    ends = [bytes([a, b]) for a in range(256) for b in range(256)] + [bytes([a]) for a in range(256)]
+    return np.array([xxhash.xxh3_64_intdigest(x) & (CLASSES - 1) for x in ends], np.int64)
+
+
+def word_names(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the words of all texts, one after the other, and each text's number of words. A name has 63 bits, is not
+    END, and its last bits are the word's class. All words are named at once, in blocks of eight bytes."""
+    text = b" " + b" ".join(data).lower() + b" " * 8
+    raw = np.frombuffer(text, np.uint8)
+    space = _SPACE[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    length = end - start
+    block = np.ndarray(len(raw) - 7, "<u8", text, strides=(1,))  # at each byte
+    h = mix((block[start] & _KEEP[np.minimum(length, 8)]) + length.astype(np.uint64) * MULT)
+    rest, at = np.flatnonzero(length > 8), 8
+    while len(rest) and at < LONG:
+        left = length[rest] - at
+        h[rest] = mix(h[rest] * MULT + (block[start[rest] + at] & _KEEP[np.minimum(left, 8)]))
+        rest, at = rest[left > 8], at + 8
+    for i in rest.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[start[i] : end[i]])
+    last = raw[end - 1].astype(np.int64)
+    kind = _kinds()[np.where(length > 1, raw[end - 2].astype(np.int64) * 256 + last, 65_536 + last)]
+    places = np.cumsum([len(x) + 1 for x in data])  # behind each text
+    words = np.diff(np.searchsorted(start, places), prepend=0)
+    return (h >> np.uint64(2)).astype(np.int64) & -CLASSES | 1 << 62 | kind, words
 
 
 def _counts(docs: DataFrame) -> DataFrame:
     """name, n: how often each word stands in the training documents; a row for each name and some millions of words."""
 
     def run(batches):
-        names, held, size = WordNames(), [], 0
+        held, size = [], 0
 
         def emit():
             name, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(name), pa.array(n.astype(np.int64))], ["name", "n"])
 
         for batch in batches:
-            for _, data in slices(batch, 0):
-                for x in data:
-                    words = x.lower().split()
-                    held.append(np.fromiter(map(names.__getitem__, words), np.int64, len(words)))
-                    size += len(words) + 1
-                held.append(np.full(len(data), END, np.int64))
+            for _, data in slices(batch, 0, SLICE):
+                name, _ = word_names(data)
+                held += [name, np.full(len(data), END, np.int64)]
+                size += len(name) + len(data)
                 if size > 4_000_000:
                     yield emit()
                     held, size = [], 0
@@ -141,6 +163,23 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(name[order], n[order], symbols[order], int(total), int(distinct), class_count, class_distinct)
 
 
+class Head:
+    """Places of names in the sorted names of the head, which their upper bits spread evenly."""
+
+    def __init__(self, names: np.ndarray, bits: int = 20):
+        self.names, self.shift = np.append(names, np.iinfo(np.int64).max), 62 - bits
+        self.first = np.searchsorted(names, np.arange(1 << bits, 2 << bits) << self.shift)
+
+    def __call__(self, name: np.ndarray) -> np.ndarray:
+        """Below 0 for names that are not there."""
+        at = self.first[(name >> self.shift) - (1 << 62 - self.shift)]
+        rest = np.flatnonzero(self.names[at] < name)
+        while len(rest):
+            at[rest] += 1
+            rest = rest[self.names[at[rest]] < name[rest]]
+        return np.where(self.names[at] == name, at, -1)
+
+
 ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inside double, symbols binary, tail array<long>, times array<int>"
 
 
@@ -151,43 +190,39 @@ def _encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
     def make():
         v = sent.value
-        base, denominator = v.base(v.counts), np.log10(v.within())
-        inside = np.where(v.symbols >= 0, 0.0, np.log10(v.counts + ADDED) - denominator[v.names & (CLASSES - 1)])
-        symbol = np.where(v.symbols >= 0, v.symbols, SYMBOLS + (v.names & (CLASSES - 1)))
-        position = dict(zip(v.names.tolist(), range(len(v.names))))
-        end = position.get(END, -1)
-        end_base = float(v.base(np.array(v.counts[end] if end >= 0 else 0)))
-
-        class Places(dict):
-            """Word to its place in the head; below 0 if it has none."""
-
-            def __missing__(self, word):
-                if len(self) > 400_000:
-                    self.clear()
-                value = self[word] = position.get(word_name(word), -1)
-                return value
-
-        places = Places()
+        head, kind = Head(v.names), v.names & (CLASSES - 1)
+        # by place; the last is for words that are not in the head
+        inside = np.append(np.where(v.symbols >= 0, 0.0, np.log10(v.counts + ADDED) - np.log10(v.within())[kind]), 0.0)
+        base = np.append(v.base(v.counts), 0.0)
+        symbol = np.append(np.where(v.symbols >= 0, v.symbols, SYMBOLS + kind), SYMBOLS + CLASSES).astype(np.uint16)
+        end = 0 if len(v.names) and v.names[0] == END else -1
+        unseen_end = 0.0 if end >= 0 else float(v.base(0))
 
         def each(batch):
-            for part, data in slices(batch, 3):
-                rows = []
-                for x in data:
-                    words = x.lower().split()
-                    at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-                    known = at >= 0
-                    out = np.flatnonzero(~known)
-                    tail = np.array([word_name(words[i]) for i in out.tolist()], np.int64)
-                    seen = at[known]
-                    row = np.empty(len(words) + 1, np.uint16)
-                    row[:-1][known] = symbol[seen]
-                    row[:-1][~known] = SYMBOLS + (tail & (CLASSES - 1))
-                    row[-1] = SYMBOLS + CLASSES
-                    name, times = np.unique(tail, return_counts=True)
-                    rows.append((len(words) + 1, len(seen) + (end >= 0), float(base[seen].sum()) + end_base, float(inside[seen].sum()), row.tobytes(), name, times.astype(np.int32)))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-                own = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *own], names_out)
+            for part, data in slices(batch, 3, SLICE):
+                name, words = word_names(data)
+                last = np.cumsum(words + 1) - 1  # the ends' places
+                first = last - words
+                is_word = np.ones(int(last[-1]) + 1, bool)
+                is_word[last] = False
+                own = head(name)
+                at = np.full(len(is_word), end)
+                at[is_word] = own
+                row, out = symbol[at], np.flatnonzero(own < 0)
+                tail, doc = name[out], np.repeat(np.arange(len(words)), words)[out]
+                row[np.flatnonzero(is_word)[out]] = SYMBOLS + (tail & (CLASSES - 1))
+                order = np.lexsort((tail, doc))
+                tail, doc = tail[order], doc[order]
+                new = np.flatnonzero(np.append(True, (tail[1:] != tail[:-1]) | (doc[1:] != doc[:-1]))[: len(tail)])
+                ends = pa.array(np.append(0, np.cumsum(np.bincount(doc[new], minlength=len(words)))), pa.int32())
+                times = np.diff(new, append=len(tail)).astype(np.int32)
+                starts = np.append(first, len(row)).astype(np.int32) * 2
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), part.column(2), pa.array(words + 1), pa.array(np.add.reduceat((at >= 0).astype(np.int64), first)),
+                    pa.array(np.add.reduceat(base[at], first) + unseen_end), pa.array(np.add.reduceat(inside[at], first)),
+                    pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(starts), pa.py_buffer(row)]),
+                    pa.ListArray.from_arrays(ends, pa.array(tail[new])), pa.ListArray.from_arrays(ends, pa.array(times)),
+                ], names_out)
 
         return each
 
@@ -227,59 +262,71 @@ def chunks(docs: list[np.ndarray], most: int = CHUNK) -> Iterator[list[int]]:
         at = to
 
 
+def side_by_side(docs: list[np.ndarray]) -> tuple[np.ndarray, list[int], list[int]]:
+    """The symbols of all first places, then those of all second ones, and so on (docs are in order of falling length);
+    how many documents have each place, and where its symbols begin."""
+    lengths = np.array([len(x) for x in docs])
+    count = len(docs) - np.cumsum(np.bincount(lengths))[:-1]
+    at = np.cumsum(count) - count
+    symbol = docs[0]
+    if len(docs) > 1:
+        step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        symbol = np.empty(len(step), np.int64)
+        symbol[at[step] + np.repeat(np.arange(len(docs)), lengths)] = np.concatenate(docs)
+    return symbol, count.tolist(), at.tolist()
+
+
 class Recursion:
     """Scaled forward (and backward) recursions of documents side by side; docs are in order of falling length."""
 
     def __init__(self, m: Hmm, docs: list[np.ndarray]):
-        lengths = np.array([len(x) for x in docs])
-        step = np.concatenate([np.arange(n) for n in lengths])
-        order = np.argsort(step, kind="stable")
-        self.doc = np.repeat(np.arange(len(docs)), lengths)[order]
-        self.symbol = np.concatenate(docs).astype(np.int64)[order]
-        self.count = np.bincount(step)
-        self.at = np.append(0, np.cumsum(self.count))
-        self.m = m
+        self.symbol, self.count, self.at = side_by_side(docs)
+        self.m, one = m, np.ones(len(m.start))
         self.out = np.ascontiguousarray(m.emit.T)[self.symbol]
         self.alpha, self.scale = np.empty_like(self.out), np.empty(len(self.out))
-        a = m.start[None, :]
-        for t, n in enumerate(self.count.tolist()):
-            lo = self.at[t]
-            a = (np.broadcast_to(a, (n, len(m.start))) if t == 0 else a[:n] @ m.move) * self.out[lo : lo + n]
-            c = a.sum(1)
-            a = a / c[:, None]
-            self.alpha[lo : lo + n], self.scale[lo : lo + n] = a, c
+        before = np.broadcast_to(m.start, (len(docs), len(m.start)))
+        for t, (lo, n) in enumerate(zip(self.at, self.count)):
+            a, c = self.alpha[lo : lo + n], self.scale[lo : lo + n]
+            np.multiply(before[:n] @ m.move if t else before, self.out[lo : lo + n], out=a)
+            np.dot(a, one, out=c)
+            a /= c[:, None]
+            before = a
 
     def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, transitions and emissions."""
+        """Expected counts of starts, transitions and emissions. It can be had once, as it is computed in place."""
         m, s = self.m, len(self.m.start)
         move = np.zeros((s, s))
-        b = np.ones((int(self.count[0]), s))
-        gamma = self.alpha
+        b = np.ones((self.count[0], s))
+        gamma, out = self.alpha, self.out
+        out /= self.scale[:, None]
         back = np.ascontiguousarray(m.move.T)
         last = len(self.count) - 1
         for t in range(last, -1, -1):
-            lo, n = self.at[t], int(self.count[t])
+            lo, n = self.at[t], self.count[t]
             if t < last:
-                hi, k = self.at[t + 1], int(self.count[t + 1])
-                w = self.out[hi : hi + k] * b[:k] / self.scale[hi : hi + k, None]
+                hi, k = self.at[t + 1], self.count[t + 1]
+                w = out[hi : hi + k]
+                w *= b[:k]
                 move += gamma[lo : lo + k].T @ w
-                b[:k] = w @ back
+                np.dot(w, back, out=b[:k])
             gamma[lo : lo + n] *= b[:n]
         emit = np.stack([np.bincount(self.symbol, gamma[:, j], minlength=m.emit.shape[1]) for j in range(s)])
-        return gamma[: int(self.count[0])].sum(0), move * m.move, emit
+        return gamma[: self.count[0]].sum(0), move * m.move, emit
 
 
 def log_likelihoods(m: Hmm, docs: list[np.ndarray]) -> np.ndarray:
     """Scaled forward recursions of documents side by side (in order of falling length): of each document one row of
     states and the sum so far are held, however long it is."""
-    emit, out = np.ascontiguousarray(m.emit.T), np.zeros(len(docs))
-    a, n = np.broadcast_to(m.start, (len(docs), len(m.start))), len(docs)
-    for t in range(len(docs[0]) if docs else 0):
-        while len(docs[n - 1]) <= t:
-            n -= 1
-        a = (a[:n] if t == 0 else a[:n] @ m.move) * emit[[x[t] for x in docs[:n]]]
-        c = a.sum(1)
-        a = a / c[:, None]
+    out = np.zeros(len(docs))
+    if not docs:
+        return out
+    symbol, count, at = side_by_side(docs)
+    emit, one = np.ascontiguousarray(m.emit.T), np.ones(len(m.start))
+    a = np.broadcast_to(m.start, (len(docs), len(m.start)))
+    for t, (lo, n) in enumerate(zip(at, count)):
+        a = (a[:n] @ m.move if t else a) * emit[symbol[lo : lo + n]]
+        c = a @ one
+        a /= c[:, None]
         out[:n] += np.log(c)
     return out
 
