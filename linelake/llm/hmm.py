@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import MULT, crc_mod, map_arrow, materialize, mix, slices, table
+from linelake.llm.common import MULT, SPACE, crc_mod, map_arrow, materialize, mix, slices, table
 
 FOLDS = 10
 STATES = 8
@@ -45,7 +45,6 @@ CHUNK = 200_000  # tokens whose recursions run side by side
 LONG = 256  # bytes; words from here on are named one by one
 SLICE = 1 << 20  # bytes of text whose words are named at once
 
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first bytes of eight
 
 
@@ -61,7 +60,7 @@ def word_names(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     END, and its last bits are the word's class. All words are named at once, in blocks of eight bytes."""
     text = b" " + b" ".join(data).lower() + b" " * 8
     raw = np.frombuffer(text, np.uint8)
-    space = _SPACE[raw]
+    space = SPACE[raw]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, end = edges[::2], edges[1::2]
     length = end - start

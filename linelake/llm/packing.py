@@ -22,11 +22,10 @@ import base64
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linelake.llm.common import MULT, extended, map_arrow, mix, slices, table
+from linelake.llm.common import MULT, SPACE, extended, map_arrow, mix, slices, table
 
 CAPACITY = 2048
 SHARD = 50_000
@@ -38,6 +37,14 @@ _encoders: dict = {}
 LONG_RUN = 5_000
 
 
+def longest_run(text: bytes, least: int) -> int:
+    """Length of the longest run without white space; 0 for texts shorter than `least`."""
+    if len(text) < least:
+        return 0
+    space = np.flatnonzero(SPACE[np.frombuffer(text, np.uint8)])
+    return int(np.diff(space, prepend=-1, append=len(text)).max()) - 1
+
+
 class Encoder:
     """Ids of the byte-level vocabulary of `vocabulary` (a tokenizers file). A file of the same name with the suffix
     .tiktoken beside it holds the same vocabulary as ranks and gives the same ids several times as fast; it is used
@@ -51,8 +58,7 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.slow = Tokenizer.from_file(vocabulary)
-        added = [regex.escape(x.content) for x in self.slow.get_added_tokens_decoder().values()]
-        self.rare = regex.compile("|".join([rf"\S{{{LONG_RUN}}}", *added]).encode())
+        self.added = [x.content.encode() for x in self.slow.get_added_tokens_decoder().values()]
         self.fast, ranks = None, vocabulary.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -64,7 +70,7 @@ class Encoder:
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.decode("utf-8", "replace")
-        if self.fast is None or self.rare.search(text):
+        if self.fast is None or any(x in text for x in self.added) or longest_run(text, LONG_RUN) >= LONG_RUN:
             return np.array(self.slow.encode(words, add_special_tokens=False).ids, "<u4")
         return np.asarray(self.fast.encode_to_numpy(words), "<u4")
 

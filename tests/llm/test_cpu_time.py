@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from linelake.llm import hmm
+from linelake.llm import hmm, packing
 
 
 class Rows:
@@ -69,3 +69,20 @@ def test_words_are_counted_with_little_more_than_splitting():
     n = sum(sum(b.column(1).to_pylist()) for b in run([batch]))
     assert n == 2001 * 100
     assert cpu(lambda: list(run([batch]))) < 6 * cpu(lambda: [x.lower().split() for x in data])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(PIECES, max_size=12).map("".join), st.integers(0, 300))
+def test_longest_run(text, least):
+    data = text.encode()
+    want = max(map(len, data.split()), default=0)
+    assert packing.longest_run(data, least) == (want if len(data) >= least else 0)
+
+
+def test_long_runs_are_told_with_little_more_than_encoding():
+    """Runs without white space of almost the length that goes to the other tokenizer, as tables and links have."""
+    e = packing.encoder(packing.default_vocabulary())
+    text = " ".join([",".join(["ab", "12"] * 750)] * 20)
+    assert packing.longest_run(text.encode(), packing.LONG_RUN) < packing.LONG_RUN
+    assert e(text.encode()).tolist() == e.slow.encode(text, add_special_tokens=False).ids
+    assert cpu(lambda: e(text.encode())) < 2 * cpu(lambda: e.fast.encode_to_numpy(text))
