@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linelake.functions.vectors import RATINGS
+from linelake.operators import blocks
 
 
 def frame_pairs(lines: DataFrame, gap: int = 1) -> DataFrame:
@@ -94,55 +95,57 @@ def greedy_in_frames(found: DataFrame) -> DataFrame:
     return found.groupBy("f1", "f2").applyInPandas(one, found.schema)
 
 
-#: Rows of a block of the map, and of the clusters that are compared with it at once.
-BLOCK_ROWS, ASKED_ROWS = 4096, 256
+#: Bytes of a block of the map in single precision, and rows of a block of the clusters that are compared with it.
+BLOCK_BYTES, ASKED_ROWS = 64 << 20, 1 << 16
 
 
-def nearest_elsewhere(clusters: DataFrame, k: int, dim: int, key: str = "frame_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_counts(rows: int, dim: int, tasks: int, block_rows: int | None = None) -> tuple[int, int]:
+    """Into how many blocks the map and the clusters are cut: as few as memory allows, and `tasks` cells at least."""
+    maps = max(1, -(-rows // (block_rows or max(1, BLOCK_BYTES // (4 * dim)))))
+    return maps, max(1, min(rows, max(-(-rows // ASKED_ROWS), -(-tasks // maps))))
+
+
+def nearest_elsewhere(clusters: DataFrame, k: int, dim: int, key: str = "frame_id", block_rows: int | None = None) -> DataFrame:
     """For each cluster, of the 2k + 1 nearest clusters (itself among them), the first k of other frames: id1, id2,
     frame1, floor1, floor2, d2, rank. Exact search of every cluster against the whole map. Both sides are cut into
-    blocks of about `block_rows` rows, so there are as many cells, a block of either side each, as the work asks for,
-    and a task holds one block of the map as a matrix while the rows of the other stream by. Each cell emits a row's
-    2k + 1 nearest; Spark merges the cells' lists."""
+    blocks, and a task compares a block of the clusters with one of the map (`block_rows` rows, BLOCK_BYTES by default),
+    so that a row is sent once for each block of the other side only. Each such cell emits a row's 2k + 1 nearest; Spark
+    merges the cells' lists."""
     most = 2 * k + 1
-    blocks = max(1, -(-clusters.count() // block_rows))
-    a = clusters.select(F.col("line_id").alias("id"), F.col(key).alias("frame"), F.col("floor_id").alias("floor"), F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("line_id"), F.lit(blocks)).alias("own"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    tasks = 4 * clusters.sparkSession.sparkContext.defaultParallelism
+    maps, asks = block_counts(clusters.count(), dim, tasks, block_rows)
+    number = "float" if dict(clusters.dtypes)["embedding"] == "array<float>" else "double"
+    a = clusters.select(F.col("line_id").alias("id"), F.col(key).alias("frame"), F.col("floor_id").alias("floor"), F.col("embedding").cast(f"array<{number}>").alias("v"))
+    own = lambda blocks, *more: F.pmod(F.xxhash64("id", *map(F.lit, more)), F.lit(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     columns = ["id", "frame", "floor", "v"]
-    map_rows = a.withColumn("ask", other).select(F.col("own").alias("map"), "ask", F.lit(0).alias("role"), *columns)
-    asked = a.withColumn("map", other).select("map", F.col("own").alias("ask"), F.lit(1).alias("role"), *columns)
-    cells = map_rows.unionByName(asked).repartition("map", "ask").sortWithinPartitions("map", "ask", "role", "id")
+    map_rows = a.select(own(maps).alias("map"), every(asks).alias("ask"), F.lit(0).alias("role"), *columns)
+    asked = a.select(every(maps).alias("map"), own(asks, 1).alias("ask"), F.lit(1).alias("role"), *columns)
+    cells = map_rows.unionByName(asked).repartition(min(maps * asks, 4 * tasks), "map", "ask").sortWithinPartitions("map", "ask", "role")
 
     def near(batches):
-        cell, block = None, []
+        cell, parts, block = None, [], None
         for batch in batches:
             head = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
             cuts = np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1
             for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(head))):
                 if not hi:
                     continue
-                ids, frames, floors = (batch.column(i).to_numpy(zero_copy_only=False)[lo:hi] for i in (3, 4, 5))
-                v = np.stack([np.asarray(x.values) for x in batch.column(6)[int(lo) : int(hi)]])
+                rows = [*(batch.column(i).to_numpy(zero_copy_only=False)[lo:hi] for i in (3, 4, 5)), blocks.matrix(batch.column(6).slice(lo, hi - lo), dim)]
                 if tuple(head[lo][:2]) != cell:
-                    cell, block = tuple(head[lo][:2]), []
+                    cell, parts, block = tuple(head[lo][:2]), [], None
                 if head[lo][2] == 0:
-                    block.append((ids, frames, floors, v))
+                    parts.append(rows)
                     continue
-                if len(block) > 1:
-                    block = [tuple(np.concatenate(x) for x in zip(*block))]
-                for at in range(0, len(ids) if block else 0, ASKED_ROWS):
-                    part = slice(at, at + ASKED_ROWS)
-                    yield compare(ids[part], frames[part], floors[part], v[part], *block[0])
+                if parts:
+                    block = [np.concatenate(x) for x in zip(*parts)]
+                    parts, block[3] = [], blocks.Block(block[3])
+                if block:
+                    yield compare(*rows[:3], blocks.Block(rows[3]), *block)
 
     def compare(ids, frames, floors, v, ids2, frames2, floors2, v2):
-        # added up in the order of the dimensions, so that every engine gets the same number
-        d = np.zeros((len(ids), len(ids2)))
-        for j in range(v.shape[1]):
-            d += (v[:, j, None] - v2[None, :, j]) ** 2
-        best = np.argsort(d, axis=1, kind="stable")[:, :most]  # of equal distances the smaller id
-        n = best.shape[1]
-        flat = best.ravel()
-        return pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x, n)) for x in (ids, frames, floors)), *(pa.array(x[flat]) for x in (ids2, frames2, floors2)), pa.array(np.take_along_axis(d, best, 1).ravel())], ["id1", "frame1", "floor1", "id2", "frame2", "floor2", "d2"])
+        i, j, d2 = blocks.nearest(v, v2, ids2, most)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], frames[i], floors[i], ids2[j], frames2[j], floors2[j], d2)], ["id1", "frame1", "floor1", "id2", "frame2", "floor2", "d2"])
 
     parts = cells.mapInArrow(near, "id1 long, frame1 long, floor1 long, id2 long, frame2 long, floor2 long, d2 double")
     w = W.partitionBy("id1").orderBy("d2", "id2")

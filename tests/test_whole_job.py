@@ -103,6 +103,36 @@ def test_nearest_elsewhere_by_force(spark):
     assert matching.nearest_elsewhere(df.limit(0), 2, 3).count() == 0
 
 
+def test_nearest_in_blocks_by_force():
+    from linelake.operators import blocks
+
+    r = np.random.default_rng(9)
+    missing = r.normal(1e3, 1e-9, (5000, 5))
+    missing[17] = np.nan
+    for a, b in (
+        (r.normal(size=(300, 64)).astype(np.float32), r.normal(size=(6000, 64)).astype(np.float32)),
+        (r.random((300, 3)).round(1).astype(np.float32), r.random((6000, 3)).round(1).astype(np.float32)),  # many ties
+        (missing[15:20], missing), (r.normal(size=(9, 4)) * 1e200, r.normal(size=(5000, 4)) * 1e200), (missing[:3], missing[:5]),
+    ):
+        ids, d = r.permutation(len(b)), np.zeros((len(a), len(b)))
+        with np.errstate(all="ignore"):
+            for j in range(a.shape[1]):
+                d += (a[:, j, None].astype(np.float64) - b[None, :, j]) ** 2
+        want = {(i, int(j), d[i, j].tobytes()) for i in range(len(a)) for j in np.lexsort((ids, d[i]))[:9]}
+        got = blocks.nearest(blocks.Block(a), blocks.Block(b), ids, 9)
+        assert {(int(i), int(j), x.tobytes()) for i, j, x in zip(*got)} == want
+        near = {(i, j, d[i, j].tobytes()) for i, j in np.argwhere(d <= 0.5).tolist()}
+        got = {(int(i), int(j), x.tobytes()) for part in blocks.within(blocks.Block(a), blocks.Block(b), 0.5) for i, j, x in zip(*part)}
+        assert near <= got
+
+
+def test_nearest_sends_a_row_to_few_blocks():
+    from linelake.operators import matching
+
+    assert sum(matching.block_counts(120_000, 64, 24)) <= 25
+    assert sum(matching.block_counts(720_000, 64, 24)) <= 25  # blocks of 4,096 rows would be 352
+
+
 def test_code_of_coinciding_lines_compiles(spark, sf):
     from linelake.plans.geometry_queries import QUERIES
 
