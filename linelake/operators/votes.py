@@ -103,10 +103,11 @@ def sample_n(df: DataFrame, keys: list[str], order: Column, tie: str, n: int) ->
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(order, tie))).filter(F.col("_r") <= n).drop("_r")
 
 
-def vote_floor(matches: DataFrame, query: str = "frame1", floor: str = "floor2") -> DataFrame:
-    """The floor most matches of a frame lie on; of equal counts the one that came first (by id1, rank)."""
-    counted = matches.groupBy(query, floor).agg(F.count("*").alias("n"), F.min(F.struct("id1", "rank")).alias("first"))
-    return counted.groupBy(query).agg(F.min_by(floor, F.struct(-F.col("n"), F.col("first"))).alias("voted"), F.sum("n").alias("n_matches"))
+def vote_floor(matches: DataFrame, query: str = "frame1", floor: str = "floor2", also: tuple[str, ...] = ()) -> DataFrame:
+    """The floor most matches of a frame lie on; of equal counts the one that came first (by id1, rank). Columns `also`,
+    which the frame determines, go along."""
+    counted = matches.groupBy(query, *also, floor).agg(F.count("*").alias("n"), F.min(F.struct("id1", "rank")).alias("first"))
+    return counted.groupBy(query, *also).agg(F.min_by(floor, F.struct(-F.col("n"), F.col("first"))).alias("voted"), F.sum("n").alias("n_matches"))
 
 
 def dense_instances(df: DataFrame, keys: list[str], class_col: str, instance: str) -> DataFrame:

@@ -101,8 +101,7 @@ def _(c):
 
 @query("place_recognition", f"WITH {_vote} SELECT count(*) AS n_frames, count_if(voted = floor1) AS n_right, count_if(voted = floor1) / count(*) AS ratio FROM w WHERE r = 1")
 def place_recognition(c):
-    near = _near(c)
-    voted = votes.vote_floor(near).join(near.select("frame1", "floor1").distinct(), "frame1")
+    voted = votes.vote_floor(_near(c), also=("floor1",))
     right = F.count_if(F.col("voted") == F.col("floor1"))
     return voted.agg(F.count("*").alias("n_frames"), right.alias("n_right"), F.try_divide(right, F.count("*")).alias("ratio"))
 

@@ -182,3 +182,8 @@ def test_predictions_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(0, 1, 5, 2, True, False), (1, 2, 6, 6, False, True)], "scene_id int, line_id int, label int, prediction int, background boolean, valid boolean")
     write_predictions(df, f"file://{tmp_path}/p")
     assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/p").select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_place_recognition_searches_once(spark, sf):
+    plan = relational_queries.QUERIES["place_recognition"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
