@@ -50,6 +50,17 @@ def first_by(df: DataFrame, keys: list[str], value: str, *order: Column | str) -
     return df.groupBy(*keys).agg(F.min_by(F.col(value), F.struct(*order)).alias(value))
 
 
+def first_of_others(df: DataFrame, others: DataFrame, key: str, same: list[str], apart: str, value: str, order: Column) -> DataFrame:
+    """key, value: for each key of df, the value of the first row of others, in an order (a struct that ends in an id),
+    that has the same `same` and another `apart`; keys without one go. Of a group of others a row asks for the first
+    row, or for the first one that is apart from it, so these two are all that is joined."""
+    first = F.min(F.struct(order.alias("o"), F.col(value).alias("v"))).alias("_f")
+    heads = others.filter(F.col(apart).isNotNull()).groupBy(*same, apart).agg(first).withColumn("_r", F.row_number().over(W.partitionBy(*same).orderBy("_f")))
+    two = heads.filter("_r <= 2").groupBy(*same).agg(*[F.min(F.when(F.col("_r") == r, F.struct(F.col("_f").alias("f"), F.col(apart).alias("a")))).alias(f"_{r}") for r in (1, 2)])
+    found = F.when(F.col(apart) != F.col("_1.a"), F.col("_1.f")).when(F.col(apart) == F.col("_1.a"), F.col("_2.f"))
+    return df.join(two, same).select(key, found.alias("_f")).filter("_f is not null").groupBy(key).agg(F.min("_f").alias("_f")).select(key, F.col("_f.v").alias(value))
+
+
 def histogram(df: DataFrame, keys: list[str], value: str, size: int) -> DataFrame:
     """keys, counts: how often each of 0 .. size - 1 stands in a group, zeros included."""
     counts = [F.count_if(F.col(value) == i) for i in range(size)]

@@ -185,11 +185,11 @@ def _(c):
 
 @query("triplets", f"WITH {LINE}, p AS (SELECT a.line_id AS anchor, b.line_id AS positive FROM v_line a JOIN v_line b ON a.label = b.label AND a.scene_id = b.scene_id AND a.frame_id <> b.frame_id QUALIFY row_number() OVER (PARTITION BY a.line_id ORDER BY b.line_id * 7919 % 1009, b.line_id) = 1), n AS (SELECT a.line_id AS anchor, b.line_id AS negative FROM v_line a JOIN v_line b ON a.floor_id <> b.floor_id AND a.class_id = b.class_id QUALIFY row_number() OVER (PARTITION BY a.line_id ORDER BY b.line_id * 7919 % 1009, b.line_id) = 1) SELECT anchor, positive, negative FROM p JOIN n USING (anchor)")
 def _(c):
-    pick = lambda df: votes.sample_n(df, ["anchor"], F.col("other") * 7919 % 1009, "other", 1)
+    order = F.struct(F.col("other") * 7919 % 1009, "other")
     a = c.line.select(F.col("line_id").alias("anchor"), "label", "class_id", "scene_id", "floor_id", "frame_id")
-    b = c.line.select(F.col("line_id").alias("other"), F.col("label").alias("l2"), F.col("class_id").alias("c2"), F.col("scene_id").alias("s2"), F.col("floor_id").alias("o2"), F.col("frame_id").alias("f2"))
-    pos = pick(a.join(b, (F.col("label") == F.col("l2")) & (F.col("scene_id") == F.col("s2")) & (F.col("frame_id") != F.col("f2")))).select("anchor", F.col("other").alias("positive"))
-    neg = pick(a.join(b, (F.col("class_id") == F.col("c2")) & (F.col("floor_id") != F.col("o2")))).select("anchor", F.col("other").alias("negative"))
+    b = c.line.withColumnRenamed("line_id", "other")
+    pos = votes.first_of_others(a, b, "anchor", ["label", "scene_id"], "frame_id", "other", order).withColumnRenamed("other", "positive")
+    neg = votes.first_of_others(a, b, "anchor", ["class_id"], "floor_id", "other", order).withColumnRenamed("other", "negative")
     return pos.join(neg, "anchor")
 
 

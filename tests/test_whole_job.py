@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from linelake.operators import lines, planes
 from linelake.plans import line_queries, relational_queries
@@ -187,3 +188,24 @@ def test_predictions_round_trip(spark, tmp_path):
 def test_place_recognition_searches_once(spark, sf):
     plan = relational_queries.QUERIES["place_recognition"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_first_of_others_by_force(spark):
+    import random
+
+    from linelake.operators import votes
+
+    r = random.Random(3)
+    rows = [(r.choice(range(40)), r.choice([None, 0, 1, 2]), r.choice([None, 0, 1, 2])) for _ in range(70)]  # keys repeat
+    df = spark.createDataFrame(rows, "k long, g long, a long")
+    got = votes.first_of_others(df, df.withColumnRenamed("k", "o"), "k", ["g"], "a", "o", F.struct(F.col("o") * 7 % 11, "o"))
+    want = {}
+    for k in {x[0] for x in rows}:
+        ok = [o for o, g, a in rows for k2, g2, a2 in rows if k2 == k and None not in (g, a, a2) and g == g2 and a != a2]
+        want |= {k: min(ok, key=lambda o: (o * 7 % 11, o))} if ok else {}
+    assert {x.k: x.o for x in got.collect()} == want
+
+
+def test_triplets_make_no_pairs(spark, sf):
+    plan = relational_queries.QUERIES["triplets"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "AND NOT (f" not in plan  # rows of a label are never all joined with each other
