@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows of either block that are multiplied at once, pairs that are worked out at once.
-ROWS, COLUMNS, PAIRS = 256, 4096, 1 << 18
+ROWS, COLUMNS, PAIRS = 256, 4096, 1 << 16
 
 
 def matrix(column: pa.ListArray, dim: int) -> np.ndarray:

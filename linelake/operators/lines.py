@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
+from linelake.operators import blocks
 
 
 def facing_normals(lines: DataFrame) -> DataFrame:
@@ -131,14 +138,75 @@ def vocabulary_size(descriptors: int, most: int = 512, each: int = 10) -> int:
     return max(2, min(most, descriptors // each))
 
 
-def approximate_neighbours(df: DataFrame, vector: str, key: str, radius: float, tables: int = 4, bucket: float = 0.5, seed: int = 1) -> DataFrame:
-    """u, v (u < v), distance of most pairs within a radius, by random-projection hashing."""
+#: Rows of a bucket that are compared at once, at least and at most.
+LEAST_ROWS, MOST_ROWS = 4096, 1 << 16
+
+
+def approximate_neighbours(df: DataFrame, vector: str, key: str, radius: float, tables: int = 4, bucket: float = 0.5, seed: int = 1, block_rows: int | None = None) -> DataFrame:
+    """u, v (u < v), distance of most pairs within a radius, by random-projection hashing: of all pairs that share a
+    bucket of one table or more. Buckets are cut into blocks, and a task compares two blocks; a pair is told in the
+    first table in which it shares a bucket, so that no pairs are shuffled. Vectors have one length."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = df.select(F.col(key).alias("k"), array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    number = "float" if dict(df.dtypes)[vector] == "array<float>" else "double"
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast(f"array<{number}>").alias("v")).distinct()
+    rows = rows.withColumn("_v", array_to_vector(F.col("v").cast("array<double>")))
     model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", numHashTables=tables, bucketLength=bucket, seed=seed).fit(rows)
-    return model.approxSimilarityJoin(rows, rows, radius, "distance").filter("datasetA.k < datasetB.k").select(F.col("datasetA.k").alias("u"), F.col("datasetB.k").alias("v"), "distance")
+    hashed = model.transform(rows).withColumn("h", F.array(*[F.get(vector_to_array(F.get("_h", F.lit(i))), F.lit(0)).cast("long") for i in range(tables)]))
+    hashed = hashed.select("k", "v", "h", F.posexplode("h").alias("t", "b"))
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    size = block_rows or min(max(math.ceil(rows.count() / math.sqrt(tasks)), LEAST_ROWS), MOST_ROWS)  # cells grow with the square of blocks
+    # buckets of more than a block are few, whatever the number of rows
+    large = hashed.groupBy("t", "b").agg(F.ceil(F.count("*") / size).alias("blocks")).filter("blocks > 1")
+    placed = hashed.join(F.broadcast(large), ["t", "b"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("k", "t"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = placed.select("t", "b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("role"), "k", "h", "v")
+    cells = cells.repartition(4 * tasks, "t", "b", "i", "j").sortWithinPartitions("t", "b", "i", "j", "role")
+    return cells.mapInArrow(partial(_pairs_of_cells, radius), "u long, v long, distance double")
+
+
+def _pairs_of_cells(radius: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, v, distance for rows t, b, i, j, role, k, h, v: in a cell (t, b, i, j) those of role 0 are compared with those of role 1,
+    and, where i = j, with each other."""
+    cell, parts, first = None, [], None
+
+    def joined(parts):
+        k, h, v = (np.concatenate(x) for x in zip(*parts))
+        return k, h, blocks.Block(v)
+
+    def pairs(x, y):
+        t = int(cell[0])
+        for rows, cols, d2 in blocks.within(x[2], y[2], radius * radius * (1 + 1e-12)):
+            a, b, d = x[0][rows], y[0][cols], np.sqrt(d2)
+            ok = (d < radius) & ((a < b) if x is y else (a != b)) & (x[1][rows, :t] != y[1][cols, :t]).all(1)
+            if ok.any():
+                a, b = a[ok], b[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d[ok])], ["u", "v", "distance"])
+
+    def ended():
+        if parts and cell[2] == cell[3]:
+            own = joined(parts)
+            yield from pairs(own, own)
+
+    for batch in batches:
+        head = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(5)], 1)
+        cuts = np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1
+        for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(head))):
+            if not hi:
+                continue
+            h, v = (batch.column(i).slice(lo, hi - lo) for i in (6, 7))
+            rows = (np.asarray(batch.column(5))[lo:hi], blocks.matrix(h, len(h[0])), blocks.matrix(v, len(v[0])))
+            if tuple(head[lo][:4]) != cell:
+                yield from ended()
+                cell, parts, first = tuple(head[lo][:4]), [], None
+            if head[lo][4] == 0:
+                parts.append(rows)
+            elif parts or first:
+                first = first or joined(parts)
+                parts = []
+                yield from pairs(first, (*rows[:2], blocks.Block(rows[2])))
+    yield from ended()
 
 
 def beside(points: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:

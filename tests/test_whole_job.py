@@ -209,3 +209,22 @@ def test_first_of_others_by_force(spark):
 def test_triplets_make_no_pairs(spark, sf):
     plan = relational_queries.QUERIES["triplets"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "AND NOT (f" not in plan  # rows of a label are never all joined with each other
+
+
+def test_approximate_neighbours_in_blocks(spark):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    x = np.random.default_rng(8).normal(0, 0.2, (300, 8))
+    x[7] = x[9]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[3].tolist())], "line_id long, embedding array<double>")
+    rows = df.distinct().select("line_id", array_to_vector("embedding").alias("f"))
+    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", numHashTables=4, bucketLength=0.5, seed=1).fit(rows)
+    pairs = model.approxSimilarityJoin(rows, rows, 0.6, "d").filter("datasetA.line_id < datasetB.line_id")
+    want = sorted((r.datasetA.line_id, r.datasetB.line_id, r.d) for r in pairs.collect())
+    assert len(want) > 1000
+    for size in (None, 40, 1):
+        df_ = lines.approximate_neighbours(df, "embedding", "line_id", 0.6, block_rows=size)
+        assert sorted(map(tuple, df_.collect())) == want
+    plan = df_._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan.splitlines()[0]  # pairs aren't shuffled
