@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import partial
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -214,6 +215,25 @@ def beside(points: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:
     return points if "sx" in points.columns else points.join(own, keys)
 
 
+def near_lines(points: DataFrame, own: DataFrame, on: list[str], within: float) -> DataFrame:
+    """points (x, y, z) with each line (sx .. ez) of the same `on` that they lie within a distance of, and with a few others.
+    Lines are listed by the cells of space around them, as wide as the distance, and points meet them there."""
+    a, b = G.start(), G.end()
+    m = F.ceil((b - a).norm() / within)
+    rows = own.join(points.select(*on).distinct(), on, "left_semi").filter((m > 0) & (m < 1 << 31))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), m)).alias("_k"), m.alias("_m"))
+    rows = settled(rows, dict(zip(("_x", "_y", "_z"), ((a + (b - a) * (F.col("_k") / F.col("_m"))) * (1 / within)).c)))
+    # no point is further than 1.5 cells from the nearest of these places; what rounding adds stays below 0.1
+    step = lambda c, o: F.floor(c) + o
+    apart = lambda c, o: F.greatest(step(c, o) - F.col(c), F.col(c) - step(c, o + 1), F.lit(0.0))
+    rows = rows.withColumn("_o", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("xyz", o)]) for o in product(range(-2, 3), repeat=3)])))
+    axes = [(f"_{n}", F.col("_o").getField(n)) for n in "xyz"]
+    rows = rows.filter(sum((apart(c, o) * apart(c, o) for c, o in axes), F.lit(0.0)) <= 1.6 * 1.6)
+    listed = rows.select(*own.columns, F.xxhash64(*[step(c, o) for c, o in axes]).alias("_cell")).distinct()
+    at = points.withColumn("_cell", F.xxhash64(*[F.floor(F.col(n) * (1 / within)) for n in "xyz"]))
+    return at.join(listed.hint("shuffle_hash"), [*on, "_cell"]).drop("_cell")
+
+
 def nearest_point(points: DataFrame, own: DataFrame, keys: list[str], tie: list[str]) -> DataFrame:
     """The point of each group nearest to its (infinite) line, and its distance; ties by `tie`."""
     d = G.point_to_line(G.start(), G.end(), G.Vec.of("x", "y", "z"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linelake.functions import geometry as G
+from linelake.operators import lines as L
 from linelake.operators.lines import beside
 
 
@@ -84,11 +85,12 @@ def extents(points: DataFrame, lines: DataFrame, keys: list[str], least: int = 1
 
 def covered(points: DataFrame, lines: DataFrame, keys: list[str], within: float = 0.02, bins: int = 10) -> DataFrame:
     """first_bin, last_bin: the part of a line, in tenths, that has points within a distance; lines without any go."""
-    a, b = G.start(), G.end()
-    p = G.Vec.of("x", "y", "z")
-    length = (b - a).norm()
-    share = G.div((p - a).dot((b - a).unit()), length)
-    near = beside(points, lines, keys).withColumn("_t", share).filter((G.point_to_line(a, b, p) <= within) & (F.col("_t") >= 0) & (F.col("_t") <= 1))
+    a, b, p, n = G.start(), G.end(), G.Vec.of("x", "y", "z"), F.col("_n")
+    # each step's values are worked out once: in one expression they would be repeated until it no longer compiles
+    rows = L.settled(beside(points, lines, keys).select(*keys, *p.c, *a.c, *b.c), {"_n": (b - a).norm()})
+    rows = L.settled(rows, dict(zip(("_dx", "_dy", "_dz"), (b - a).over(n).c)) | {"_across": (p - a).cross(p - b).norm()})
+    rows = L.settled(rows, {"_t": (p - a).dot(G.Vec.of("_dx", "_dy", "_dz")), "_far": G.div(F.col("_across"), n)})
+    near = L.settled(rows, {"_t": G.div(F.col("_t"), n)}).filter((F.col("_far") <= within) & (F.col("_t") >= 0) & (F.col("_t") <= 1))
     place = F.least(F.floor(F.col("_t") * bins), F.lit(bins - 1)).cast("int")
     return near.groupBy(*keys).agg(F.min(place).alias("first_bin"), F.max(place).alias("last_bin"), F.count("*").alias("n"))
 

@@ -121,15 +121,20 @@ def _(c):
 _near = f"WITH {LINE}, {POINT}, j AS (SELECT l.frame_id, l.line_id, sx, sy, sz, ex, ey, ez, p.u / 320.0 - 0.5 AS x, p.v / 240.0 - 0.5 AS y, p.z / 50.0 - 0.5 AS z FROM v_line l JOIN v_point p USING (frame_id)), q AS (SELECT *, sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy) + (ez - sz) * (ez - sz)) AS n FROM j), d AS (SELECT *, (x - sx) * ((ex - sx) / n) + (y - sy) * ((ey - sy) / n) + (z - sz) * ((ez - sz) / n) AS t, sqrt(((y - sy) * (z - ez) - (z - sz) * (y - ey)) * ((y - sy) * (z - ez) - (z - sz) * (y - ey)) + ((z - sz) * (x - ex) - (x - sx) * (z - ez)) * ((z - sz) * (x - ex) - (x - sx) * (z - ez)) + ((x - sx) * (y - ey) - (y - sy) * (x - ex)) * ((x - sx) * (y - ey) - (y - sy) * (x - ex))) / n AS far FROM q)"
 
 
-def _beside(c: Carriers):
+def _points_and_lines(c: Carriers):
     points = c.point.select("frame_id", (F.col("u") / 320.0 - 0.5).alias("x"), (F.col("v") / 240.0 - 0.5).alias("y"), (F.col("z") / 50.0 - 0.5).alias("z"))
-    own = c.line.select("frame_id", "line_id", "sx", "sy", "sz", "ex", "ey", "ez")
+    return points, c.line.select("frame_id", "line_id", "sx", "sy", "sz", "ex", "ey", "ez")
+
+
+def _beside(c: Carriers):
+    points, own = _points_and_lines(c)
     return points.join(own, "frame_id"), own
 
 
 @query("covered_tenths", f"{_near} SELECT frame_id, line_id, min(least(floor(t / n * 10), 9))::INT AS first_bin, max(least(floor(t / n * 10), 9))::INT AS last_bin, count(*) AS n FROM d WHERE far <= 0.1 AND t / n >= 0 AND t / n <= 1 GROUP BY ALL")
 def _(c):
-    return planes.covered(*_beside(c), ["frame_id", "line_id"], 0.1)
+    points, own = _points_and_lines(c)
+    return planes.covered(lines.near_lines(points, own, ["frame_id"], 0.1), own, ["frame_id", "line_id"], 0.1)
 
 
 @query("share_around_centre", f"{_near} SELECT frame_id, line_id, round(count_if(t / n > 0.25 AND t / n < 0.75) / count(*), 6) AS share FROM d GROUP BY ALL")

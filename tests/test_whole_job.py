@@ -228,3 +228,18 @@ def test_approximate_neighbours_in_blocks(spark):
         assert sorted(map(tuple, df_.collect())) == want
     plan = df_._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan.splitlines()[0]  # pairs aren't shuffled
+
+
+def test_near_lines_by_force(spark):
+    r = np.random.default_rng(11)
+    p = r.uniform(-1, 1, (900, 3))
+    ends = r.uniform(-1, 1, (14, 6))
+    ends[1, 3:], ends[2, 0], ends[3, 3:] = ends[1, :3], np.nan, ends[3, :3] + [0, 0, 5]
+    points = spark.createDataFrame([(i % 3, i, *map(float, x)) for i, x in enumerate(p)], "f long, i long, x double, y double, z double")
+    own = spark.createDataFrame([(i % 4, i, *map(float, x)) for i, x in enumerate(ends)], "f long, line_id long, sx double, sy double, sz double, ex double, ey double, ez double")
+    whole = points.join(own, "f")
+    near = lines.near_lines(points, own, ["f"], 0.07)
+    assert sorted(near.columns) == sorted(whole.columns)
+    assert 5 * near.count() < whole.count()
+    got, want = (sorted(map(tuple, planes.covered(x, own, ["f", "line_id"], 0.07).collect())) for x in (near, whole))
+    assert got == want and len(want) > 3
