@@ -62,6 +62,7 @@ def prolonged_counts(lines: DataFrame, cloud: DataFrame, keys: list[str], camera
     (with ra .. ld), and how many of them lie within `error` of that side's plane. Strips without points have no row."""
     (u0, v0), (u1, v1) = G.project(G.start(), *camera), G.project(G.end(), *camera)
     own = [*keys, "tip", "step", *RIGHT, *LEFT]
+    lines = lines.join(cloud.select("frame_id").distinct(), "frame_id", "left_semi")  # a line has thousands of pixels in its strips
     flat = prolonged(lines.select(*keys, *ENDS, *RIGHT, *LEFT), length).filter((F.col("sz") > 0) & (F.col("ez") > 0))
     flat = L.settled(flat, dict(zip(FLAT, (u0, v0, u1, v1))))
     near = pixels.strip_pixels(flat.filter(~reduce(lambda a, b: a | b, [F.isnan(c) for c in FLAT])), own, *size)

@@ -84,3 +84,14 @@ def test_empty(spark, lifted):
     keys = ["frame_id", "line_id"]
     assert lifting.lift(lines.limit(0), cloud, keys, CAMERA, SIZE).count() == 0
     assert lifting.lift(lines, cloud.limit(0), keys, CAMERA, SIZE).count() == 0
+
+
+def test_lines_of_frames_without_points_have_no_strips(spark):
+    rows = [(f, 1, -0.3, 0.0, 1.0, 0.3, 0.0, 1.0, *[0.0, 0.0, 1.0, -1.0] * 2) for f in range(3)]
+    own = spark.createDataFrame(rows, "frame_id long, line_id long, sx double, sy double, sz double, ex double, ey double, ez double, ra double, rb double, rc double, rd double, la double, lb double, lc double, ld double")
+    cloud = spark.createDataFrame([(1, u, v, (u - 160) / 200, (v - 120) / 200, 1.0) for u in range(320) for v in range(110, 131)], "frame_id long, u int, v int, x double, y double, z double")
+    counts = lifting.prolonged_counts(own, cloud, ["frame_id", "line_id"], (200.0, 200.0, 160.0, 120.0), (320, 240))
+    assert {x.frame_id for x in counts.collect()} == {1}
+    assert "LeftSemi" in counts._jdf.queryExecution().optimizedPlan().toString()
+    found = lifting.prolonged_patterns(own, cloud, ["frame_id", "line_id"], (200.0, 200.0, 160.0, 120.0), (320, 240))
+    assert {x.frame_id: x.pattern for x in found.collect()} == {0: "0000", 1: "1111", 2: "0000"}
