@@ -10,7 +10,8 @@ the overlap of two documents. Bounds from the sizes say what need not be multipl
 * A column's documents form a cell with the column's smallest document id; columns with the same smallest id share a
   cell. Linked documents share a column, hence a cell, and so all links are found within cells.
 * The overlap within these first columns is accumulated per cell; documents that have no partner there whose overlap
-  reaches what their sizes ask leave the cell before any text is fetched.
+  reaches what their sizes ask leave the cell before any text is fetched. Those that the cell leaves open are compared
+  once more by all their first columns, those of their other cells included.
 * In a cell of at most BLOCK documents, all overlaps are accumulated over blocks of columns in one product. In a larger
   cell, all documents are first compared with its smallest id; those linked with it are one component already and need
   not be compared with each other. The others, in blocks of BLOCK, are each multiplied with the whole cell.
@@ -332,6 +333,58 @@ def _prune(places: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, PLACES).unionByName(places.join(hot, "cell", "left_semi"))
 
 
+def partners(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the documents of a and b have a partner in b (in a, if b is empty), by all their first columns: as many are
+    common as their sizes (n, of both) ask for."""
+    at, doc = incidence(a + b)
+    cols, found = slice(len(a), len(n)) if b else slice(0, len(a)), np.zeros(len(n), bool)
+    for lo in range(0, len(a), BLOCK):
+        own = slice(lo, min(lo + BLOCK, len(a)))
+        may = product(at, doc, len(n), own, cols) >= least_shared(n[own], n[cols], percent)
+        may &= np.minimum(n[own, None], n[None, cols]) * 100 >= percent * np.maximum(n[own, None], n[None, cols])
+        if not b:
+            may[np.arange(own.stop - lo), np.arange(lo, own.stop)] = False
+        found[own] |= may.any(1)
+        found[cols] |= may.any(0)
+    return found
+
+
+def _paired(places: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """The cell, doc_id of kept whose document has a partner in the cell by all its first columns, those of its other cells
+    included. A cell's own columns leave open how many more two documents have in common, so with more documents ever
+    more of them pass its bounds. Cells of more than PRODUCT documents are cut into blocks, each compared with each."""
+    marked = places.join(kept.withColumn("kept", F.lit(True)), ["cell", "doc_id"], "left")
+    docs = marked.groupBy("doc_id", "n").agg(F.collect_list("keys").alias("keys"), F.collect_list(F.when(F.col("kept"), F.col("cell"))).alias("cells"))
+    large = kept.groupBy("cell").agg(F.ceil(F.count("*") / PRODUCT).alias("blocks")).filter("blocks > 1")
+    rows = docs.withColumn("cell", F.explode("cells")).join(F.broadcast(large), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "cell"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("role"), "doc_id", "n", "keys")
+    dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "doc_id")
+
+    def run(batches):
+        group, cell = ([], []), None
+
+        def ended():
+            a, b = group
+            if len(a) + len(b) < 2 or cell[1] != cell[2] and not (a and b):
+                return
+            every = a + b
+            found = partners([x[2] for x in a], [x[2] for x in b], np.array([x[1] for x in every], np.int64), percent)
+            ids = [x[0] for x, ok in zip(every, found) if ok]
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array([cell[0]] * len(ids), pa.int64()), pa.array(ids, pa.int64())], ["cell", "doc_id"])
+
+        for batch in batches:
+            for c, i, j, role, doc, n, keys in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if (c, i, j) != cell:
+                    yield from ended()
+                    group, cell = ([], []), (c, i, j)
+                group[role].append((doc, n, np.frombuffer(b"".join(keys), np.int64)))
+        yield from ended()
+
+    return dealt.mapInArrow(run, "cell long, doc_id long").distinct()
+
+
 def _multiply(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """u, v: links in cells. rows: cell, block, within, role, doc_id, z."""
     rows = rows.select("cell", "block", "crossed", "role", "doc_id", "z")
@@ -443,10 +496,11 @@ def _similar(docs: DataFrame, profile: DataFrame, width: int, percent: int, bloc
     places = materialize(_places(held[0] if len(held) == 1 else reduce(DataFrame.unionByName, held)), "places")
     for x in held:
         discard(x)
-    kept = materialize(_prune(places, percent).select("cell", "doc_id").join(reps, "doc_id", "left_semi").distinct(), "kept")
+    may = materialize(_prune(places, percent).select("cell", "doc_id").join(reps, "doc_id", "left_semi").distinct(), "may")
+    kept = materialize(_paired(places, may, percent), "kept")
     sizes = materialize(kept.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1").withColumn("members", F.col("size")), "sizes")
     cells = materialize(join_groups(kept, sizes, ["cell"], "members"), "cells")
-    for x in (places, kept):
+    for x in (places, may, kept):
         discard(x)
     texts = _compressed(docs, cells.select("doc_id").distinct())
 

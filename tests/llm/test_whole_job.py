@@ -190,3 +190,36 @@ def test_queries_agree_with_their_sql(spark, sf, name):
     from tests.compare import duck
 
     same(QUERIES[name](spark, sf), duck(sf), ORACLE[name])
+
+
+def test_documents_without_a_partner_leave_their_cells(spark, monkeypatch):
+    import numpy as np
+
+    from linelake.llm import jaccard
+
+    keys = lambda *k: np.array(k, np.int64).tobytes()
+    rows = [(0, d, 20, 10, 10, keys(1)) for d in range(10)]  # one column in common, nine elsewhere, each alone
+    rows += [(100 + d, d, 20, 10, 10, keys(*range(d * 100, d * 100 + 9))) for d in range(2, 10)]
+    rows += [(c, d, 20, 2, 4, k) for d in (10, 11) for c, k in ((0, keys(1)), (5, keys(50, 51, 52)))]
+    places = spark.createDataFrame(rows, jaccard.PLACES)
+    may = jaccard._prune(places, 80).select("cell", "doc_id").distinct()
+    want = {(5, 10), (5, 11)}
+    assert {tuple(r) for r in may.collect()} == want | {(0, d) for d in range(10)}
+    for most in (jaccard.PRODUCT, 1):
+        monkeypatch.setattr(jaccard, "PRODUCT", most)
+        assert {tuple(r) for r in jaccard._paired(places, may, 80).collect()} == want
+
+
+def test_partners_by_force():
+    import numpy as np
+
+    from linelake.llm.jaccard import least_shared, partners
+
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 40, r.integers(1, 12))) for _ in range(90)]
+    n = np.array([len(s) * 5 for s in sets])
+    need = least_shared(n, n, 80)
+    ok = np.array([[i != j and len(np.intersect1d(a, b)) >= need[i, j] and min(n[i], n[j]) * 100 >= 80 * max(n[i], n[j]) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert 0 < ok.any(1).sum() < 90 and (partners(sets, [], n, 80) == ok.any(1)).all()
+    ok[:50, :50], ok[50:, 50:] = False, False
+    assert (partners(sets[:50], sets[50:], n, 80) == ok.any(1)).all()
