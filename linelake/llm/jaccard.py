@@ -352,10 +352,10 @@ def partners(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, percent: i
 def _paired(places: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     """The cell, doc_id of kept whose document has a partner in the cell by all its first columns, those of its other cells
     included. A cell's own columns leave open how many more two documents have in common, so with more documents ever
-    more of them pass its bounds. Cells of more than PRODUCT documents are cut into blocks, each compared with each."""
+    more of them pass its bounds. Cells of more than BLOCK documents are cut into blocks, each compared with each."""
     marked = places.join(kept.withColumn("kept", F.lit(True)), ["cell", "doc_id"], "left")
     docs = marked.groupBy("doc_id", "n").agg(F.collect_list("keys").alias("keys"), F.collect_list(F.when(F.col("kept"), F.col("cell"))).alias("cells"))
-    large = kept.groupBy("cell").agg(F.ceil(F.count("*") / PRODUCT).alias("blocks")).filter("blocks > 1")
+    large = kept.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1")
     rows = docs.withColumn("cell", F.explode("cells")).join(F.broadcast(large), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "cell"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("role"), "doc_id", "n", "keys")

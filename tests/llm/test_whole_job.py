@@ -205,8 +205,8 @@ def test_documents_without_a_partner_leave_their_cells(spark, monkeypatch):
     may = jaccard._prune(places, 80).select("cell", "doc_id").distinct()
     want = {(5, 10), (5, 11)}
     assert {tuple(r) for r in may.collect()} == want | {(0, d) for d in range(10)}
-    for most in (jaccard.PRODUCT, 1):
-        monkeypatch.setattr(jaccard, "PRODUCT", most)
+    for most in (jaccard.BLOCK, 1):
+        monkeypatch.setattr(jaccard, "BLOCK", most)
         assert {tuple(r) for r in jaccard._paired(places, may, 80).collect()} == want
 
 
